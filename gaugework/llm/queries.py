@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import decontaminate, line_dedup
+from gaugework.llm import decontaminate, jaccard_join, line_dedup
 from gaugework.llm.store import small_batches, table
 
 
@@ -15,5 +15,10 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op5_line_dedup": line_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+def op7_jaccard_join(spark, sf_dir):
+    small_batches(spark)
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op7_jaccard_join": jaccard_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
