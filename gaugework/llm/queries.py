@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import decontaminate, jaccard_join, line_dedup
+from gaugework.llm import decontaminate, jaccard_join, line_dedup, repeats
 from gaugework.llm.store import small_batches, table
 
 
@@ -20,5 +20,10 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
+def op9_suffix_repeats(spark, sf_dir):
+    small_batches(spark)
+    return repeats.repeats_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_suffix_repeats": op9_suffix_repeats, "op7_jaccard_join": op7_jaccard_join, "op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op7_jaccard_join": jaccard_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
