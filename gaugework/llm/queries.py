@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.llm import decontaminate, jaccard_join, line_dedup, repeats
+from gaugework.llm import ann, chat, decontaminate, grading, jaccard_join, language, line_dedup, mixing, repeats, warc
 from gaugework.llm.store import small_batches, table
 
 
@@ -20,10 +20,56 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_bundles(spark, sf_dir):
+    small_batches(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("archive", "frame", "frame_offset")
+
+
 def op9_suffix_repeats(spark, sf_dir):
     small_batches(spark)
     return repeats.repeats_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_suffix_repeats": op9_suffix_repeats, "op7_jaccard_join": op7_jaccard_join, "op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op7_jaccard_join": jaccard_join.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+def op1_additive_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_mix_sources(spark, sf_dir):
+    small_batches(spark)
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark, sf_dir):
+    small_batches(spark)
+    return language.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_format(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op6_quality_grade(spark, sf_dir):
+    small_batches(spark)
+    return grading.grades_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_additive_ann": op1_additive_ann,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_language_id": op3_language_id,
+    "op4_chat_format": op4_chat_format,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality_grade": op6_quality_grade,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_warc_bundles": op8_warc_bundles,
+    "op9_suffix_repeats": op9_suffix_repeats,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {
+    "op1_additive_ann": ann.ORACLE,
+    "op4_chat_format": chat.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
+    "op8_warc_bundles": warc.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
+}
