@@ -8,7 +8,9 @@
 3. The matrix holds each group's shingle union. A global order, rarest first, comes from a count
    sketch of fixed size over all documents; a pair at or above the threshold must share one of
    the first ``n - ceil(t n) + 1`` shingles of either side, so those entries of the matrix alone
-   propose group pairs. Group pairs inside one connected class need no look.
+   propose group pairs, and only entries that two classes share. The number of entries that two
+   groups share, with the sizes of their documents, bounds the overlap of any two of them; pairs
+   of groups below the bound go before any text is read. Pairs inside one class need no look.
 4. For a proposed pair each document of one side is bounded by its overlap with the other's union
    and only qualifying groups are opened, document by document, with the exact test.
 
@@ -35,6 +37,8 @@ from gaugework.llm.store import broadcast_if_small, settle
 SHINGLE, PERCENT = 5, 80
 #: Documents in a group, about, and query groups that one task opens a group for.
 GROUP, QUERIES = 64, 256
+#: Shared matrix entries that a broadcast may hold (16 MB); beyond, a join finds them.
+MAX_SHARED = 2_000_000
 #: Cells of the count sketch (4 MB) and the slices in which tasks hand it on.
 CELLS, SLICES = 1 << 20, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -95,22 +99,31 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(shingle: int, percent: int, counts):
-    """The matrix entries a text is found by: its rarest shingles, ties by hash."""
+def _prefixes(shingle: int, percent: int, counts, wanted=None):
+    """The matrix entries a text is found by: its rarest shingles, ties by hash; only ``wanted`` ones if given."""
 
     def run(batches):
         df = counts.value
+        only = None if wanted is None else wanted.value
         for batch in batches:
-            sizes, out = [], []
+            sizes, out, full = [], [], []
             for s in th.shingle_sets(batch.column("text"), shingle):
                 p = len(s) - need(len(s), percent) + 1 if len(s) else 0
+                token = s
                 if p:
                     rarity = df[(s >> th.U(44)).astype(np.int64)]
-                    out.append(s[np.argsort(rarity, kind="stable")[:p]])
-                sizes.append(p)
-            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                    token = s[np.argsort(rarity, kind="stable")[:p]]
+                    if only is not None:
+                        at = np.minimum(np.searchsorted(only, token), len(only) - 1)
+                        token = token[only[at] == token]
+                out.append(token)
+                sizes.append(len(token))
+                full.append(len(s))
+            row = np.repeat(np.arange(len(sizes)), sizes)
             token = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(th.signed(token)), batch.column("gid").take(row), batch.column("comp").take(row)], names=["token", "gid", "comp"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(th.signed(token)), batch.column("gid").take(pa.array(row)), batch.column("comp").take(pa.array(row)), pa.array(np.array(full, np.int64)[row])], names=["token", "gid", "comp", "n"]
+            )
 
     return run
 
@@ -206,13 +219,33 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         .select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("gid", "doc_id").alias("gid"))
     )
 
-    matrix = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts), "token bigint, gid bigint, comp bigint")
-    entries = matrix.groupBy("token", "comp").agg(F.collect_set("gid").alias("gids"))
-    shared = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    entries = settle(entries.join(shared, "token").select("token", "comp", F.explode("gids").alias("gid")))
-    pairs = settle(
-        entries.alias("x").join(entries.alias("y"), F.expr("x.token = y.token and x.comp < y.comp")).select(F.col("x.gid").alias("x"), F.col("y.gid").alias("y")).distinct()
+    matrix_sql = "token bigint, gid bigint, comp bigint, n bigint"
+    matrix = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts), matrix_sql)
+    shared = matrix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    shared = settle(shared)
+    n_shared = shared.limit(MAX_SHARED + 1).count()
+    if not n_shared:
+        entries = spark.createDataFrame([], "token bigint, gid bigint, comp bigint, n bigint")
+    elif n_shared <= MAX_SHARED:
+        wanted = spark.sparkContext.broadcast(np.sort(shared.toPandas()["token"].to_numpy().view(np.uint64)))
+        entries = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts, wanted), matrix_sql)
+    else:
+        entries = matrix.join(shared, "token")
+    entries = settle(entries.groupBy("token", "comp", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    sizes = entries.groupBy("gid").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    met = (
+        entries.alias("x")
+        .join(entries.alias("y"), F.expr("x.token = y.token and x.comp < y.comp"))
+        .groupBy(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
+        .agg(F.count("*").alias("c"))
     )
+    met = met.join(sizes.select(F.col("gid").alias("x"), F.col("least").alias("x0"), F.col("most").alias("x1")), "x")
+    met = met.join(sizes.select(F.col("gid").alias("y"), F.col("least").alias("y0"), F.col("most").alias("y1")), "y")
+    # With sizes m <= n, m >= t n, two documents that share c prefix entries overlap in less than c + t n + 1.
+    small, large = F.least("x0", "y0"), F.greatest("x1", "y1")
+    t = percent / 100
+    can = (F.col("x1") >= t * F.col("y0")) & (F.col("y1") >= t * F.col("x0")) & ((large * t >= small) | (F.col("c") + t * large + 1 >= t / (1 + t) * (small + large)))
+    pairs = settle(met.where(can).select("x", "y"))
 
     involved = pairs.select(F.col("x").alias("gid")).union(pairs.select("y")).distinct()
     members = known.where("not out").select("doc_id", "gid").join(involved, "gid")
