@@ -227,7 +227,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     if not n_shared:
         entries = spark.createDataFrame([], "token bigint, gid bigint, comp bigint, n bigint")
     elif n_shared <= MAX_SHARED:
-        wanted = spark.sparkContext.broadcast(np.sort(shared.toPandas()["token"].to_numpy().view(np.uint64)))
+        wanted = spark.sparkContext.broadcast(np.sort(shared.toArrow()["token"].to_numpy().view(np.uint64)))
         entries = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts, wanted), matrix_sql)
     else:
         entries = matrix.join(shared, "token")
