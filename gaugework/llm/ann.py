@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from gaugework.llm.store import settle
 
-SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 8192, 8, 256, 4, 2
-BLOCK, QUERIES, RERANK = 4096, 256, 400
+SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 32768, 16, 256, 4, 1
+BLOCK, QUERIES, RERANK = 4096, 256, 1000
 
 
 def _kmeans(x: np.ndarray, k: int, rng, steps: int = 8) -> np.ndarray:
@@ -94,6 +94,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
 
 def _rows(batch, column: str = "vec") -> np.ndarray:
     v = batch.column(column)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float32)
 
 
@@ -170,14 +171,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
     ``vectors`` and ``queries`` come from ``usable``.
     """
     spark = vectors.sparkSession
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not rows:
+    if not rows.num_rows:
         return empty
-    x = np.array([r["vec"] for r in rows], np.float32)
+    x = _rows(rows)
     words = min(WORDS, max(1, len(x) // 2))
     model = spark.sparkContext.broadcast(fit(x, words=words))
-    coded = settle(vectors.mapInArrow(_coder(model), "ids binary, codes binary, norms binary"))
+    # Blocks are as full however many partitions the input has, so that what they hand on depends on its rows alone.
+    parts = max(1, -(-vectors.count() // BLOCK))
+    coded = settle(vectors.coalesce(parts).mapInArrow(_coder(model), "ids binary, codes binary, norms binary"))
     n_blocks = max(1, -(-queries.count() // QUERIES))
     blocks = settle(queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vec")).alias("q")).select("block", "q.vec_id", "q.vec").toDF("block", "qids", "qvecs"))
     met = coded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")).join(blocks, "block")
