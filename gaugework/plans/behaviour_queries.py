@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import behaviour, stats
-from gaugework.plans.lineitem import LONG, observations, r
+from gaugework.plans.lineitem import LONG, observations, r8 as r
 from gaugework.plans.registry import query, table
 
 CALLS = "calls AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS site, value, user_id % 3 AS mode FROM events)"
@@ -36,7 +36,7 @@ def unroll(spark, sf_dir):
     return behaviour.unroll_loops(calls(spark, sf_dir)).select("run", "seq", "site")
 
 
-@query("q155_meta_observations", f"WITH {CALLS} SELECT run, mode, round(sum(value), 5) AS latency FROM calls GROUP BY ALL")
+@query("q155_meta_observations", f"WITH {CALLS} SELECT run, mode, round(sum(value), 8) AS latency FROM calls GROUP BY ALL")
 def meta_observations(spark, sf_dir):
     _, latency = behaviour.meta_observations(calls(spark, sf_dir), ["mode"], ["value"], latency="value")
     return latency.select("run", "mode", r("latency"))
@@ -72,7 +72,7 @@ def trace_accuracy(spark, sf_dir):
 
 
 @query("q160_trace_costs", f"""WITH {CALLS}, l AS (SELECT site, mode, median(value) AS p FROM calls GROUP BY ALL), s AS (SELECT run, sum(value) AS t, sum(p) AS p FROM calls JOIN l USING (site, mode) GROUP BY run)
-SELECT count(*) AS count, round(avg(abs(t - p)), 5) AS mae FROM s""")
+SELECT count(*) AS count, round(avg(abs(t - p)), 8) AS mae FROM s""")
 def trace_costs(spark, sf_dir):
     rows = calls(spark, sf_dir).withColumn("name", F.col("site")).withColumn("attr", F.lit("value"))
     _, by_run = behaviour.trace_costs(rows, stats.lut_model(rows, ["mode"]), ["mode"], stats.static_model(rows))
@@ -90,7 +90,7 @@ def workload_cost(spark, sf_dir):
 @query("q162_trace_pricing", """WITH t AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type AS name, CASE WHEN event_id % 4 = 0 THEN event_id % 8 END AS lv, value FROM events),
 c AS (SELECT *, last_value(lv IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq) AS level FROM t),
 p AS (SELECT DISTINCT event_type AS name, (event_id % 8) AS level FROM events WHERE event_id % 4 = 0)
-SELECT trace_id, round(sum(CASE WHEN seq % 2 = 0 THEN (length(c.name) + level) * value ELSE 3.0 END), 5) AS energy, round(sum(CASE WHEN seq % 2 = 0 THEN value ELSE 0 END), 5) AS duration FROM c GROUP BY trace_id""")
+SELECT trace_id, round(sum(CASE WHEN seq % 2 = 0 THEN (length(c.name) + level) * value ELSE 3.0 END), 8) AS energy, round(sum(CASE WHEN seq % 2 = 0 THEN value ELSE 0 END), 8) AS duration FROM c GROUP BY trace_id""")
 def trace_pricing(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
@@ -101,13 +101,13 @@ def trace_pricing(spark, sf_dir):
     return behaviour.price_traces(t, power, energy, ["level"]).select("trace_id", r("energy"), r("duration"))
 
 
-@query("q163_overflow_bounds", "SELECT round(65535 / max(value), 5) AS shortest, round(65535 / min(value), 5) AS longest FROM events WHERE value > 1")
+@query("q163_overflow_bounds", "SELECT round(65535 / max(value), 8) AS shortest, round(65535 / min(value), 8) AS longest FROM events WHERE value > 1")
 def overflow_bounds(spark, sf_dir):
     return behaviour.overflow_bounds(table(spark, sf_dir, "events").where("value > 1").select(F.col("value").alias("power")), 16).select(r("shortest"), r("longest"))
 
 
 @query("q164_power_breakdown", """WITH p AS (SELECT user_id AS loop, event_type AS component, sum(value * (1 + event_id % 3)) AS e, sum(1 + event_id % 3) AS t FROM events GROUP BY ALL), m AS (SELECT loop, component, e / sum(t) OVER (PARTITION BY loop) AS power FROM p)
-SELECT loop, component, round(power, 5) AS power, round(power / sum(power) OVER (PARTITION BY loop) * 100, 5) AS percent FROM m""")
+SELECT loop, component, round(power, 8) AS power, round(power / sum(power) OVER (PARTITION BY loop) * 100, 8) AS percent FROM m""")
 def power_breakdown(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("loop"), F.col("event_type").alias("component"), F.col("value").alias("power"), (1 + F.col("event_id") % 3).alias("duration"))
     return behaviour.power_breakdown(e).select("loop", "component", r("power"), r("percent"))
@@ -116,7 +116,7 @@ def power_breakdown(spark, sf_dir):
 TIMER = "SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, event_id, value FROM events"
 
 
-@query("q169_timer_log", f"SELECT file::VARCHAR AS file, position::INT AS position, (event_id % 7)::INT AS transition, round(greatest(floor(value) * 0.25 + (event_id % 2) * 16 - 2.5, 0), 5) AS duration, CAST(event_id % 5 AS VARCHAR) AS returned FROM ({TIMER})")
+@query("q169_timer_log", f"SELECT file::VARCHAR AS file, position::INT AS position, (event_id % 7)::INT AS transition, round(greatest(floor(value) * 0.25 + (event_id % 2) * 16 - 2.5, 0), 8) AS duration, CAST(event_id % 5 AS VARCHAR) AS returned FROM ({TIMER})")
 def timer_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     body = e.select(F.col("user_id").cast("string").alias("file"), (F.col("event_id") + 2).alias("line_no"), F.format_string("[PTA] transition=%d prevcycles=%d/0 cycles=%d/%d return=%d", F.col("event_id") % 7, F.lit(8), F.floor("value"), F.col("event_id") % 2, F.col("event_id") % 5).alias("value"))
@@ -126,7 +126,7 @@ def timer_log(spark, sf_dir):
 
 
 @query("q170_propagate", """WITH t AS (SELECT user_id AS trace_id, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN value * 2 END AS v FROM events)
-SELECT trace_id, seq, round(last_value(v IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq), 5) AS level FROM t""")
+SELECT trace_id, seq, round(last_value(v IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq), 8) AS level FROM t""")
 def propagate(spark, sf_dir):
     t = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 5 == 0, F.col("value").cast("string")).alias("returned"))
     return behaviour.propagate_returns(t, "level", formula=lambda c: c * 2).select("trace_id", "seq", r("level"))

@@ -29,3 +29,8 @@ def observations(spark, sf_dir) -> Observations:
 
 def r(column, places: int = 5):
     return F.round(column, places).alias(column)
+
+
+def r8(column, places: int = 8):
+    """For means of few values of two decimals, which end in a 5 too often at five places."""
+    return F.round(column, places).alias(column)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +31,9 @@ def table(spark, sf_dir: str, name: str):
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a time without zone, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+
+
+def scratch(spark) -> str:
+    """A new folder in the shared one that ``spark.checkpoint.dir`` names; a local one only where that is unset (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import signals
-from gaugework.plans.lineitem import r
+from gaugework.plans.lineitem import r8 as r
 from gaugework.plans.registry import micros, query, table
 
 SIG = "sig AS (SELECT user_id AS signal, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value, event_type, event_id, epoch_us(ts) / 1e6 AS t FROM events)"
@@ -21,12 +21,12 @@ def sig(spark, sf_dir):
     return e.select(F.col("user_id").alias("signal"), i.alias("i"), "value", "event_type", "event_id", (micros("ts") / 1e6).alias("t"))
 
 
-@query("q126_running_mean", f"WITH {SIG}, m AS (SELECT signal, i, avg(value) OVER w AS mean, count(*) OVER w AS n FROM sig WINDOW w AS (PARTITION BY signal ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) SELECT signal, i::INT AS i, round(mean, 5) AS mean FROM m WHERE n = 10")
+@query("q126_running_mean", f"WITH {SIG}, m AS (SELECT signal, i, avg(value) OVER w AS mean, count(*) OVER w AS n FROM sig WINDOW w AS (PARTITION BY signal ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) SELECT signal, i::INT AS i, round(mean, 8) AS mean FROM m WHERE n = 10")
 def running_mean(spark, sf_dir):
     return signals.running_mean(sig(spark, sf_dir), 10).select("signal", "i", r("mean"))
 
 
-@query("q127_threshold_points", f"{GRAD} SELECT signal, i::INT AS i, round(gradient, 5) AS gradient FROM g WHERE abs(gradient) > 20")
+@query("q127_threshold_points", f"{GRAD} SELECT signal, i::INT AS i, round(gradient, 8) AS gradient FROM g WHERE abs(gradient) > 20")
 def threshold_points(spark, sf_dir):
     return signals.threshold_points(sig(spark, sf_dir), 20).select("signal", "i", r("gradient"))
 
@@ -64,7 +64,7 @@ def _segments(spark, sf_dir):
     return signals.segment_table(signals.segments(rows.withColumn("_edge", edge), F.col("_edge")), 90.0)
 
 
-@query("q132_segmentation", f"{SEG} SELECT signal, segment::BIGINT AS segment, round(mean, 5) AS mean, duration, round(clip_rate, 5) AS clip_rate, round(mean - lag(mean) OVER w, 5) AS to_prev, lag(duration) OVER w AS timeout FROM t WINDOW w AS (PARTITION BY signal ORDER BY segment)")
+@query("q132_segmentation", f"{SEG} SELECT signal, segment::BIGINT AS segment, round(mean, 8) AS mean, duration, round(clip_rate, 8) AS clip_rate, round(mean - lag(mean) OVER w, 8) AS to_prev, lag(duration) OVER w AS timeout FROM t WINDOW w AS (PARTITION BY signal ORDER BY segment)")
 def segmentation(spark, sf_dir):
     return _segments(spark, sf_dir).select("signal", "segment", r("mean"), "duration", r("clip_rate"), r("to_prev"), "timeout")
 
@@ -81,7 +81,7 @@ def sync_pulses(spark, sf_dir):
     return signals.sync_pulses(sig(spark, sf_dir), 50, 1, 9)
 
 
-@query("q135_clock_rescale", f"WITH {SIG}, m AS (SELECT signal, max(i) AS m, count(*) AS n FROM sig GROUP BY signal) SELECT signal, i::INT AS i, round(10 + (i + 1) / n * m, 5) AS time FROM sig JOIN m USING (signal)")
+@query("q135_clock_rescale", f"WITH {SIG}, m AS (SELECT signal, max(i) AS m, count(*) AS n FROM sig GROUP BY signal) SELECT signal, i::INT AS i, round(10 + (i + 1) / n * m, 8) AS time FROM sig JOIN m USING (signal)")
 def clock_rescale(spark, sf_dir):
     rows = sig(spark, sf_dir)
     m = rows.groupBy("signal").agg(F.max("i").alias("m"))
@@ -101,10 +101,10 @@ def trim(spark, sf_dir):
     return signals.trim_at_gaps(sig(spark, sf_dir), 86400.0).groupBy("signal").agg(F.count("*").alias("n"))
 
 
-@query("q138_offline_attributes", f"WITH {SIG} SELECT event_id, round(value * 1e6 * (1e6 - CASE WHEN i % 2 = 1 THEN 20 ELSE 0 END) / 1e9, 5) AS energy FROM sig")
+@query("q138_offline_attributes", f"WITH {SIG} SELECT event_id, round(value * 1e6 * (1e6 - CASE WHEN i % 2 = 1 THEN 20 ELSE 0 END) / 1e9, 8) AS energy FROM sig")
 def offline_attributes(spark, sf_dir):
     rows = sig(spark, sf_dir).select("event_id", F.when(F.col("i") % 2 == 1, "transition").otherwise("state").alias("isa"), F.lit(1.0).alias("duration_s"), F.col("value").alias("power_w"), F.lit(0.0).alias("prev_power"), F.lit(0.0).alias("next_power"))
-    return signals.offline_attributes(rows).select("event_id", F.round(F.col("energy") / 1e9, 5).alias("energy"))
+    return signals.offline_attributes(rows).select("event_id", F.round(F.col("energy") / 1e9, 8).alias("energy"))
 
 
 @query("q139_traces_to_aggregate", f"WITH {SIG} SELECT event_type AS name, count(*) AS n, count(CASE WHEN i % 2 = 1 THEN value END) AS energies FROM sig WHERE i > 0 GROUP BY 1")
@@ -119,22 +119,22 @@ def concat_traces(spark, sf_dir):
     return signals.concat_traces(e, e).groupBy("trace_id", "orig_id").agg(F.count("*").alias("n"))
 
 
-@query("q141_normalise", f"WITH {SIG} SELECT event_id, round(value / max(abs(value)) OVER (PARTITION BY signal) * 25, 5) AS value FROM sig")
+@query("q141_normalise", f"WITH {SIG} SELECT event_id, round(value / max(abs(value)) OVER (PARTITION BY signal) * 25, 8) AS value FROM sig")
 def normalise(spark, sf_dir):
     return signals.normalise(sig(spark, sf_dir)).select("event_id", r("value"))
 
 
-@query("q142_resample", f"WITH {SIG}, l AS (SELECT signal, arg_max(value, i) AS last FROM sig GROUP BY signal) SELECT signal, (i // 4)::BIGINT AS i, round((sum(value) + (4 - count(*)) * any_value(last)) / 4, 5) AS value FROM sig JOIN l USING (signal) GROUP BY signal, i // 4")
+@query("q142_resample", f"WITH {SIG}, l AS (SELECT signal, arg_max(value, i) AS last FROM sig GROUP BY signal) SELECT signal, (i // 4)::BIGINT AS i, round((sum(value) + (4 - count(*)) * any_value(last)) / 4, 8) AS value FROM sig JOIN l USING (signal) GROUP BY signal, i // 4")
 def resample(spark, sf_dir):
     return signals.down_sample(sig(spark, sf_dir), 4).select("signal", "i", r("value"))
 
 
-@query("q142_up_sample", f"WITH {SIG}, n AS (SELECT signal, i, value, coalesce(lead(value) OVER (PARTITION BY signal ORDER BY i), value) AS nx FROM sig) SELECT signal, (i * 3 + k)::INT AS i, round(value + (nx - value) * k / 3, 5) AS value FROM n, range(3) g(k)")
+@query("q142_up_sample", f"WITH {SIG}, n AS (SELECT signal, i, value, coalesce(lead(value) OVER (PARTITION BY signal ORDER BY i), value) AS nx FROM sig) SELECT signal, (i * 3 + k)::INT AS i, round(value + (nx - value) * k / 3, 8) AS value FROM n, range(3) g(k)")
 def up_sample(spark, sf_dir):
     return signals.up_sample(sig(spark, sf_dir), 3).select("signal", "i", r("value"))
 
 
-@query("q143_refinement", f"WITH {SIG}, b AS (SELECT signal, min(i) + 2 AS a, max(i) - 2 AS z FROM sig GROUP BY signal), q AS (SELECT signal, quantile_cont(value, 0.01) AS l, median(value) AS m, quantile_cont(value, 0.99) AS h FROM sig JOIN b USING (signal) WHERE i BETWEEN a AND z GROUP BY signal) SELECT 'all' AS name, count(*) AS signals, round(avg((m - l > 40 OR h - m > 40)::INT), 5) AS share FROM q")
+@query("q143_refinement", f"WITH {SIG}, b AS (SELECT signal, min(i) + 2 AS a, max(i) - 2 AS z FROM sig GROUP BY signal), q AS (SELECT signal, quantile_cont(value, 0.01) AS l, median(value) AS m, quantile_cont(value, 0.99) AS h FROM sig JOIN b USING (signal) WHERE i BETWEEN a AND z GROUP BY signal) SELECT 'all' AS name, count(*) AS signals, round(avg((m - l > 40 OR h - m > 40)::INT), 8) AS share FROM q")
 def refinement(spark, sf_dir):
     return signals.needs_refinement(sig(spark, sf_dir).withColumn("name", F.lit("all")), edge=2, limit=40.0).select("name", "signals", r("share"))
 
@@ -197,17 +197,17 @@ def drift_from_states(spark, sf_dir):
     return signals.drift_from_states(rows.where("event_id % 4 <> 0"), _expected(rows), 40_000.0).select("signal", "event", r("drift", 3))
 
 
-@query("q165_peaks", f"WITH {SIG}, a AS (SELECT *, avg(value) OVER (PARTITION BY signal) AS th, max(i) OVER (PARTITION BY signal) AS z FROM sig), f AS (SELECT *, value >= th AS o, avg(CASE WHEN value < th THEN value END) OVER (PARTITION BY signal) AS base FROM a), n AS (SELECT *, coalesce(o <> lag(o) OVER (PARTITION BY signal ORDER BY i), true)::INT AS new FROM f), k AS (SELECT *, sum(new) OVER (PARTITION BY signal ORDER BY i) AS run FROM n) SELECT signal, min(i)::INT AS start, count(*) AS n, round(sum(value), 5) AS energy, round(sum(value) - count(*) * any_value(base), 8) AS energy_over_baseline FROM k WHERE o GROUP BY signal, run HAVING max(i) < any_value(z)")
+@query("q165_peaks", f"WITH {SIG}, a AS (SELECT *, avg(value) OVER (PARTITION BY signal) AS th, max(i) OVER (PARTITION BY signal) AS z FROM sig), f AS (SELECT *, value >= th AS o, avg(CASE WHEN value < th THEN value END) OVER (PARTITION BY signal) AS base FROM a), n AS (SELECT *, coalesce(o <> lag(o) OVER (PARTITION BY signal ORDER BY i), true)::INT AS new FROM f), k AS (SELECT *, sum(new) OVER (PARTITION BY signal ORDER BY i) AS run FROM n) SELECT signal, min(i)::INT AS start, count(*) AS n, round(sum(value), 8) AS energy, round(sum(value) - count(*) * any_value(base), 8) AS energy_over_baseline FROM k WHERE o GROUP BY signal, run HAVING max(i) < any_value(z)")
 def peaks(spark, sf_dir):
     return signals.peaks(sig(spark, sf_dir)).select("signal", "start", "n", r("energy"), r("energy_over_baseline", 8))
 
 
-@query("q166_threshold_for_peaks", f"WITH {SIG}, e AS (SELECT signal, i, value >= th AS o, th::DOUBLE AS threshold FROM sig, range(50, 100, 5) g(th)), n AS (SELECT *, o AND coalesce(NOT lag(o) OVER (PARTITION BY signal, threshold ORDER BY i), true) AS new FROM e), c AS (SELECT signal, threshold, count(*) FILTER (WHERE new) AS n FROM n GROUP BY ALL) SELECT signal, min(threshold) AS threshold FROM c WHERE n = 5 GROUP BY signal")
+@query("q166_threshold_for_peaks", f"WITH {SIG}, e AS (SELECT signal, i, value >= th AS o, th::DOUBLE AS threshold FROM sig, range(50, 100, 8) g(th)), n AS (SELECT *, o AND coalesce(NOT lag(o) OVER (PARTITION BY signal, threshold ORDER BY i), true) AS new FROM e), c AS (SELECT signal, threshold, count(*) FILTER (WHERE new) AS n FROM n GROUP BY ALL) SELECT signal, min(threshold) AS threshold FROM c WHERE n = 5 GROUP BY signal")
 def threshold_for_peaks(spark, sf_dir):
-    return signals.threshold_for_peaks(sig(spark, sf_dir), range(50, 100, 5), 5)
+    return signals.threshold_for_peaks(sig(spark, sf_dir), range(50, 100, 8), 8)
 
 
-@query("q167_channel_summary", f"WITH {SIG}, b AS (SELECT *, (min(value) OVER (PARTITION BY signal) + max(value) OVER (PARTITION BY signal)) / 2 AS border FROM sig) SELECT signal, round(min(value), 5) AS least, round(max(value), 5) AS most, round(avg(CASE WHEN value > border THEN value END), 5) AS high, round(avg(CASE WHEN value <= border THEN value END), 5) AS low FROM b GROUP BY signal")
+@query("q167_channel_summary", f"WITH {SIG}, b AS (SELECT *, (min(value) OVER (PARTITION BY signal) + max(value) OVER (PARTITION BY signal)) / 2 AS border FROM sig) SELECT signal, round(min(value), 8) AS least, round(max(value), 8) AS most, round(avg(CASE WHEN value > border THEN value END), 8) AS high, round(avg(CASE WHEN value <= border THEN value END), 8) AS low FROM b GROUP BY signal")
 def channel_summary(spark, sf_dir):
     return signals.channel_summary(sig(spark, sf_dir)).select("signal", r("least"), r("most"), r("high"), r("low"))
 
