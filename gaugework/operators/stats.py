@@ -54,14 +54,14 @@ def type_census(types: DataFrame, name: str = "name") -> DataFrame:
 
 
 def config_moments(long: DataFrame, params, keys=("name", "attr")) -> DataFrame:
-    """n, mean and M2 (sum of squares about the mean) of each configuration."""
-    return long.groupBy(*keys, *params).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
+    """_n, _mean and _m2 (sum of squares about the mean) of each configuration."""
+    return long.groupBy(*keys, *params).agg(F.count("value").alias("_n"), F.avg("value").alias("_mean"), (F.var_pop("value") * F.count("value")).alias("_m2"))
 
 
 def merged_std() -> Column:
-    """Population deviation of merged groups; ``d`` is a mean less a fixed origin."""
-    n, s = F.sum("n"), F.sum(F.col("n") * F.col("d"))
-    return F.sqrt(F.greatest((F.sum("m2") + F.sum(F.col("n") * F.col("d") * F.col("d")) - s * s / n) / n, F.lit(0.0)))
+    """Population deviation of merged groups; ``_d`` is a mean less a fixed origin."""
+    n, s = F.sum("_n"), F.sum(F.col("_n") * F.col("_d"))
+    return F.sqrt(F.greatest((F.sum("_m2") + F.sum(F.col("_n") * F.col("_d") * F.col("_d")) - s * s / n) / n, F.lit(0.0)))
 
 
 def deviations(long: DataFrame, params, keys=("name", "attr")) -> DataFrame:
@@ -72,9 +72,9 @@ def deviations(long: DataFrame, params, keys=("name", "attr")) -> DataFrame:
     """
     keys, params = list(keys), list(params)
     config = config_moments(long, params, keys)
-    origin = config.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("origin"))
-    config = config.join(origin, keys).withColumn("d", F.col("mean") - F.col("origin"))
-    whole = config.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count("*").alias("configs"), merged_std().alias("std_static"), F.avg(F.sqrt(F.col("m2") / F.col("n"))).alias("std_lut"))
+    origin = config.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("_origin"))
+    config = config.join(origin, keys).withColumn("_d", F.col("_mean") - F.col("_origin"))
+    whole = config.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.count("*").alias("configs"), merged_std().alias("std_static"), F.avg(F.sqrt(F.col("_m2") / F.col("_n"))).alias("std_lut"))
     sets = [[*keys, *(q for q in params if q != p)] for p in params]
     grouped = config.groupingSets(sets, *keys, *params).agg(merged_std().alias("std"), *(F.grouping(p).alias(f"_{i}") for i, p in enumerate(params)))
     which = reduce(lambda out, ip: F.when(F.col(f"_{ip[0]}") == 1, ip[1]).otherwise(out), enumerate(params), F.lit(None).cast("string"))

@@ -63,11 +63,11 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
     kinds = {r["param"]: (r["type"], r["distinct"]) for r in stats.param_types(rows.withColumn("_all", F.lit("")), params, "_all").collect()}
     scalar = {p for p in params if kinds[p][0] == "SCALAR" and kinds[p][1] >= 3}
     base = rows.select(*params, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    config = base.groupBy(*params).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), (F.var_pop("_v") * F.count("*")).alias("m2")).persist()
-    origin = config.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).first()[0] or 0.0
-    config = config.withColumn("d", F.col("mean") - origin)
-    n, s = F.sum("n"), F.sum(F.col("n") * F.col("d"))
-    squares = F.sum("m2") + F.sum(F.col("n") * F.col("d") * F.col("d")) - s * s / n
+    config = base.groupBy(*params).agg(F.count("*").alias("_n"), F.avg("_v").alias("_mean"), (F.var_pop("_v") * F.count("*")).alias("_m2")).persist()
+    origin = config.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).first()[0] or 0.0
+    config = config.withColumn("_d", F.col("_mean") - origin)
+    n, s = F.sum("_n"), F.sum(F.col("_n") * F.col("_d"))
+    squares = F.sum("_m2") + F.sum(F.col("_n") * F.col("_d") * F.col("_d")) - s * s / n
     splits: dict[str, tuple[str, list[str]]] = {}
     info: dict[str, tuple[int, float]] = {}
     open_nodes, depth = ["r"], 0
@@ -76,7 +76,7 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
             at = _locate(splits)
             placed = config.withColumn("_node", at).where(F.col("_node").isin(open_nodes)) if len(open_nodes) < 2000 else config.withColumn("_node", at)
             each = F.array(*(F.struct(F.lit(i).alias("i"), _key(p).alias("v")) for i, p in enumerate(params)))
-            long = placed.select("_node", "n", "m2", "d", F.explode(F.array_append(each, F.struct(F.lit(-1).alias("i"), F.lit("").alias("v")))).alias("e"))
+            long = placed.select("_node", "_n", "_m2", "_d", F.explode(F.array_append(each, F.struct(F.lit(-1).alias("i"), F.lit("").alias("v")))).alias("e"))
             groups = long.groupBy("_node", "e.i", "e.v").agg(n.alias("gn"), F.greatest(squares, F.lit(0.0)).alias("sq"), (s / n).alias("gd"))
             per = groups.groupBy("_node", "i").agg(F.sum("gn").alias("n"), F.sum("sq").alias("loss"), F.count("*").alias("k"), F.bool_or(F.col("v") == _NULL).alias("unset"), F.avg(F.sqrt(F.col("sq") / F.col("gn"))).alias("std"), F.first("gd").alias("gd"), F.collect_list("v").alias("values"))
             found: dict[str, dict[int, dict]] = {}
@@ -118,7 +118,7 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
 def _node_deviation(placed: DataFrame, params, n, squares) -> DataFrame:
     """96: relevance of each parameter within each node, from configurations."""
     sets = [["_node", *(q for q in params if q != p)] for p in params]
-    lut = placed.groupBy("_node").agg(F.avg(F.sqrt(F.col("m2") / F.col("n"))).alias("lut"))
+    lut = placed.groupBy("_node").agg(F.avg(F.sqrt(F.col("_m2") / F.col("_n"))).alias("lut"))
     g = placed.groupingSets(sets, "_node", *params).agg(F.sqrt(F.greatest(squares, F.lit(0.0)) / n).alias("std"), *(F.grouping(p).alias(f"_{i}") for i, p in enumerate(params)))
     which = reduce(lambda out, ip: F.when(F.col(f"_{ip[0]}") == 1, ip[1]).otherwise(out), enumerate(params), F.lit(None).cast("string"))
     by = g.groupBy("_node", which.alias("param")).agg(F.avg("std").alias("by"))
