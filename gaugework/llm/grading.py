@@ -33,7 +33,7 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(y: list[int], row: np.ndarray, feature: np.ndarray, l2: float = 2e-4, steps: int = 300) -> dict:
+def fit(y: list[int], row: np.ndarray, feature: np.ndarray, prior: float = 2.0, steps: int = 300) -> dict:
     """Weights by feature and ascending thresholds, by full-gradient descent on the likelihood."""
     grades = sorted(set(y))
     if len(grades) < 2:
@@ -54,7 +54,7 @@ def fit(y: list[int], row: np.ndarray, feature: np.ndarray, l2: float = 2e-4, st
         dz = -(up - lo)
         dcut = np.bincount(level, weights=up, minlength=k + 1)[1:] - np.bincount(level + 1, weights=lo, minlength=k + 2)[1 : k + 1]
         rest = np.cumsum(dcut[::-1])[::-1]
-        return np.concatenate((np.bincount(col, weights=dz[row], minlength=len(names)) + l2 * w, [rest[0]], rest[1:] * np.exp(theta[len(names) + 1 :])))
+        return np.concatenate((np.bincount(col, weights=dz[row], minlength=len(names)) + prior / n * w, [rest[0]], rest[1:] * np.exp(theta[len(names) + 1 :])))
 
     theta = ft.adam(gradient, np.zeros(len(names) + k), steps)
     weights = np.zeros(ft.DIMS, np.float32)

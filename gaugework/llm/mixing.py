@@ -40,7 +40,7 @@ def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", named.alias("y"))
 
 
-def fit(y: list[str], row: np.ndarray, feature: np.ndarray, l2: float = 2e-4, steps: int = 150) -> tuple[list[str], np.ndarray]:
+def fit(y: list[str], row: np.ndarray, feature: np.ndarray, prior: float = 2.0, steps: int = 150) -> tuple[list[str], np.ndarray]:
     """Domain names and softmax weights, features by domains."""
     names = sorted(set(y))
     weights = np.zeros((ft.DIMS, max(1, len(names))), np.float32)
@@ -58,7 +58,7 @@ def fit(y: list[str], row: np.ndarray, feature: np.ndarray, l2: float = 2e-4, st
         z = sums(row, w[col], n)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        return (sums(col, ((p - truth) / n)[row], len(kept)) + l2 * w).reshape(-1)
+        return (sums(col, ((p - truth) / n)[row], len(kept)) + prior / n * w).reshape(-1)
 
     weights[kept] = ft.adam(gradient, np.zeros(len(kept) * k), steps).reshape(-1, k)
     return names, weights
