@@ -226,3 +226,16 @@ def test_registered_queries_have_matching_columns(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_streamed_lines_give_batch_moments(spark, tmp_path):
+    from gaugework.streaming import logs as stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.log").write_text(f"[::] TX | p={i} | power={i}\nnoise\n[::] TX | p | power=1\n")
+    q = stream.running_moments(stream.stream_observations(stream.stream_lines(spark, str(tmp_path / "in"), 1))).writeStream.outputMode("complete").format("memory").queryName("moments").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    row = spark.sql("SELECT * FROM moments").first()
+    assert (row.n, row["mean"]) == (3, 1.0)
