@@ -43,7 +43,7 @@ def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predict
 def predict_static(long: DataFrame, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
     """110: every row with its static value."""
     model = stats.static_model(long if train is None else train, keys)
-    return long.join(F.broadcast(model.select(*keys, F.col("static").alias("predicted"))), list(keys))
+    return long.join(model.select(*keys, F.col("static").alias("predicted")), list(keys))
 
 
 def predict_lut(long: DataFrame, params, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
@@ -81,7 +81,7 @@ def place_in_group(df: DataFrame, group: list[str], order: str, parts: int = 64)
     sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(offsets), [*group, "_part"]).select(*group, order, (F.col("_r") + F.col("_before")).cast("long").alias("place"))
+    return ranked.join(offsets, [*group, "_part"]).select(*group, order, (F.col("_r") + F.col("_before")).cast("long").alias("place"))
 
 
 def config_folds(df: DataFrame, params, k: int, obs_id: str = "obs_id", name: str = "name") -> DataFrame:
@@ -109,7 +109,7 @@ def cross_validate_static(long_folds: DataFrame, k: int, keys=("name", "attr"))
     """117: pooled predictions of a static model, metrics once. All folds in one job: fold is part of the key."""
     training = long_folds.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("test")).where("test <> fold")
     model = stats.static_model(training, (*keys, "test")).select(*keys, F.col("test").alias("fold"), F.col("static").alias("predicted"))
-    return metrics(long_folds.join(F.broadcast(model), [*keys, "fold"]), list(keys))
+    return metrics(long_folds.join(model, [*keys, "fold"]), list(keys))
 
 
 def cross_validate_lut(long_folds: DataFrame, params, k: int, keys=("name", "attr")) -> DataFrame:
@@ -130,7 +130,7 @@ def state_mix_error(errors: DataFrame, shares: DataFrame | None = None) -> DataF
         n = errors.agg(F.count("*").alias("n"))
         weighted = errors.join(F.broadcast(n)).withColumn("share", 1 / F.col("n"))
     else:
-        weighted = errors.join(F.broadcast(shares), "name")
+        weighted = errors.join(shares, "name")
     return weighted.agg(F.sqrt(F.sum((F.col("mae") * F.col("share")) ** 2)).alias("error"), F.sum("share").alias("shares"))
 
 
@@ -202,7 +202,7 @@ def ks_distance(df: DataFrame, group: Column, value: str) -> DataFrame:
     every = Window.partitionBy()
     parts = parts.select("_p", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"before_{c}") for c in ("pa", "pb")), *(F.sum(c).over(every).alias(f"all_{c}") for c in ("pa", "pb")))
     within = Window.partitionBy("_p").orderBy("v")
-    run = counts.join(F.broadcast(parts), "_p").select(((F.sum("a").over(within) + F.col("before_pa")) / F.col("all_pa") - (F.sum("b").over(within) + F.col("before_pb")) / F.col("all_pb")).alias("gap"), "all_pa", "all_pb")
+    run = counts.join(parts, "_p").select(((F.sum("a").over(within) + F.col("before_pa")) / F.col("all_pa") - (F.sum("b").over(within) + F.col("before_pb")) / F.col("all_pb")).alias("gap"), "all_pa", "all_pb")
     return run.agg(F.max(F.abs("gap")).alias("distance"), F.max("all_pa").alias("n_a"), F.max("all_pb").alias("n_b"))
 
 

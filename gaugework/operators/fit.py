@@ -58,7 +58,7 @@ def fit_slices(long: DataFrame, param: str, others, keys=("name", "attr"), templ
     )
     out = out.withColumn("ssr_median", F.col("ssr_mean") + F.col("n") * (F.col("mean") - F.col("median")) ** 2).where(F.col("values") >= min_values)
     ok = reduce(lambda a, t: F.when(F.col("template") == t, F.col(f"ok_{t}")).otherwise(a), use, F.lit(False))
-    return out.join(F.broadcast(inside), keys).where(ok).drop(*(f"ok_{t}" for t in use))
+    return out.join(inside, keys).where(ok).drop(*(f"ok_{t}" for t in use))
 
 
 def select_template(slices: DataFrame, keys=("name", "attr")) -> DataFrame:
@@ -97,7 +97,7 @@ def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: floa
             weighted = rows.withColumn("_w", F.lit(1.0))
         else:
             res = (F.col("_y") - F.col("b0") - F.col("b1") * F.col("_x")) / scale
-            weighted = rows.join(F.broadcast(model), list(keys)).withColumn("_w", 1 / F.sqrt(1 + res * res))
+            weighted = rows.join(model, list(keys)).withColumn("_w", 1 / F.sqrt(1 + res * res))
         w, a, b = F.col("_w"), F.col("_x"), F.col("_y")
         s = weighted.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"))
         slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")) / (F.col("sxx") - F.col("sx") ** 2 / F.col("s"))
@@ -160,7 +160,7 @@ def joint_fit(df: DataFrame, terms, value: str = "value", keys=("name", "attr"),
     used = sorted({p for t in terms for p, _ in t})
     rows = df.where(reduce(lambda a, b: a & b, [numeric(p).isNotNull() for p in used], F.lit(True)))
     enough = rows.groupBy(*keys).agg(F.count_distinct(*(F.col(p) for p in used)).alias("c")).where(F.col("c") >= min_configs) if used else rows.select(*keys).distinct()
-    rows = rows.join(F.broadcast(enough.select(*keys)), list(keys), "left_semi")
+    rows = rows.join(enough.select(*keys), list(keys), "left_semi")
     found = gram(rows, [term(t) for t in terms], F.col(value), keys)
     data = [(*(r[k] for k in keys), r["n"], solve(r, len(terms)).tolist()) for r in found]
     shape = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
@@ -170,7 +170,7 @@ def joint_fit(df: DataFrame, terms, value: str = "value", keys=("name", "attr"),
 def predict_joint(df: DataFrame, model: DataFrame, terms, keys=("name", "attr")) -> DataFrame:
     """Rows with ``predicted``, null where a parameter is no number."""
     total = reduce(lambda a, b: a + b, [F.col("beta")[i] * term(t) for i, t in enumerate(terms)])
-    return df.join(F.broadcast(model.select(*keys, "beta")), list(keys)).withColumn("predicted", total).drop("beta")
+    return df.join(model.select(*keys, "beta"), list(keys)).withColumn("predicted", total).drop("beta")
 
 
 _CALLS = {"sqrt": F.sqrt, "log": F.log, "log1p": F.log1p, "exp": F.exp, "abs": F.abs, "min": F.least, "max": F.greatest}

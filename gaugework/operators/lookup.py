@@ -24,7 +24,7 @@ def lut_lookup(rows: DataFrame, lut: DataFrame, keys, fallback: DataFrame | None
     out = l.join(r, cond, "left").select("l.*", F.col("r.lut").alias("predicted"))
     if fallback is None:
         return out
-    return out.join(F.broadcast(fallback.select(*on, "static")), list(on), "left").withColumn("predicted", F.coalesce("predicted", "static")).drop("static")
+    return out.join(fallback.select(*on, "static"), list(on), "left").withColumn("predicted", F.coalesce("predicted", "static")).drop("static")
 
 
 def missing_configs(rows: DataFrame, lut: DataFrame, keys) -> DataFrame:

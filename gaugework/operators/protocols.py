@@ -30,7 +30,7 @@ def cycles_to_energy(df: DataFrame, currents: DataFrame, cycles: str = "cycles")
     """78: nanojoules of cycles by a current table (mcu, freq_hz, memory, volt, ampere): power times cycles by frequency."""
     keys = ["mcu", "freq_hz", "memory", "volt"]
     power = F.col("volt") * F.col("ampere")
-    return df.join(F.broadcast(currents), keys).withColumn("energy_nj", power * F.col(cycles) / F.col("freq_hz") * 1e9)
+    return df.join(currents, keys).withColumn("energy_nj", power * F.col(cycles) / F.col("freq_hz") * 1e9)
 
 
 def radio_energy(size: Column, coefficients: list[float], header: int = 0, mtu: int | None = None) -> Column:

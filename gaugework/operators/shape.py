@@ -55,7 +55,7 @@ def filter_parameters(obs: Observations, text: str) -> Observations:
 
 def filter_observations(long: DataFrame, wanted: DataFrame) -> DataFrame:
     """28: the listed (name, attr) pairs of a long table."""
-    return long.join(F.broadcast(wanted), ["name", "attr"], "left_semi")
+    return long.join(wanted, ["name", "attr"], "left_semi")
 
 
 def ignore_parameters(obs: Observations, names: list[str]) -> Observations:
@@ -124,7 +124,7 @@ def category_index(df: DataFrame, column: str) -> DataFrame:
 def encode_category(df: DataFrame, column: str, index: DataFrame, to: str) -> DataFrame:
     """35: values by index; an unseen one gets the largest index plus one."""
     top = index.agg((F.max("index") + 1).alias("unseen"))
-    return df.join(F.broadcast(index.withColumnsRenamed({"value": column, "index": to})), column, "left").join(F.broadcast(top)).withColumn(to, F.coalesce(to, "unseen")).drop("unseen")
+    return df.join(index.withColumnsRenamed({"value": column, "index": to}), column, "left").join(F.broadcast(top)).withColumn(to, F.coalesce(to, "unseen")).drop("unseen")
 
 
 def by_config(obs: Observations) -> DataFrame:
@@ -157,12 +157,12 @@ def param_from_string(text: Column, separator: str = " ") -> Column:
 
 def restrict_features(long_params: DataFrame, features: DataFrame) -> DataFrame:
     """38: rows of the parameters that a feature table names."""
-    return long_params.join(F.broadcast(features), "param", "left_semi")
+    return long_params.join(features, "param", "left_semi")
 
 
 def recode_by_dimension(df: DataFrame, dimension: DataFrame, keys: list[str], raw: list[str]) -> DataFrame:
     """39: human-readable columns by a dimension table, instead of the raw ones."""
-    return df.join(F.broadcast(dimension), keys, "left").drop(*raw)
+    return df.join(dimension, keys, "left").drop(*raw)
 
 
 def total_attribute(obs: Observations) -> Observations:

@@ -152,7 +152,7 @@ def concat_traces(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("*", F.lit(0).alias("_src")).unionByName(b.select("*", F.lit(1).alias("_src")), allowMissingColumns=True)
     ids = both.select("_src", "trace_id").distinct()
     number = ids.withColumn("new_id", F.row_number().over(Window.orderBy("_src", "trace_id")).cast("long"))
-    return both.join(F.broadcast(number), ["_src", "trace_id"]).withColumnRenamed("trace_id", "orig_id").withColumnRenamed("new_id", "trace_id").drop("_src")
+    return both.join(number, ["_src", "trace_id"]).withColumnRenamed("trace_id", "orig_id").withColumnRenamed("new_id", "trace_id").drop("_src")
 
 
 def normalise(df: DataFrame, keys=KEYS, top: float = 25.0) -> DataFrame:
@@ -249,7 +249,7 @@ def plateau_penalty(found: DataFrame, keys=KEYS) -> DataFrame:
 def substates(df: DataFrame, chosen: DataFrame, group=("name",), keys=KEYS, order: str = "i") -> DataFrame:
     """147: mean, deviation and duration of the stretches between changes, for signals with the group's usual number of changes."""
     usual = chosen.groupBy(*group).agg(F.mode(F.size("changes")).alias("_usual"))
-    good = chosen.join(F.broadcast(usual), list(group)).where(F.size("changes") == F.col("_usual")).select(*group, *keys, "changes")
+    good = chosen.join(usual, list(group)).where(F.size("changes") == F.col("_usual")).select(*group, *keys, "changes")
     rows = df.join(good, [*group, *keys]).withColumn("substate", F.size(F.filter("changes", lambda c: c <= F.col(order))))
     return rows.groupBy(*group, *keys, "substate").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("duration"))
 

@@ -126,7 +126,7 @@ def binned_information(df: DataFrame, param: str, attr: str, bins: int = 16, nam
     Bins replace nearest neighbours, which have no scalable exact counterpart.
     """
     edges = df.groupBy(name).agg(F.percentile_approx(F.col(attr), [i / bins for i in range(1, bins)], 10_000).alias("edges"))
-    binned = df.join(F.broadcast(edges), name).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(attr))))
+    binned = df.join(edges, name).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(attr))))
     joint = binned.groupBy(name, F.col(param).alias("v"), "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy(name)
     p = joint.withColumns({"total": F.sum("n").over(w), "nv": F.sum("n").over(Window.partitionBy(name, "v")), "nb": F.sum("n").over(Window.partitionBy(name, "bin"))})
@@ -165,7 +165,7 @@ def histogram(long: DataFrame, bins: int) -> DataFrame:
     """74: counts in even bins of each attribute's range."""
     span = long.groupBy("name", "attr").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     at = F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.floor((F.col("value") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)))
-    return long.join(F.broadcast(span), ["name", "attr"]).groupBy("name", "attr", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return long.join(span, ["name", "attr"]).groupBy("name", "attr", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def always_failing(df: DataFrame, params, failed: Column) -> DataFrame:

@@ -181,7 +181,7 @@ def config_fold(spark, sf_dir):
 def monte_carlo(spark, sf_dir):
     rows = assess.monte_carlo(unique(observations(spark, sf_dir)), 5)
     model = stats.static_model(rows.where("train"), ("name", "attr", "rep"))
-    return assess.metrics(rows.where("not train").join(F.broadcast(model.withColumnRenamed("static", "predicted").drop("n")), ["name", "attr", "rep"]), KEYS)
+    return assess.metrics(rows.where("not train").join(model.withColumnRenamed("static", "predicted").drop("n"), ["name", "attr", "rep"]), KEYS)
 
 
 @query("q120_quality_table", f"""{MODELS}, a AS (SELECT name, attr, avg(abs(value - static)) AS static_mae FROM long JOIN s USING (name, attr) GROUP BY ALL),

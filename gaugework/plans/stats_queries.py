@@ -101,7 +101,7 @@ def known_features(spark, sf_dir):
 
 @query("q39_recode", "SELECT n_name AS nation, r_name AS region, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def recode(spark, sf_dir):
-    place = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     place = place.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
     return shape.recode_by_dimension(table(spark, sf_dir, "supplier"), place, ["s_nationkey"], ["s_nationkey"]).groupBy("nation", "region").agg(F.count("*").alias("n"))
 
@@ -204,7 +204,7 @@ SELECT c_mktsegment AS name, p, q, q AS "drop" FROM (SELECT DISTINCT c_mktsegmen
 def codependence(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation"), F.pmod("c_custkey", F.lit(7)).alias("week"))
-    return stats.codependent_pairs(c.join(F.broadcast(nation), "nation"), ["nation", "region", "week"])
+    return stats.codependent_pairs(c.join(nation, "nation"), ["nation", "region", "week"])
 
 
 @query("q68_binned_information")

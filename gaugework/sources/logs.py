@@ -88,7 +88,7 @@ def union_inputs(parts: list[DataFrame]) -> DataFrame:
 def rebase_marks(marks: DataFrame, sizes: DataFrame, by: str = "input") -> DataFrame:
     """7: offsets into the concatenated observations. ``sizes`` has the number of observations of each input."""
     before = sizes.select(by, F.coalesce(F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return marks.join(F.broadcast(before), by).withColumn("offset", F.col("offset") + F.col("_before")).drop("_before")
+    return marks.join(before, by).withColumn("offset", F.col("offset") + F.col("_before")).drop("_before")
 
 
 def csv_observations(spark: SparkSession, path: str, attrs, ignore=(), name: str = "CSVFile") -> DataFrame:
