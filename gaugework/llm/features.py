@@ -59,10 +59,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
     some = docs.select("doc_id").where("doc_id is not null").distinct().join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
     kind = dict(labels.dtypes)["y"]
-    got = rows.select("y", "text").mapInArrow(_featurise, f"y {kind}, features array<int>").collect()
-    sizes = [len(r["features"]) for r in got]
-    flat = np.fromiter((f for r in got for f in r["features"]), np.int64, sum(sizes))
-    return [r["y"] for r in got], np.repeat(np.arange(len(got)), sizes), flat
+    got = rows.select("y", "text").mapInArrow(_featurise, f"y {kind}, features array<int>").toArrow()
+    lists = got["features"].combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.array([], pa.list_(pa.int32()))
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    return got["y"].to_pylist(), np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy().astype(np.int64)
 
 
 def frequent(row: np.ndarray, feature: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

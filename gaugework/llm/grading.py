@@ -1,8 +1,7 @@
 """Quality grades by ordinal cumulative-link regression on hashed texts.
 
 One weight vector is shared by all grades: P(grade >= k) = sigmoid(w.x - threshold_k) with
-thresholds in order. It is fitted on a bounded sample of graded documents (``features.SAMPLE``
-rows); every document gets the expected grade and the tail probability of the top grade.
+thresholds in order. It is fitted on a bounded sample of graded documents (``SAMPLE`` rows); every document gets the expected grade and the tail probability of the top grade.
 
 Defined cases. Null and empty texts have only shape features and are graded like any other.
 Documents without a grade, and grades without a document, do not train. If no grades, or only
@@ -21,6 +20,8 @@ from gaugework.llm import features as ft
 
 #: A document is kept if it reaches the top grade with this probability.
 KEEP_AT = 0.5
+#: Most graded documents that the weights are fitted on.
+SAMPLE = 16_000
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -40,9 +41,6 @@ def fit(y: list[int], row: np.ndarray, feature: np.ndarray, prior: float = 2.0,
         return {"grades": grades or [0], "weights": np.zeros(ft.DIMS, np.float32), "cuts": np.zeros(0)}
     row, col, names = ft.frequent(row, feature)
     level, n, k = np.searchsorted(grades, y), len(y), len(grades) - 1
-    share = np.bincount(level, minlength=k + 1) / n
-    weight = (1 / (k + 1) / share)[level]
-    weight = np.sqrt(weight / weight.mean())
 
     def gradient(theta):
         w, cuts = theta[: len(names)], theta[len(names)] + np.concatenate(([0], np.cumsum(np.exp(theta[len(names) + 1 :]))))
@@ -50,7 +48,7 @@ def fit(y: list[int], row: np.ndarray, feature: np.ndarray, prior: float = 2.0,
         tail = np.concatenate((np.ones((n, 1)), sigmoid(z[:, None] - cuts), np.zeros((n, 1))), axis=1)
         upper, lower = tail[np.arange(n), level], tail[np.arange(n), level + 1]
         p = np.maximum(upper - lower, 1e-9)
-        up, lo = upper * (1 - upper) / p * weight / n, lower * (1 - lower) / p * weight / n
+        up, lo = upper * (1 - upper) / p / n, lower * (1 - lower) / p / n
         dz = -(up - lo)
         dcut = np.bincount(level, weights=up, minlength=k + 1)[1:] - np.bincount(level + 1, weights=lo, minlength=k + 2)[1 : k + 1]
         rest = np.cumsum(dcut[::-1])[::-1]
@@ -78,7 +76,7 @@ def _grade(model):
     return run
 
 
-def grade(docs: DataFrame, graded: DataFrame, sample: int = ft.SAMPLE) -> DataFrame:
+def grade(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with expected_grade and p_top. ``graded`` has doc_id and y, an integer grade."""
     model = docs.sparkSession.sparkContext.broadcast(fit(*ft.labelled_sample(docs, graded, sample)))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
