@@ -8,16 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.plans.registry import ship
+
 #: A side of at most this many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 400_000
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = _LOCAL[0]
     if base.startswith("/"):
         base = "file://" + base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -40,7 +46,8 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of ``rows``, which bounds a worker's memory."""
+    """Whole texts go to Python in batches of ``rows``, which bounds a worker's memory; the package goes along."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
