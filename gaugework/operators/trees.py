@@ -50,14 +50,15 @@ def _number(v: str):
         return None
 
 
-def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float = 0.0, with_functions: bool = False, binary_only: bool = False, relevant: bool = True, min_gain: float = 1e-9) -> Node:
+def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float = 0.0, with_functions: bool = False, binary_only: bool = False, relevant: bool = True, ignore_scalar: bool = False, min_gain: float = 1e-9) -> Node:
     """91-97: split each node by the parameter whose groups leave the least sum of squares.
 
     A parameter is no candidate in a node if it is unset in a row, has one value there, is a
     scalar of three or more values (over the whole name) while leaves may be functions, has
     over two values where only binary splits are wanted, or (``relevant``) does not matter by
     its deviations. A node is a leaf at deviation ``threshold``, at ``max_depth``, without
-    candidates or without gain. Ties go to the first parameter.
+    candidates or without gain. With ``ignore_scalar`` a node is also a leaf if its groups equal
+    in all scalar parameters are within ``threshold``. Ties go to the first parameter.
     """
     params = sorted(params)
     kinds = {r["param"]: (r["type"], r["distinct"]) for r in stats.param_types(rows.withColumn("_all", F.lit("")), params, "_all").collect()}
@@ -86,6 +87,10 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
             if relevant and params:
                 dev = _node_deviation(placed, params, n, squares)
                 by = {(r["_node"], r["param"]): r["depends"] for r in dev.collect()}
+            settled = set()
+            if ignore_scalar and scalar:
+                fixed = placed.groupBy("_node", *sorted(scalar)).agg(F.sqrt(F.greatest(squares, F.lit(0.0)) / n).alias("std"))
+                settled = {r["_node"] for r in fixed.groupBy("_node").agg(F.max("std").alias("std")).where(F.col("std") <= threshold).collect()}
             going = []
             for node in open_nodes:
                 mine = found.get(node)
@@ -94,7 +99,7 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
                 total = mine[-1]
                 info[node] = (int(total["n"]), origin + total["gd"])
                 std = float(np.sqrt(max(total["loss"], 0.0) / total["n"]))
-                if std <= threshold or depth == max_depth:
+                if std <= threshold or depth == max_depth or node in settled:
                     continue
                 best = (total["loss"] * (1 - min_gain), None)
                 for i, p in enumerate(params):

@@ -96,6 +96,8 @@ def test_function_leaves_and_linear_tree(spark):
     df = spark.createDataFrame(rows, "m string, x int, value double").withColumn("k", F.lit(1))
     tree = trees.grow(df, ["m", "x"], with_functions=True, relevant=False)
     assert assess.metrics(df.withColumn("predicted", trees.compiled(tree)), ["k"]).first().mae < 1e-6
+    flat = trees.grow(df.where("m = 'a'"), ["m", "x"], relevant=False, ignore_scalar=True, threshold=0.1)
+    assert trees.complexity(flat)["leaves"] == 1
     bent = spark.createDataFrame([(x, float(abs(x - 50) * 2)) for x in range(100)], "x int, value double").withColumn("k", F.lit(1))
     lmt = trees.linear_tree(bent, ["x"], max_depth=3, bins=40)
     assert assess.metrics(bent.withColumn("predicted", trees.compiled(lmt)), ["k"]).first().mae < 2 and trees.complexity(lmt)["leaves"] >= 2
