@@ -2,15 +2,17 @@
 
 1. Every document becomes its set of hashed five-word shingles. Documents of equal sets form a
    class, which one representative stands for.
-2. Similar representatives are partitioned into groups: those that share a MinHash value are
-   compared with the smallest of them, verified links are joined, and each connected class is
-   cut into groups of at most ``GROUP`` documents.
+2. Similar representatives are partitioned into groups: those that share a band of three MinHash
+   values are compared with the smallest of them, and verified links are joined to classes.
+   Documents whose most frequent band is held by ``FAMILY`` or more are grouped by it, linked or
+   not; other classes are groups; all are cut to about ``GROUP`` documents at most.
 3. The matrix holds each group's shingle union. A global order, rarest first, comes from a count
    sketch of fixed size over all documents; a pair at or above the threshold must share one of
    the first ``n - ceil(t n) + 1`` shingles of either side, so those entries of the matrix alone
-   propose group pairs, and only entries that two classes share. The number of entries that two
-   groups share, with the sizes of their documents, bounds the overlap of any two of them; pairs
-   of groups below the bound go before any text is read. Pairs inside one class need no look.
+   propose group pairs (a group with itself, too), and only entries that two classes share. The
+   number of entries that two groups share, with the sizes of their documents, bounds the overlap
+   of any two of them; pairs of groups below the bound go before any text is read. Documents of
+   one class need no look.
 4. For a proposed pair each document of one side is bounded by its overlap with the other's union
    and only qualifying groups are opened, document by document, with the exact test.
 
@@ -36,12 +38,21 @@ from gaugework.llm.store import broadcast_if_small, settle
 
 SHINGLE, PERCENT = 5, 80
 #: Documents in a group, about, and query groups that one task opens a group for.
-GROUP, QUERIES = 64, 256
+GROUP, QUERIES = 64, 16
+#: Documents that hold a band from which on they are grouped by it.
+FAMILY = 16
 #: Shared matrix entries that a broadcast may hold (16 MB); beyond, a join finds them.
 MAX_SHARED = 2_000_000
 #: Cells of the count sketch (4 MB) and the slices in which tasks hand it on.
 CELLS, SLICES = 1 << 20, 64
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Bands of three of the MinHash values.
+BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 4, 8), (1, 5, 9))
+_ODD = np.random.default_rng(12).integers(1, 1 << 63, 12, dtype=np.uint64) | th.U(1)
+
+
+def _bands(s: np.ndarray) -> list[int]:
+    low = np.array([th.mix(s * o).min() for o in _ODD], np.uint64)
+    return th.signed(th.mix(np.array([(low[list(b)] * _ODD[:3]).sum() for b in BANDS], np.uint64))).tolist()
 
 
 def need(n: int, percent: int) -> int:
@@ -50,7 +61,7 @@ def need(n: int, percent: int) -> int:
 
 
 def _profile(shingle: int):
-    """Per text: set size, a 128-bit signature of the set, MinHash values; per task: its sketch."""
+    """Per text: set size, a 128-bit signature of the set, MinHash bands; per task: its sketch."""
 
     def run(batches):
         sketch = np.zeros(CELLS, np.int64)
@@ -61,7 +72,7 @@ def _profile(shingle: int):
                 rows["n"].append(len(s))
                 rows["s1"].append(th.signed(th.mix(s).sum(keepdims=True))[0] if len(s) else 0)
                 rows["s2"].append(th.signed(th.mix(s ^ _ODD[0]).sum(keepdims=True))[0] if len(s) else 0)
-                rows["mh"].append(th.signed(np.array([th.mix(s * o).min() for o in _ODD], np.uint64)).tolist() if len(s) else [])
+                rows["mh"].append(_bands(s) if len(s) else [])
                 if len(s):
                     held.append(s)
             if held:
@@ -106,23 +117,26 @@ def _prefixes(shingle: int, percent: int, counts, wanted=None):
         df = counts.value
         only = None if wanted is None else wanted.value
         for batch in batches:
-            sizes, out, full = [], [], []
+            sizes, out, full, left = [], [], [], []
             for s in th.shingle_sets(batch.column("text"), shingle):
                 p = len(s) - need(len(s), percent) + 1 if len(s) else 0
-                token = s
+                token, behind = s, np.zeros(len(s), np.int64)
                 if p:
                     rarity = df[(s >> th.U(44)).astype(np.int64)]
                     token = s[np.argsort(rarity, kind="stable")[:p]]
+                    behind = len(s) - 1 - np.arange(p)
                     if only is not None:
                         at = np.minimum(np.searchsorted(only, token), len(only) - 1)
-                        token = token[only[at] == token]
+                        token, behind = token[only[at] == token], behind[only[at] == token]
                 out.append(token)
+                left.append(behind)
                 sizes.append(len(token))
                 full.append(len(s))
             row = np.repeat(np.arange(len(sizes)), sizes)
             token = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(th.signed(token)), batch.column("gid").take(pa.array(row)), batch.column("comp").take(pa.array(row)), pa.array(np.array(full, np.int64)[row])], names=["token", "gid", "comp", "n"]
+                [pa.array(th.signed(token)), *(batch.column(c).take(pa.array(row)) for c in ("gid", "comp", "solo")), pa.array(np.array(full, np.int64)[row]), pa.array(np.concatenate(left) if left else np.zeros(0, np.int64))],
+                names=["token", "gid", "comp", "solo", "n", "behind"],
             )
 
     return run
@@ -156,17 +170,27 @@ def _verify(shingle: int, percent: int):
 
 
 def _open(shingle: int, percent: int):
-    """Links between the queries sent to a group and the group's documents, where the union's bound allows any."""
+    """Links between the queries sent to a group and the group's documents of other classes, where the union's bound allows any."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if members.num_rows and queries.num_rows:
-            ids, sets = members.column("doc_id").to_pylist(), list(th.shingle_sets(members.column("text"), shingle))
+            ids, comps = (members.column(c).to_numpy() for c in ("doc_id", "comp"))
+            sets = list(th.shingle_sets(members.column("text"), shingle))
+            sizes = np.array([len(m) for m in sets])
             union = np.unique(np.concatenate(sets))
-            for q, s in zip(queries.column("q").to_pylist(), th.shingle_sets(queries.column("q_text"), shingle), strict=True):
+            place = np.searchsorted(union, np.concatenate(sets))
+            begin = np.cumsum(sizes) - sizes
+            for q, comp, s in zip(queries.column("q").to_pylist(), queries.column("q_comp").to_pylist(), th.shingle_sets(queries.column("q_text"), shingle), strict=True):
                 at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-                if (union[at] == s).sum() >= need(len(s), percent):
-                    found += [(q, d) for d, m in zip(ids, sets, strict=True) if d != q and _linked(s, m, percent)]
+                hit = at[union[at] == s]
+                if len(hit) < need(len(s), percent):
+                    continue
+                inside = np.zeros(len(union), np.int64)
+                inside[hit] = 1
+                both = np.add.reduceat(inside[place], begin)
+                good = (comps != comp) & (100 * both >= percent * (sizes + len(s) - both))
+                found += [(q, d) for d in ids[good].tolist()]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return run
@@ -190,7 +214,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     copied = classes.where("copies > 1").select("s1", "s2", "n", "rep")
     copies = settle(alive.select("s1", "s2", "n", "doc_id").join(copied, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
-    # Groups of similar representatives: stars around the smallest holder of each MinHash value.
+    # Groups of similar representatives: stars around the smallest holder of each MinHash band.
     hashed = classes.select("rep", F.posexplode("mh").alias("k", "h"))
     pivots = hashed.groupBy("k", "h").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
     stars = settle(hashed.join(pivots, ["k", "h"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
@@ -204,58 +228,68 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     near = settle(near.mapInArrow(_verify(shingle, percent), "a bigint, b bigint").distinct())
     linked = settle(components(near))
 
-    # Every class of links is cut into groups; copies (not the representatives) stay out of the matrix.
+    # Groups; copies (not the representatives) stay out of the matrix.
+    cut = lambda key, held: F.xxhash64(*key, F.pmod(F.xxhash64("doc_id"), F.ceil(held * 2 / GROUP)))
+    held = hashed.groupBy("k", "h").agg(F.count("*").alias("held")).where(F.col("held") >= FAMILY)
+    family = hashed.join(held, ["k", "h"]).groupBy("rep").agg(F.max(F.struct("held", "k", "h")).alias("f")).select(F.col("rep").alias("doc_id"), "f.*")
     sizes = linked.groupBy("component").agg(F.count("*").alias("c"))
-    grouped = linked.join(sizes, "component").select(
-        F.col("node").alias("doc_id"),
-        F.col("component").alias("comp"),
-        F.when(F.col("c") > GROUP, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") * 2 / GROUP)))).otherwise(F.col("component")).alias("gid"),
-    )
-    known = settle(grouped.withColumn("out", F.lit(False)).unionByName(copies.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("long").alias("gid"), F.lit(True).alias("out")).distinct()))
+    grouped = linked.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "c").join(family, "doc_id", "full_outer")
+    gid = F.when(F.col("held").isNotNull(), cut(("k", "h"), F.col("held"))).when(F.col("c") > GROUP, cut(("comp",), F.col("c"))).otherwise(F.col("comp"))
+    grouped = grouped.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), gid.alias("gid"))
+    # A doc_id of several texts is no single document, either.
+    several = alive.groupBy("doc_id").agg(F.count_distinct("s1", "s2", "n").alias("c")).where("c > 1")
+    several = several.join(grouped, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("comp"), F.col("doc_id").alias("gid"))
+    known = settle(grouped.unionByName(several).withColumn("out", F.lit(False)).unionByName(copies.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("long").alias("gid"), F.lit(True).alias("out")).distinct()))
     placed = (
         docs.where("doc_id is not null")
         .join(broadcast_if_small(known), "doc_id", "left")
         .where("out is null or not out")
-        .select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("gid", "doc_id").alias("gid"))
+        .select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"), F.col("gid").isNull().alias("solo"), F.coalesce("gid", "doc_id").alias("gid"))
     )
 
-    matrix_sql = "token bigint, gid bigint, comp bigint, n bigint"
-    matrix = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts), matrix_sql)
+    matrix_sql = "token bigint, gid bigint, comp bigint, solo boolean, n bigint, behind bigint"
+    matrix = placed.select("gid", "comp", "solo", "text").mapInArrow(_prefixes(shingle, percent, counts), matrix_sql)
     shared = matrix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     shared = settle(shared)
     n_shared = shared.limit(MAX_SHARED + 1).count()
     if not n_shared:
-        entries = spark.createDataFrame([], "token bigint, gid bigint, comp bigint, n bigint")
+        entries = spark.createDataFrame([], matrix_sql)
     elif n_shared <= MAX_SHARED:
         wanted = spark.sparkContext.broadcast(np.sort(shared.toArrow()["token"].to_numpy().view(np.uint64)))
-        entries = placed.select("gid", "comp", "text").mapInArrow(_prefixes(shingle, percent, counts, wanted), matrix_sql)
+        entries = placed.select("gid", "comp", "solo", "text").mapInArrow(_prefixes(shingle, percent, counts, wanted), matrix_sql)
     else:
         entries = matrix.join(shared, "token")
-    entries = settle(entries.groupBy("token", "comp", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    entries = settle(entries.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind"), F.bool_and("solo").alias("solo")))
     sizes = entries.groupBy("gid").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     met = (
         entries.alias("x")
-        .join(entries.alias("y"), F.expr("x.token = y.token and x.comp < y.comp"))
+        .join(entries.alias("y"), F.expr("x.token = y.token and x.gid <= y.gid and not (x.lo = x.hi and x.lo = y.lo and x.lo = y.hi)"))
         .groupBy(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("*").alias("c"), F.min("x.behind").alias("bx"), F.min("y.behind").alias("by"), F.bool_and(F.col("x.solo") & F.col("y.solo")).alias("solo"), F.max("x.most").alias("nx"), F.max("y.most").alias("ny"))
     )
-    met = met.join(sizes.select(F.col("gid").alias("x"), F.col("least").alias("x0"), F.col("most").alias("x1")), "x")
-    met = met.join(sizes.select(F.col("gid").alias("y"), F.col("least").alias("y0"), F.col("most").alias("y1")), "y")
-    # With sizes m <= n, m >= t n, two documents that share c prefix entries overlap in less than c + t n + 1.
-    small, large = F.least("x0", "y0"), F.greatest("x1", "y1")
+    # Documents that share c prefix entries share no more than those and what is behind the last of them. For groups
+    # of several documents only their sizes are known: with m <= n, m >= t n the overlap is less than c + t n + 1.
     t = percent / 100
-    can = (F.col("x1") >= t * F.col("y0")) & (F.col("y1") >= t * F.col("x0")) & ((large * t >= small) | (F.col("c") + t * large + 1 >= t / (1 + t) * (small + large)))
-    pairs = settle(met.where(can).select("x", "y"))
+    nx, ny = F.col("nx"), F.col("ny")
+    one_each = met.where(F.col("solo") & (nx >= t * ny) & (ny >= t * nx) & (F.col("c") + F.least("bx", "by") + 1e-6 >= t / (1 + t) * (nx + ny))).select("x", "y")
+    more = met.where("not solo").select("x", "y", "c")
+    more = more.join(sizes.select(F.col("gid").alias("x"), F.col("least").alias("x0"), F.col("most").alias("x1")), "x")
+    more = more.join(sizes.select(F.col("gid").alias("y"), F.col("least").alias("y0"), F.col("most").alias("y1")), "y")
+    small, large = F.least("x0", "y0"), F.greatest("x1", "y1")
+    fits = (F.col("x1") >= t * F.col("y0")) & (F.col("y1") >= t * F.col("x0"))
+    more = more.where(fits & ((large * t >= small) | (F.col("c") + t * large + 1 >= t / (1 + t) * (small + large)))).select("x", "y")
+    pairs = settle(one_each.union(more))
 
     involved = pairs.select(F.col("x").alias("gid")).union(pairs.select("y")).distinct()
-    members = known.where("not out").select("doc_id", "gid").join(involved, "gid")
-    alone = involved.join(known.where("not out").select("gid").distinct(), "gid", "left_anti").select(F.col("gid").alias("doc_id"), "gid")
-    members = settle(members.select("doc_id", "gid").union(alone).distinct())
+    placed_ids = known.where("not out").select("doc_id", "gid", "comp")
+    members = placed_ids.join(involved, "gid")
+    alone = involved.join(placed_ids.select("gid").distinct(), "gid", "left_anti").select(F.col("gid").alias("doc_id"), "gid", F.col("gid").alias("comp"))
+    members = settle(members.select("doc_id", "gid", "comp").union(alone).distinct())
     texts = settle(docs.join(broadcast_if_small(members), "doc_id"))
     load = pairs.groupBy("y").agg(F.count("*").alias("c"))
     salted = pairs.join(load, "y").select("x", "y", F.ceil(F.col("c") / QUERIES).alias("parts"), F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / QUERIES)).alias("salt"))
-    asked = salted.select(F.col("x").alias("gid"), "y", "salt").join(texts.select("gid", F.col("doc_id").alias("q"), F.col("text").alias("q_text")), "gid").select("y", "salt", "q", "q_text")
-    opened = salted.select(F.col("y").alias("gid"), "parts").distinct().join(texts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "doc_id", "text")
+    asked = salted.select(F.col("x").alias("gid"), "y", "salt").join(texts.select("gid", F.col("doc_id").alias("q"), F.col("comp").alias("q_comp"), F.col("text").alias("q_text")), "gid").select("y", "salt", "q", "q_comp", "q_text")
+    opened = salted.select(F.col("y").alias("gid"), "parts").distinct().join(texts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "doc_id", "comp", "text")
     links = asked.groupBy("y", "salt").cogroup(opened.groupBy("gid", "salt")).applyInArrow(_open(shingle, percent), "a bigint, b bigint")
 
     final = settle(components(settle(links.distinct()).union(near).union(copies)))
