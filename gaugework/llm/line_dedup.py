@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A shared line's rows are dealt over this many tasks, since a third of all documents may hold it.
+SALTS = 8
 BLANKS = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,16 +35,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id:
         whole.where(F.col(doc_id).isNotNull())
         .select(F.col(doc_id).alias("_id"), "_row", F.posexplode(F.transform("_lines", line_key)).alias("_pos", "_key"))
         .where(F.length("_key") >= min_chars)
-        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
+        .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt"))
     )
     shared = (
         long_lines.groupBy("_h1", "_h2")
         .agg(F.countDistinct("_id").alias("_docs"), F.max("_id").alias("_keep"))
         .where(F.col("_docs") >= min_docs)
-        .select("_h1", "_h2", "_keep")
+        .select("_h1", "_h2", "_keep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     )
     drop = (
-        long_lines.join(shared, ["_h1", "_h2"])
+        long_lines.join(shared, ["_h1", "_h2", "_salt"])
         .where("_id <> _keep")
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_drop"))
