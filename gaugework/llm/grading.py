@@ -1,7 +1,8 @@
 """Quality grades by ordinal cumulative-link regression on hashed texts.
 
 One weight vector is shared by all grades: P(grade >= k) = sigmoid(w.x - threshold_k) with
-thresholds in order. It is fitted on a bounded sample of graded documents (``SAMPLE`` rows); every document gets the expected grade and the tail probability of the top grade.
+thresholds in order. It is fitted on a bounded sample of graded documents (``SAMPLE`` rows);
+every document gets the expected grade and the tail probability of the top grade.
 
 Defined cases. Null and empty texts have only shape features and are graded like any other.
 Documents without a grade, and grades without a document, do not train. If no grades, or only

@@ -26,7 +26,6 @@ null component. Extra columns pass through.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
