@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of positive rate, with domain, rate and copies."""
+    """Documents of positive rate, with their text, domain, rate and copies."""
     small_batches(spark)
     return mixing.keep_rated(docs, table(spark, sf_dir, "labels"))
 

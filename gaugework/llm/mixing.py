@@ -64,7 +64,7 @@ def fit(y: list[str], row: np.ndarray, feature: np.ndarray, prior: float = 2.0,
     return names, weights
 
 
-def _posteriors(model):
+def _posteriors(model, columns: list[str]):
     def run(batches):
         names, weights = model.value
         for batch in batches:
@@ -77,8 +77,7 @@ def _posteriors(model):
             doc = th.words(raw, offs, th.BLANK)[2]
             p = p if names else p[:, :0]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.bincount(doc, minlength=batch.num_rows)), lists], names=[*keep, "n_tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.bincount(doc, minlength=batch.num_rows)), lists], names=[*columns, "n_tokens", "posteriors"])
 
     return run
 
@@ -143,16 +142,17 @@ def _apply(k: int, gradients: list[np.ndarray]):
     return run
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = ft.SAMPLE) -> DataFrame:
-    """``docs`` without text, with n_tokens, posteriors (of the domains in order of name), domain and rate.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = ft.SAMPLE, texts: bool = False) -> DataFrame:
+    """``docs`` (without text unless ``texts``), with n_tokens, posteriors (of the domains in order of name), domain and rate.
 
     ``labelled`` has doc_id and y, a domain name. Targets are shares of all tokens; domains
     without one are to get none.
     """
     names, weights = fit(*ft.labelled_sample(docs, labelled, sample))
     model = docs.sparkSession.sparkContext.broadcast((names, weights))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    soft = settle(docs.mapInArrow(_posteriors(model), f"{shape}, n_tokens bigint, posteriors array<double>"))
+    columns = [c for c in docs.columns if texts or c != "text"]
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    soft = settle(docs.mapInArrow(_posteriors(model, columns), f"{shape}, n_tokens bigint, posteriors array<double>"))
     gradients = []
     if names:
         share = np.array([targets.get(n, 0.0) for n in names])
@@ -176,6 +176,6 @@ def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents of positive rate, with all their columns but the text, which is found by doc_id."""
-    done = mix(docs, domains(docs, labels), TARGETS).where("rate > 0")
-    return done.select(*(c for c in docs.columns if c != "text"), "domain", "n_tokens", "posteriors", "rate", copies())
+    """The documents of positive rate, with all their columns, the text as it comes in among them."""
+    done = mix(docs, domains(docs, labels), TARGETS, texts=True).where("rate > 0")
+    return done.select(*docs.columns, "domain", "n_tokens", "posteriors", "rate", copies())

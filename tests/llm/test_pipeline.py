@@ -93,3 +93,16 @@ def test_stages(spark, tables):
 def test_run_gives_the_last_stage(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert got.count() > 100 and {"doc_id", "rate", "n_copies"} <= set(got.columns)
+
+
+def test_run_gives_the_cleaned_texts(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, tables[0])
+        good = docs if name == "quality_classifier" else good
+    came, before = ({r.doc_id: tuple(r) for r in d.collect()} for d in (docs, good))
+    out = corpus_pipeline.run(spark, tables[0])
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = {r.doc_id: tuple(r)[: len(docs.columns)] for r in out.collect()}
+    assert got and all(came[d] == r for d, r in got.items())
+    assert sum(r[1] != before[d][1] for d, r in got.items()) > 5
