@@ -7,6 +7,11 @@ of what their code stands for, so that a query scores a vector with one table lo
 |q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2. The best ``RERANK`` of each query are ranked again
 by exact distance on the original vectors.
 
+Estimates do not order near copies that differ by less than the error of their codes. So a query
+whose ``RERANK``-th estimate, less the largest error, is not beyond its k-th exact distance goes
+over all blocks once more: a candidate whose distance from the query by its code, less its own
+error |x - x^|, is not beyond that distance is measured exactly, and takes part if it is as near.
+
 Codes travel in blocks of ``BLOCK`` vectors and queries in blocks of ``QUERIES``; a block of
 codes meets each block of queries once, and only the best of it go on.
 
@@ -27,6 +32,8 @@ from gaugework.llm.store import settle
 
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 32768, 16, 256, 4, 1
 BLOCK, QUERIES, RERANK = 4096, 256, 1000
+#: Queries that one broadcast of the second pass takes along.
+ASKED = 4096
 
 
 def _kmeans(x: np.ndarray, k: int, rng, steps: int = 8) -> np.ndarray:
@@ -92,13 +99,14 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
     return out.astype(np.float32)
 
 
-def _rows(batch, column: str = "vec") -> np.ndarray:
+def _rows(batch, column: str = "vec", kind=np.float32) -> np.ndarray:
     v = batch.column(column)
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float32)
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(kind)
 
 
-_CODED = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary())])
+_CODED = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary()), ("vecs", pa.binary()), ("errors", pa.binary()), ("worst", pa.float64()), ("longest", pa.float64())])
+_CODED_SQL = "ids binary, codes binary, norms binary, vecs binary, errors binary, worst double, longest double"
 
 
 def _coder(model):
@@ -107,8 +115,10 @@ def _coder(model):
         held: list = []
 
         def block(rows):
-            ids, codes, norms = (np.concatenate(v) for v in zip(*rows, strict=True))
-            return pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()]}, schema=_CODED)
+            ids, codes, norms, vecs = (np.concatenate(v) for v in zip(*rows, strict=True))
+            errors = np.sqrt(((vecs - decode(codes, books.astype(float))) ** 2).sum(1))
+            held = {"ids": ids, "codes": codes, "norms": norms.astype(np.float32), "vecs": vecs, "errors": errors}
+            return pa.RecordBatch.from_pydict({**{k: [v.tobytes()] for k, v in held.items()}, "worst": [errors.max()], "longest": [float(norms.max())]}, schema=_CODED)
 
         for batch in batches:
             if not batch.num_rows:
@@ -116,7 +126,7 @@ def _coder(model):
             x = _rows(batch)
             codes = encode(x, books)
             y = decode(codes, books)
-            held.append((batch.column("vec_id").to_numpy(), codes, (y * y).sum(1)))
+            held.append((batch.column("vec_id").to_numpy(), codes, (y * y).sum(1), _rows(batch, kind=float)))
             if sum(len(h[0]) for h in held) >= BLOCK:
                 yield block(held)
                 held = []
@@ -157,6 +167,36 @@ def _scorer(model, keep: int):
     return run
 
 
+def _bounded(model, asked, k: int):
+    """The ``k`` nearest in a block of every query asked, of those that may be and are within its distance."""
+
+    def run(batches):
+        books = model.value.astype(float)
+        qids, q, within = asked.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"])
+                x = np.frombuffer(row["vecs"]).reshape(len(ids), -1)
+                y = decode(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), books)
+                norms = (y * y).sum(1)
+                owner, found = [], []
+                for s in range(0, len(q), QUERIES):
+                    part = q[s : s + QUERIES]
+                    scale = (part * part).sum(1)[:, None] + norms
+                    far = np.sqrt(np.maximum(0.0, scale * (1 - 1e-9) - 2 * part @ y.T)) - errors * (1 + 1e-9)
+                    for i in range(len(part)):
+                        limit = within[s + i] * (1 + 1e-9)
+                        at = np.flatnonzero((far[i] <= limit) & (ids != qids[s + i]))
+                        score = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
+                        at, score = at[score <= limit], score[score <= limit]
+                        top = ids[at[np.lexsort((ids[at], score))[:k]]]
+                        owner.append(np.full(len(top), qids[s + i]))
+                        found.append(top)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (owner, found)], names=["query_id", "vec_id"])
+
+    return run
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vec (doubles) of the vectors that take part; one row for an id."""
     v = F.col("embedding").cast("array<double>")
@@ -180,18 +220,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
     model = spark.sparkContext.broadcast(fit(x, words=words))
     # Blocks are as full however many partitions the input has, so that what they hand on depends on its rows alone.
     parts = max(1, -(-vectors.count() // BLOCK))
-    coded = settle(vectors.coalesce(parts).mapInArrow(_coder(model), "ids binary, codes binary, norms binary"))
+    coded = settle(vectors.coalesce(parts).mapInArrow(_coder(model), _CODED_SQL))
     n_blocks = max(1, -(-queries.count() // QUERIES))
     blocks = settle(queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vec")).alias("q")).select("block", "q.vec_id", "q.vec").toDF("block", "qids", "qvecs"))
-    met = coded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")).join(blocks, "block")
+    met = coded.select("ids", "codes", "norms", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block")).join(blocks, "block")
     hits = met.mapInArrow(_scorer(model, rerank), "query_id bigint, vec_id bigint, estimate float")
     best = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
-    short = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", "vec_id")
-    exact = short.join(vectors, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")), "query_id")
+    short = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", "vec_id", "estimate")
     score = F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
-    ranked = exact.select("query_id", "vec_id", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asking = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    mine = Window.partitionBy("query_id")
+    order = mine.orderBy("score", "vec_id")
+
+    def nearest_of(pairs):
+        exact = pairs.join(vectors, "vec_id").join(asking, "query_id").withColumn("score", score).drop("vec", "qvec")
+        return exact.withColumn("rank", F.row_number().over(order))
+
+    first = nearest_of(short).withColumn("edge", F.max("estimate").over(mine)).withColumn("n", F.count("*").over(mine))
+    first = settle(first.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "edge", "n"))
+    # Beyond a full shortlist, a candidate is no nearer than the edge (less the rounding of its estimate) and the largest error allow.
+    worst, longest = coded.agg(F.max("worst"), F.max("longest")).first()
+    size = F.aggregate("qvec", F.lit(0.0), lambda s, y: s + y * y)
+    bounds = first.where(F.col("n") >= rerank).groupBy("query_id").agg(F.max("score").alias("within"), F.max("edge").alias("edge")).join(asking, "query_id")
+    open_ = F.sqrt(F.greatest(F.lit(0.0), F.col("edge") + size - 1e-4 * (size + longest))) - worst <= F.col("within")
+    asked = settle(bounds.where(open_).select("query_id", F.col("qvec").alias("vec"), "within"))
+    n_asked, more = asked.count(), []
+    parts = -(-n_asked // ASKED)
+    for i in range(parts):
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow()
+        if got.num_rows:
+            sent = spark.sparkContext.broadcast((got["query_id"].to_numpy(), _rows(got, kind=float), got["within"].to_numpy()))
+            more.append(coded.select("ids", "codes", "vecs", "errors").mapInArrow(_bounded(model, sent, k), "query_id bigint, vec_id bigint"))
+    if not more:
+        return first.select("query_id", "rank", "vec_id", "score")
+    pairs = first.select("query_id", "vec_id")
+    for found in more:
+        pairs = pairs.union(found)
+    return nearest_of(pairs.distinct()).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:

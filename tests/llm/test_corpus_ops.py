@@ -285,6 +285,21 @@ def test_ann_recall(spark):
     assert hits >= 0.95 * 300 and [f[1] for f in sorted(got[0])] == list(range(1, 11))
 
 
+def test_ann_near_copies_beyond_the_shortlist(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[::2] = x[0] + rng.normal(size=(2000, 32)) * 0.01 / np.sqrt(32)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert 2000 > ann.RERANK and sorted(got) == list(range(0, 4000, 100))
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [v for _, v in sorted(found)] == np.argsort(d)[:10].tolist()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
