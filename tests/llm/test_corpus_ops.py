@@ -289,9 +289,10 @@ def test_ann_near_copies_beyond_the_shortlist(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 32))
     x /= np.sqrt((x * x).sum(1))[:, None]
-    x[::2] = x[0] + rng.normal(size=(2000, 32)) * 0.01 / np.sqrt(32)
+    x[::2] = x[0] + rng.normal(size=(2000, 32)) * 1e-4
     got = {}
-    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+    vectors = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).localCheckpoint()
+    for r in ann.search(vectors, vectors.where("vec_id % 100 = 0"), sample=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert 2000 > ann.RERANK and sorted(got) == list(range(0, 4000, 100))
     for q, found in got.items():
