@@ -4,11 +4,11 @@ A vector is coded as a sum of full-dimensional codewords, one from each codebook
 fitted on a bounded sample (``SAMPLE`` vectors): residual k-means, then rounds of beam-search
 coding and joint least-squares updates. All vectors are coded by beam search and keep the norm
 of what their code stands for, so that a query scores a vector with one table lookup a codebook:
-|q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2. The best ``RERANK`` of each query are ranked again
-by exact distance on the original vectors.
+|q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2. The best of each query, ``SHARE`` of the table and
+``RERANK`` at most, are ranked again by exact distance on the original vectors.
 
 Estimates do not order near copies that differ by less than the error of their codes. So a query
-whose ``RERANK``-th estimate, less the largest error, is not beyond its k-th exact distance goes
+whose last estimate of these, less the largest error, is not beyond its k-th exact distance goes
 over all blocks once more: a candidate whose distance from the query by its code, less its own
 error |x - x^|, is not beyond that distance is measured exactly, and takes part if it is as near.
 
@@ -16,7 +16,8 @@ Codes travel in blocks of ``BLOCK`` vectors and queries in blocks of ``QUERIES``
 codes meets each block of queries once, and only the best of it go on.
 
 Defined cases. Vectors that are null, of zero length or norm, or hold a null, NaN or infinity take
-no part, as queries or candidates; all others must have equal dimensions. Equal distances go to the smaller id,
+no part, as queries or candidates, nor do those of another length than the most common one (of
+equally common ones, the smallest). Equal distances go to the smaller id,
 also within the candidates kept. A query's own id is no candidate. Repeated ids are candidates
 once (the first in order of vectors). With fewer candidates than k all are returned.
 """
@@ -32,6 +33,8 @@ from gaugework.llm.store import settle
 
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 32768, 16, 256, 4, 1
 BLOCK, QUERIES, RERANK = 4096, 256, 1000
+#: Share of all vectors that a query reranks, and the least number as a multiple of its neighbours.
+SHARE, LEAST = 0.02, 4
 #: Queries that one broadcast of the second pass takes along.
 ASKED = 4096
 
@@ -202,15 +205,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).where(good)
+    usual = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = rows if usual is None else rows.where(F.size("vec") == usual["d"])
     return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int | None = None, sample: int = SAMPLE, close: bool = True) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest found.
 
-    ``vectors`` and ``queries`` come from ``usable``.
+    ``vectors`` and ``queries`` come from ``usable``. Without ``close``, queries that the codes leave open get no second pass.
     """
     spark = vectors.sparkSession
+    total = vectors.count()
+    rerank = rerank or min(RERANK, max(LEAST * k, -(-total // int(1 / SHARE))))
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not rows.num_rows:
@@ -219,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
     words = min(WORDS, max(1, len(x) // 2))
     model = spark.sparkContext.broadcast(fit(x, words=words))
     # Blocks are as full however many partitions the input has, so that what they hand on depends on its rows alone.
-    parts = max(1, -(-vectors.count() // BLOCK))
+    parts = max(1, -(-total // BLOCK))
     coded = settle(vectors.coalesce(parts).mapInArrow(_coder(model), _CODED_SQL))
     n_blocks = max(1, -(-queries.count() // QUERIES))
     blocks = settle(queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vec")).alias("q")).select("block", "q.vec_id", "q.vec").toDF("block", "qids", "qvecs"))
@@ -238,6 +245,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
 
     first = nearest_of(short).withColumn("edge", F.max("estimate").over(mine)).withColumn("n", F.count("*").over(mine))
     first = settle(first.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "edge", "n"))
+    if not close:
+        return first.select("query_id", "rank", "vec_id", "score")
     # Beyond a full shortlist, a candidate is no nearer than the edge (less the rounding of its estimate) and the largest error allow.
     worst, longest = coded.agg(F.max("worst"), F.max("longest")).first()
     size = F.aggregate("qvec", F.lit(0.0), lambda s, y: s + y * y)

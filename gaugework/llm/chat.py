@@ -5,9 +5,10 @@ text and place; the exclusive or of these over the turns so far is the hash of a
 A conversation whose whole hash is a proper prefix of another's goes (an anti-join), as do all
 but the smallest id of equal conversations; the rest are rendered.
 
-Defined cases. Turns are ordered by turn, role and text, nulls first; a null role or text is
-empty in the rendering but differs from an empty one in comparisons. Rows with a null conv_id
-form one conversation. Repeated rows are repeated turns. Extra columns are ignored.
+Defined cases. Turns are ordered by turn, nulls first, and those of one number by the SHA-256 of
+role and text; a null role or text is empty in the rendering but differs from an empty one in
+comparisons. Rows with a null conv_id form one conversation. Repeated rows are repeated turns.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ shingles of documents are shuffled to the index and the proposed windows back to
 
 Defined cases. Null texts, and texts without words, have no words and no hits; items without
 words have no window. Repeated items or documents each get their own result; null ids stay null
-(a null item_id counts as an item and is listed as an empty string). Extra columns are ignored.
+(a null item_id counts as an item and is listed as an empty string). Extra columns pass through;
+of those named like a result, ``find_contamination`` gives the result and ``drop_contaminated``
+the column that came.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm import texthash as th
-from gaugework.llm.store import settle
+from gaugework.llm.store import extended, set_aside, settle, without
 
 WINDOW, SHINGLE = 10, 3
+RESULTS = ("n_words", "n_hit", "items")
 #: Windows of ten words of about 100 bytes: some 200 MB at most.
 MAX_INDEX = 500_000
 
@@ -183,24 +186,28 @@ def _check(batches):
 def find_contamination(docs: DataFrame, items: DataFrame, max_index: int = MAX_INDEX) -> DataFrame:
     """``docs`` with n_words, n_hit and items (sorted ids, as strings, of the items with a window in the text)."""
     spark = docs.sparkSession
+    docs = without(docs, RESULTS)
     windows = settle(benchmark_windows(items))
     size = windows.limit(max_index + 1).count()
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    shape = extended(docs, _OUT)
     texts = docs.select(F.col("text"))
     if size <= max_index:
-        known = np.array(sorted({r[0] for r in windows.select(F.explode("shingles")).distinct().collect()}), np.int64).view(np.uint64)
-        known.sort()
+        # At most ``max_index`` windows: their shingle hashes and words come to the driver as Arrow columns.
+        own = windows.select(F.explode("shingles").alias("s")).distinct().toArrow()["s"].to_numpy()
+        known = np.sort(own.astype(np.int64).view(np.uint64))
         if len(known):
-            counts = texts.mapInArrow(_shingle_counts(known), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+            counts = texts.mapInArrow(th.in_pieces(_shingle_counts(known)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
         else:
             counts = spark.createDataFrame([], "shingle bigint, n bigint")
         index = defaultdict(list)
-        for r in _prefixes(windows, counts).collect():
-            index[r["shingle"] & (2**64 - 1)].append((bytes(r["words"]), r["n"], r["offset"], tuple(r["items"])))
+        for batch in _prefixes(windows, counts).toArrow().to_batches():
+            for r in batch.to_pylist():
+                index[r["shingle"] & (2**64 - 1)].append((bytes(r["words"]), r["n"], r["offset"], tuple(r["items"])))
         held = spark.sparkContext.broadcast((np.array(sorted(index), np.uint64), dict(index)))
-        return docs.mapInArrow(_scan(held), f"{shape}, {_OUT}")
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spots = keyed.select("_row", "text").dropDuplicates(["_row"]).mapInArrow(_positions, "_row bigint, pos bigint, shingle bigint, k int")
+        return docs.mapInArrow(th.in_pieces(_scan(held)), shape)
+    row = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_row")
+    keys = docs.select(row, "text").dropDuplicates(["_row"])
+    spots = keys.mapInArrow(th.in_pieces(_positions), "_row bigint, pos bigint, shingle bigint, k int")
     counts = spots.groupBy("shingle").agg(F.count("*").alias("n"))
     index = settle(_prefixes(windows, counts)).withColumn("k", F.least("n", F.lit(SHINGLE)))
     proposed = (
@@ -209,7 +216,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, max_index: int = MAX_I
         .groupBy("_row")
         .agg(F.collect_list(F.struct((F.col("pos") - F.col("offset")).alias("start"), "n", "words", "items")).alias("_proposed"))
     )
-    return keyed.join(proposed, "_row", "left").mapInArrow(_check, f"{shape}, {_OUT}")
+    put_by = {c: f"_in_{c}" for c in docs.columns if c.lower() in ("_row", "_proposed")}
+    keyed = docs.withColumnsRenamed(put_by).withColumn("_row", row)
+    found = keyed.join(proposed, "_row", "left").mapInArrow(th.in_pieces(_check), extended(docs.withColumnsRenamed(put_by), _OUT))
+    return found.withColumnsRenamed({v: k for k, v in put_by.items()})
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -226,7 +236,8 @@ def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    return find_contamination(docs, items).where("n_hit = 0").select(docs.columns)
+    docs, back = set_aside(docs, RESULTS)
+    return find_contamination(docs, items).where("n_hit = 0").select(back)
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

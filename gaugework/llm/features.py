@@ -46,7 +46,7 @@ def _featurise(batches):
         owner, feature = text_features(batch.column("text"))
         ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), lists], names=["y", "features"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t", "y")), lists], names=["doc_id", "t", "y", "features"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list, np.ndarray, np.ndarray]:
@@ -57,9 +57,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
     """
     some = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     some = docs.select("doc_id").where("doc_id is not null").distinct().join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
-    kind = dict(labels.dtypes)["y"]
-    got = rows.select("y", "text").mapInArrow(_featurise, f"y {kind}, features array<int>").toArrow()
+    # Texts become lists of numbers where they are read; only these lists, of ``most`` rows, are sorted and come to the driver.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "t", "y", "text")
+    kinds = dict(rows.dtypes)
+    rows = rows.mapInArrow(th.in_pieces(_featurise), f"doc_id {kinds['doc_id']}, t bigint, y {kinds['y']}, features array<int>")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(most).select("y", "features").toArrow()
     lists = got["features"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.array([], pa.list_(pa.int32()))
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)

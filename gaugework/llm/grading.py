@@ -7,7 +7,8 @@ every document gets the expected grade and the tail probability of the top grade
 Defined cases. Null and empty texts have only shape features and are graded like any other.
 Documents without a grade, and grades without a document, do not train. If no grades, or only
 one, are there, that grade (0 without any) is certain. Repeated rows are graded alike. Extra
-columns pass through.
+columns pass through; of those named like a result, ``grade`` gives the result and ``keep_good``
+the column that came.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm import features as ft
+from gaugework.llm import texthash as th
+from gaugework.llm.store import extended, set_aside, without
 
 #: A document is kept if it reaches the top grade with this probability.
 KEEP_AT = 0.5
 #: Most graded documents that the weights are fitted on.
 SAMPLE = 16_000
+RESULTS = ("expected_grade", "p_top")
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -79,9 +83,9 @@ def _grade(model):
 
 def grade(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with expected_grade and p_top. ``graded`` has doc_id and y, an integer grade."""
+    docs = without(docs, RESULTS)
     model = docs.sparkSession.sparkContext.broadcast(fit(*ft.labelled_sample(docs, graded, sample)))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_grade(model), f"{shape}, expected_grade double, p_top double")
+    return docs.mapInArrow(th.in_pieces(_grade(model)), extended(docs, "expected_grade double, p_top double"))
 
 
 def grades_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -91,4 +95,5 @@ def grades_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, at: float = KEEP_AT) -> DataFrame:
     """The documents that reach the top grade with probability ``at``."""
-    return grade(docs, ratings(labels)).where(F.col("p_top") >= at).select(docs.columns)
+    docs, back = set_aside(docs, RESULTS)
+    return grade(docs, ratings(labels)).where(F.col("p_top") >= at).select(back)

@@ -19,9 +19,13 @@
 No pairs are made within a class of copies: links to its representative join them, and nothing
 is capped, so no link between different texts is lost.
 
+The matrix holds what a group's union can be found by, its documents' rarest shingles; the whole
+union is made where a group is opened, from the texts sent there: as hashes it would be larger
+than the texts. Its bound saves the exact test there.
+
 Defined cases. A text without words (or null) has an empty set and links with nothing. Rows
 sharing a doc_id are one node of the link graph. A null doc_id links with nothing and has a
-null component. Extra columns pass through.
+null component. Extra columns pass through, whatever their names; none of them is read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import texthash as th
 from gaugework.llm.components import components
-from gaugework.llm.store import broadcast_if_small, settle
+from gaugework.llm.store import broadcast_if_small, discard, join_frequent_apart, settle
 
 SHINGLE, PERCENT = 5, 80
 #: Documents in a group, about, and query groups that one task opens a group for.
@@ -177,6 +181,9 @@ def _open(shingle: int, percent: int):
             ids, comps = (members.column(c).to_numpy() for c in ("doc_id", "comp"))
             sets = list(th.shingle_sets(members.column("text"), shingle))
             sizes = np.array([len(m) for m in sets])
+            # A doc_id may have texts without words beside others.
+            ids, comps, sets, sizes = ids[sizes > 0], comps[sizes > 0], [m for m in sets if len(m)], sizes[sizes > 0]
+        if members.num_rows and queries.num_rows and len(sets):
             union = np.unique(np.concatenate(sets))
             place = np.searchsorted(union, np.concatenate(sets))
             begin = np.cumsum(sizes) - sizes
@@ -204,7 +211,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = settle(docs.mapInArrow(_profile(shingle), _PROFILE_SQL))
+    profile = settle(docs.mapInArrow(th.in_pieces(_profile(shingle)), _PROFILE_SQL))
     rows = profile.where("slice is null").select("doc_id", "n", "s1", "s2", "mh")
     counts = spark.sparkContext.broadcast(_sketch(profile))
     alive = rows.where("n > 0 and doc_id is not null")
@@ -224,7 +231,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         .select("a", "b", "a_text", "b_text")
     )
-    near = settle(near.mapInArrow(_verify(shingle, percent), "a bigint, b bigint").distinct())
+    near = settle(near.mapInArrow(th.in_pieces(_verify(shingle, percent), "a_text"), "a bigint, b bigint").distinct())
     linked = settle(components(near))
 
     # Groups; copies (not the representatives) stay out of the matrix.
@@ -247,7 +254,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     )
 
     matrix_sql = "token bigint, gid bigint, comp bigint, solo boolean, n bigint, behind bigint"
-    matrix = placed.select("gid", "comp", "solo", "text").mapInArrow(_prefixes(shingle, percent, counts), matrix_sql)
+    matrix = placed.select("gid", "comp", "solo", "text").mapInArrow(th.in_pieces(_prefixes(shingle, percent, counts)), matrix_sql)
     shared = matrix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     shared = settle(shared)
     n_shared = shared.limit(MAX_SHARED + 1).count()
@@ -255,7 +262,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         entries = spark.createDataFrame([], matrix_sql)
     elif n_shared <= MAX_SHARED:
         wanted = spark.sparkContext.broadcast(np.sort(shared.toArrow()["token"].to_numpy().view(np.uint64)))
-        entries = placed.select("gid", "comp", "solo", "text").mapInArrow(_prefixes(shingle, percent, counts, wanted), matrix_sql)
+        entries = placed.select("gid", "comp", "solo", "text").mapInArrow(th.in_pieces(_prefixes(shingle, percent, counts, wanted)), matrix_sql)
     else:
         entries = matrix.join(shared, "token")
     entries = settle(entries.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind"), F.bool_and("solo").alias("solo")))
@@ -285,8 +292,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     alone = involved.join(placed_ids.select("gid").distinct(), "gid", "left_anti").select(F.col("gid").alias("doc_id"), "gid", F.col("gid").alias("comp"))
     members = settle(members.select("doc_id", "gid", "comp").union(alone).distinct())
     texts = settle(docs.join(broadcast_if_small(members), "doc_id"))
-    load = pairs.groupBy("y").agg(F.count("*").alias("c"))
-    salted = pairs.join(load, "y").select("x", "y", F.ceil(F.col("c") / QUERIES).alias("parts"), F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / QUERIES)).alias("salt"))
+    load = settle(pairs.groupBy("y").agg(F.count("*").alias("c"), F.count("*").alias("_count")))
+    part = F.ceil(F.col("c") / QUERIES)
+    salted = settle(join_frequent_apart(pairs, load, ["y"], pairs.count()).select("x", "y", part.alias("parts"), F.pmod(F.xxhash64("x"), part).alias("salt")))
     asked = salted.select(F.col("x").alias("gid"), "y", "salt").join(texts.select("gid", F.col("doc_id").alias("q"), F.col("comp").alias("q_comp"), F.col("text").alias("q_text")), "gid").select("y", "salt", "q", "q_comp", "q_text")
     opened = salted.select(F.col("y").alias("gid"), "parts").distinct().join(texts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "doc_id", "comp", "text")
     links = asked.groupBy("y", "salt").cogroup(opened.groupBy("gid", "salt")).applyInArrow(_open(shingle, percent), "a bigint, b bigint")
@@ -299,13 +307,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The row of the smallest doc_id of each class; rows that repeat that id are the same document and come once."""
+    """The row of the smallest doc_id of each class. Rows that repeat that id are the same document and come once: the
+    one of smallest text, then of smallest JSON."""
     gone = settle(jaccard_classes(docs, percent, shingle).where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
     twice = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*docs.columns)
+    once = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.struct("text", F.to_json(row).alias("j")).alias("o"), row.alias("r"))
+    once = once.groupBy("_id").agg(F.min_by("r", "o").alias("r")).select("r.*")
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 

@@ -7,7 +7,7 @@ place with. Profiles count all n-grams of all training texts.
 Defined cases. A text that is null or has no letter is ``und`` with score 0. Equal distances go
 to the smaller language name. A null lang does not train; a null doc_id is not held out and does
 not train. Without any training text every text is ``und``. Repeated rows count as often as they
-occur. Extra columns are ignored.
+occur. Extra columns pass through; one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.llm import texthash as th
+from gaugework.llm.store import extended, without
+
 #: N-grams in a profile.
 PROFILE = 300
 GAP = 1
@@ -66,7 +69,7 @@ def _count(batches):
 
 def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
     """lang, gram, rank (from 0) of the ``size`` most frequent n-grams of each language."""
-    counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
+    counts = labelled.where("lang is not null").select("lang", "text").mapInArrow(th.in_pieces(_count), "lang string, gram bigint, n bigint")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
@@ -107,8 +110,8 @@ def identify(docs: DataFrame, model: DataFrame, size: int = PROFILE) -> DataFram
     for r in rows:
         ranks[where[r["gram"]], langs.index(r["lang"])] = r["rank"]
     held = docs.sparkSession.sparkContext.broadcast((langs, grams, ranks))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_predict(held, size), f"{shape}, lang_pred string, score double")
+    docs = without(docs, ("lang_pred", "score"))
+    return docs.mapInArrow(th.in_pieces(_predict(held, size)), extended(docs.drop("text"), "lang_pred string, score double"))
 
 
 def language_digest(docs: DataFrame, size: int = PROFILE) -> DataFrame:

@@ -8,11 +8,16 @@ makes steps alike in all domains. An iteration is one distributed sum of as many
 there are domains; a document's rate follows from its posteriors and the gradients so far, so
 no state of the size of the corpus is carried along.
 
+A domain without a target is to get no tokens from documents that most likely belong to it, but
+soft posteriors give every document a little of it. So its target total is what the documents of
+the other domains hold of it at their own targets: least squares then has no reason to take clean
+documents out, and the rest follows the targets.
+
 Defined cases. Null and empty texts have no tokens and rate 1. A domain with a target but
 hardly any tokens is met as well as least squares can. Labels without a document, and null
 labels, do not train; with fewer than two domains that one is certain. Without any labelled
 document there is no domain and all rates are 1. Repeated rows have equal rates. Extra columns
-pass through.
+pass through; one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import features as ft
 from gaugework.llm import texthash as th
-from gaugework.llm.store import settle
+from gaugework.llm.store import extended, settle, without
 
 #: Least squares stops once the largest residual, as a share of all tokens, is below this or hardly falls, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 40
@@ -32,6 +37,7 @@ TOLERANCE, STEPS = 1e-4, 40
 DAMPING = 0.02
 #: Domains of the corpus query and their target shares of tokens.
 TARGETS = {"prose-en": 0.4, "prose-de": 0.2, "prose-es": 0.2, "prose-fr": 0.2, "poor": 0.0, "toxic": 0.0}
+RESULTS = ("n_tokens", "posteriors", "rate", "domain", "n_copies")
 
 
 def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -142,23 +148,50 @@ def _apply(k: int, gradients: list[np.ndarray]):
     return run
 
 
+def _by_domain(k: int):
+    """Expected tokens of each domain (column) in the documents that each domain (row) is most likely of; and all tokens, last."""
+
+    def run(batches):
+        held, tokens = np.zeros((k, k)), 0.0
+        for batch in batches:
+            p, t = _matrix(batch.column("posteriors"), k), batch.column("n_tokens").to_numpy().astype(float)
+            if len(p):
+                held += (np.eye(k)[p.argmax(axis=1)] * t[:, None]).T @ p
+                tokens += t.sum()
+        yield pa.RecordBatch.from_pydict({"i": np.arange(k * k + 1), "v": np.append(held.reshape(-1), tokens)})
+
+    return run
+
+
+def target_totals(soft: DataFrame, names: list[str], targets: dict[str, float]) -> np.ndarray:
+    """Target tokens of each domain. Those with a target get their shares of ``whole``; the others get what the documents
+    of these hold of them once they are scaled to their targets; and all of it sums to all tokens."""
+    k = len(names)
+    share = np.array([targets.get(n, 0.0) for n in names])
+    share = share / max(share.sum(), 1e-300)
+    got = np.zeros(k * k + 1)
+    for r in soft.select("n_tokens", "posteriors").mapInArrow(_by_domain(k), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        got[r["i"]] = r["v"]
+    held = got[:-1].reshape(k, k)
+    own = np.diag(held)
+    scale = np.where(own > 0, share / np.where(own > 0, own, 1.0), 0.0)
+    spill = np.where(share > 0, 0.0, scale @ held)
+    whole = got[-1] / (1 + spill.sum())
+    return whole * (share + spill)
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = ft.SAMPLE, texts: bool = False) -> DataFrame:
     """``docs`` (without text unless ``texts``), with n_tokens, posteriors (of the domains in order of name), domain and rate.
 
-    ``labelled`` has doc_id and y, a domain name. Targets are shares of all tokens; domains
-    without one are to get none.
+    ``labelled`` has doc_id and y, a domain name. Targets are shares of all tokens.
     """
+    docs = without(docs, RESULTS)
     names, weights = fit(*ft.labelled_sample(docs, labelled, sample))
     model = docs.sparkSession.sparkContext.broadcast((names, weights))
-    columns = [c for c in docs.columns if texts or c != "text"]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    soft = settle(docs.mapInArrow(_posteriors(model, columns), f"{shape}, n_tokens bigint, posteriors array<double>"))
-    gradients = []
-    if names:
-        share = np.array([targets.get(n, 0.0) for n in names])
-        tokens = soft.agg(F.sum("n_tokens")).first()[0] or 0
-        gradients = solve(soft, share / max(share.sum(), 1e-300) * tokens)
-    done = soft.mapInArrow(_apply(len(names), gradients), f"{shape}, n_tokens bigint, posteriors array<double>, rate double")
+    out = docs if texts else docs.drop("text")
+    soft = settle(docs.mapInArrow(th.in_pieces(_posteriors(model, out.columns)), extended(out, "n_tokens bigint, posteriors array<double>")))
+    gradients = solve(soft, target_totals(soft, names, targets)) if names else []
+    done = soft.mapInArrow(_apply(len(names), gradients), extended(soft, "rate double"))
     named = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     return done.withColumn("domain", F.get(named, (F.array_position("posteriors", F.array_max("posteriors")) - 1).cast("int")))
 
@@ -178,4 +211,4 @@ def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of positive rate, with all their columns, the text as it comes in among them."""
     done = mix(docs, domains(docs, labels), TARGETS, texts=True).where("rate > 0")
-    return done.select(*docs.columns, "domain", "n_tokens", "posteriors", "rate", copies())
+    return done.select(*without(docs, RESULTS).columns, "domain", "n_tokens", "posteriors", "rate", copies())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gaugework.llm import ann, chat, decontaminate, grading, jaccard_join, language, line_dedup, mixing, repeats, warc
-from gaugework.llm.store import small_batches, table
+from gaugework.llm.store import table
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -11,22 +11,18 @@ def op5_line_dedup(spark, sf_dir):
 
 
 def op10_decontaminate(spark, sf_dir):
-    small_batches(spark)
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_jaccard_join(spark, sf_dir):
-    small_batches(spark)
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_warc_bundles(spark, sf_dir):
-    small_batches(spark)
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("archive", "frame", "frame_offset")
 
 
 def op9_suffix_repeats(spark, sf_dir):
-    small_batches(spark)
     return repeats.repeats_digest(table(spark, sf_dir, "documents"))
 
 
@@ -35,12 +31,10 @@ def op1_additive_ann(spark, sf_dir):
 
 
 def op2_mix_sources(spark, sf_dir):
-    small_batches(spark)
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_language_id(spark, sf_dir):
-    small_batches(spark)
     return language.language_digest(table(spark, sf_dir, "documents"))
 
 
@@ -49,7 +43,6 @@ def op4_chat_format(spark, sf_dir):
 
 
 def op6_quality_grade(spark, sf_dir):
-    small_batches(spark)
     return grading.grades_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -71,5 +64,6 @@ ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_warc_bundles": warc.ORACLE,
+    "op9_suffix_repeats": repeats.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -17,7 +17,13 @@ the tasks that read, so frequent passages meet as counts and not as rows. Digits
 compared by 64-bit hashes.
 
 Defined cases. Null and empty texts have no bytes. Rows that repeat a document are further
-places where its strings start. A null doc_id is kept. Extra columns pass through.
+places where its strings start. A null doc_id is kept. Extra columns pass through; one named like
+a result is replaced by it.
+
+Of a textbook radix sort two things differ: the digits are hashes of stretches of bytes and the
+first one is taken at the anchor, not at the suffix's own start, so that a suffix is an entry of its
+own only where its surroundings repeat; and equal digits meet by grouping, since only equality, not
+the order of the groups, decides what repeats.
 """
 
 from __future__ import annotations
@@ -30,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm import texthash as th
-from gaugework.llm.store import settle
+from gaugework.llm.store import extended, settle, without
 
 LENGTH, GRAM = 400, 32
 #: Block widths of the passes; the first is a whole range of distances.
 WIDTHS = (48, 6, 1)
 #: Texts are worked on in segments of this many suffixes.
 SEGMENT = 1 << 19
+RESULTS = ("n_bytes", "n_removed", "spans", "kept", "kept_sha256")
 _UNIT = "a bigint, lo int, hi int"
 _OUT = pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("a", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("digit", pa.int64()), ("stretch", pa.int64())])
 _OUT_SQL = f"rid bigint, row bigint, {_UNIT}, digit bigint, stretch bigint"
@@ -139,7 +146,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     ``docs`` has rid and row (together one for each different row) and text.
     """
-    entries = settle(docs.mapInArrow(_merged(_first_pass(length, gram)), _OUT_SQL))
+    entries = settle(docs.mapInArrow(th.in_pieces(_merged(_first_pass(length, gram))), _OUT_SQL))
     texts, done = docs, None
     for width in (*widths, None):
         grouped = entries.groupBy("digit", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("rid", "row", "a", "lo", "hi")).alias("one"))
@@ -154,7 +161,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         units = settle(going.groupBy("rid", "row").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("units")))
         if texts is docs:
             texts = settle(docs.select("rid", "row", "text").join(units.select("rid", "row"), ["rid", "row"]).dropDuplicates(["rid", "row"]))
-        entries = settle(texts.join(units, ["rid", "row"]).mapInArrow(_merged(_next_pass(width, length)), _OUT_SQL))
+        entries = settle(texts.join(units, ["rid", "row"]).mapInArrow(th.in_pieces(_merged(_next_pass(width, length))), _OUT_SQL))
 
 
 def _cut(batches):
@@ -162,7 +169,7 @@ def _cut(batches):
     for batch in batches:
         raw, offs = th.text_bytes(batch.column("text"))
         out = {"n_bytes": np.diff(offs), "n_removed": [], "spans": [], "kept": []}
-        for i, cuts in enumerate(batch.column("cuts").to_pylist()):
+        for i, cuts in enumerate(batch.column("_cuts").to_pylist()):
             text = raw[offs[i] : offs[i + 1]]
             edge = np.zeros(len(text) + 1, np.int64)
             for c in cuts or ():
@@ -173,7 +180,7 @@ def _cut(batches):
             out["n_removed"].append(int(gone.sum()))
             out["spans"].append(turn.tolist())
             out["kept"].append(text[~gone[1:-1]].tobytes())
-        keep = [c for c in batch.schema.names if c not in ("rid", "row", "cuts")]
+        keep = [c for c in batch.schema.names if c not in ("_rid", "_row", "_cuts")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in keep), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.int64())), pa.array(out["kept"], pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]])],
             names=[*keep, "n_bytes", "n_removed", "spans", "kept", "kept_sha256"],
@@ -182,15 +189,38 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with n_bytes, n_removed, spans (begin and end of each removed run, in turn), kept (bytes) and its hash."""
+    docs = without(docs, (*RESULTS, "_rid", "_row", "_cuts"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "row": F.xxhash64(text)})
+    keyed = docs.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_row": F.xxhash64(text)})
     gram = min(GRAM, max(1, length // 4))
-    found = settle(repeated_stretches(keyed.select("rid", "row", "text"), length, gram))
-    cuts = found.groupBy("rid", "row").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.join(cuts, ["rid", "row"], "left").select(*docs.columns, "rid", "row", "cuts").mapInArrow(_cut, f"{shape}, n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary, kept_sha256 string")
+    found = settle(repeated_stretches(keyed.select(F.col("_rid").alias("rid"), F.col("_row").alias("row"), "text"), length, gram))
+    cuts = found.groupBy(F.col("rid").alias("_rid"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("begin", "end")).alias("_cuts"))
+    out = extended(docs, "n_bytes long, n_removed long, spans array<long>, kept binary, kept_sha256 string")
+    return keyed.join(cuts, ["_rid", "_row"], "left").select(*docs.columns, "_rid", "_row", "_cuts").mapInArrow(th.in_pieces(_cut), out)
 
 
 def repeats_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     done = remove_repeats(docs.select("doc_id", "text"), length)
     return done.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Every start of a string of 400 bytes by its MD5, in chunks of 2,000 starts; bytes are pairs of hexadecimal digits.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, j, substr(x, 4000 * j + 1, 4798) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 4000 + 1)) AS j FROM d WHERE len(x) >= 800)),
+s AS (
+  SELECT doc_id, 2000 * j + i AS i, md5(substr(y, 2 * i + 1, 800)) AS m
+  FROM (SELECT doc_id, j, y, unnest(range(0, least(2000, len(y) // 2 - 399))) AS i FROM c WHERE len(y) >= 800)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM s) WHERE c > 1),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 400 THEN 0 ELSE 1 END AS f FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
+span AS (SELECT doc_id, k, min(i) AS lo, max(i) + 400 AS hi FROM n GROUP BY doc_id, k),
+part AS (
+  SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(hi), 0), len(any_value(x)) // 2 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS y FROM part JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

@@ -55,6 +55,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Bytes of texts that are worked on at a time; a longer text is worked on alone and whole.
+PIECE = 4 << 20
+
+
+def in_pieces(run, column: str = "text"):
+    """``run`` over slices of its batches with about ``PIECE`` bytes of texts each, which bounds a worker's memory by bytes."""
+
+    def pieces(batches):
+        for batch in batches:
+            size = np.diff(text_bytes(batch.column(column))[1])
+            part = (np.cumsum(size) - 1) // PIECE
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield batch.slice(a, b - a)
+
+    return lambda batches: run(pieces(batches))
+
+
 def words(raw: np.ndarray, offs: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text number and hash of every word; A-Z count as a-z, words never cross texts."""
     low = _LOWER[raw]

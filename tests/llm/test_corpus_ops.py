@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import ann, chat, decontaminate, grading, jaccard_join, language, line_dedup, mixing, repeats, warc
+from gaugework.llm import ann, chat, decontaminate, grading, jaccard_join, language, line_dedup, mixing, repeats, store, warc
 from gaugework.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -291,10 +291,11 @@ def test_ann_near_copies_beyond_the_shortlist(spark):
     x /= np.sqrt((x * x).sum(1))[:, None]
     x[::2] = x[0] + rng.normal(size=(2000, 32)) * 1e-4
     got = {}
-    vectors = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).localCheckpoint()
+    vectors = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    vectors = store.settle(vectors)
     for r in ann.search(vectors, vectors.where("vec_id % 100 = 0"), sample=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
-    assert 2000 > ann.RERANK and sorted(got) == list(range(0, 4000, 100))
+    assert 2000 > ann.SHARE * 4000 and sorted(got) == list(range(0, 4000, 100))
     for q, found in got.items():
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
