@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.llm import decontaminate, grading, jaccard_join, line_dedup, mixing
-from gaugework.llm.store import settle, small_batches, table
+from gaugework.llm.store import settle, table
+from gaugework.plans.registry import ship
 
 #: Its classifiers, near-duplicate classes and rates are beyond SQL.
 ORACLE_SQL = None
@@ -13,7 +14,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the top grade."""
-    small_batches(spark)
+    ship(spark)
     return grading.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,19 +25,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked documents."""
-    small_batches(spark)
+    ship(spark)
     return jaccard_join.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    small_batches(spark)
+    ship(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of positive rate, with their text, domain, rate and copies."""
-    small_batches(spark)
+    ship(spark)
     return mixing.keep_rated(docs, table(spark, sf_dir, "labels"))
 
 
