@@ -54,6 +54,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Maximal conversations, rendered."""
+    turns = turns.select("conv_id", "turn", "role", "text")
     keep = maximal(turns).withColumnRenamed("conv_id", "keep")
     return render(turns.join(keep, F.col("conv_id").eqNullSafe(F.col("keep")), "left_semi"))
 
