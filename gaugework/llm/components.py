@@ -21,13 +21,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_count")))
-        met = join_frequent_apart(both, low, ["u"], 2 * now.count())
+        n = now.count()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_count"))
+        met = join_frequent_apart(both, low, ["u"], 2 * n)
         large = settle(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_count")))
-        hang = join_frequent_apart(large, small, ["u"], large.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_count"))
+        hang = join_frequent_apart(large, small, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = settle(hang.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        discard(now, low, large, small)
+        discard(now, large)
         now = new
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -58,7 +58,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def join_frequent_apart(rows: DataFrame, side: DataFrame, keys: list[str], total: int, count: str = "_count") -> DataFrame:
-    """The inner join of ``rows`` with ``side`` (settled; one row a key, with the number of rows that hold it as ``count``).
+    """The inner join of ``rows`` with ``side`` (one row a key, with the number of rows that hold it as ``count``).
 
     Keys that hold more than ``SHARE`` of the ``total`` rows are joined by a broadcast, which by that bound has at most
     ``max(1 / SHARE, total / FEW)`` rows, so that none of them is the work of one task; all others by a shuffle.
