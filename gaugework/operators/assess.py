@@ -14,8 +14,8 @@ from gaugework.operators.lookup import lut_lookup
 METRICS = ("count", "mae", "mape", "smape", "p50", "p90", "p95", "p99", "msd", "rmsd", "ssr", "rsq")
 
 
-def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predicted") -> DataFrame:
-    """112: all error metrics of each group, in one aggregation.
+def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predicted", wanted=METRICS) -> DataFrame:
+    """112: all error metrics of each group: one aggregation, and exact percentiles from counts if these are ``wanted``.
 
     mape is null unless every truth is other than 0; smape counts 0/0 as 0; rsq of a constant
     truth is 1 if it is met and 0 otherwise. Rows without prediction do not count.
@@ -25,19 +25,21 @@ def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predict
     rows = df.select(*keys, F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p")).where(t.isNotNull() & p.isNotNull())
     spread = F.var_pop("_t") * F.count("*")
     ssr = F.sum(err * err)
-    quantiles = F.percentile(err, [0.5, 0.9, 0.95, 0.99])
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("count"),
         F.avg(err).alias("mae"),
         F.when(F.bool_and(t != 0), F.avg(F.when(t != 0, err / F.abs(t))) * 100).alias("mape"),
         (F.avg(F.when((t == 0) & (p == 0), 0.0).otherwise(err / ((F.abs(t) + F.abs(p)) / 2))) * 100).alias("smape"),
-        quantiles.alias("_q"),
         F.avg(err * err).alias("msd"),
         F.sqrt(F.avg(err * err)).alias("rmsd"),
         ssr.alias("ssr"),
         F.when(spread > 0, 1 - ssr / F.when(spread > 0, spread)).when(ssr == 0, 1.0).otherwise(0.0).alias("rsq"),
     )
-    return out.withColumns({name: F.col("_q")[i] for i, name in enumerate(("p50", "p90", "p95", "p99"))}).select(*keys, *METRICS)
+    if not set(METRICS[4:8]) & set(wanted):
+        return out.select(*keys, *wanted)
+    q = stats.percentiles(rows.select(*keys, err.alias("_err")), keys, "_err", [0.5, 0.9, 0.95, 0.99]).select(*keys, F.col("q").alias("_q"))
+    out = out.alias("m").join(q.alias("e"), [F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]).select("m.*", "_q")
+    return out.withColumns({m: F.col("_q")[i] for i, m in enumerate(METRICS[4:8])}).select(*keys, *wanted)
 
 
 def predict_static(long: DataFrame, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
@@ -55,7 +57,7 @@ def predict_lut(long: DataFrame, params, train: DataFrame | None = None, keys=("
 def quality_table(long: DataFrame, params, model: DataFrame | None = None) -> DataFrame:
     """120: errors of lookup table, model (if given, with ``predicted``) and static value, and which one to use."""
     keys = ["name", "attr"]
-    short = lambda df, tag: metrics(df, keys).select(*keys, *(F.col(m).alias(f"{tag}_{m}") for m in ("mae", "smape", "rsq")))
+    short = lambda df, tag: metrics(df, keys, wanted=("mae", "smape", "rsq")).withColumnsRenamed({m: f"{tag}_{m}" for m in ("mae", "smape", "rsq")})
     out = short(predict_static(long), "static").join(short(predict_lut(long, params), "lut"), keys)
     model_mae = F.lit(None).cast("double")
     if model is not None:
@@ -98,11 +100,16 @@ def config_folds(df: DataFrame, params, k: int, obs_id: str = "obs_id", name: st
 
 
 def monte_carlo(df: DataFrame, count: int, obs_id: str = "obs_id", name: str = "name", seed: int = 0) -> DataFrame:
-    """119: for each repetition two thirds of a name's observations train, in order of a seeded hash."""
+    """119: for each repetition two thirds of a name's observations train, in order of a seeded hash; places come from ranges of hashes."""
     reps = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("rep"))
-    w = Window.partitionBy("rep", name)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "rep", obs_id), obs_id))
-    return reps.withColumn("train", place <= F.floor(F.count("*").over(w) * 2 / 3))
+    order = F.struct(F.xxhash64(F.lit(seed), "rep", obs_id).alias("h"), F.col(obs_id).alias("id"))
+    rows = reps.select("rep", name, obs_id, order.alias("_o"), F.shiftright(F.xxhash64(F.lit(seed), "rep", obs_id), 58).alias("_p"))
+    sizes = rows.groupBy("rep", name, "_p").agg(F.count("*").alias("_s"))
+    whole = Window.partitionBy("rep", name)
+    upto = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("rep", name, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_n"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("rep", name, "_p").orderBy("_o"))).join(sizes, ["rep", name, "_p"])
+    return reps.join(ranked.select("rep", obs_id, (F.col("_r") + F.col("_before") <= F.floor(F.col("_n") * 2 / 3)).alias("train")), ["rep", obs_id])
 
 
 def cross_validate_static(long_folds: DataFrame, k: int, keys=("name", "attr")) -> DataFrame:

@@ -6,6 +6,8 @@ A signal table is long: ``signal`` (one or more key columns), ``i`` (sample inde
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -148,10 +150,13 @@ def traces_to_aggregate(trace: DataFrame, ignore_runs: DataFrame | None = None)
 
 
 def concat_traces(a: DataFrame, b: DataFrame) -> DataFrame:
-    """140: traces of two inputs under new numbers, with the old ones kept."""
+    """140: traces of two inputs under new numbers, with the old ones kept. Numbers are places within ranges of ids, so that no task sorts all of them."""
+    from gaugework.operators.assess import place_in_group
+
     both = a.select("*", F.lit(0).alias("_src")).unionByName(b.select("*", F.lit(1).alias("_src")), allowMissingColumns=True)
-    ids = both.select("_src", "trace_id").distinct()
-    number = ids.withColumn("new_id", F.row_number().over(Window.orderBy("_src", "trace_id")).cast("long"))
+    first = a.select(F.count_distinct("trace_id").alias("_first"))
+    number = place_in_group(both.select("_src", "trace_id").distinct(), ["_src"], "trace_id").crossJoin(F.broadcast(first))
+    number = number.select("_src", "trace_id", (F.col("place") + 1 + F.col("_src") * F.col("_first")).cast("long").alias("new_id"))
     return both.join(number, ["_src", "trace_id"]).withColumnRenamed("trace_id", "orig_id").withColumnRenamed("new_id", "trace_id").drop("_src")
 
 
@@ -183,39 +188,77 @@ def needs_refinement(df: DataFrame, group=("name",), keys=KEYS, order: str = "i"
     return q.groupBy(*group).agg(F.count("*").alias("signals"), F.avg(far.cast("double")).alias("share")).withColumn("refine", (F.col("signals") >= least) & (F.col("share") > share))
 
 
+def costs_to(values: np.ndarray, end: int) -> np.ndarray:
+    """145: for each start s the sum of absolute deviations of values[s:end] from their median, in one walk back from ``end``.
+
+    Two heaps hold the lower and the upper half of the values met so far.
+    """
+    low: list[float] = []
+    high: list[float] = []
+    below = above = 0.0
+    out = np.empty(end)
+    for s in range(end - 1, -1, -1):
+        v = float(values[s])
+        if low and v > -low[0]:
+            heapq.heappush(high, v)
+            above += v
+        else:
+            heapq.heappush(low, -v)
+            below += v
+        if len(low) > len(high) + 1:
+            v = -heapq.heappop(low)
+            heapq.heappush(high, v)
+            below, above = below - v, above + v
+        elif len(high) > len(low):
+            v = heapq.heappop(high)
+            heapq.heappush(low, -v)
+            below, above = below + v, above - v
+        out[s] = above - below - (low[0] if len(low) > len(high) else 0.0)
+    return np.maximum(out, 0.0)
+
+
+def changes_by_penalty(values: np.ndarray, penalties, min_distance: int = 5, jump: int = 1) -> list[list[int]]:
+    """145: for each penalty the starts of new stretches of least absolute deviation, all penalties in one dynamic programme.
+
+    Stretches have ``min_distance`` samples at least and start at multiples of ``jump``; of equal totals the earliest
+    start counts. Time grows with the square of a signal's length, memory with its length.
+    """
+    n, pen = len(values), np.asarray(penalties, float)
+    ends = [*range(max(min_distance, jump), n - min_distance + 1, jump), n]
+    starts = np.array([0, *ends[:-1]])
+    best = np.full((len(starts) + 1, len(pen)), np.inf)
+    best[0] = -pen
+    came = np.zeros((len(starts) + 1, len(pen)), int)
+    for i, t in enumerate(ends, 1):
+        may = starts[: np.searchsorted(starts, t - min_distance, side="right")] if t >= min_distance else starts[:1]
+        may = may[: max(1, min(len(may), i))]
+        total = best[: len(may)] + costs_to(values, t)[may][:, None]
+        came[i] = total.argmin(axis=0)
+        best[i] = total[came[i], np.arange(len(pen))] + pen
+    out = []
+    for j in range(len(pen)):
+        at, i = [], int(came[len(ends), j])
+        while i:
+            at.append(int(starts[i]))
+            i = int(came[i, j])
+        out.append(at[::-1])
+    return out
+
+
 def change_points(values: np.ndarray, penalty: float, min_distance: int = 5, jump: int = 1) -> list[int]:
-    """145: starts of new stretches, by pruned dynamic programming on squared deviation."""
-    n = len(values)
-    s1, s2 = np.concatenate(([0.0], np.cumsum(values))), np.concatenate(([0.0], np.cumsum(values**2)))
-    at = [0, *range(max(min_distance, jump), n - min_distance + 1, jump), n]
-    best, came, alive = {0: -penalty}, {}, [0]
-    for t in at[1:]:
-        starts = np.array([s for s in alive if t - s >= min_distance])
-        if not len(starts):
-            continue
-        cost = s2[t] - s2[starts] - (s1[t] - s1[starts]) ** 2 / (t - starts)
-        total = np.array([best[s] for s in starts]) + cost
-        k = int(np.argmin(total))
-        best[t], came[t] = float(total[k]) + penalty, int(starts[k])
-        keep = set(starts[total <= best[t]].tolist())
-        alive = [s for s in alive if t - s < min_distance or s in keep] + [t]
-    out, t = [], n
-    while came.get(t):
-        t = came[t]
-        out.append(t)
-    return out[::-1]
+    """145: change points of one signal at one penalty."""
+    return changes_by_penalty(np.asarray(values, float), [penalty], min_distance, jump)[0] if len(values) else []
 
 
 def fixed_change_points(values: np.ndarray, count: int, min_distance: int = 5) -> list[int]:
     """145: the best ``count`` change points, by dynamic programming over their number."""
     n = len(values)
-    s1, s2 = np.concatenate(([0.0], np.cumsum(values))), np.concatenate(([0.0], np.cumsum(values**2)))
-    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
-    rows = [{t: (cost(0, t), ()) for t in range(min_distance, n + 1)}]
+    costs = {t: costs_to(values, t) for t in range(min_distance, n + 1)}
+    rows = [{t: (costs[t][0], ()) for t in costs}]
     for _ in range(count):
         row = {}
-        for t in range(min_distance, n + 1):
-            cand = [(p[0] + cost(s, t), (*p[1], s)) for s, p in rows[-1].items() if t - s >= min_distance]
+        for t in costs:
+            cand = [(p[0] + costs[t][s], (*p[1], s)) for s, p in rows[-1].items() if t - s >= min_distance]
             if cand:
                 row[t] = min(cand)
         rows.append(row)
@@ -223,15 +266,15 @@ def fixed_change_points(values: np.ndarray, count: int, min_distance: int = 5) -
 
 
 def detect_changes(df: DataFrame, penalties, keys=KEYS, order: str = "i", min_distance: int = 5, jump: int = 1) -> DataFrame:
-    """145: change points of every signal at every penalty: a row for each (signal, penalty)."""
+    """145: change points of every signal at every penalty: a row for each (signal, penalty). A signal goes to its worker once."""
+    penalties = [float(p) for p in penalties]
     grid = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "value"))), lambda x: x["value"].cast("double")).alias("values"))
-    grid = grid.withColumn("penalty", F.explode(F.array(*(F.lit(float(p)) for p in penalties)))).repartition(*keys, "penalty")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema if f.name in keys)
 
     def run(batches):
         for pdf in batches:
-            found = [change_points(np.asarray(v, float), p, min_distance, jump) for v, p in zip(pdf["values"], pdf["penalty"], strict=True)]
-            yield pdf[[*keys, "penalty"]].assign(changes=found)
+            found = pdf[list(keys)].assign(penalty=[penalties] * len(pdf), changes=[changes_by_penalty(np.asarray(v, float), penalties, min_distance, jump) for v in pdf["values"]])
+            yield found.explode(["penalty", "changes"], ignore_index=True).astype({"penalty": float})
 
     return grid.mapInPandas(run, f"{shape}, penalty double, changes array<bigint>")
 

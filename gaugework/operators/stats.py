@@ -18,10 +18,42 @@ from gaugework.observations import Observations, numeric
 RELEVANT = 0.5
 
 
+def _same(keys, a: str, b: str):
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
+
+def percentiles(df: DataFrame, keys, value: str, shares, parts: int = 64) -> DataFrame:
+    """keys, n and q: exact percentiles (on the line between the neighbouring values) of each group, however few the groups.
+
+    Rows become counts of values; these are cut into ``parts`` ranges a group by a sketch, and places follow from sums
+    within ranges and the ranges' offsets, so that no group is sorted or held in one task. Nulls do not count.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_e"))
+    part = F.size(F.filter("_e", lambda e: e < F.col("_v")))
+    placed = counts.alias("c").join(cuts.alias("e"), _same(keys, "c", "e") or F.lit(True)).select(*(f"c.{k}" for k in keys), "_v", "_c", part.alias("_p"))
+    sums = placed.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("n"))
+    within = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.withColumn("_to", F.sum("_c").over(within)).alias("c").join(sums.alias("e"), [*_same(keys, "c", "e"), F.col("c._p") == F.col("e._p")])
+    run = run.select(*(f"c.{k}" for k in keys), "_v", "n", (F.col("_before") + F.col("_to") - F.col("_c")).alias("_from"), (F.col("_before") + F.col("_to")).alias("_to"))
+    at = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
+    both = [f(F.floor(x), F.ceil(x)) for x in place for f in (lambda lo, _: at(lo), lambda _, hi: at(hi))]
+    got = run.groupBy(*keys, "n").agg(*(c.alias(f"_{i}") for i, c in enumerate(both)))
+    line = [F.when(F.ceil(x) == F.floor(x), F.col(f"_{2 * i}")).otherwise((F.ceil(x) - x) * F.col(f"_{2 * i}") + (x - F.floor(x)) * F.col(f"_{2 * i + 1}")) for i, x in enumerate(place)]
+    return got.select(*keys, "n", F.array(*line).alias("q"))
+
+
 def static_model(long: DataFrame, keys=("name", "attr"), how: str = "median") -> DataFrame:
     """55: median or mean for each (name, attr)."""
-    agg = F.median("value") if how == "median" else F.avg("value")
-    return long.groupBy(*keys).agg(agg.alias("static"), F.count("*").alias("n"))
+    if how == "median":
+        counts = long.groupBy(*keys).agg(F.count("*").alias("n"))
+        middle = percentiles(long, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("static"))
+        return counts.alias("c").join(middle.alias("m"), _same(keys, "c", "m"), "left").select(*(f"c.{k}" for k in keys), "static", "n")
+    return long.groupBy(*keys).agg(F.avg("value").alias("static"), F.count("*").alias("n"))
 
 
 def lut_model(long: DataFrame, params, keys=("name", "attr"), how: str = "median") -> DataFrame:
@@ -101,6 +133,16 @@ def correlation(df: DataFrame, param: str, attr: str, name: str = "name") -> Dat
     return df.groupBy(name).agg(F.when(good, F.coalesce(F.nanvl(both, F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("correlation"))
 
 
+def correlation_dependence(df: DataFrame, params, attrs, name: str = "name") -> DataFrame:
+    """64: the size of the correlation of each parameter with each attribute, as a dependence ratio."""
+    out = None
+    for p in params:
+        for a in attrs:
+            part = correlation(df, p, a, name).select(name, F.lit(a).alias("attr"), F.lit(p).alias("param"), F.abs("correlation").alias("dependence"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def codependent_pairs(df: DataFrame, params, name: str = "name") -> DataFrame:
     """66, 67: pairs (p, q), p before q, in which p fixes q and neither is constant; and which of them goes.
 
@@ -120,17 +162,31 @@ def codependent_pairs(df: DataFrame, params, name: str = "name") -> DataFrame:
     return found.select(name, "p", "q", F.when(F.col("same"), F.when(F.col("pn") >= F.col("qn"), F.col("q")).otherwise(F.col("p"))).alias("drop"))
 
 
-def binned_information(df: DataFrame, param: str, attr: str, bins: int = 16, name: str = "name", obs_id: str = "obs_id") -> DataFrame:
-    """68, 69: mutual information (nats) of a parameter's values and an attribute in equal-count bins.
+def _information(df: DataFrame, keys, of: str, bin_: str) -> DataFrame:
+    """Mutual information (nats) of two columns within each group, from their joint counts."""
+    joint = df.groupBy(*keys, F.col(of).alias("v"), F.col(bin_).alias("bin")).agg(F.count("*").alias("n"))
+    p = joint.withColumns({"total": F.sum("n").over(Window.partitionBy(*keys)), "nv": F.sum("n").over(Window.partitionBy(*keys, "v")), "nb": F.sum("n").over(Window.partitionBy(*keys, "bin"))})
+    return p.groupBy(*keys).agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nv") * F.col("nb")))).alias("information"))
+
+
+def with_bins(df: DataFrame, attr: str, bins: int = 16, name: str = "name") -> DataFrame:
+    """``df`` with ``_bin``: the number of the attribute's inner quantiles, of its name, that are below the value."""
+    edges = percentiles(df, [name], attr, [i / bins for i in range(1, bins)]).select(name, F.col("q").alias("_edges"))
+    return df.join(edges, name).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(attr)))).drop("_edges")
+
+
+def binned_information(df: DataFrame, param: str, attr: str, bins: int = 16, name: str = "name") -> DataFrame:
+    """68: mutual information (nats) of a parameter's values and an attribute in equal-count bins.
 
     Bins replace nearest neighbours, which have no scalable exact counterpart.
     """
-    edges = df.groupBy(name).agg(F.percentile_approx(F.col(attr), [i / bins for i in range(1, bins)], 10_000).alias("edges"))
-    binned = df.join(edges, name).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(attr))))
-    joint = binned.groupBy(name, F.col(param).alias("v"), "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(name)
-    p = joint.withColumns({"total": F.sum("n").over(w), "nv": F.sum("n").over(Window.partitionBy(name, "v")), "nb": F.sum("n").over(Window.partitionBy(name, "bin"))})
-    return p.groupBy(name).agg(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nv") * F.col("nb")))).alias("information"))
+    return _information(with_bins(df, attr, bins, name), [name], param, "_bin")
+
+
+def informative_parameters(df: DataFrame, params, attr: str, least: float = 0.1, bins: int = 16, name: str = "name") -> DataFrame:
+    """69: for each name and parameter its information on the attribute, and whether a learner gets it: features under ``least`` are dropped."""
+    long = with_bins(df, attr, bins, name).select(name, "_bin", *(F.col(p).cast("string").alias(p) for p in params)).unpivot([name, "_bin"], list(params), "param", "value")
+    return _information(long, [name, "param"], "value", "_bin").withColumn("selected", F.col("information") >= least)
 
 
 def info_report(long: DataFrame) -> DataFrame:
@@ -147,9 +203,10 @@ def remove_outliers(obs: Observations, limit: float = 10.0) -> Observations:
 
 def box_statistics(long: DataFrame, keys=("name", "attr")) -> DataFrame:
     """72: quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
-    q = long.groupBy(*keys).agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.count("*").alias("n"))
+    q = percentiles(long, keys, "value", [0.25, 0.5, 0.75])
     lo, hi = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
-    whiskers = long.join(q, list(keys)).where((F.col("value") >= lo) & (F.col("value") <= hi)).groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    whiskers = counts.join(q, list(keys)).where((F.col("value") >= lo) & (F.col("value") <= hi)).groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return q.join(whiskers, list(keys)).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
 
 

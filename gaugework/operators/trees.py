@@ -1,8 +1,8 @@
 """Tree models (inventory 91-109): multiway regression trees grown a level at a time, their rules,
 pruning and compilation, and the boosted and binary trees of Spark's own library.
 
-A tree is a small table on the driver: one ``Node`` each. Rows find their node by a compiled
-column, so that a level costs one aggregation over all nodes, keys and folds.
+A tree is a small table on the driver: one ``Node`` each. Rows find their node a level at a time by
+joins with it on (node, value), and a level costs one aggregation over all its nodes.
 """
 
 from __future__ import annotations
@@ -50,13 +50,22 @@ def _number(v: str):
         return None
 
 
-def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float = 0.0, with_functions: bool = False, binary_only: bool = False, relevant: bool = True, ignore_scalar: bool = False, min_gain: float = 1e-9) -> Node:
+def stop_at(explicit: float | None, attr: str | None, max_std: dict[str, float] | None, std_lut: float | None) -> float:
+    """97: the deviation at which a node is a leaf: given, else the attribute's own, else that within configurations, else 0."""
+    for v in (explicit, (max_std or {}).get(attr), std_lut):
+        if v is not None:
+            return float(v)
+    return 0.0
+
+
+def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float | None = None, with_functions: bool = False, binary_only: bool = False, relevant: bool | str = True, ignore_scalar: bool = False, min_gain: float = 1e-9, attr: str | None = None, max_std: dict[str, float] | None = None, least_information: float = 0.1) -> Node:
     """91-97: split each node by the parameter whose groups leave the least sum of squares.
 
     A parameter is no candidate in a node if it is unset in a row, has one value there, is a
     scalar of three or more values (over the whole name) while leaves may be functions, has
     over two values where only binary splits are wanted, or (``relevant``) does not matter by
-    its deviations. A node is a leaf at deviation ``threshold``, at ``max_depth``, without
+    its deviations, or with "information" has less than ``least_information`` nats on the means in
+    the node. A node is a leaf at the deviation that ``stop_at`` gives, at ``max_depth``, without
     candidates or without gain. With ``ignore_scalar`` a node is also a leaf if its groups equal
     in all scalar parameters are within ``threshold``. Ties go to the first parameter.
     """
@@ -65,17 +74,19 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
     scalar = {p for p in params if kinds[p][0] == "SCALAR" and kinds[p][1] >= 3}
     base = rows.select(*params, F.col(value).cast("double").alias("_v")).where("_v is not null")
     config = base.groupBy(*params).agg(F.count("*").alias("_n"), F.avg("_v").alias("_mean"), (F.var_pop("_v") * F.count("*")).alias("_m2")).persist()
-    origin = config.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).first()[0] or 0.0
+    first = config.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n"), F.avg(F.sqrt(F.col("_m2") / F.col("_n")))).first()
+    origin, threshold = first[0] or 0.0, stop_at(threshold, attr, max_std, first[1])
     config = config.withColumn("_d", F.col("_mean") - origin)
     n, s = F.sum("_n"), F.sum(F.col("_n") * F.col("_d"))
     squares = F.sum("_m2") + F.sum(F.col("_n") * F.col("_d") * F.col("_d")) - s * s / n
     splits: dict[str, tuple[str, list[str]]] = {}
     info: dict[str, tuple[int, float]] = {}
     open_nodes, depth = ["r"], 0
+    placed = config.withColumn("_node", F.lit("r"))
     try:
         while open_nodes and depth <= max_depth:
-            at = _locate(splits)
-            placed = config.withColumn("_node", at).where(F.col("_node").isin(open_nodes)) if len(open_nodes) < 2000 else config.withColumn("_node", at)
+            if depth:
+                before, placed = placed, _descend(placed, splits, params, depth - 1, "inner").persist()
             each = F.array(*(F.struct(F.lit(i).alias("i"), _key(p).alias("v")) for i, p in enumerate(params)))
             long = placed.select("_node", "_n", "_m2", "_d", F.explode(F.array_append(each, F.struct(F.lit(-1).alias("i"), F.lit("").alias("v")))).alias("e"))
             groups = long.groupBy("_node", "e.i", "e.v").agg(n.alias("gn"), F.greatest(squares, F.lit(0.0)).alias("sq"), (s / n).alias("gd"))
@@ -85,7 +96,7 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
                 found.setdefault(r["_node"], {})[r["i"]] = r.asDict()
             by = {}
             if relevant and params:
-                dev = _node_deviation(placed, params, n, squares)
+                dev = _node_information(placed, params, least_information) if relevant == "information" else _node_deviation(placed, params, n, squares)
                 by = {(r["_node"], r["param"]): r["depends"] for r in dev.collect()}
             settled = set()
             if ignore_scalar and scalar:
@@ -113,10 +124,13 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
                 values = sorted(mine[best[1]]["values"], key=lambda v: (_number(v) is None, _number(v) or 0.0, v))
                 splits[node] = (params[best[1]], values)
                 going += [f"{node}.{j}" for j in range(len(values))]
+            if depth > 1:
+                before.unpersist()
             open_nodes, depth = going, depth + 1
         tree = _build("r", splits, info)
-        return _function_leaves(base, tree, splits, scalar, info) if with_functions and scalar else tree
+        return _function_leaves(base, tree, splits, params, scalar) if with_functions and scalar else tree
     finally:
+        placed.unpersist()
         config.unpersist()
 
 
@@ -130,14 +144,24 @@ def _node_deviation(placed: DataFrame, params, n, squares) -> DataFrame:
     return by.join(lut, "_node").select("_node", "param", ((F.col("by") != 0) & (F.col("lut") / F.nullif(F.col("by"), F.lit(0.0)) < stats.RELEVANT)).alias("depends"))
 
 
-def _locate(splits) -> Column:
-    """The node of a row: each split extends the path by the index of the row's value."""
-    out = F.lit("r")
-    for node in sorted(splits, key=lambda x: x.count(".")):
-        p, values = splits[node]
-        child = F.array_position(F.array(*(F.lit(v) for v in values)), _key(p)) - 1
-        out = F.when(out == node, F.concat(F.lit(node + "."), child.cast("string"))).otherwise(out)
-    return out
+def _node_information(placed: DataFrame, params, least: float, bins: int = 16) -> DataFrame:
+    """96: relevance of each parameter within each node by its information on the configurations' means, in equal-count bins."""
+    rows = stats.with_bins(placed.select("_node", "_d", *params), "_d", bins, "_node")
+    long = rows.select("_node", "_bin", *(_key(p).alias(p) for p in params)).unpivot(["_node", "_bin"], list(params), "param", "value")
+    return stats._information(long, ["_node", "param"], "value", "_bin").select("_node", "param", (F.col("information") >= least).alias("depends"))
+
+
+def _descend(rows: DataFrame, splits, params, level: int, how: str) -> DataFrame:
+    """Rows at the split nodes of a level moved on to their children, by joins on (node) and (node, value) with the tree's own small tables.
+
+    Inner joins leave out the rows of other nodes, which are leaves; left ones keep them there.
+    """
+    here = {node: s for node, s in splits.items() if node.count(".") == level}
+    spark = rows.sparkSession
+    at = spark.createDataFrame([(node, params.index(p)) for node, (p, _) in here.items()], "_node string, _which int")
+    to = spark.createDataFrame([(node, v, f"{node}.{j}") for node, (_, values) in here.items() for j, v in enumerate(values)], "_node string, _value string, _to string")
+    found = rows.join(at, "_node", how).withColumn("_value", F.get(F.array(*(_key(p) for p in params)), "_which")).join(to, ["_node", "_value"], how)
+    return found.withColumn("_node", F.coalesce("_to", "_node")).drop("_which", "_value", "_to")
 
 
 def _build(node, splits, info) -> Node:
@@ -148,10 +172,12 @@ def _build(node, splits, info) -> Node:
     return Node(mean, n, p, tuple(((v,), _build(f"{node}.{j}", splits, info)) for j, v in enumerate(values)))
 
 
-def _function_leaves(base, tree, splits, scalar, info) -> Node:
+def _function_leaves(base, tree, splits, params, scalar) -> Node:
     """93: linear functions of the scalar parameters in the leaves where these help, all leaves in one pass."""
     terms = tuple(ls.fol_terms(sorted(scalar)))
-    rows = base.withColumn("_node", _locate(splits))
+    rows = base.withColumn("_node", F.lit("r"))
+    for level in range(1 + max((node.count(".") for node in splits), default=-1)):
+        rows = _descend(rows, splits, params, level, "left")
     sums = {r["_node"]: r for r in ls.gram(rows, [ls.term(t) for t in terms], F.col("_v"), ["_node"])}
     spread = {r["_node"]: r for r in rows.groupBy("_node").agg(F.count_distinct(*sorted(scalar)).alias("c"), (F.var_pop("_v") * F.count("*")).alias("m2")).collect()}
 
@@ -270,6 +296,68 @@ def _mean(node: Node, weighted: bool) -> Column:
     return reduce(lambda a, b: a + b, [compiled(c, weighted) * F.lit(k / sum(w)) for (_, c), k in zip(node.children, w, strict=True)])
 
 
+def _tables(spark, node: Node, params, weighted: bool) -> tuple[list[DataFrame], DataFrame, tuple]:
+    """The splits of each level, the leaves, and the terms that leaf functions share."""
+    levels, leaves, terms = [], [], ()
+
+    def walk(x: Node, name: str, level: int):
+        nonlocal terms
+        if x.param is None:
+            terms = x.terms or terms
+            leaves.append((name, float(x.value), [float(b) for b in x.beta] or None))
+            return
+        if len(levels) == level:
+            levels.append([])
+        total = sum(c.n if weighted else 1 for _, c in x.children)
+        kids = [(v, _number(v) if x.threshold is None else None, f"{name}.{j}", (c.n if weighted else 1) / total / len(k if x.threshold is None else [k])) for j, (k, c) in enumerate(x.children) for v in (k if x.threshold is None else [k])]
+        kids.sort(key=lambda c: (c[1] is None, c[1] or 0.0))
+        levels[level].append((name, params.index(x.param), x.threshold, all(c[1] is not None for c in kids) and len(kids) > 1, kids))
+        leaves.append((name + "!", float(x.value), None))
+        for j, (_, c) in enumerate(x.children):
+            walk(c, f"{name}.{j}", level + 1)
+
+    walk(node, "r", 0)
+    shape = "_node string, _which int, _cut double, _line boolean, _kids array<struct<v: string, x: double, to: string, w: double>>"
+    return [spark.createDataFrame(level, shape) for level in levels], spark.createDataFrame(leaves, "_node string, _value double, _beta array<double>"), terms
+
+
+def predict(rows: DataFrame, node: Node, params, key: str = "obs_id", weighted: bool = False) -> DataFrame:
+    """110, 111: (key, predicted) of every row, a level at a time by joins with the tree's small tables.
+
+    Where a value has no child, a row goes on to several with weights: to the numeric neighbours by the line between
+    them (beyond the outermost ones, the line through these), else to all children alike. So the plan grows with the
+    depth of a tree and not with its nodes; ``compiled`` gives the same as one column, for small trees.
+    """
+    params = sorted(params)
+    levels, leaves, terms = _tables(rows.sparkSession, node, params, weighted)
+    used = sorted({*params, *(p for t in terms for p, _ in t)})
+    now = rows.select(key, *used, F.lit("r").alias("_node"), F.lit(1.0).alias("_w"))
+    one = lambda to, w: F.struct(to.alias("to"), w.alias("w"))
+    for level in levels:
+        v, x = F.get(F.array(*(_key(p) for p in params)), "_which"), F.get(F.array(*(numeric(p) for p in params)), "_which")
+        now = now.join(level, "_node", "left").withColumns({"_v": v, "_x": x})
+        now = now.withColumn("_same", F.filter("_kids", lambda c: c["v"] == F.col("_v")))
+        last = F.get("_kids", F.size("_kids") - 1)
+        first = F.get("_kids", F.lit(0))
+        inside = (F.col("_x") > first["x"]) & (F.col("_x") < last["x"])
+        low = F.when(inside, F.array_max(F.transform(F.filter("_kids", lambda c: c["x"] < F.col("_x")), lambda c: F.struct(c["x"], c["to"])))).otherwise(F.struct(first["x"], first["to"]))
+        high = F.when(inside, F.array_min(F.transform(F.filter("_kids", lambda c: c["x"] > F.col("_x")), lambda c: F.struct(c["x"], c["to"])))).otherwise(F.struct(last["x"], last["to"]))
+        part = (F.col("_x") - low["x"]) / (high["x"] - low["x"])
+        cut = F.when(F.col("_x") <= F.col("_cut"), first["to"]).when(F.col("_x") > F.col("_cut"), last["to"]).otherwise(F.concat("_node", F.lit("!")))
+        go = (
+            F.when(F.col("_which").isNull(), F.array(one(F.col("_node"), F.lit(1.0))))
+            .when(F.col("_cut").isNotNull(), F.array(one(cut, F.lit(1.0))))
+            .when(F.size("_same") > 0, F.array(one(F.get("_same", F.lit(0))["to"], F.lit(1.0))))
+            .when(F.col("_line") & F.col("_x").isNotNull(), F.array(one(low["to"], 1 - part), one(high["to"], part)))
+            .otherwise(F.transform("_kids", lambda c: one(c["to"], c["w"])))
+        )
+        now = now.withColumn("_go", F.explode(go)).select(key, *used, F.col("_go.to").alias("_node"), (F.col("_w") * F.col("_go.w")).alias("_w"))
+    value = F.col("_value")
+    if terms:
+        value = F.coalesce(reduce(lambda a, b: a + b, [F.get("_beta", F.lit(i)) * ls.term(t) for i, t in enumerate(terms)]), value)
+    return now.join(leaves, "_node").groupBy(key).agg(F.sum(F.col("_w") * value).alias("predicted"))
+
+
 def complexity(node: Node) -> dict[str, int]:
     """107: nodes, leaves, depth, and a score that counts leaf functions by their terms."""
     if node.param is None:
@@ -358,7 +446,7 @@ def library_tree(kind: str, train: DataFrame, label: str = "value", **options):
     return made(labelCol=label, featuresCol="features", seed=1, **{**defaults, **options}).fit(train)
 
 
-def linear_tree(rows: DataFrame, params, value: str = "value", max_depth: int = 5, bins: int = 120, min_rows: int = 6) -> Node:
+def linear_tree(rows: DataFrame, params, value: str = "value", max_depth: int = 5, bins: int = 120, min_rows: int = 6, min_share: float = 0.1) -> Node:
     """102: top-down linear model tree. One pass a level: sums of products for each (node, feature, quantile bin);
     running sums over bins give both sides of every candidate cut. A cut is kept if the sides' squares are below the node's."""
     params = sorted(params)
@@ -367,7 +455,7 @@ def linear_tree(rows: DataFrame, params, value: str = "value", max_depth: int =
     base = rows.select(*(numeric(p).alias(p) for p in params), F.col(value).cast("double").alias("_v")).dropna().persist()
     edges = {p: sorted(set(base.select(F.percentile_approx(p, [i / bins for i in range(1, bins)], 10_000)).first()[0] or [])) for p in params}
     total = base.count()
-    least = max(min_rows, int(0.01 * total))
+    least = max(min_rows, int(min_share * total))
     cuts: dict[str, tuple[str, float]] = {}
     leaves: dict[str, tuple] = {}
 

@@ -92,10 +92,10 @@ def as_of(spark, sf_dir):
 
 
 @query("q51_window_cut_out", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type FROM events)
-SELECT a.event_id AS centre, b.event_id AS sample FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 3600 AND a.t + 3600 WHERE a.event_id % 5 = 0""")
+SELECT a.event_id AS centre, b.event_id AS sample FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 3600 AND a.t + 3600""")
 def window_cut_out(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", (micros("ts") / 1e6).alias("t"))
-    spans = e.where("event_id % 5 = 0").select(F.col("event_id").alias("centre"), "user_id", (F.col("t") - 3600).alias("lo"), (F.col("t") + 3600).alias("hi"))
+    spans = e.select(F.col("event_id").alias("centre"), "user_id", (F.col("t") - 3600).alias("lo"), (F.col("t") + 3600).alias("hi"))
     return lookup.interval_join(e, spans, ["user_id"], "t", "lo", "hi", 7200.0).select("centre", F.col("event_id").alias("sample"))
 
 
@@ -179,7 +179,7 @@ def config_fold(spark, sf_dir):
 
 @query("q119_monte_carlo")
 def monte_carlo(spark, sf_dir):
-    rows = assess.monte_carlo(unique(observations(spark, sf_dir)), 5)
+    rows = assess.monte_carlo(unique(observations(spark, sf_dir)), 10)
     model = stats.static_model(rows.where("train"), ("name", "attr", "rep"))
     return assess.metrics(rows.where("not train").join(model.withColumnRenamed("static", "predicted").drop("n"), ["name", "attr", "rep"]), KEYS)
 

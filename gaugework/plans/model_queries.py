@@ -93,19 +93,73 @@ def _tree(spark, sf_dir):
     return rows, trees.grow(rows, ["quantity", "status"], max_depth=3)
 
 
-@query("q98_tree_rules", f"WITH {VOLUME} SELECT quantity, round(avg(value), 4) AS value FROM vol GROUP BY quantity")
+@query("q98_tree_rules", f"""WITH {VOLUME}, c AS (SELECT quantity, status, sum(value) AS s, count(*) AS n FROM vol GROUP BY ALL), k AS (SELECT quantity, count(*) AS k FROM c GROUP BY quantity)
+SELECT quantity, CASE WHEN k > 1 THEN status END AS status, round(sum(s) / sum(n), 4) AS value FROM c JOIN k USING (quantity) GROUP BY ALL""")
 def tree_rules(spark, sf_dir):
-    rows = volume(spark, sf_dir)
-    tree = trees.prune(trees.grow(rows, ["quantity", "status"], max_depth=0 + 1))
-    data = [(float(path[0][2]), value) for path, value in trees.flatten(tree)]
-    return spark.createDataFrame(data, "quantity double, value double").select("quantity", r("value", 4))
+    """Rules of the tree at full depth: with all deviations split, a leaf is a configuration."""
+    tree = trees.prune(trees.grow(volume(spark, sf_dir), ["quantity", "status"], relevant=False, threshold=0.0))
+    data = [({p: v for p, _, v in path}, value) for path, value in trees.flatten(tree)]
+    return spark.createDataFrame([(float(d["quantity"]), d.get("status"), v) for d, v in data], "quantity double, status string, value double").select("quantity", "status", r("value", 4))
 
 
-@query("q110_tree_prediction", f"WITH {VOLUME}, m AS (SELECT quantity, avg(value) AS p FROM vol GROUP BY quantity) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (quantity) GROUP BY name")
+@query("q110_tree_prediction", f"WITH {VOLUME}, m AS (SELECT quantity, status, avg(value) AS p FROM vol GROUP BY ALL) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (quantity, status) GROUP BY name")
 def tree_prediction(spark, sf_dir):
     rows = volume(spark, sf_dir)
-    tree = trees.grow(rows, ["quantity", "status"], max_depth=1)
-    return assess.metrics(rows.withColumn("predicted", trees.compiled(tree)), ["name"]).select("name", "count", r("mae", 4))
+    tree = trees.grow(rows, ["quantity", "status"], relevant=False, threshold=0.0)
+    return assess.metrics(rows.join(trees.predict(rows, tree, ["quantity", "status"]), "obs_id"), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
+
+
+@query("q96_tree_by_information", f"WITH {VOLUME}, m AS (SELECT quantity, avg(value) AS p FROM vol GROUP BY ALL) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (quantity) GROUP BY name")
+def tree_by_information(spark, sf_dir):
+    """Of quantity and status only the first has information on the means."""
+    rows = volume(spark, sf_dir)
+    tree = trees.grow(rows, ["quantity", "status"], relevant="information", threshold=0.0, least_information=1.0)
+    return assess.metrics(rows.join(trees.predict(rows, tree, ["quantity", "status"]), "obs_id"), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
+
+
+@query("q97_tree_threshold", f"WITH {VOLUME}, m AS (SELECT avg(value) AS p FROM vol) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol, m GROUP BY name")
+def tree_threshold(spark, sf_dir):
+    """The attribute's own deviation is allowed to be as large as it is: the tree is one leaf."""
+    rows = volume(spark, sf_dir)
+    most = rows.agg(F.stddev_pop("value")).first()[0]
+    tree = trees.grow(rows, ["quantity", "status"], attr="volume", max_std={"volume": most * (1 + 1e-9)})
+    return assess.metrics(rows.withColumn("predicted", trees.compiled(tree)), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
+
+
+#: Least squares with an intercept, and means in leaves, leave residuals that sum to nothing.
+UNBIASED = f"WITH {VOLUME} SELECT count(*) AS count, round(avg(value), 2) AS mean_predicted, true AS better_than_static FROM vol"
+
+
+def _unbiased(rows):
+    """Rows, their mean prediction, and whether the mean absolute error is below that of the mean."""
+    mean = rows.agg(F.avg("value").alias("_m"))
+    both = rows.crossJoin(F.broadcast(mean))
+    return both.agg(F.count("*").alias("count"), F.round(F.avg("predicted"), 2).alias("mean_predicted"), (F.avg(F.abs(F.col("value") - F.col("predicted"))) < F.avg(F.abs(F.col("value") - F.col("_m")))).alias("better_than_static"))
+
+
+@query("q93_function_leaves_unbiased", UNBIASED)
+def function_leaves_unbiased(spark, sf_dir):
+    rows = volume(spark, sf_dir)
+    tree = trees.grow(rows, ["quantity", "status", "name"], with_functions=True, relevant=False)
+    return _unbiased(rows.join(trees.predict(rows, tree, ["quantity", "status", "name"]), "obs_id"))
+
+
+@query("q100_cart_unbiased", UNBIASED)
+def cart_unbiased(spark, sf_dir):
+    rows = trees.features(volume(spark, sf_dir), ["quantity", "size"], ["status"])
+    return _unbiased(trees.library_tree("cart", rows).transform(rows).withColumnRenamed("prediction", "predicted"))
+
+
+@query("q102_linear_tree_unbiased", UNBIASED)
+def linear_tree_unbiased(spark, sf_dir):
+    rows = volume(spark, sf_dir)
+    return _unbiased(rows.withColumn("predicted", trees.compiled(trees.linear_tree(rows, ["quantity", "size"]))))
+
+
+@query("q103_boosted_unbiased", UNBIASED)
+def boosted_unbiased(spark, sf_dir):
+    rows = trees.features(volume(spark, sf_dir), ["quantity", "size"])
+    return _unbiased(trees.library_tree("boosted", rows).transform(rows).withColumnRenamed("prediction", "predicted"))
 
 
 @query("q93_function_leaves")

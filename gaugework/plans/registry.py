@@ -36,8 +36,11 @@ def micros(ts: str) -> Column:
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared one that ``spark.checkpoint.dir`` names; a local one only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the shared one that ``spark.checkpoint.dir`` names; a local one only where that is unset and Spark runs in one process (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -141,7 +141,7 @@ def refinement(spark, sf_dir):
 
 @query("q145_change_points")
 def change_points(spark, sf_dir):
-    return signals.detect_changes(sig(spark, sf_dir), range(1, 89, 8), min_distance=3)
+    return signals.detect_changes(sig(spark, sf_dir), range(1, 89), min_distance=3)
 
 
 @query("q144_refinement_by_changes")
@@ -152,13 +152,13 @@ def refinement_by_changes(spark, sf_dir):
 
 @query("q146_plateau_penalty")
 def plateau_penalty(spark, sf_dir):
-    return signals.plateau_penalty(signals.detect_changes(sig(spark, sf_dir), range(1, 89, 8), min_distance=3))
+    return signals.plateau_penalty(signals.detect_changes(sig(spark, sf_dir), range(1, 89), min_distance=3))
 
 
 @query("q147_substates")
 def substates(spark, sf_dir):
     rows = sig(spark, sf_dir).withColumn("name", F.pmod("signal", F.lit(5)))
-    found = signals.detect_changes(rows, range(500, 4000, 500), keys=["name", "signal"], min_distance=3)
+    found = signals.detect_changes(rows, range(1, 89), keys=["name", "signal"], min_distance=3)
     chosen = signals.plateau_penalty(found, ["name", "signal"])
     return signals.substates(rows, found.join(chosen, ["name", "signal", "penalty"]))
 
@@ -176,7 +176,7 @@ def _expected(rows):
 @query("q149_drift_candidates")
 def drift_candidates(spark, sf_dir):
     rows = sig(spark, sf_dir)
-    return signals.drift_candidates(rows, _expected(rows), [50.0, 200.0, 800.0], 400_000.0)
+    return signals.drift_candidates(rows, _expected(rows), [1.0, 2.0, 5.0, 10.0, 15.0, 20.0], 400_000.0)
 
 
 @query("q150_drift_min_path")

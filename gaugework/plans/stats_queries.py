@@ -199,7 +199,11 @@ def correlation(spark, sf_dir):
 
 
 @query("q66_codependence", """
-SELECT c_mktsegment AS name, p, q, q AS "drop" FROM (SELECT DISTINCT c_mktsegment, 'nation' AS p, 'region' AS q FROM customer)
+WITH c AS (SELECT c_mktsegment AS name, c_nationkey AS nation, n_regionkey AS region, c_custkey % 7 AS week FROM customer JOIN nation ON c_nationkey = n_nationkey),
+x AS (SELECT name, 'nation' AS p, 'region' AS q, nation AS pv, region AS qv FROM c UNION ALL SELECT name, 'nation', 'week', nation, week FROM c UNION ALL SELECT name, 'region', 'week', region, week FROM c),
+v AS (SELECT name, p, q, pv, count(DISTINCT qv) AS qs FROM x GROUP BY ALL),
+a AS (SELECT name, p, q, count(DISTINCT qv) AS all_q FROM x GROUP BY ALL)
+SELECT name, p, q, q AS "drop" FROM v JOIN a USING (name, p, q) GROUP BY name, p, q, all_q HAVING max(qs) = 1 AND count(*) > 1 AND all_q > 1
 """)
 def codependence(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
@@ -207,9 +211,31 @@ def codependence(spark, sf_dir):
     return stats.codependent_pairs(c.join(nation, "nation"), ["nation", "region", "week"])
 
 
-@query("q68_binned_information")
+#: Each row's quantile bin by its name's 15 inner sixteenths, and the information of joint counts on it.
+BINNED = f"""WITH {OBS},
+e AS (SELECT name, quantile_cont(unit_price, [i / 16.0 FOR i IN range(1, 16)]) AS edges FROM obs GROUP BY name),
+b AS (SELECT obs.*, len(list_filter(edges, lambda x: x < unit_price)) AS bin FROM obs JOIN e USING (name)),
+l AS (SELECT name, bin, 'quantity' AS param, quantity::VARCHAR AS v FROM b UNION ALL SELECT name, bin, 'status', status FROM b),
+j AS (SELECT name, param, v, bin, count(*) AS n FROM l GROUP BY ALL),
+p AS (SELECT *, sum(n) OVER (PARTITION BY name, param) AS total, sum(n) OVER (PARTITION BY name, param, v) AS nv, sum(n) OVER (PARTITION BY name, param, bin) AS nb FROM j),
+i AS (SELECT name, param, sum(n / total * ln(n * total / (nv * nb))) AS information FROM p GROUP BY ALL)"""
+
+
+@query("q68_binned_information", f"{BINNED} SELECT name, round(information, 6) AS information FROM i WHERE param = 'quantity'")
 def binned_information(spark, sf_dir):
-    return stats.binned_information(observations(spark, sf_dir).df, "quantity", "unit_price")
+    return stats.binned_information(observations(spark, sf_dir).df, "quantity", "unit_price").select("name", r("information", 6))
+
+
+@query("q69_informative_parameters", f"{BINNED} SELECT name, param, round(information, 6) AS information, information >= 0.1 AS selected FROM i")
+def informative_parameters(spark, sf_dir):
+    return stats.informative_parameters(observations(spark, sf_dir).df, ["quantity", "status"], "unit_price").select("name", "param", r("information", 6), "selected")
+
+
+@query("q64_correlation_dependence", f"""WITH {LONG} SELECT name, attr, param, round(abs(dependence), 6) AS dependence FROM (
+SELECT name, attr, 'quantity' AS param, corr(quantity, value) AS dependence FROM long GROUP BY ALL UNION ALL SELECT name, attr, 'tax', corr(tax, value) FROM long GROUP BY ALL)""")
+def correlation_dependence(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    return stats.correlation_dependence(obs.df, ["quantity", "tax"], obs.attrs).select("name", "attr", "param", r("dependence", 6))
 
 
 @query("q70_info_report", f"WITH {LONG} SELECT name, attr, count(*) AS samples, round(min(value), 5) AS least, round(max(value), 5) AS most, count(DISTINCT value) AS distinct_values FROM long GROUP BY ALL")
@@ -255,11 +281,11 @@ def constant_options(spark, sf_dir):
     return stats.constant_options(options, ["large", "half"])
 
 
-@query("q80_aggregate_check", f"WITH {OBS} SELECT name FROM obs WHERE false")
+@query("q80_aggregate_check", """SELECT l_orderkey AS name FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(CASE WHEN l_quantity > 3 THEN 1 END)""")
 def aggregate_check(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    w = F.collect_list(F.struct("status", "quantity"))
-    grouped = obs.df.groupBy("name", F.pmod("obs_id", F.lit(64)).alias("part")).agg(w.alias("param"), *(F.collect_list(a).alias(a) for a in obs.attrs))
-    return stats.aggregate_check(grouped, obs.attrs)
+    """Arrays of an order's lines, one attribute of which is not measured for small lines."""
+    li = table(spark, sf_dir, "lineitem")
+    grouped = li.groupBy(F.col("l_orderkey").alias("name")).agg(F.collect_list(F.struct("l_linestatus", "l_quantity")).alias("param"), F.collect_list("l_extendedprice").alias("price"), F.collect_list(F.when(F.col("l_quantity") > 3, F.col("l_tax"))).alias("tax"))
+    return stats.aggregate_check(grouped, ["price", "tax"])
 
 

@@ -142,13 +142,15 @@ def test_change_points_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
         v = np.concatenate([rng.normal(m, 1, 6) for m in rng.integers(0, 30, 4)])
-        cost = lambda a, b: ((v[a:b] - v[a:b].mean()) ** 2).sum()  # noqa: B023, E731
+        cost = lambda a, b: np.abs(v[a:b] - np.median(v[a:b])).sum()  # noqa: B023, E731
         best = {0: (-9.0, [])}
         for t in range(3, len(v) + 1):
             cand = [(best[s][0] + cost(s, t) + 9.0, best[s][1] + [s] * (s > 0)) for s in best if t - s >= 3]
             if cand:
                 best[t] = min(cand)
         assert signals.change_points(v, 9.0, 3) == best[len(v)][1]
+        assert signals.changes_by_penalty(v, [4.0, 9.0, 400.0], 3)[1:] == [best[len(v)][1], []]
+        assert np.allclose(signals.costs_to(v, 17), [cost(a, 17) for a in range(17)])
         n = len(best[len(v)][1])
         assert signals.fixed_change_points(v, n, 3) == best[len(v)][1] or n == 0
 
@@ -241,3 +243,108 @@ def test_streamed_lines_give_batch_moments(spark, tmp_path):
     q.stop()
     row = spark.sql("SELECT * FROM moments").first()
     assert (row.n, row["mean"]) == (3, 1.0)
+
+
+def test_changes_of_signals(spark):
+    """145-147, 149: rows for each signal and penalty as of each signal alone; sub-states from numpy."""
+    rng = np.random.default_rng(8)
+    data = {k: np.concatenate([rng.normal(m, 1, 12) for m in rng.integers(0, 60, 3)]) for k in range(6)}
+    df = spark.createDataFrame([("a", k, i, float(x)) for k, v in data.items() for i, x in enumerate(v)], "name string, signal int, i int, value double")
+    found = signals.detect_changes(df, range(1, 89), ["name", "signal"], min_distance=3)
+    got = {(r.signal, r.penalty): r.changes for r in found.collect()}
+    assert got == {(k, float(p)): signals.change_points(v, p, 3) for k, v in data.items() for p in range(1, 89)}
+    chosen = signals.plateau_penalty(found, ["name", "signal"])
+    want = {}
+    for k in data:
+        runs, n = [], [len(got[k, float(p)]) for p in range(1, 89)]
+        for i, x in enumerate(n):
+            if i and n[i - 1] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([i, 1])
+        start, length = max(runs, key=lambda r: r[1])
+        want[k] = float(1 + start + (length - 1) // 2)
+    assert {r.signal: r.penalty for r in chosen.collect()} == want
+    usual = max(set(c := [len(got[k, want[k]]) for k in data]), key=lambda x: (c.count(x), -x))
+    subs = signals.substates(df, found.join(chosen.select("name", "signal", "penalty"), ["name", "signal", "penalty"]), keys=["signal"])
+    rows = {(r.signal, r.substate): (r.mean, r.duration) for r in subs.collect()}
+    for k, v in data.items():
+        cuts = got[k, want[k]]
+        if len(cuts) == usual:
+            for j, part in enumerate(np.split(v, cuts)):
+                assert abs(rows[k, j][0] - part.mean()) < 1e-9 and rows[k, j][1] == len(part)
+    t = df.where("signal = 0").select("signal", F.col("i").cast("double").alias("t"), "value")
+    events = spark.createDataFrame([(0, 1, 11.0), (0, 2, 25.0)], "signal int, event int, t double")
+    votes = {(r.event, r.drift): r.votes for r in signals.drift_candidates(t, events, [1.0, 10.0, 40.0], 8.0).collect()}
+    brute = {}
+    for e, at in ((1, 11), (2, 25)):
+        lo = max(0, at - 8)
+        for p in (1.0, 10.0, 40.0):
+            for c in signals.change_points(data[0][lo : at + 9], p):
+                brute[e, float(lo + c - at)] = brute.get((e, float(lo + c - at)), 0) + 1
+    assert votes == brute
+
+
+def test_percentiles(spark):
+    """Exact percentiles of few groups, with ties, nulls, null keys and single rows, as numpy has them."""
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(size=3001)] + [("b", float(x)) for x in rng.integers(0, 4, 500)] + [("c", 7.0), ("d", None), (None, 1.0), (None, 2.0)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: (r.n, r.q) for r in stats.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares).collect()}
+    for k in ("a", "b", "c", None):
+        v = [x for g, x in rows if g == k]
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, shares), rtol=1e-12)
+    assert "d" not in got
+    static = {r.name: (r.static, r.n) for r in stats.static_model(spark.createDataFrame([(k, "x", v) for k, v in rows], "name string, attr string, value double")).collect()}
+    assert static["d"] == (None, 1) and static["b"][1] == 500
+
+
+def test_tree_thresholds_and_information(spark):
+    """97: explicit, the attribute's own, within configurations, none. 69, 96: parameters without information are left out."""
+    assert trees.stop_at(1, "a", {"a": 2}, 3) == 1 and trees.stop_at(None, "a", {"a": 2}, 3) == 2 and trees.stop_at(None, "b", {"a": 2}, 3) == 3 and trees.stop_at(None, None, None, None) == 0
+    rng = np.random.default_rng(11)
+    rows = [("n", str(i % 2), str(rng.integers(0, 3)), 100.0 * (i % 2) + float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "name string, p string, q string, value double")
+    even = df.union(df.withColumn("value", F.col("value") + 40)).union(df.withColumn("value", F.col("value") - 40))
+    assert trees.complexity(trees.grow(even, ["p", "q"], relevant=False, max_std={"value": 40.0}, attr="value"))["nodes"] == 3
+    assert trees.complexity(trees.grow(df, ["p", "q"], relevant=False))["nodes"] < trees.complexity(trees.grow(df, ["p", "q"], relevant=False, threshold=0.0))["nodes"] + 1
+    assert trees.complexity(trees.grow(df, ["p", "q"], relevant=False, threshold=0.0))["nodes"] > 3
+    assert trees.grow(df, ["p", "q"], attr="value", max_std={"value": 1000.0}).param is None
+    assert trees.complexity(trees.grow(df, ["p", "q"], relevant="information", threshold=0.0))["nodes"] >= 3
+    picked = {r.param: (r.information, r.selected) for r in stats.informative_parameters(df, ["p", "q"], "value").collect()}
+    assert picked["p"][1] and abs(picked["p"][0] - np.log(2)) < 0.02 and not picked["q"][1]
+    ratios = {r.param: r.dependence for r in stats.correlation_dependence(df, ["p", "q"], ["value"]).collect()}
+    assert ratios["p"] > 0.99 and ratios["q"] < 0.2
+
+
+def test_places_without_one_task(spark):
+    """119, 140: repetitions and new numbers from ranges."""
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "obs_id long, name string")
+    rows = assess.monte_carlo(df, 4).collect()
+    for rep in range(4):
+        for name in "ab":
+            mine = [r for r in rows if r.rep == rep and r.name == name]
+            assert len(mine) == 150 and sum(r.train for r in mine) == 100
+    assert len({tuple(sorted(r.obs_id for r in rows if r.rep == k and r.train)) for k in range(4)}) == 4
+    a, b = (spark.createDataFrame([(t, s) for t in ids for s in range(2)], "trace_id long, seq int") for ids in ((5, 2, 9), (2, 7)))
+    assert {(r.orig_id, r.trace_id) for r in signals.concat_traces(a, b).collect()} == {(2, 1), (5, 2), (9, 3), (2, 4), (7, 5)}
+
+
+def test_prediction_by_joins(spark):
+    """110, 111: as the compiled column, with unseen values of every kind, merged children and cuts."""
+    rng = np.random.default_rng(3)
+    train = [(i, str(rng.integers(0, 4)), "xyz"[rng.integers(0, 3)], float(rng.normal())) for i in range(80)]
+    df = spark.createDataFrame(train, "obs_id long, p string, q string, value double")
+    seen = spark.createDataFrame([(100 + i, p, q, 0.0) for i, (p, q) in enumerate((p, q) for p in ("0", "1.5", "-3", "9", None, "w", "2") for q in ("x", "v", None))], "obs_id long, p string, q string, value double")
+    whole = trees.grow(df, ["p", "q"], relevant=False, threshold=0.0)
+    leaf, node = trees.Node, trees.Node
+    cut = node(5.0, 4, "p", (("<=", leaf(1.0, 1)), (">", node(3.0, 3, "q", ((("x", "y"), leaf(2.0, 2)), (("z",), leaf(7.0, 1)))))), 1.0)
+    for tree in (whole, cut, trees.prune(whole, True), leaf(4.0)):
+        for weighted in (False, True):
+            rows = df.union(seen)
+            want = {r.obs_id: r.v for r in rows.select("obs_id", trees.compiled(tree, weighted).alias("v")).collect()}
+            got = {r.obs_id: r.predicted for r in trees.predict(rows, tree, ["p", "q"], weighted=weighted).collect()}
+            assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want), [(k, got[k], want[k]) for k in want if abs(got[k] - want[k]) >= 1e-9]
+    lines = spark.createDataFrame([(i, "ab"[i % 2], float(i // 2), 3.0 * (i // 2) + (i % 2)) for i in range(40)], "obs_id long, p string, x double, value double")
+    tree = trees.grow(lines, ["p", "x"], with_functions=True, relevant=False, threshold=0.0)
+    assert all(abs(r.predicted - r.value) < 1e-6 for r in lines.join(trees.predict(lines, tree, ["p", "x"]), "obs_id").collect())
