@@ -321,8 +321,8 @@ def _tables(spark, node: Node, params, weighted: bool) -> tuple[list[DataFrame],
     return [spark.createDataFrame(level, shape) for level in levels], spark.createDataFrame(leaves, "_node string, _value double, _beta array<double>"), terms
 
 
-def predict(rows: DataFrame, node: Node, params, key: str = "obs_id", weighted: bool = False) -> DataFrame:
-    """110, 111: (key, predicted) of every row, a level at a time by joins with the tree's small tables.
+def predict(rows: DataFrame, node: Node, params, weighted: bool = False) -> DataFrame:
+    """110, 111: ``rows`` with ``predicted``, worked out for each different configuration, a level at a time by joins with the tree's small tables.
 
     Where a value has no child, a row goes on to several with weights: to the numeric neighbours by the line between
     them (beyond the outermost ones, the line through these), else to all children alike. So the plan grows with the
@@ -331,7 +331,7 @@ def predict(rows: DataFrame, node: Node, params, key: str = "obs_id", weighted:
     params = sorted(params)
     levels, leaves, terms = _tables(rows.sparkSession, node, params, weighted)
     used = sorted({*params, *(p for t in terms for p, _ in t)})
-    now = rows.select(key, *used, F.lit("r").alias("_node"), F.lit(1.0).alias("_w"))
+    now = rows.select(*used).distinct().select("*", F.lit("r").alias("_node"), F.lit(1.0).alias("_w"))
     one = lambda to, w: F.struct(to.alias("to"), w.alias("w"))
     for level in levels:
         v, x = F.get(F.array(*(_key(p) for p in params)), "_which"), F.get(F.array(*(numeric(p) for p in params)), "_which")
@@ -351,11 +351,13 @@ def predict(rows: DataFrame, node: Node, params, key: str = "obs_id", weighted:
             .when(F.col("_line") & F.col("_x").isNotNull(), F.array(one(low["to"], 1 - part), one(high["to"], part)))
             .otherwise(F.transform("_kids", lambda c: one(c["to"], c["w"])))
         )
-        now = now.withColumn("_go", F.explode(go)).select(key, *used, F.col("_go.to").alias("_node"), (F.col("_w") * F.col("_go.w")).alias("_w"))
+        now = now.withColumn("_go", F.explode(go)).select(*used, F.col("_go.to").alias("_node"), (F.col("_w") * F.col("_go.w")).alias("_w"))
     value = F.col("_value")
     if terms:
         value = F.coalesce(reduce(lambda a, b: a + b, [F.get("_beta", F.lit(i)) * ls.term(t) for i, t in enumerate(terms)]), value)
-    return now.join(leaves, "_node").groupBy(key).agg(F.sum(F.col("_w") * value).alias("predicted"))
+    found = now.join(leaves, "_node").groupBy(*used).agg(F.sum(F.col("_w") * value).alias("predicted"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in used]
+    return rows.alias("r").join(found.alias("p"), same).select("r.*", "predicted")
 
 
 def complexity(node: Node) -> dict[str, int]:

@@ -106,7 +106,7 @@ def tree_rules(spark, sf_dir):
 def tree_prediction(spark, sf_dir):
     rows = volume(spark, sf_dir)
     tree = trees.grow(rows, ["quantity", "status"], relevant=False, threshold=0.0)
-    return assess.metrics(rows.join(trees.predict(rows, tree, ["quantity", "status"]), "obs_id"), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
+    return assess.metrics(trees.predict(rows, tree, ["quantity", "status"]), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
 
 
 @query("q96_tree_by_information", f"WITH {VOLUME}, m AS (SELECT quantity, avg(value) AS p FROM vol GROUP BY ALL) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (quantity) GROUP BY name")
@@ -114,7 +114,7 @@ def tree_by_information(spark, sf_dir):
     """Of quantity and status only the first has information on the means."""
     rows = volume(spark, sf_dir)
     tree = trees.grow(rows, ["quantity", "status"], relevant="information", threshold=0.0, least_information=1.0)
-    return assess.metrics(rows.join(trees.predict(rows, tree, ["quantity", "status"]), "obs_id"), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
+    return assess.metrics(trees.predict(rows, tree, ["quantity", "status"]), ["name"], wanted=("count", "mae")).select("name", "count", r("mae", 4))
 
 
 @query("q97_tree_threshold", f"WITH {VOLUME}, m AS (SELECT avg(value) AS p FROM vol) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol, m GROUP BY name")
@@ -141,7 +141,7 @@ def _unbiased(rows):
 def function_leaves_unbiased(spark, sf_dir):
     rows = volume(spark, sf_dir)
     tree = trees.grow(rows, ["quantity", "status", "name"], with_functions=True, relevant=False)
-    return _unbiased(rows.join(trees.predict(rows, tree, ["quantity", "status", "name"]), "obs_id"))
+    return _unbiased(trees.predict(rows, tree, ["quantity", "status", "name"]))
 
 
 @query("q100_cart_unbiased", UNBIASED)

@@ -347,4 +347,4 @@ def test_prediction_by_joins(spark):
             assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want), [(k, got[k], want[k]) for k in want if abs(got[k] - want[k]) >= 1e-9]
     lines = spark.createDataFrame([(i, "ab"[i % 2], float(i // 2), 3.0 * (i // 2) + (i % 2)) for i in range(40)], "obs_id long, p string, x double, value double")
     tree = trees.grow(lines, ["p", "x"], with_functions=True, relevant=False, threshold=0.0)
-    assert all(abs(r.predicted - r.value) < 1e-6 for r in lines.join(trees.predict(lines, tree, ["p", "x"]), "obs_id").collect())
+    assert all(abs(r.predicted - r.value) < 1e-6 for r in trees.predict(lines, tree, ["p", "x"]).collect())
