@@ -4,8 +4,8 @@ A vector is coded as a sum of full-dimensional codewords, one from each codebook
 fitted on a bounded sample (``SAMPLE`` vectors): residual k-means, then rounds of beam-search
 coding and joint least-squares updates. All vectors are coded by beam search and keep the norm
 of what their code stands for, so that a query scores a vector with one table lookup a codebook:
-|q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2. The best of each query, ``SHARE`` of the table and
-``RERANK`` at most, are ranked again by exact distance on the original vectors.
+|q - x|^2 = |q|^2 - 2 sum_m <q, c_m> + |x|^2. The best ``RERANK`` of each query, as many at every
+size of the table, are ranked again by exact distance on the original vectors.
 
 Estimates do not order near copies that differ by less than the error of their codes. So a query
 whose last estimate of these, less the largest error, is not beyond its k-th exact distance goes
@@ -32,9 +32,7 @@ from pyspark.sql import functions as F
 from gaugework.llm.store import settle
 
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 32768, 16, 256, 4, 1
-BLOCK, QUERIES, RERANK = 4096, 256, 1000
-#: Share of all vectors that a query reranks, and the least number as a multiple of its neighbours.
-SHARE, LEAST = 0.02, 4
+BLOCK, QUERIES, RERANK = 4096, 256, 100
 #: Queries that one broadcast of the second pass takes along.
 ASKED = 4096
 
@@ -210,14 +208,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int | None = None, sample: int = SAMPLE, close: bool = True) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, sample: int = SAMPLE, close: bool = True) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest found.
 
     ``vectors`` and ``queries`` come from ``usable``. Without ``close``, queries that the codes leave open get no second pass.
     """
     spark = vectors.sparkSession
     total = vectors.count()
-    rerank = rerank or min(RERANK, max(LEAST * k, -(-total // int(1 / SHARE))))
+    rerank = max(rerank, k)
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not rows.num_rows:
