@@ -57,18 +57,23 @@ def nondeterminism(spark, sf_dir):
     return behaviour.nondeterministic(behaviour.learn_edges(chat_calls(spark, sf_dir)), ["turns"])
 
 
+def _longest(calls) -> int:
+    """Steps of the longest run, and one more to its end."""
+    return (calls.agg(F.max("turns")).first()[0] or 0) + 1
+
+
 @query("q158_trace_prediction")
 def trace_prediction(spark, sf_dir):
     c = chat_calls(spark, sf_dir)
     g = behaviour.learn_guards(behaviour.learn_edges(c), ["turns"])
-    return behaviour.predict_traces(c.select("run", "turns").distinct(), g, ["turns"], limit=12, cut=50)
+    return behaviour.predict_traces(c.select("run", "turns").distinct(), g, ["turns"], limit=_longest(c), cut=50)
 
 
 @query("q159_trace_accuracy")
 def trace_accuracy(spark, sf_dir):
     c = chat_calls(spark, sf_dir)
     g = behaviour.learn_guards(behaviour.learn_edges(c), ["turns"])
-    return behaviour.trace_accuracy(behaviour.predict_traces(c.select("run", "turns").distinct(), g, ["turns"], limit=12, cut=50), c)
+    return behaviour.trace_accuracy(behaviour.predict_traces(c.select("run", "turns").distinct(), g, ["turns"], limit=_longest(c), cut=50), c)
 
 
 @query("q160_trace_costs", f"""WITH {CALLS}, l AS (SELECT site, mode, median(value) AS p FROM calls GROUP BY ALL), s AS (SELECT run, sum(value) AS t, sum(p) AS p FROM calls JOIN l USING (site, mode) GROUP BY run)
