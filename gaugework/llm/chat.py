@@ -5,6 +5,12 @@ text and place; the exclusive or of these over the turns so far is the hash of a
 A conversation whose whole hash is a proper prefix of another's goes (an anti-join), as do all
 but the smallest id of equal conversations; the rest are rendered.
 
+Turns are dealt by ranges of conversation and place, so that a conversation that holds a large
+share of all rows is the work of many tasks. Places and hashes are counted within a range; what a
+conversation has in earlier ranges is added by a broadcast. A range begins within at most one
+conversation, so that this side has at most two rows a range. Such a conversation is rendered in
+one piece a range, and the pieces are joined; the result has one text a conversation all the same.
+
 Defined cases. Turns are ordered by turn, nulls first, and those of one number by the SHA-256 of
 role and text; a null role or text is empty in the rendering but differs from an empty one in
 comparisons. Rows with a null conv_id form one conversation. Repeated rows are repeated turns.
@@ -13,50 +19,95 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.llm.store import settle
+from gaugework.llm.store import join_frequent_apart, settle
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, n (turns so far), h1 and h2 (128 bits of the prefix), size (turns in all); no texts."""
-    bare = turns.select("conv_id", "turn", F.coalesce(F.concat(F.lit("r"), "role"), F.lit("")).alias("r"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")).alias("t"))
-    small = bare.select("conv_id", "turn", F.xxhash64("r", "t").alias("k1"), F.xxhash64(F.lit(7), "r", "t").alias("k2"), F.sha2(F.concat_ws("\x00", "r", "t"), 256).alias("o"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "o")
-    placed = small.withColumn("n", F.row_number().over(order))
+def _marked(c: str) -> Column:
+    """A text that tells null from empty."""
+    return F.coalesce(F.concat(F.lit(c[0]), c), F.lit(""))
+
+
+def _order() -> Column:
+    """What orders the turns of one number."""
+    return F.sha2(F.concat_ws("\x00", _marked("role"), _marked("text")), 256)
+
+
+def _same(a: str, b: str, *names: str) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out &= F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+    return out
+
+
+def prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conv_id, n (turns so far), h1 and h2 (128 bits of the prefix), size (turns in all), without texts; and the pieces
+    of conversations in several ranges: conv_id, part, before (turns in earlier ranges), whole (turns in all) and from
+    (turn and order of the first turn in the range)."""
+    hashed = turns.select("conv_id", "turn", F.xxhash64(_marked("role"), _marked("text")).alias("k1"), F.xxhash64(F.lit(7), _marked("role"), _marked("text")).alias("k2"), _order().alias("o"), F.monotonically_increasing_id().alias("tie"))
+    ranged = settle(settle(hashed).repartitionByRange("conv_id", "turn", "o", "tie").withColumn("part", F.spark_partition_id()))
+    conv = Window.partitionBy("conv_id")
+    earlier = conv.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("here"), F.min(F.struct("turn", "o")).alias("from"))
+    pieces = pieces.select("conv_id", "part", "from", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"), F.sum("here").over(conv).alias("whole"), F.count("*").over(conv).alias("parts"))
+    pieces = settle(pieces.where("parts > 1").drop("parts"))
+    known = ranged.alias("r").join(F.broadcast(pieces.alias("p")), _same("r", "p", "conv_id", "part"), "left").select("r.*", "before", "whole")
+    piece = Window.partitionBy("conv_id", "part")
+    order = piece.orderBy(F.col("turn").asc_nulls_first(), "o", "tie")
+    placed = known.withColumn("n", F.row_number().over(order) + F.coalesce("before", F.lit(0)))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select(
+    placed = settle(placed.select(
         "conv_id",
+        "part",
         "n",
         F.bit_xor(F.xxhash64("n", "k1", "k2")).over(so_far).alias("h1"),
         F.bit_xor(F.xxhash64("k2", "n", "k1")).over(so_far).alias("h2"),
-        F.count("*").over(Window.partitionBy("conv_id")).alias("size"),
-    )
-
-
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id of the conversations that no other continues or repeats."""
-    all_prefixes = settle(prefixes(turns))
+        F.coalesce("whole", F.count("*").over(piece)).alias("size"),
+        F.col("whole").isNotNull().alias("split"),
+    ))
+    ends = placed.where("split").groupBy("conv_id", "part").agg(F.max_by("h1", "n").alias("h1"), F.max_by("h2", "n").alias("h2"))
+    carried = ends.select("conv_id", "part", F.bit_xor("h1").over(earlier).alias("c1"), F.bit_xor("h2").over(earlier).alias("c2"))
+    both = placed.alias("r").join(F.broadcast(carried.alias("c")), _same("r", "c", "conv_id", "part"), "left")
+    zero = F.lit(0).cast("long")
+    return both.select("r.conv_id", "n", F.col("h1").bitwiseXOR(F.coalesce("c1", zero)).alias("h1"), F.col("h2").bitwiseXOR(F.coalesce("c2", zero)).alias("h2"), "size"), pieces
+
+
+def maximal(all_prefixes: DataFrame) -> DataFrame:
+    """conv_id and size of the conversations that no other continues or repeats."""
     whole = all_prefixes.where("n = size").groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("first"))
     longer = all_prefixes.where("n < size").select("n", "h1", "h2").distinct()
-    return whole.join(longer, ["n", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("conv_id"))
+    return whole.join(longer, ["n", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("n").alias("size"))
+
+
+def _joined(pieces: Column) -> Column:
+    """Texts of ``line`` in the order of the other fields."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(pieces)), lambda x: x["line"]), "")
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and the rendered conversation."""
-    line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    bare = turns.select("conv_id", F.struct("turn", F.sha2(F.concat_ws("\x00", F.coalesce(F.concat(F.lit("r"), "role"), F.lit("")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit(""))), 256).alias("o"), line.alias("line")).alias("x"))
-    return bare.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "").alias("rendered"))
+def render(turns: DataFrame, pieces: DataFrame) -> DataFrame:
+    """conv_id, n_turns and the rendered conversation; those in ``pieces`` by a text a piece first."""
+    text = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
+    lines = turns.select("conv_id", F.struct("turn", _order().alias("o")).alias("at"), text.alias("line"))
+    starts = pieces.groupBy("conv_id").agg(F.collect_list("from").alias("starts"))
+    known = lines.alias("r").join(F.broadcast(starts.alias("p")), _same("r", "p", "conv_id"), "left").select("r.*", "starts")
+    short = known.where("starts IS NULL").groupBy("conv_id").agg(F.count("*").alias("n_turns"), _joined(F.struct("at", "line")).alias("rendered"))
+    part = F.size(F.filter("starts", lambda e: e <= F.col("at")))
+    by_part = known.where("starts IS NOT NULL").groupBy("conv_id", part.alias("part")).agg(F.count("*").alias("n"), _joined(F.struct("at", "line")).alias("line"))
+    return short.unionByName(by_part.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), _joined(F.struct("part", "line")).alias("rendered")))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Maximal conversations, rendered."""
     turns = turns.select("conv_id", "turn", "role", "text")
-    keep = maximal(turns).withColumnRenamed("conv_id", "keep")
-    return render(turns.join(keep, F.col("conv_id").eqNullSafe(F.col("keep")), "left_semi"))
+    all_prefixes, pieces = prefixes(turns)
+    keys = {"_none": F.col("conv_id").isNull(), "_id": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))}
+    keep = settle(maximal(all_prefixes).withColumns(keys).select("_none", "_id", F.col("size").alias("_count")))
+    kept = join_frequent_apart(turns.withColumns(keys), keep, ["_none", "_id"], all_prefixes.count()).drop("_none", "_id")
+    return render(kept, pieces)
 
 
 ORACLE = r"""

@@ -247,6 +247,23 @@ def test_chat(spark):
     assert next(r.rendered for r in got if r.conv_id == 5) == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
 
 
+def test_chat_in_several_ranges(spark):
+    """A conversation over several ranges, a prefix of it, and repeated turns: hashes and texts as in one range."""
+    rows = [(1, i, "user", f"w{i * i % 53}") for i in range(3000)]
+    rows += [(2, *r[1:]) for r in rows[:2000]] + [(3, 0, "user", "x")] * 700 + [(4, 0, "user", "x")] * 699 + [(None, None, "a", "z")] * 900 + [(k, 0, "user", f"q{k % 40}") for k in range(10, 300)]
+    random.Random(1).shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert chat.prefixes(turns)[1].count() >= 4
+        got = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {None, 1, 3, *range(10, 50)}
+    assert got[1].rendered == "".join(f"<|im_start|>user\nw{i * i % 53}<|im_end|>\n" for i in range(3000))
+    assert (got[3].n_turns, got[None].n_turns, got[None].rendered) == (700, 900, "<|im_start|>a\nz<|im_end|>\n" * 900)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, rows = "é" * 600 + "\r\n\r\nWARC/1.1\r\n", []
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, "small"), (4, "http://a/4", "small"), (5, "http://a/5\nx", None), (None, "http://a/n", big), (7, "u", big), (7, "u", big), (8, "v", "y" * 400_000)]
