@@ -82,13 +82,13 @@ def positional_join(spark, sf_dir):
     return lookup.positional_join(plan, seen, ["k"], ["o_orderkey"], ["event_id"])
 
 
-@query("q50_as_of", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, value, event_id % 3 AS kind FROM events),
-n AS (SELECT a.event_id, min(b.t) AS nt FROM e a JOIN e b ON a.user_id = b.user_id AND a.kind = 0 AND b.kind <> 0 AND b.t > a.t GROUP BY a.event_id)
-SELECT event_id, nt::DOUBLE AS sample_ts FROM (SELECT event_id FROM e WHERE kind = 0) LEFT JOIN n USING (event_id)""")
+@query("q50_as_of", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, value, event_type IN ('signup', 'purchase') AS kind FROM events),
+n AS (SELECT a.event_id, min(b.t) AS nt FROM e a JOIN e b ON a.user_id = b.user_id AND a.kind AND NOT b.kind AND b.t > a.t GROUP BY a.event_id)
+SELECT event_id, nt::DOUBLE AS sample_ts FROM (SELECT event_id FROM e WHERE kind) LEFT JOIN n USING (event_id)""")
 def as_of(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("t"), "value")
-    events = e.where("event_id % 3 = 0").select("event_id", "user_id", "t")
-    return lookup.as_of_next(events, e.where("event_id % 3 <> 0"), ["user_id"], "t").select("event_id", "sample_ts")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("t"), "value", "event_type")
+    events = e.where("event_type IN ('signup', 'purchase')").select("event_id", "user_id", "t")
+    return lookup.as_of_next(events, e.where("event_type NOT IN ('signup', 'purchase')").drop("event_type"), ["user_id"], "t").select("event_id", "sample_ts")
 
 
 @query("q51_window_cut_out", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type FROM events)

@@ -62,6 +62,16 @@ def _longest(calls) -> int:
     return (calls.agg(F.max("turns")).first()[0] or 0) + 1
 
 
+#: The sites of each conversation in order; where all of one length agree, guards on the length tell them.
+CHATS = """WITH c AS (SELECT conv_id AS run, turn, CASE WHEN turn % 2 = 0 THEN 'ask' ELSE 'answer' END AS site FROM conversations),
+p AS (SELECT run, count(*) AS turns, string_agg(site, ' ' ORDER BY turn) AS path FROM c GROUP BY run)"""
+
+
+@query("q158_trace_paths", f"{CHATS}, k AS (SELECT turns, min(path) AS path FROM p GROUP BY turns HAVING count(DISTINCT path) = 1) SELECT run, turns::INT AS turns, k.path, 'finished' AS state FROM p JOIN k USING (turns)")
+def trace_paths(spark, sf_dir):
+    return trace_prediction(spark, sf_dir).withColumn("path", F.array_join("path", " "))
+
+
 @query("q158_trace_prediction")
 def trace_prediction(spark, sf_dir):
     c = chat_calls(spark, sf_dir)
@@ -69,7 +79,7 @@ def trace_prediction(spark, sf_dir):
     return behaviour.predict_traces(c.select("run", "turns").distinct(), g, ["turns"], limit=_longest(c), cut=50)
 
 
-@query("q159_trace_accuracy")
+@query("q159_trace_accuracy", f"{CHATS}, k AS (SELECT turns, count(DISTINCT path) AS paths FROM p GROUP BY turns) SELECT count(*) AS runs, avg((paths = 1)::INT::DOUBLE) AS exact FROM p JOIN k USING (turns)")
 def trace_accuracy(spark, sf_dir):
     c = chat_calls(spark, sf_dir)
     g = behaviour.learn_guards(behaviour.learn_edges(c), ["turns"])

@@ -66,6 +66,17 @@ def powerset_fit(spark, sf_dir):
     return fit.joint_fit(rows, terms)
 
 
+def _moments(rows, terms):
+    """Mean of prediction times term: what least squares make equal to the mean of value times term, for each term."""
+    fitted = fit.predict_joint(rows, fit.joint_fit(rows, terms), terms)
+    return fitted.groupBy("name").agg(*(F.round(F.avg(F.col("predicted") * fit.term(t)), 2).alias(f"m{i}") for i, t in enumerate(terms)))
+
+
+@query("q88_powerset_moments", f"WITH {VOLUME} SELECT name, round(avg(value), 2) AS m0, round(avg(value * quantity), 2) AS m1, round(avg(value * sqrt(size)), 2) AS m2, round(avg(value * quantity * sqrt(size)), 2) AS m3 FROM vol GROUP BY name")
+def powerset_moments(spark, sf_dir):
+    return _moments(volume(spark, sf_dir), fit.powerset({"quantity": "linear", "size": "sqrt"}))
+
+
 @query("q89_formula_fit", f"""WITH {VOLUME}, m AS (SELECT regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a FROM vol)
 SELECT round(a, 2) AS b0, round(b, 4) AS b1 FROM m""")
 def formula_fit(spark, sf_dir):
@@ -88,6 +99,11 @@ def split_losses(spark, sf_dir):
     return g.groupBy("name", "param").agg(F.round(F.sum(F.col("n") * F.col("var")) / F.sum("n"), 2).alias("loss"))
 
 
+@query("q90_first_order_moments", f"WITH {VOLUME} SELECT name, round(avg(value), 2) AS m0, round(avg(value * quantity), 2) AS m1, round(avg(value * size), 2) AS m2, round(avg(value * quantity * size), 2) AS m3 FROM vol GROUP BY name")
+def first_order_moments(spark, sf_dir):
+    return _moments(volume(spark, sf_dir), fit.fol_terms(["quantity", "size"], 2))
+
+
 def _tree(spark, sf_dir):
     rows = volume(spark, sf_dir)
     return rows, trees.grow(rows, ["quantity", "status"], max_depth=3)
@@ -193,6 +209,12 @@ def decart(spark, sf_dir):
     return assess.metrics(trees.library_tree("cart", rows).transform(rows).withColumnRenamed("prediction", "predicted"), ["name"])
 
 
+@query("q101_decart_means", f"WITH {VOLUME}, m AS (SELECT name, status, avg(value) AS p FROM vol GROUP BY ALL) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (name, status) GROUP BY name")
+def decart_means(spark, sf_dir):
+    """Without scalars and with room for all, a leaf is a configuration."""
+    return decart(spark, sf_dir).select("name", "count", r("mae", 4))
+
+
 @query("q102_linear_tree")
 def linear_tree(spark, sf_dir):
     rows = volume(spark, sf_dir)

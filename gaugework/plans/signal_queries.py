@@ -89,11 +89,11 @@ def clock_rescale(spark, sf_dir):
     return signals.rescale_clock(rows.withColumn("planned", F.lit(1.0)), pulses).select("signal", "i", r("time"))
 
 
-@query("q136_cut_at_times", f"WITH {SIG} SELECT a.event_id, count(b.t)::BIGINT AS segment FROM sig a LEFT JOIN sig b ON a.signal = b.signal AND b.event_id % 7 = 0 AND b.t <= a.t WHERE a.event_id % 7 <> 0 GROUP BY a.event_id")
+@query("q136_cut_at_times", f"WITH {SIG} SELECT a.event_id, count(b.t)::BIGINT AS segment FROM sig a LEFT JOIN sig b ON a.signal = b.signal AND b.event_type = 'error' AND b.t <= a.t WHERE a.event_type <> 'error' GROUP BY a.event_id")
 def cut_at_times(spark, sf_dir):
     rows = sig(spark, sf_dir)
-    samples = rows.where("event_id % 7 <> 0").select("signal", "t", F.col("event_id").cast("double").alias("value"))
-    return signals.cut_at_times(samples, rows.where("event_id % 7 = 0").select("signal", "t")).select(F.col("value").cast("long").alias("event_id"), F.coalesce("segment", F.lit(0)).alias("segment"))
+    samples = rows.where("event_type <> 'error'").select("signal", "t", F.col("event_id").cast("double").alias("value"))
+    return signals.cut_at_times(samples, rows.where("event_type = 'error'").select("signal", "t")).select(F.col("value").cast("long").alias("event_id"), F.coalesce("segment", F.lit(0)).alias("segment"))
 
 
 @query("q137_trim", f"WITH {SIG}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY signal ORDER BY t) > 86400 AS gap FROM sig), l AS (SELECT signal, min(t) FILTER (WHERE gap) AS a, max(t) FILTER (WHERE gap) AS b FROM g GROUP BY signal HAVING count(*) >= 12) SELECT signal, count(*) AS n FROM sig JOIN l USING (signal) WHERE t >= a AND t < b GROUP BY signal")
@@ -170,7 +170,7 @@ def substate_clusters(spark, sf_dir):
 
 
 def _expected(rows):
-    return rows.where("event_id % 4 = 0").select("signal", F.col("event_id").alias("event"), "t")
+    return rows.where("event_type = 'signup'").select("signal", F.col("event_id").alias("event"), "t")
 
 
 @query("q149_drift_candidates")
@@ -191,10 +191,10 @@ def greedy_drift(spark, sf_dir):
     return signals.greedy_drift(rows).select("signal", "event", F.round(F.col("drift") * 1e3, 6).alias("drift"))
 
 
-@query("q152_drift_from_states", f"WITH {SIG}, w AS (SELECT a.signal, a.event_id AS event, count(*) AS n, avg(b.t - a.t) AS d FROM sig a JOIN sig b ON a.signal = b.signal AND b.event_id % 4 <> 0 AND b.t BETWEEN a.t - 40000 AND a.t + 40000 WHERE a.event_id % 4 = 0 GROUP BY ALL), e AS (SELECT s.signal, event_id AS event, CASE WHEN n = 2 THEN d END AS d FROM (SELECT signal, event_id FROM sig WHERE event_id % 4 = 0) s LEFT JOIN (SELECT event, n, d FROM w) w ON w.event = event_id) SELECT e.signal, e.event, round(coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY e.signal ORDER BY e.event), 0), 3) AS drift FROM e")
+@query("q152_drift_from_states", f"WITH {SIG}, w AS (SELECT a.signal, a.event_id AS event, count(*) AS n, avg(b.t - a.t) AS d FROM sig a JOIN sig b ON a.signal = b.signal AND b.event_type <> 'signup' AND b.t BETWEEN a.t - 40000 AND a.t + 40000 WHERE a.event_type = 'signup' GROUP BY ALL), e AS (SELECT s.signal, event_id AS event, CASE WHEN n = 2 THEN d END AS d FROM (SELECT signal, event_id FROM sig WHERE event_type = 'signup') s LEFT JOIN (SELECT event, n, d FROM w) w ON w.event = event_id) SELECT e.signal, e.event, round(coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY e.signal ORDER BY e.event), 0), 3) AS drift FROM e")
 def drift_from_states(spark, sf_dir):
     rows = sig(spark, sf_dir)
-    return signals.drift_from_states(rows.where("event_id % 4 <> 0"), _expected(rows), 40_000.0).select("signal", "event", r("drift", 3))
+    return signals.drift_from_states(rows.where("event_type <> 'signup'"), _expected(rows), 40_000.0).select("signal", "event", r("drift", 3))
 
 
 @query("q165_peaks", f"WITH {SIG}, a AS (SELECT *, avg(value) OVER (PARTITION BY signal) AS th, max(i) OVER (PARTITION BY signal) AS z FROM sig), f AS (SELECT *, value >= th AS o, avg(CASE WHEN value < th THEN value END) OVER (PARTITION BY signal) AS base FROM a), n AS (SELECT *, coalesce(o <> lag(o) OVER (PARTITION BY signal ORDER BY i), true)::INT AS new FROM f), k AS (SELECT *, sum(new) OVER (PARTITION BY signal ORDER BY i) AS run FROM n) SELECT signal, min(i)::INT AS start, count(*) AS n, round(sum(value), 8) AS energy, round(sum(value) - count(*) * any_value(base), 8) AS energy_over_baseline FROM k WHERE o GROUP BY signal, run HAVING max(i) < any_value(z)")
