@@ -13,15 +13,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step aggregates a minimum for each node (partial sums first) and joins it back. Nodes that are on more than a
     ten-thousandth of the edges get theirs by a broadcast of bounded size, so that no large neighbourhood meets in one
-    task. Rows with a null end are ignored; self-loops and repeats do no harm.
+    task. Steps end when every edge points from a node of one edge to one that has no smaller neighbour: all components
+    are stars then. Rows with a null end are ignored; self-loops and repeats do no harm. ``edges`` should be a settled
+    table or a union of some, as it is read for the first step and for the list of nodes.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = settle(pairs.select("u").union(pairs.select("v")).distinct())
+    nodes = pairs.select("u").union(pairs.select("v")).distinct()
     now = settle(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
+        n, loose = _shape(now)
+        if not loose:
+            break
         both = now.union(now.select("v", "u"))
-        n = now.count()
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_count"))
         met = join_frequent_apart(both, low, ["u"], 2 * n)
         large = settle(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -30,8 +33,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = settle(hang.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         discard(now, large)
         now = new
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return nodes.join(now, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+
+
+def _shape(now: DataFrame) -> tuple[int, int]:
+    """The number of edges (u, v), v < u, and of nodes that keep them from being stars: those with several smaller
+    neighbours, or with smaller and larger ones."""
+    ends = F.array(F.struct(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = now.select(F.explode(ends).alias("e")).select("e.*").groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    row = met.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up > 1 or up = 1 and down = 1")).alias("loose")).first()
+    return row["n"], row["loose"]
