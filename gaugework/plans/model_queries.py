@@ -41,10 +41,14 @@ def template_selection(spark, sf_dir):
     return best.select("name", "template", F.round(F.col("ssr") / F.col("ssr_mean"), 6).alias("share"), "useful")
 
 
-@query("q85_roofline")
+@query("q85_roofline", f"""WITH {VOLUME}, v AS (SELECT name, attr, quantity::DOUBLE AS x, least(quantity, 30) * 1500 + value / 100 AS y FROM vol), b AS (SELECT DISTINCT name, attr, x AS b2 FROM v),
+f AS (SELECT name, attr, b2, regr_slope(y, least(x, b2)) AS b1, regr_intercept(y, least(x, b2)) AS b0, regr_syy(y, least(x, b2)) * (1 - regr_r2(y, least(x, b2))) AS ssr
+  FROM v JOIN b USING (name, attr) GROUP BY ALL HAVING regr_sxx(y, least(x, b2)) > 1e-9)
+SELECT name, attr, round(arg_min(b0, ssr), 2) AS b0, round(arg_min(b1, ssr), 4) AS b1, arg_min(b2, ssr) AS b2, round(min(ssr) / 1e6, 2) AS ssr_millions FROM f GROUP BY name, attr""")
 def roofline(spark, sf_dir):
     capped = volume(spark, sf_dir).withColumn("value", F.least("quantity", F.lit(30.0)) * 1500 + F.col("value") / 100)
-    return fit.roofline(capped.withColumn("x", F.col("quantity")))
+    line = fit.roofline(capped.withColumn("x", F.col("quantity")))
+    return line.select("name", "attr", F.round("b0", 2).alias("b0"), F.round("b1", 4).alias("b1"), "b2", F.round(F.col("ssr") / 1e6, 2).alias("ssr_millions"))
 
 
 @query("q86_robust_line")

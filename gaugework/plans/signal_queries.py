@@ -212,7 +212,13 @@ def channel_summary(spark, sf_dir):
     return signals.channel_summary(sig(spark, sf_dir)).select("signal", r("least"), r("most"), r("high"), r("low"))
 
 
-@query("q168_compare_steps")
+@query("q168_compare_steps", f"""WITH {SIG}, fa AS (SELECT signal, min(i) AS f FROM sig WHERE value > 20 GROUP BY signal), fb AS (SELECT signal, min(i) AS f FROM sig WHERE value * 1.01 > 20 GROUP BY signal),
+a AS (SELECT signal, i - f AS k, value FROM sig JOIN fa USING (signal) WHERE i >= f), b AS (SELECT signal, i - f AS k, value * 1.01 AS vb FROM sig JOIN fb USING (signal) WHERE i >= f),
+p AS (SELECT *, CASE WHEN abs(value - lag(value) OVER (PARTITION BY signal ORDER BY k)) > 30 THEN k END AS s FROM a),
+q AS (SELECT *, max(s) OVER (PARTITION BY signal ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
+t AS (SELECT signal, k, value, sum((s IS NOT NULL AND (prev IS NULL OR s - prev > 2))::INT) OVER (PARTITION BY signal ORDER BY k) AS step FROM q)
+SELECT signal, step::BIGINT AS step, round(avg(value), 8) AS mean_a, round(avg(vb), 8) AS mean_b, count(*) AS n FROM t JOIN b USING (signal, k) GROUP BY signal, step""")
 def compare_steps(spark, sf_dir):
     rows = sig(spark, sf_dir)
-    return signals.compare_steps(rows, rows.withColumn("value", F.col("value") * 1.01), 20.0, 30.0, 2)
+    steps = signals.compare_steps(rows, rows.withColumn("value", F.col("value") * 1.01), 20.0, 30.0, 2)
+    return steps.select("signal", "step", r("mean_a"), r("mean_b"), "n")
