@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.observations import from_maps
 from gaugework.operators import assess, lookup, stats
-from gaugework.plans.lineitem import OBS, observations, r8 as r
+from gaugework.plans.lineitem import LONG, OBS, observations, r8 as r
 from gaugework.plans.registry import query, scratch, table
 from gaugework.sources import exports, logs, signals
 
@@ -138,10 +138,21 @@ def value_table(spark, sf_dir):
     return exports.value_table(obs.with_df(obs.df.withColumn("status", F.nullif("status", F.lit("F")))), "price")
 
 
-@query("q23_report")
+@query("q23_report", f"""WITH {LONG}, s AS (SELECT name, attr, 'static' AS model, value AS t, median(value) OVER (PARTITION BY name, attr) AS p FROM long),
+l AS (SELECT name, attr, 'lut' AS model, value AS t, median(value) OVER (PARTITION BY name, attr, status, quantity) AS p FROM long),
+e AS (SELECT name, attr, model, avg(abs(p - t)) AS mae, avg(CASE WHEN t = 0 AND p = 0 THEN 0 ELSE abs(p - t) / ((abs(t) + abs(p)) / 2) END) * 100 AS smape,
+  CASE WHEN var_pop(t) > 0 THEN 1 - sum((p - t) * (p - t)) / (var_pop(t) * count(*)) WHEN sum((p - t) * (p - t)) = 0 THEN 1 ELSE 0 END AS rsq
+  FROM (FROM s UNION ALL FROM l) GROUP BY ALL),
+k AS (SELECT name, CASE d WHEN 0 THEN 'unset' WHEN 1 THEN 'useless' WHEN 2 THEN 'boolean' ELSE more END AS type FROM (
+  SELECT name, count(DISTINCT status) AS d, 'enum' AS more FROM obs GROUP BY name UNION ALL SELECT name, count(DISTINCT quantity), 'scalar' FROM obs GROUP BY name))
+SELECT 'paramcount/' || name || '/' || type AS key, count(*)::DOUBLE AS value, '1' AS unit FROM k GROUP BY ALL
+UNION ALL SELECT 'error/' || name || '/' || attr || '/' || model || '_mae', round(mae, 5), '1' FROM e
+UNION ALL SELECT 'error/' || name || '/' || attr || '/' || model || '_smape', round(smape, 5), '%' FROM e
+UNION ALL SELECT 'error/' || name || '/' || attr || '/' || model || '_rsq', round(rsq, 5) + 0, '1' FROM e""")
 def report(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return exports.report(stats.param_types(obs.df, obs.params), assess.quality_table(obs.long(), obs.params))
+    flat = exports.report(stats.param_types(obs.df, obs.params), assess.quality_table(obs.long(), obs.params))
+    return flat.select("key", (F.round("value", 5) + F.lit(0.0)).alias("value"), "unit")
 
 
 @query("q25_export", f"WITH {OBS} SELECT name, count(*) AS n FROM obs GROUP BY name")
