@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, lookup, trees
+from gaugework.operators import assess, lineage, lookup, trees
 
 INIT, END = "__init__", "__end__"
 
@@ -114,7 +114,7 @@ def predict_traces(runs: DataFrame, guards, params, limit: int = 100, cut: int =
         done = F.when(F.col("state") != "open", F.col("state")).when(F.col("_n").isNull(), "stuck").when(F.col("_n") == END, "finished").otherwise("open")
         now = now.withColumn("path", F.when(F.col("_n").isNotNull() & (F.col("_n") != END), F.array_append("path", F.col("_n"))).otherwise(F.col("path"))).withColumn("state", done).withColumn("site", F.coalesce("_n", "site")).drop("_n")
         if step % cut == cut - 1:
-            now = now.checkpoint()
+            now = lineage.cut(now)
             if now.where("state = 'open'").isEmpty():
                 break
     return now.select("run", *params, "path", F.when(F.col("state") == "open", "unfinished").otherwise(F.col("state")).alias("state"))

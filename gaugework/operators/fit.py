@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.observations import numeric
+from gaugework.operators.lineage import cut
 
 #: A fit is of use if its error is below this share of that of mean and median.
 USEFUL = 0.8
@@ -103,8 +104,7 @@ def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: floa
         slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")) / (F.col("sxx") - F.col("sx") ** 2 / F.col("s"))
         slope = F.greatest(slope, F.lit(lower)) if lower is not None else slope
         model = s.select(*keys, slope.alias("b1"), "sx", "sy", "s").select(*keys, "b1", ((F.col("sy") - F.col("b1") * F.col("sx")) / F.col("s")).alias("b0"))
-        if isinstance(df, DataFrame):  # as many rows as there are keys: cut the lineage by values
-            model = df.sparkSession.createDataFrame(model.collect(), model.schema)
+        model = cut(model)  # one row a key; each step reads the last one's model and not what made it
     return model
 
 

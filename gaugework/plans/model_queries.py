@@ -51,9 +51,20 @@ def roofline(spark, sf_dir):
     return line.select("name", "attr", F.round("b0", 2).alias("b0"), F.round("b1", 4).alias("b1"), "b2", F.round(F.col("ssr") / 1e6, 2).alias("ssr_millions"))
 
 
-@query("q86_robust_line")
+def _reweighted(steps: int, scale: float) -> str:
+    """One aggregate a step, each with the weights of the line before it."""
+    out = f"{VOLUME}, v AS (SELECT name, quantity::DOUBLE AS x, value AS y FROM vol), m0 AS (SELECT name, 0.0 AS b0, 0.0 AS b1 FROM v GROUP BY name)"
+    for k in range(1, steps + 1):
+        w = f"1 / sqrt(1 + power((y - b0 - b1 * x) / {scale}, 2))" if k > 1 else "1.0"
+        out += f""", m{k} AS (SELECT name, (sy - b1 * sx) / s AS b0, b1 FROM (SELECT *, greatest(0, (sxy - sx * sy / s) / (sxx - sx * sx / s)) AS b1 FROM (
+  SELECT name, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM (SELECT name, x, y, {w} AS w FROM v JOIN m{k - 1} USING (name)) GROUP BY name)))"""
+    return f"WITH {out} SELECT name, round(b0, 3) AS b0, round(b1, 4) AS b1 FROM m{steps}"
+
+
+@query("q86_robust_line", _reweighted(10, 1000.0))
 def robust_line(spark, sf_dir):
-    return fit.robust_line(volume(spark, sf_dir), ["name"], "quantity", scale=1000.0, lower=0.0)
+    line = fit.robust_line(volume(spark, sf_dir), ["name"], "quantity", scale=1000.0, lower=0.0)
+    return line.select("name", F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"))
 
 
 @query("q87_joint_fit", f"""WITH {VOLUME}, m AS (SELECT name, regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a FROM vol GROUP BY name)
