@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from gaugework.llm import ann, chat, decontaminate, grading, jaccard_join, language, line_dedup, mixing, repeats, warc
+from pyspark.sql import functions as F
+
+from gaugework.llm import ann, chat, decontaminate, grading, hardneg, jaccard_join, language, line_dedup, merkle, mixing, repeats, urlfilter, warc
 from gaugework.llm.store import table
 
 
@@ -46,6 +48,19 @@ def op6_quality_grade(spark, sf_dir):
     return grading.grades_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
+def op13_url_filters(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_additive_ann": op1_additive_ann,
     "op2_mix_sources": op2_mix_sources,
@@ -57,6 +72,9 @@ QUERIES = {
     "op8_warc_bundles": op8_warc_bundles,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filters": op13_url_filters,
 }
 ORACLES = {
     "op1_additive_ann": ann.ORACLE,
@@ -66,4 +84,7 @@ ORACLES = {
     "op8_warc_bundles": warc.ORACLE,
     "op9_suffix_repeats": repeats.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_hard_negatives": hardneg.ORACLE,
+    "op13_url_filters": urlfilter.ORACLE,
 }
