@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm import texthash as th
-from gaugework.llm.store import extended, settle, without
+from gaugework.llm.store import extended, join_frequent_apart, settle, without
 
 LENGTH, GRAM = 400, 32
 #: Block widths of the passes; the first is a whole range of distances.
@@ -151,7 +151,8 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     for width in (*widths, None):
         grouped = entries.groupBy("digit", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("rid", "row", "a", "lo", "hi")).alias("one"))
         grouped = settle(grouped)
-        repeated = entries.join(grouped.where("c > 1").select("digit", "stretch"), ["digit", "stretch"], "left_semi")
+        twice = grouped.where("c > 1").select("digit", "stretch", F.col("c").alias("_count"))
+        repeated = join_frequent_apart(entries, twice, ["digit", "stretch"], entries.count())
         repeated = repeated.select("rid", "row", (F.col("a") - F.col("hi")).alias("begin"), (F.col("a") - F.col("lo") + length).alias("end"))
         done = repeated if done is None else done.union(repeated)
         if width is None:
