@@ -24,10 +24,10 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pfs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm.store import settle, shared_dir
+from gaugework.llm.store import join_frequent_apart, settle, shared_dir
 
 #: Equal payloads of this many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -155,21 +155,22 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"))
     full = full.withColumn("tag", F.xxhash64("page_id", "url", "digest"))
     bare = settle(full.where(F.col("size") >= least).select("page_id", "url", "size", "digest", "tag"))
-    first = bare.groupBy("digest", "size").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("p"), "page_id", "tag")).alias("kept"), F.count("*").alias("c")).where("c > 1")
+    first = bare.groupBy("digest", "size").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("p"), "page_id", "tag")).alias("kept"), F.count("*").alias("_count")).where("_count > 1")
     again = settle(
-        bare.join(first, ["digest", "size"])
+        join_frequent_apart(bare, settle(first), ["digest", "size"], bare.count())
         .where(F.col("tag") != F.col("kept.tag"))
         .select("tag", F.col("kept.page_id").alias("refers_to"))
         .groupBy("tag").agg(F.first("refers_to").alias("refers_to"))
     )
     out = full.join(again, "tag", "left")
     # Rows alike in all columns: one of them is the response, if that is what they are.
-    order = Window.partitionBy("tag").orderBy(F.lit(0))
-    twice = settle(bare.groupBy("tag").agg(F.count("*").alias("c")).where("c > 1").select("tag"))
+    twice = settle(bare.groupBy("tag").agg(F.count("*").alias("_count")).where("_count > 1"))
     if twice.isEmpty():
         return out.drop("tag")
-    some = out.join(twice, "tag", "left_semi").withColumn("n", F.row_number().over(order))
-    some = some.withColumn("refers_to", F.when(F.col("refers_to").isNull() & (F.col("n") > 1), F.col("page_id")).otherwise(F.col("refers_to"))).drop("n")
+    some = settle(join_frequent_apart(out, twice, ["tag"], bare.count()).withColumn("n", F.monotonically_increasing_id()))
+    lead = settle(some.groupBy("tag").agg(F.min("n").alias("lead"), F.count("*").alias("_count")))
+    some = join_frequent_apart(some, lead, ["tag"], some.count())
+    some = some.withColumn("refers_to", F.when(F.col("refers_to").isNull() & (F.col("n") != F.col("lead")), F.col("page_id")).otherwise(F.col("refers_to")))
     return out.join(twice, "tag", "left_anti").unionByName(some.select(out.columns)).drop("tag")
 
 
