@@ -42,6 +42,8 @@ from gaugework.llm.store import broadcast_if_small, discard, join_frequent_apart
 SHINGLE, PERCENT = 5, 80
 #: Documents in a group, about, and query groups that one task opens a group for.
 GROUP, QUERIES = 64, 16
+#: Members of a star that meet the text of its pivot in one place, about.
+STAR = 256
 #: Documents that hold a band from which on they are grouped by it.
 FAMILY = 16
 #: Shared matrix entries that a broadcast may hold (16 MB); beyond, a join finds them.
@@ -217,17 +219,22 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     alive = rows.where("n > 0 and doc_id is not null")
 
     classes = settle(alive.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("mh").alias("mh")))
-    copied = classes.where("copies > 1").select("s1", "s2", "n", "rep")
-    copies = settle(alive.select("s1", "s2", "n", "doc_id").join(copied, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    total = profile.count()
+    copied = classes.where("copies > 1").select("s1", "s2", "n", "rep", F.col("copies").alias("_count"))
+    copies = settle(join_frequent_apart(alive.select("s1", "s2", "n", "doc_id"), copied, ["s1", "s2", "n"], total).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
     # Groups of similar representatives: stars around the smallest holder of each MinHash band.
     hashed = classes.select("rep", F.posexplode("mh").alias("k", "h"))
-    pivots = hashed.groupBy("k", "h").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
-    stars = settle(hashed.join(pivots, ["k", "h"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    pivots = settle(hashed.groupBy("k", "h").agg(F.min("rep").alias("b"), F.count("*").alias("_count")).where("_count > 1"))
+    stars = settle(join_frequent_apart(hashed, pivots, ["k", "h"], len(BANDS) * total).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     ids = settle(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct())
     texts = settle(_texts(docs, ids))
+    # A pivot of many members comes once for every STAR of them, so that its text is no key of one task.
+    arms = stars.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("arms"), F.count("*").alias("_count"))
+    dealt = join_frequent_apart(stars, settle(arms), ["b"], stars.count()).select("a", "b", F.pmod(F.xxhash64("a"), F.col("arms")).cast("int").alias("arm"))
+    centres = texts.join(arms.select(F.col("b").alias("doc_id"), "arms"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("arms") - 1)).alias("arm"), F.col("text").alias("b_text"))
     near = (
-        stars.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+        dealt.join(centres, ["b", "arm"])
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         .select("a", "b", "a_text", "b_text")
     )
@@ -236,8 +243,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     # Groups; copies (not the representatives) stay out of the matrix.
     cut = lambda key, held: F.xxhash64(*key, F.pmod(F.xxhash64("doc_id"), F.ceil(held * 2 / GROUP)))
-    held = hashed.groupBy("k", "h").agg(F.count("*").alias("held")).where(F.col("held") >= FAMILY)
-    family = hashed.join(held, ["k", "h"]).groupBy("rep").agg(F.max(F.struct("held", "k", "h")).alias("f")).select(F.col("rep").alias("doc_id"), "f.*")
+    held = pivots.where(F.col("_count") >= FAMILY).select("k", "h", F.col("_count").alias("held"), "_count")
+    family = join_frequent_apart(hashed, held, ["k", "h"], len(BANDS) * total).groupBy("rep").agg(F.max(F.struct("held", "k", "h")).alias("f")).select(F.col("rep").alias("doc_id"), "f.*")
     sizes = linked.groupBy("component").agg(F.count("*").alias("c"))
     grouped = linked.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "c").join(family, "doc_id", "full_outer")
     gid = F.when(F.col("held").isNotNull(), cut(("k", "h"), F.col("held"))).when(F.col("c") > GROUP, cut(("comp",), F.col("c"))).otherwise(F.col("comp"))
@@ -267,9 +274,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         entries = matrix.join(shared, "token")
     entries = settle(entries.groupBy("token", "gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind"), F.bool_and("solo").alias("solo")))
     sizes = entries.groupBy("gid").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    # The groups of a frequent token are dealt over several tasks, one for every STAR of them; pairs whose documents with
+    # this token differ too much in size are not made.
+    spread = entries.groupBy("token").agg(F.ceil(F.count("*") / STAR).cast("int").alias("arms"), F.count("*").alias("_count"))
+    spread = join_frequent_apart(entries, settle(spread), ["token"], entries.count())
+    here, there = spread.withColumn("arm", F.pmod(F.xxhash64("gid"), F.col("arms")).cast("int")), spread.withColumn("arm", F.explode(F.sequence(F.lit(0), F.col("arms") - 1)))
+    other = "x.gid <= y.gid and not (x.lo = x.hi and x.lo = y.lo and x.lo = y.hi)"
+    fit = f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least"
     met = (
-        entries.alias("x")
-        .join(entries.alias("y"), F.expr("x.token = y.token and x.gid <= y.gid and not (x.lo = x.hi and x.lo = y.lo and x.lo = y.hi)"))
+        here.alias("x")
+        .join(there.alias("y"), F.expr(f"x.token = y.token and x.arm = y.arm and {other} and {fit}"))
         .groupBy(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
         .agg(F.count("*").alias("c"), F.min("x.behind").alias("bx"), F.min("y.behind").alias("by"), F.bool_and(F.col("x.solo") & F.col("y.solo")).alias("solo"), F.max("x.most").alias("nx"), F.max("y.most").alias("ny"))
     )
