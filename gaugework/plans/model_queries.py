@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, fit, stats, trees
+from gaugework.operators import assess, fit, grove, stats, trees
 from gaugework.plans.lineitem import LONG, observations, r
 from gaugework.plans.registry import query, table
 
@@ -119,18 +119,46 @@ def first_order_moments(spark, sf_dir):
     return _moments(volume(spark, sf_dir), fit.fol_terms(["quantity", "size"], 2))
 
 
-def _tree(spark, sf_dir):
-    rows = volume(spark, sf_dir)
-    return rows, trees.grow(rows, ["quantity", "status"], max_depth=3)
+def _grove(spark, sf_dir, **options):
+    """A tree for each name and attribute, all of them grown in one chain of jobs."""
+    obs = observations(spark, sf_dir)
+    return grove.grow(grove.moments(obs.long(), obs.params), obs.params, **{"relevant": False, "threshold": 0.0, **options})
+
 
+CONFIGS = f"""{LONG}, c AS (SELECT name, attr, quantity, status, sum(value) AS s, count(*) AS n FROM long GROUP BY ALL),
+k AS (SELECT name, attr, quantity, count(*) AS k, sum(n) AS kn FROM c GROUP BY ALL)"""
 
-@query("q98_tree_rules", f"""WITH {VOLUME}, c AS (SELECT quantity, status, sum(value) AS s, count(*) AS n FROM vol GROUP BY ALL), k AS (SELECT quantity, count(*) AS k FROM c GROUP BY quantity)
-SELECT quantity, CASE WHEN k > 1 THEN status END AS status, round(sum(s) / sum(n), 4) AS value FROM c JOIN k USING (quantity) GROUP BY ALL""")
+
+@query("q98_tree_rules", f"""WITH {CONFIGS}
+SELECT name, attr, quantity, CASE WHEN k > 1 THEN status END AS status, round(sum(s) / sum(n), 4) AS value FROM c JOIN k USING (name, attr, quantity) GROUP BY ALL""")
 def tree_rules(spark, sf_dir):
-    """Rules of the tree at full depth: with all deviations split, a leaf is a configuration."""
-    tree = trees.prune(trees.grow(volume(spark, sf_dir), ["quantity", "status"], relevant=False, threshold=0.0))
-    data = [({p: v for p, _, v in path}, value) for path, value in trees.flatten(tree)]
-    return spark.createDataFrame([(float(d["quantity"]), d.get("status"), v) for d, v in data], "quantity double, status string, value double").select("quantity", "status", r("value", 4))
+    """Rules of the trees of all names and attributes at full depth: with all deviations split, a leaf is a configuration."""
+    found = grove.rules(grove.prune(_grove(spark, sf_dir)))
+    of = lambda p: F.filter("path", lambda s: s["param"] == p)
+    each = found.withColumns({"quantity": F.explode(F.get(of("quantity"), F.lit(0))["values"]), "status": F.get(F.get(of("status"), F.lit(0))["values"], F.lit(0))})
+    return each.select("name", "attr", F.col("quantity").cast("double").alias("quantity"), "status", r("value", 4))
+
+
+@query("q91_keyed_splits", f"""WITH {LONG}, l AS (
+  SELECT name, attr, 'quantity' AS param, sum(n * v) AS loss FROM (SELECT name, attr, quantity, count(*) AS n, var_pop(value) AS v FROM long GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1
+  UNION ALL SELECT name, attr, 'status', sum(n * v) FROM (SELECT name, attr, status, count(*) AS n, var_pop(value) AS v FROM long GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1)
+SELECT name, attr, arg_min(param, loss) AS param, n, round(value, 4) AS value FROM l JOIN (SELECT name, attr, count(*) AS n, avg(value) AS value FROM long GROUP BY ALL) USING (name, attr) GROUP BY ALL""")
+def keyed_splits(spark, sf_dir):
+    """The root of every tree: its size, mean and first split."""
+    return _grove(spark, sf_dir, max_depth=1).nodes.where("level = 0").select("name", "attr", "param", "n", r("value", 4))
+
+
+@query("q118_tree_folds", f"""WITH {LONG}, f AS (SELECT *, (obs_id % 5)::INT AS fold FROM long), t AS (SELECT name, attr, k AS fold, quantity, avg(value) AS p FROM f, range(5) g(k) WHERE fold <> k GROUP BY ALL)
+SELECT name, attr, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM f JOIN t USING (name, attr, fold, quantity) GROUP BY ALL""")
+def tree_folds(spark, sf_dir):
+    """Trees of quantity for all names, attributes and folds in one chain of jobs; a fold's rows are merged out of the moments of the others."""
+    obs = observations(spark, sf_dir)
+    rows = obs.long().withColumn("fold", (F.col("obs_id") % 5).cast("int"))
+    keys = ("name", "attr", "fold")
+    config = grove.complements(grove.moments(rows, ["quantity"], keys), ["quantity"])
+    grown = grove.grow(config, ["quantity"], keys, relevant=False, threshold=0.0)
+    seen = rows.join(config.select(*keys, "quantity"), [*keys, "quantity"], "left_semi")
+    return assess.metrics(grove.predict(seen, grown), ["name", "attr"], wanted=("count", "mae")).select("name", "attr", "count", r("mae", 4))
 
 
 @query("q110_tree_prediction", f"WITH {VOLUME}, m AS (SELECT quantity, status, avg(value) AS p FROM vol GROUP BY ALL) SELECT name, count(*) AS count, round(avg(abs(value - p)), 4) AS mae FROM vol JOIN m USING (quantity, status) GROUP BY name")
@@ -193,11 +221,17 @@ def boosted_unbiased(spark, sf_dir):
     return _unbiased(trees.library_tree("boosted", rows).transform(rows).withColumnRenamed("prediction", "predicted"))
 
 
-@query("q93_function_leaves")
+@query("q93_function_leaves", f"""WITH {VOLUME}, m AS (SELECT name, status, avg(value) AS p, regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a,
+  regr_syy(value, quantity) * (1 - regr_r2(value, quantity)) < 0.8 * regr_syy(value, quantity) AS useful FROM vol GROUP BY ALL)
+SELECT name, status, count(*) AS count, round(avg(CASE WHEN useful THEN a + b * quantity ELSE p END), 4) AS mean, round(avg(abs(value - CASE WHEN useful THEN a + b * quantity ELSE p END)), 4) AS mae
+FROM vol JOIN m USING (name, status) GROUP BY ALL""")
 def function_leaves(spark, sf_dir):
+    """Trees of status with lines in quantity in their leaves."""
     rows = volume(spark, sf_dir)
-    tree = trees.grow(rows, ["quantity", "status", "name"], with_functions=True, relevant=False, max_depth=3)
-    return assess.metrics(rows.withColumn("predicted", trees.compiled(tree)), ["name"])
+    grown = grove.grow(grove.moments(rows, ["quantity", "status"]), ["quantity", "status"], relevant=False, threshold=0.0, keep_scalar=True)
+    fitted = grove.predict(rows, grove.with_functions(grown, rows, ["quantity"]))
+    err = F.abs(F.col("value") - F.col("predicted"))
+    return fitted.groupBy("name", "status").agg(F.count("*").alias("count"), F.round(F.avg("predicted"), 4).alias("mean"), F.round(F.avg(err), 4).alias("mae"))
 
 
 @query("q99_model_plan", f"""WITH {LONG},
@@ -269,14 +303,18 @@ def substate_power(spark, sf_dir):
     return trees.substate_power(seq, models, ["user_id"]).select("user_id", r("power"))
 
 
-@query("q107_complexity")
+@query("q107_complexity", f"""WITH {CONFIGS} SELECT name, attr, (1 + count(*) + sum(CASE WHEN k > 1 THEN k ELSE 0 END))::BIGINT AS nodes, sum(k)::BIGINT AS leaves,
+  (1 + max((k > 1)::INT))::INT AS depth, (1 + count(*) + sum(CASE WHEN k > 1 THEN k ELSE 0 END))::BIGINT AS score FROM k GROUP BY ALL""")
 def complexity(spark, sf_dir):
-    _, tree = _tree(spark, sf_dir)
-    c = trees.complexity(tree)
-    return spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} int" for k in c))
+    """Trees at full depth: quantity first, then status where a quantity has several."""
+    return grove.complexity(_grove(spark, sf_dir))
 
 
-@query("q24_tree_graph")
+@query("q24_tree_graph", f"""WITH {CONFIGS} SELECT name, attr, 'quantity' AS source, quantity::VARCHAR AS label, kn::BIGINT AS n FROM k
+UNION ALL SELECT name, attr, 'status of ' || quantity::VARCHAR, status, n FROM c JOIN k USING (name, attr, quantity) WHERE k > 1""")
 def tree_graph(spark, sf_dir):
-    _, tree = _tree(spark, sf_dir)
-    return trees.node_table(spark, tree)[1]
+    """All edges of the trees at full depth, by the split that they leave."""
+    g = _grove(spark, sf_dir)
+    up = g.edges.select(F.col("child").alias("_node"), F.col("v").alias("above"))
+    named = g.edges.join(g.nodes.select(*g.keys, "_node"), "_node").join(up, "_node", "left")
+    return named.select("name", "attr", F.when(F.col("above").isNull(), F.col("param")).otherwise(F.concat("param", F.lit(" of "), "above")).alias("source"), F.col("v").alias("label"), "n")
