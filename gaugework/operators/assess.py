@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import stats
+from gaugework.operators.lineage import cut
 from gaugework.operators.lookup import lut_lookup
 
 METRICS = ("count", "mae", "mape", "smape", "p50", "p90", "p95", "p99", "msd", "rmsd", "ssr", "rsq")
@@ -112,18 +113,114 @@ def monte_carlo(df: DataFrame, count: int, obs_id: str = "obs_id", name: str = "
     return reps.join(ranked.select("rep", obs_id, (F.col("_r") + F.col("_before") <= F.floor(F.col("_n") * 2 / 3)).alias("train")), ["rep", obs_id])
 
 
+def _complements(k: int) -> dict[str, Column]:
+    """For each fold the rows of all others, as weights of value counts."""
+    return {f"f{i}": F.col("fold") != i for i in range(k)}
+
+
+def _by_fold(found: DataFrame, keys, k: int, out: str) -> DataFrame:
+    """keys, fold and the first percentile of that fold's complement, where it has rows."""
+    each = F.array(*(F.struct(F.lit(i).alias("fold"), F.col(f"q_f{i}")[0].alias(out)) for i in range(k)))
+    return found.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.fold", f"_e.{out}").where(F.col(out).isNotNull())
+
+
 def cross_validate_static(long_folds: DataFrame, k: int, keys=("name", "attr")) -> DataFrame:
-    """117: pooled predictions of a static model, metrics once. All folds in one job: fold is part of the key."""
-    training = long_folds.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("test")).where("test <> fold")
-    model = stats.static_model(training, (*keys, "test")).select(*keys, F.col("test").alias("fold"), F.col("static").alias("predicted"))
+    """117: pooled predictions of a static model, metrics once.
+
+    A fold's training rows are all less its own: values are counted once, with a column for each fold's complement, and all
+    medians come from one pass over these counts. No row is copied.
+    """
+    weights = _complements(k)
+    found = stats.count_percentiles(stats.value_counts(long_folds, list(keys), weights=weights), keys, [0.5], list(weights))
+    model = _by_fold(found, keys, k, "predicted")
     return metrics(long_folds.join(model, [*keys, "fold"]), list(keys))
 
 
 def cross_validate_lut(long_folds: DataFrame, params, k: int, keys=("name", "attr")) -> DataFrame:
-    """118 with a lookup table that falls back to the static value."""
-    training = long_folds.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("test")).where("test <> fold").drop("fold").withColumnRenamed("test", "fold")
-    on = (*keys, "fold")
-    return metrics(lut_lookup(long_folds, stats.lut_model(training, params, on), params, stats.static_model(training, on), on), list(keys))
+    """118 with a lookup table that falls back to the static value; configurations and whole keys share one count of values."""
+    keys, params, weights = list(keys), list(params), _complements(k)
+    counts = stats.value_counts(long_folds, [*keys, *params], weights=weights)
+    whole = counts.groupBy(*keys, "_v").agg(*(F.sum(w).alias(w) for w in weights))
+    static = _by_fold(stats.count_percentiles(whole, keys, [0.5], list(weights)), keys, k, "static")
+    lut = _by_fold(stats.count_percentiles(counts, [*keys, *params], [0.5], list(weights)), [*keys, *params], k, "lut")
+    return metrics(lut_lookup(long_folds, lut, params, static, (*keys, "fold")), keys)
+
+
+#: The prime that hashes of repetitions are taken by: (a x + b) modulo it.
+PRIME = 2**31 - 1
+
+
+def split_hashes(count: int, seed: int = 0) -> list[tuple[int, int]]:
+    """119: a and b of each repetition, from one linear congruence."""
+    out, x = [], seed
+    for _ in range(2 * count):
+        x = (x * 48271 + 11) % PRIME
+        out.append(1 + x % (PRIME - 1))
+    return list(zip(out[::2], out[1::2], strict=True))
+
+
+def _members(ids, hashes) -> np.ndarray:
+    """Which rows train in which repetitions: two thirds of the hashes."""
+    a, b = (np.array(x, np.int64) for x in zip(*hashes, strict=True))
+    return 3 * ((ids.to_numpy().astype(np.int64)[:, None] % PRIME * a + b) % PRIME) < 2 * PRIME
+
+
+def monte_carlo_static(long: DataFrame, count: int = 200, keys=("name", "attr"), obs_id: str = "obs_id", seed: int = 0, parts: int | None = None) -> DataFrame:
+    """119: ``count`` random splits, two thirds training by a hash of the id: keys, rep, n (tested), mae, rmsd and smape of static medians.
+
+    Rows are never copied: a task works out the repetitions of its rows as a matrix of bits. Values are dealt into ``parts``
+    ranges a key (of about 100,000 rows, if not given); sums of bits by range tell in which range a repetition's median
+    lies, and only ranges that hold one are looked at again, each by itself. The last pass is over the rows with their
+    key's medians. Ids are not negative.
+    """
+    keys, hashes = list(keys), split_hashes(count, seed)
+    parts = parts or min(10_000, max(256, long.count() // 100_000))
+    rows = long.select(*keys, F.col(obs_id).cast("long").alias("_id"), F.col("value").cast("double").alias("_v")).where("_v is not null and _id is not null")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10_000).alias("_e"))
+    placed = cut(rows.join(cuts, keys).select(*keys, "_id", "_v", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_p")))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def sums(batches):
+        for pdf in batches:
+            bits = _members(pdf["_id"], hashes)
+            held = [(*(k if isinstance(k, tuple) else (k,)), bits[at].sum(0).tolist()) for k, at in pdf.groupby([*keys, "_p"], dropna=False).indices.items()]
+            yield pdf.head(0)[[*keys, "_p"]].assign(c=None) if not held else type(pdf)(held, columns=[*keys, "_p", "c"])
+
+    part = placed.mapInPandas(sums, f"{named}, _p int, c array<bigint>").select(*keys, "_p", F.posexplode("c").alias("rep", "c"))
+    part = part.groupBy(*keys, "rep", "_p").agg(F.sum("c").alias("c"))
+    by = Window.partitionBy(*keys, "rep")
+    part = part.withColumns({"to": F.sum("c").over(by.orderBy("_p")), "n": F.sum("c").over(by)})
+    middle = F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))
+    wanted = part.withColumn("place", F.explode(middle)).where((F.col("to") - F.col("c") <= F.col("place")) & (F.col("place") < F.col("to")))
+    asked = cut(wanted.groupBy(*keys, "_p").agg(F.collect_list(F.struct(F.col("rep").cast("int").alias("rep"), (F.col("place") - F.col("to") + F.col("c")).cast("long").alias("at"))).alias("asked")))
+
+    def find(pdf):
+        pdf = pdf.sort_values("_v")
+        upto = np.cumsum(_members(pdf["_id"], hashes), axis=0)
+        found = [(*pdf[keys].iloc[0], r["rep"], float(pdf["_v"].iloc[int(np.searchsorted(upto[:, r["rep"]], r["at"] + 1))])) for r in pdf["asked"].iloc[0]]
+        return type(pdf)(found, columns=[*keys, "rep", "v"])
+
+    held = placed.join(asked, [*keys, "_p"]).groupBy(*keys, "_p").applyInPandas(find, f"{named}, rep int, v double")
+    medians = held.groupBy(*keys, "rep").agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rep", "m"))).alias("_m"))
+
+    def errors(batches):
+        for pdf in batches:
+            test, v, out = ~_members(pdf["_id"], hashes), pdf["_v"].to_numpy(), []
+            for k, at in pdf.groupby(keys, dropna=False).indices.items():
+                m = np.full(count, np.nan)
+                for r in pdf["_m"].iloc[at[0]]:
+                    m[r["rep"]] = r["m"]
+                t = test[at] & ~np.isnan(m)
+                e = np.where(t, np.abs(v[at][:, None] - m), 0.0)
+                size = (np.abs(v[at][:, None]) + np.abs(m)) / 2
+                rel = np.where(t & (size > 0), e / np.where(size > 0, size, 1.0), 0.0)
+                out += [(*(k if isinstance(k, tuple) else (k,)), i, int(c), float(a), float(q), float(s)) for i, (c, a, q, s) in enumerate(zip(t.sum(0), e.sum(0), (e * e).sum(0), rel.sum(0), strict=True))]
+            yield type(pdf)(out, columns=[*keys, "rep", "n", "a", "q", "s"])
+
+    scored = placed.join(medians, keys).mapInPandas(errors, f"{named}, rep int, n bigint, a double, q double, s double")
+    total = scored.groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in "naqs")).where("n > 0")
+    return total.select(*keys, "rep", "n", (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("q") / F.col("n")).alias("rmsd"), (F.col("s") / F.col("n") * 100).alias("smape"))
 
 
 def transition_energy(df: DataFrame, keys=("name",)) -> DataFrame:

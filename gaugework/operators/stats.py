@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.observations import Observations, numeric
+from gaugework.operators.lineage import cut
 
 #: A parameter matters if the deviation within configurations is below this share of that without it.
 RELEVANT = 0.5
@@ -22,37 +23,58 @@ def _same(keys, a: str, b: str):
     return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
 
 
-def percentiles(df: DataFrame, keys, value: str, shares, parts: int = 64) -> DataFrame:
-    """keys, n and q: exact percentiles (on the line between the neighbouring values) of each group, however few the groups.
+def value_counts(df: DataFrame, keys, value: str = "value", weights: dict[str, Column] | None = None) -> DataFrame:
+    """keys, _v and, for each of ``weights``, how many rows of that value it holds for (``_c``: all). Nulls do not count. Settled, as it is read several times."""
+    named = {"_c": F.count("*")} if weights is None else {w: F.count_if(c) for w, c in weights.items()}
+    return cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(*(c.alias(w) for w, c in named.items())))
+
+
+def count_percentiles(counts: DataFrame, keys, shares, weights=("_c",), parts: int = 64) -> DataFrame:
+    """keys and, for each of ``weights``, n_<weight> and q_<weight>: exact percentiles (on the line between the neighbouring
+    values) of ``value_counts``. All weights share one pass.
 
-    Rows become counts of values; these are cut into ``parts`` ranges a group by a sketch, and places follow from sums
-    within ranges and the ranges' offsets, so that no group is sorted or held in one task. Nulls do not count.
+    Values are cut into ``parts`` ranges a group by a sketch, and places follow from sums within ranges and the ranges'
+    offsets, so that no group is sorted or held in one task. A weight without rows has null percentiles.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    keys, weights = list(keys), list(weights)
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_e"))
     part = F.size(F.filter("_e", lambda e: e < F.col("_v")))
-    placed = counts.alias("c").join(cuts.alias("e"), _same(keys, "c", "e") or F.lit(True)).select(*(f"c.{k}" for k in keys), "_v", "_c", part.alias("_p"))
-    sums = placed.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    placed = counts.alias("c").join(cuts.alias("e"), _same(keys, "c", "e") or F.lit(True)).select(*(f"c.{k}" for k in keys), "_v", *weights, part.alias("_p"))
+    sums = placed.groupBy(*keys, "_p").agg(*(F.sum(w).alias(w) for w in weights))
     whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("n"))
+    sums = sums.select(*keys, "_p", *(F.coalesce(F.sum(w).over(upto), F.lit(0)).alias(f"_before_{w}") for w in weights), *(F.sum(w).over(whole).alias(f"n_{w}") for w in weights))
     within = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumn("_to", F.sum("_c").over(within)).alias("c").join(sums.alias("e"), [*_same(keys, "c", "e"), F.col("c._p") == F.col("e._p")])
-    run = run.select(*(f"c.{k}" for k in keys), "_v", "n", (F.col("_before") + F.col("_to") - F.col("_c")).alias("_from"), (F.col("_before") + F.col("_to")).alias("_to"))
-    at = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_to")), F.col("_v")))
-    place = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
-    both = [f(F.floor(x), F.ceil(x)) for x in place for f in (lambda lo, _: at(lo), lambda _, hi: at(hi))]
-    got = run.groupBy(*keys, "n").agg(*(c.alias(f"_{i}") for i, c in enumerate(both)))
-    line = [F.when(F.ceil(x) == F.floor(x), F.col(f"_{2 * i}")).otherwise((F.ceil(x) - x) * F.col(f"_{2 * i}") + (x - F.floor(x)) * F.col(f"_{2 * i + 1}")) for i, x in enumerate(place)]
-    return got.select(*keys, "n", F.array(*line).alias("q"))
+    run = placed.withColumns({f"_to_{w}": F.sum(w).over(within) for w in weights}).alias("c").join(sums.alias("e"), [*_same(keys, "c", "e"), F.col("c._p") == F.col("e._p")])
+    place = lambda w, share: F.lit(float(share)) * (F.col(f"n_{w}") - 1)
+
+    def at(w, where):
+        to = F.col(f"_before_{w}") + F.col(f"_to_{w}")
+        return F.max(F.when((to - F.col(w) <= where) & (where < to), F.col("_v")))
+
+    got = run.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys)).agg(
+        *(F.max(f"n_{w}").alias(f"n_{w}") for w in weights), *(at(w, f(place(w, x))).alias(f"_{w}_{i}_{j}") for w in weights for i, x in enumerate(shares) for j, f in enumerate((F.floor, F.ceil)))
+    )
+
+    def line(w, i, x):
+        p = place(w, x)
+        return F.when(F.ceil(p) == F.floor(p), F.col(f"_{w}_{i}_0")).otherwise((F.ceil(p) - p) * F.col(f"_{w}_{i}_0") + (p - F.floor(p)) * F.col(f"_{w}_{i}_1"))
+
+    return got.select(*keys, *(f"n_{w}" for w in weights), *(F.array(*(line(w, i, x) for i, x in enumerate(shares))).alias(f"q_{w}") for w in weights))
+
+
+def percentiles(df: DataFrame, keys, value: str, shares, parts: int = 64) -> DataFrame:
+    """keys, n and q: exact percentiles of each group, however few the groups. Nulls do not count."""
+    found = count_percentiles(value_counts(df, list(keys), value), keys, shares, parts=parts)
+    return found.select(*keys, F.col("n__c").alias("n"), F.col("q__c").alias("q"))
 
 
 def static_model(long: DataFrame, keys=("name", "attr"), how: str = "median") -> DataFrame:
     """55: median or mean for each (name, attr)."""
     if how == "median":
-        counts = long.groupBy(*keys).agg(F.count("*").alias("n"))
-        middle = percentiles(long, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("static"))
-        return counts.alias("c").join(middle.alias("m"), _same(keys, "c", "m"), "left").select(*(f"c.{k}" for k in keys), "static", "n")
+        counts = cut(long.groupBy(*keys, F.col("value").cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+        middle = count_percentiles(counts.where("_v is not null"), keys, [0.5]).select(*keys, F.col("q__c")[0].alias("static"))
+        rows = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+        return rows.alias("c").join(middle.alias("m"), _same(keys, "c", "m"), "left").select(*(f"c.{k}" for k in keys), "static", "n")
     return long.groupBy(*keys).agg(F.avg("value").alias("static"), F.count("*").alias("n"))
 
 

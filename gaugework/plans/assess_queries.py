@@ -177,11 +177,19 @@ def config_fold(spark, sf_dir):
     return shown(assess.cross_validate_lut(folds, obs.params, 5), ["name"])
 
 
-@query("q119_monte_carlo")
+REPETITIONS = 200
+HASHES = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(assess.split_hashes(REPETITIONS)))
+
+
+@query("q119_monte_carlo", f"""WITH {OBS}, u AS (SELECT obs_id, min(name) AS name, min(unit_price) AS value FROM obs GROUP BY obs_id),
+x AS (SELECT name, rep, value, 3 * ((obs_id % {assess.PRIME} * a + b) % {assess.PRIME}) < {2 * assess.PRIME} AS train FROM u, (VALUES {HASHES}) h(rep, a, b)),
+m AS (SELECT name, rep, median(value) AS p FROM x WHERE train GROUP BY ALL)
+SELECT name, rep, count(*) AS n, round(avg(abs(value - p)), 5) AS mae, round(sqrt(avg((value - p) ** 2)), 5) AS rmsd,
+  round(avg(abs(value - p) / ((abs(value) + abs(p)) / 2)) * 100, 5) AS smape FROM x JOIN m USING (name, rep) WHERE NOT train GROUP BY ALL""")
 def monte_carlo(spark, sf_dir):
-    rows = assess.monte_carlo(unique(observations(spark, sf_dir)), 10)
-    model = stats.static_model(rows.where("train"), ("name", "attr", "rep"))
-    return assess.metrics(rows.where("not train").join(model.withColumnRenamed("static", "predicted").drop("n"), ["name", "attr", "rep"]), KEYS)
+    """All 200 repetitions."""
+    scored = assess.monte_carlo_static(unique(observations(spark, sf_dir)), REPETITIONS)
+    return scored.select("name", "rep", "n", r("mae"), r("rmsd"), r("smape"))
 
 
 @query("q120_quality_table", f"""{MODELS}, a AS (SELECT name, attr, avg(abs(value - static)) AS static_mae FROM long JOIN s USING (name, attr) GROUP BY ALL),
