@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import assess, lineage, lookup, trees
+from gaugework.operators.scan import Scan
 
 INIT, END = "__init__", "__end__"
 
@@ -23,16 +24,15 @@ def learn_edges(calls: DataFrame, run: str = "run", site: str = "site", order: s
 
     With a ``kernel`` column (null outside of kernels) each kernel starts again from the last site outside.
     """
-    w = Window.partitionBy(run).orderBy(order)
-    rows = calls.withColumn("_visit", F.row_number().over(Window.partitionBy(run, site).orderBy(order)))
+    rows = Scan.of(calls, [run, site], order).numbered("_visit").rows().withColumn("_visit", F.col("_visit").cast("int"))
     if kernel is None:
-        rows = rows.withColumns({"_from": F.lag(site).over(w), "_v": F.lag("_visit").over(w), "_last": F.lead(site).over(w).isNull()})
+        rows = Scan.of(rows, [run], order).shifted(1, _from=site, _v="_visit").shifted(-1, _next=site).rows().withColumn("_last", F.col("_next").isNull()).drop("_next")
     else:
-        inner = Window.partitionBy(run, kernel).orderBy(order)
-        outside = F.last(F.when(F.col(kernel).isNull(), F.struct(F.col(site).alias("s"), F.col("_visit").alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("_o", outside)
-        first = F.row_number().over(inner) == 1
-        rows = rows.withColumns({"_from": F.when(F.col(kernel).isNull() | first, F.col("_o.s")).otherwise(F.lag(site).over(inner)), "_v": F.when(F.col(kernel).isNull() | first, F.col("_o.v")).otherwise(F.lag("_visit").over(inner)), "_last": F.lead(site).over(inner).isNull()})
+        outside = F.when(F.col(kernel).isNull(), F.struct(F.col(site).alias("s"), F.col("_visit").alias("v")))
+        rows = Scan.of(rows, [run], order).known(_known=outside).shifted(1, _o="_known").rows().drop("_known")
+        inner = Scan.of(rows, [run, kernel], order).shifted(1, _s=site, _sv="_visit").shifted(-1, _next=site).numbered("_place").rows()
+        first = F.col(kernel).isNull() | (F.col("_place") == 1)
+        rows = inner.withColumns({"_from": F.when(first, F.col("_o.s")).otherwise(F.col("_s")), "_v": F.when(first, F.col("_o.v")).otherwise(F.col("_sv")), "_last": F.col("_next").isNull()}).drop("_s", "_sv", "_next", "_place")
     rest = [c for c in calls.columns if c not in (run, site, order)]
     steps = rows.select(run, *rest, F.col(order).alias("seq"), F.coalesce("_from", F.lit(INIT)).alias("source"), F.col(site).alias("target"), F.coalesce("_v", F.lit(1)).alias("visit"))
     ends = rows.where("_last").select(run, *rest, (F.col(order) + 1).alias("seq"), F.col(site).alias("source"), F.lit(END).alias("target"), F.col("_visit").alias("visit"))
@@ -160,8 +160,7 @@ def workload_cost(spark, text: str, lut: DataFrame, params, init: float = 0.0) -
 
 def price_traces(trace: DataFrame, power: DataFrame, energy: DataFrame, params, run: str = "trace_id", order: str = "seq") -> DataFrame:
     """162: state power times dwell plus transition energy, by trace; parameters set once hold until set again; errors add in squares."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trace.withColumns({p: F.last(p, ignorenulls=True).over(w) for p in params})
+    rows = Scan.of(trace, [run], order).known(**{f"_{p}": p for p in params}).rows().withColumns({p: F.col(f"_{p}") for p in params}).drop(*(f"_{p}" for p in params))
     cond = lambda side: [F.col(f"t.{k}").eqNullSafe(F.col(f"{side}.{k}")) for k in ("name", *params)]
     j = rows.alias("t").join(power.alias("p"), cond("p"), "left").join(energy.alias("e"), cond("e"), "left")
     state = F.col("t.isa") == "state"
@@ -195,7 +194,6 @@ def parse_timer_log(lines: DataFrame, cycle_us: float, overflow_us: float, max_o
     """
     text = F.col(line)
     get = lambda pattern, g=1: F.regexp_extract(text, pattern, g)
-    w = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     num = lambda c: c.try_cast("double")
     us = lambda pattern: num(get(pattern + _CYCLES)) * cycle_us + num(get(pattern + _CYCLES, 2)) * overflow_us
     rows = lines.where(text.startswith("[PTA]")).select(
@@ -203,11 +201,11 @@ def parse_timer_log(lines: DataFrame, cycle_us: float, overflow_us: float, max_o
         us(r"nop=").alias("_nop"), num(get(r"benchmark start, id=(\d+)")).alias("_id"), num(get(r"trace=(\d+)")).alias("_trace"),
         num(get(r"transition=(\d+)")).cast("int").alias("transition"), us(r"prevcycles=").alias("_prev"), us(r" cycles=").alias("_us"), num(get(r" cycles=" + _CYCLES, 2)).alias("_over"), F.nullif(get(r"return=(\S+)"), F.lit("")).alias("returned"),
     )
-    rows = rows.withColumns({"nop": F.coalesce(F.last("_nop", ignorenulls=True).over(w), F.lit(0.0)), "benchmark": F.last("_id", ignorenulls=True).over(w).cast("int"), "trace": F.last("_trace", ignorenulls=True).over(w).cast("int")})
-    rows = rows.where("transition is not null")
-    at = Window.partitionBy(file, "benchmark", "trace").orderBy(order)
+    rows = Scan.of(rows, [file], order).known(nop="_nop", benchmark="_id", trace="_trace").rows()
+    rows = rows.withColumns({"nop": F.coalesce("nop", F.lit(0.0)), "benchmark": F.col("benchmark").cast("int"), "trace": F.col("trace").cast("int")})
+    rows = Scan.of(rows.where("transition is not null"), [file, "benchmark", "trace"], order).numbered("position").rows()
     return rows.select(
-        file, "benchmark", "trace", F.row_number().over(at).alias("position"), "transition", F.greatest(F.col("_us") - F.col("nop"), F.lit(0.0)).alias("duration"), F.greatest(F.col("_prev") - F.col("nop"), F.lit(0.0)).alias("before"), "returned",
+        file, "benchmark", "trace", F.col("position").cast("int").alias("position"), "transition", F.greatest(F.col("_us") - F.col("nop"), F.lit(0.0)).alias("duration"), F.greatest(F.col("_prev") - F.col("nop"), F.lit(0.0)).alias("before"), "returned",
         F.when(F.col("_over") >= max_overflow, "timer overflow").alias("error"),
     )
 
@@ -216,10 +214,11 @@ def propagate_returns(trace: DataFrame, param: str, returned: str = "returned",
     """170: a returned value (maybe by a formula) is a parameter of all later elements, and of those back to the last ``back_to``."""
     value = F.col(returned).try_cast("double")
     value = formula(value) if formula else value
-    ahead = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trace.withColumn("_v", value).withColumn(param, F.coalesce(F.last("_v", ignorenulls=True).over(ahead), F.col(param)) if param in trace.columns else F.last("_v", ignorenulls=True).over(ahead))
+    rows = Scan.of(trace.withColumn("_v", value), [run], order).known(_held="_v").rows()
+    rows = rows.withColumn(param, F.coalesce("_held", param) if param in trace.columns else F.col("_held")).drop("_held")
     if back_to is not None:
-        rows = rows.withColumn("_part", F.sum((F.col("name") == back_to).cast("int")).over(ahead))
-        rest = Window.partitionBy(run, "_part").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-        rows = rows.withColumn(param, F.when(F.col("_part") > 0, F.coalesce(F.first("_v", ignorenulls=True).over(rest), F.col(param))).otherwise(F.col(param))).drop("_part")
+        rows = Scan.of(rows, [run], order).summed(_part=(F.col("name") == back_to).cast("int")).rows()
+        # The first value ahead is the last one known in the order turned round.
+        turned = Scan.of(rows.withColumn("_back", -F.col(order)), [run, "_part"], "_back").known(_ahead="_v").rows()
+        rows = turned.withColumn(param, F.when(F.col("_part") > 0, F.coalesce("_ahead", param)).otherwise(F.col(param))).drop("_part", "_back", "_ahead")
     return rows.drop("_v")

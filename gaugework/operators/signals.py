@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.operators.scan import Scan
+
 KEYS = ["signal"]
 
 
@@ -22,15 +24,14 @@ def _w(keys, order):
 
 def running_mean(df: DataFrame, n: int, keys=KEYS, order: str = "i") -> DataFrame:
     """126: means of n samples in turn; incomplete ones are left out."""
-    w = _w(keys, order).rowsBetween(0, n - 1)
-    return df.withColumns({"mean": F.avg("value").over(w), "_n": F.count("value").over(w)}).where(F.col("_n") == n).drop("_n")
+    return Scan.of(df, keys, order).ahead(n, mean=F.avg("value"), _n=F.count("value")).rows().where(F.col("_n") == n).drop("_n")
 
 
 def gradient(df: DataFrame, keys=KEYS, order: str = "i") -> DataFrame:
     """127: central differences, one-sided at the ends."""
-    w = _w(keys, order)
-    before, after, v = F.lag("value").over(w), F.lead("value").over(w), F.col("value")
-    return df.withColumn("gradient", F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2))
+    before, after, v = F.col("_before"), F.col("_after"), F.col("value")
+    rows = Scan.of(df, keys, order).shifted(1, _before="value").shifted(-1, _after="value").rows()
+    return rows.withColumn("gradient", F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2)).drop("_before", "_after")
 
 
 def threshold_points(df: DataFrame, limit: float, keys=KEYS, order: str = "i") -> DataFrame:
@@ -41,8 +42,7 @@ def threshold_points(df: DataFrame, limit: float, keys=KEYS, order: str = "i") -
 def edges(df: DataFrame, level: Column, after: float | None = None, keys=KEYS, order: str = "i", offset: int = 2) -> DataFrame:
     """128: level changes, after a start-up; the edge is at the sample ``offset`` further on."""
     rows = df if after is None else df.where(F.col(order) >= after)
-    w = _w(keys, order)
-    marked = rows.withColumn("level", level.cast("int")).withColumn("_was", F.lag("level").over(w))
+    marked = Scan.of(rows.withColumn("level", level.cast("int")), keys, order).shifted(1, _was="level").rows()
     return marked.where(F.col("_was").isNotNull() & (F.col("level") != F.col("_was"))).select(*keys, (F.col(order) + offset).alias("edge"), "level")
 
 
@@ -72,14 +72,14 @@ def charge_to_current(charge: Column, shunt: float) -> Column:
 
 def segments(df: DataFrame, edge: Column, keys=KEYS, order: str = "i") -> DataFrame:
     """132: a running number of segments; a new one begins where ``edge`` holds."""
-    return df.withColumn("segment", F.sum(edge.cast("int")).over(_w(keys, order)))
+    return Scan.of(df, keys, order).summed(segment=edge.cast("int")).rows()
 
 
 def segment_table(df: DataFrame, clip: float, keys=KEYS, order: str = "i") -> DataFrame:
     """132: mean, deviation, clipping and duration of segments, steps to the neighbours, and the previous duration."""
     s = df.groupBy(*keys, "segment").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.avg((F.col("value") >= clip).cast("double")).alias("clip_rate"), F.count("*").alias("duration"))
-    w = _w(keys, "segment")
-    return s.withColumns({"to_prev": F.col("mean") - F.lag("mean").over(w), "to_next": F.col("mean") - F.lead("mean").over(w), "timeout": F.lag("duration").over(w), "is_state": F.col("segment") % 2 == 0})
+    rows = Scan.of(s, keys, "segment").shifted(1, _prev="mean", timeout="duration").shifted(-1, _next="mean").rows()
+    return rows.withColumns({"to_prev": F.col("mean") - F.col("_prev"), "to_next": F.col("mean") - F.col("_next"), "is_state": F.col("segment") % 2 == 0}).drop("_prev", "_next")
 
 
 def validate_segments(table: DataFrame, plan: DataFrame, keys=KEYS, low: float = 0.5, high: float = 1.5) -> DataFrame:
@@ -96,9 +96,8 @@ def validate_segments(table: DataFrame, plan: DataFrame, keys=KEYS, low: float =
 
 def islands(df: DataFrame, on: Column, keys=KEYS, order: str = "i") -> DataFrame:
     """Maximal runs of equal ``on``: start, end, count and number in order."""
-    w = _w(keys, order)
-    new = F.coalesce(F.col("_on") != F.lag("_on").over(w), F.lit(True)).cast("int")
-    runs = df.withColumn("_on", on).withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
+    new = F.coalesce(F.col("_on") != F.col("_was"), F.lit(True)).cast("int")
+    runs = Scan.of(df.withColumn("_on", on), keys, order).shifted(1, _was="_on").summed(run=new).rows()
     return runs.groupBy(*keys, "run").agg(F.first("_on").alias("on"), F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("total"))
 
 
