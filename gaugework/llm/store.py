@@ -64,8 +64,10 @@ def join_frequent_apart(rows: DataFrame, side: DataFrame, keys: list[str], total
     ``max(1 / SHARE, total / FEW)`` rows, so that none of them is the work of one task; all others by a shuffle.
     """
     edge = max(FEW, int(total * SHARE))
-    frequent, rest = F.broadcast(side.where(F.col(count) >= edge)), side.where(F.col(count) < edge)
-    return rows.join(frequent, keys).unionByName(rows.join(rest, keys)).drop(count)
+    frequent, rest = side.where(F.col(count) >= edge), side.where(F.col(count) < edge)
+    # Rows of frequent keys are taken out before the shuffle, where they would meet in one task for nothing.
+    others = rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(frequent), keys).unionByName(others.join(rest, keys)).drop(count)
 
 
 def extended(df: DataFrame, columns: str) -> StructType:
