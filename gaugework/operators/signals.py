@@ -216,24 +216,76 @@ def costs_to(values: np.ndarray, end: int) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
+class Deviations:
+    """145: sums of absolute deviations from the median of any stretches of one signal, many at a time.
+
+    Ranks of values are kept bit by bit, highest first, each level stably parted by its bit, with running counts and sums of
+    the lower side; a stretch's median, and the sum of what is below it, then take one step a bit. Memory is the signal's
+    length times the bits of its number of different values.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.centre = float(np.median(values))
+        v = np.asarray(values, float) - self.centre
+        self.grid, rank = np.unique(v, return_inverse=True)
+        self.sums = np.concatenate([[0.0], np.cumsum(v)])
+        self.levels = []
+        for bit in reversed(range(max(1, int(len(self.grid) - 1).bit_length()))):
+            low = (rank >> bit & 1) == 0
+            self.levels.append((bit, np.concatenate([[0], np.cumsum(low)]), np.concatenate([[0.0], np.cumsum(np.where(low, v, 0.0))]), int(low.sum())))
+            order = np.concatenate([np.flatnonzero(low), np.flatnonzero(~low)])
+            rank, v = rank[order], v[order]
+
+    def of(self, begin: np.ndarray, end: int) -> np.ndarray:
+        """The deviations of ``values[b:end]`` for every ``b``."""
+        a, z = begin.astype(np.int64), np.full(len(begin), end, np.int64)
+        size = z - a
+        total = self.sums[z] - self.sums[a]
+        k = (size - 1) // 2
+        below, left, at = np.zeros(len(a)), k.copy(), np.zeros(len(a), np.int64)
+        for bit, count, sums, zeros in self.levels:
+            ca, cz = count[a], count[z]
+            up = left >= cz - ca
+            below += np.where(up, sums[z] - sums[a], 0.0)
+            left -= np.where(up, cz - ca, 0)
+            at += up.astype(np.int64) << bit
+            a, z = np.where(up, zeros + a - ca, ca), np.where(up, zeros + z - cz, cz)
+        middle = self.grid[at]
+        below += left * middle
+        return np.maximum(total - 2 * below + middle * (2 * k - size), 0.0)
+
+
 def changes_by_penalty(values: np.ndarray, penalties, min_distance: int = 5, jump: int = 1) -> list[list[int]]:
     """145: for each penalty the starts of new stretches of least absolute deviation, all penalties in one dynamic programme.
 
     Stretches have ``min_distance`` samples at least and start at multiples of ``jump``; of equal totals the earliest
-    start counts. Time grows with the square of a signal's length, memory with its length.
+    start counts. A start is given up, for ends ``min_distance`` further on, once it costs more than a change there at all
+    penalties: parting a stretch never costs more, so that it can be no part of a best path any more. Time then grows with
+    the signal's length times the stretches' lengths, memory with the length.
     """
     n, pen = len(values), np.asarray(penalties, float)
-    ends = [*range(max(min_distance, jump), n - min_distance + 1, jump), n]
+    ends = [*range(max(1, -(-min_distance // jump)) * jump, n - min_distance + 1, jump), n]
     starts = np.array([0, *ends[:-1]])
+    costs = Deviations(np.asarray(values, float))
+    slack = 1e-9 * (1.0 + float(np.abs(np.asarray(values, float) - costs.centre).max()))
     best = np.full((len(starts) + 1, len(pen)), np.inf)
     best[0] = -pen
     came = np.zeros((len(starts) + 1, len(pen)), int)
+    alive, ready, waiting = np.zeros(1, np.int64), 1, []
     for i, t in enumerate(ends, 1):
-        may = starts[: np.searchsorted(starts, t - min_distance, side="right")] if t >= min_distance else starts[:1]
-        may = may[: max(1, min(len(may), i))]
-        total = best[: len(may)] + costs_to(values, t)[may][:, None]
-        came[i] = total.argmin(axis=0)
-        best[i] = total[came[i], np.arange(len(pen))] + pen
+        upto = min(int(np.searchsorted(starts, t - min_distance, side="right")), i) if t >= min_distance else 1
+        if upto > ready:
+            alive, ready = np.concatenate([alive, np.arange(ready, upto)]), upto
+        while waiting and waiting[0][0] <= t:
+            gone = waiting.pop(0)[1]
+            alive = alive[~np.isin(alive, gone, assume_unique=True)]
+        total = best[alive] + costs.of(starts[alive], t)[:, None]
+        least = total.min(axis=0)
+        came[i] = alive[(total <= least + slack).argmax(axis=0)]
+        best[i] = least + pen
+        gone = alive[(total > best[i] + 2 * slack).all(axis=1)] if i < len(ends) else ()
+        if len(gone):
+            waiting.append((t + min_distance, gone))
     out = []
     for j in range(len(pen)):
         at, i = [], int(came[len(ends), j])

@@ -144,10 +144,38 @@ def change_points(spark, sf_dir):
     return signals.detect_changes(sig(spark, sf_dir), range(1, 89), min_distance=3)
 
 
-@query("q144_refinement_by_changes")
+#: The whole dynamic programme in SQL: deviations of all stretches of three samples or more, and a step of the recursion for each end.
+PROGRAMME = f"""WITH RECURSIVE {SIG}, v AS (SELECT signal, list(value::DOUBLE ORDER BY i) AS v, count(*) AS n FROM sig GROUP BY signal),
+p AS (SELECT signal, n, s, t, v[s + 1 : t] AS x FROM v, range(200) a(s), range(201) b(t) WHERE t <= n AND t >= 1 AND (t - s >= 3 OR (s = 0 AND t = n)) AND (s = 0 OR s >= 3)),
+c AS (SELECT signal, n, t, list(s ORDER BY s) AS s, list(list_sum(list_transform(x, lambda y: abs(y - list_median(x)))) ORDER BY s) AS c FROM p GROUP BY ALL),
+f(signal, n, t, pen, best) AS (
+  SELECT signal, n, 0::BIGINT, pen, [-pen::DOUBLE] FROM v, range(1, 89) g(pen)
+  UNION ALL
+  SELECT f.signal, f.n, f.t + 1, pen, list_append(best, coalesce(list_min(list_transform(list_zip(c.s, c.c), lambda z: best[z[1] + 1] + z[2])) + pen, 1e300))
+  FROM f LEFT JOIN c ON c.signal = f.signal AND c.t = f.t + 1 WHERE f.t < f.n),
+total AS (SELECT f.signal, pen::DOUBLE AS penalty, best[f.n + 1] AS total, c.c[1] AS whole FROM f JOIN c ON c.signal = f.signal AND c.t = f.n WHERE f.t = f.n)"""
+
+
+def _totals(spark, sf_dir, penalties):
+    """Deviations of the stretches that were found, and the penalties of the changes, worked out again from the samples."""
+    rows = sig(spark, sf_dir)
+    found = signals.detect_changes(rows, penalties, min_distance=3)
+    parts = rows.select("signal", "i", "value").join(found, "signal").withColumn("part", F.size(F.filter("changes", lambda c: c <= F.col("i"))))
+    part = parts.groupBy("signal", "penalty", "part").agg(F.median("value").alias("m"), F.collect_list("value").alias("v"))
+    cost = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("m")))
+    return part.groupBy("signal", "penalty").agg((F.sum(cost) + (F.count("*") - 1) * F.col("penalty")).alias("total"), F.count("*").alias("parts"))
+
+
+@query("q145_change_totals", f"{PROGRAMME} SELECT signal, penalty, round(total, 5) AS total FROM total")
+def change_totals(spark, sf_dir):
+    """No other change points cost less: the totals are those of the whole programme."""
+    return _totals(spark, sf_dir, range(1, 89)).select("signal", "penalty", r("total", 5))
+
+
+@query("q144_refinement_by_changes", f"{PROGRAMME} SELECT count(*) AS signals, round(avg((total < whole - 1e-7)::INT), 8) AS share FROM total WHERE penalty = 20")
 def refinement_by_changes(spark, sf_dir):
     found = signals.detect_changes(sig(spark, sf_dir), [20.0], min_distance=3)
-    return found.agg(F.count("*").alias("signals"), F.avg((F.size("changes") > 0).cast("double")).alias("share"))
+    return found.agg(F.count("*").alias("signals"), F.round(F.avg((F.size("changes") > 0).cast("double")), 8).alias("share"))
 
 
 @query("q146_plateau_penalty")
