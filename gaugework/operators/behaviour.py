@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, lineage, lookup, trees
+from gaugework.observations import numeric
+from gaugework.operators import assess, grove, lineage, lookup, trees
 from gaugework.operators.scan import Scan
 
 INIT, END = "__init__", "__end__"
@@ -55,69 +56,94 @@ def nondeterministic(edges: DataFrame, params) -> DataFrame:
     return edges.groupBy("source", *params, "visit").agg(F.count_distinct("target").alias("targets")).where("targets > 1")
 
 
-def learn_guards(edges: DataFrame, params) -> dict[str, list[tuple[str, tuple]]]:
-    """156: for each branching site the conditions of each target: paths of a tree over the target's index.
+def learn_guards(edges: DataFrame, params, keys=()) -> DataFrame:
+    """156: source, keys and ``rules`` (target and path) of every site, from one keyed grove: no site is a job of its own.
 
-    Sites and parameter values are few; each tree works on distinct configurations.
+    A tree tells a site's targets, by their numbers, from the parameters and the visit, on distinct configurations; paths
+    that end at a single target are rules. ``keys`` may hold a fold.
     """
-    conf = edges.select("source", "target", *params, "visit").distinct()
-    branching = [r["source"] for r in conf.groupBy("source").agg(F.count_distinct("target").alias("n")).where("n > 1").orderBy("source").collect()]
-    targets: dict[str, list[str]] = {}
-    for r in conf.select("source", "target").distinct().orderBy("source", "target").collect():
-        targets.setdefault(r["source"], []).append(r["target"])
-    guards = {}
-    for s, t in targets.items():
-        if s not in branching:
-            guards[s] = [(t[0], ())]
-            continue
-        rows = conf.where(F.col("source") == s).withColumn("value", (F.array_position(F.array(*(F.lit(x) for x in t)), F.col("target")) - 1).cast("double"))
-        tree = trees.prune(trees.grow(rows, [*params, "visit"], threshold=0.0, relevant=False), ordered=True)
-        guards[s] = [(t[round(v)], path) for path, v in trees.flatten(tree) if abs(v - round(v)) < 1e-6]
-    return guards
-
-
-def condition(path) -> Column:
-    """A path of a tree as a predicate."""
-    out = F.lit(True)
-    for p, op, v in path:
-        c = F.col(p)
-        one = (lambda x, c=c: c.isNull() if x == "null" else (c.cast("double") == x if isinstance(x, float) else c.cast("string") == x))
-        if op == "<=":
-            out &= c.cast("double") <= v
-        elif op == ">":
-            out &= c.cast("double") > v
-        elif op == "==":
-            out &= one(v)
-        else:
-            part = F.lit(False)
-            for x in v:
-                part |= one(x)
-            out &= part
-    return F.coalesce(out, F.lit(False))
-
-
-def predict_traces(runs: DataFrame, guards, params, limit: int = 100, cut: int = 10) -> DataFrame:
-    """158: walk all runs at once from ``__init__`` to ``__end__`` by the guards, a step an iteration.
+    by, sides = ["source", *keys], [*params, "visit"]
+    conf = lineage.cut(edges.select(*by, "target", *sides).distinct())
+    targets = lineage.cut(conf.select(*by, "target").distinct().withColumn("value", F.row_number().over(Window.partitionBy(*by).orderBy("target")).cast("double")))
+    rows = conf.join(targets, [*by, "target"])
+    grown = grove.prune(grove.grow(grove.moments(rows, sides, by), sides, by, threshold=0.0, relevant=False))
+    found = grove.rules(grown, ordered=True).where("squares < 1e-9").withColumn("value", F.round("value"))
+    named = found.join(targets, [*by, "value"])
+    return lineage.cut(named.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("target", "path"))).alias("rules")))
+
+
+def guarded(rows: DataFrame, guards: DataFrame, params, keys=(), site: str = "site") -> DataFrame:
+    """156: ``rows`` (site, keys, params, visit) with ``hits``: the targets whose rules hold, none at an unknown site."""
+    sides = [*params, "visit"]
+    text = F.create_map(*(x for p in sides for x in (F.lit(p), trees._key(p))))
+    number = F.create_map(*(x for p in sides for x in (F.lit(p), numeric(p))))
+
+    def holds(step):
+        x = F.try_element_at(F.col("_x"), step["param"])
+        seen = F.array_contains(step["values"], F.try_element_at(F.col("_v"), step["param"]))
+        return F.coalesce(F.when(step["values"].isNotNull(), seen).when(step["upto"].isNotNull(), x <= step["upto"]).otherwise(x > step["above"]), F.lit(False))
+
+    met = rows.join(guards.withColumnRenamed("source", site), [site, *keys], "left").withColumns({"_v": text, "_x": number})
+    hits = F.transform(F.filter("rules", lambda r: F.forall(r["path"], holds)), lambda r: r["target"])
+    return met.withColumn("hits", F.array_distinct(F.coalesce(hits, F.array().cast("array<string>")))).drop("_v", "_x", "rules")
+
+
+def predict_traces(runs: DataFrame, guards: DataFrame, params, limit: int = 100, cut: int = 10, keys=()) -> DataFrame:
+    """158: walk all runs at once from ``__init__`` to ``__end__`` by the guards: a join an iteration.
 
     No match, or several, ends a run; runs that come to ``limit`` are marked unfinished. Visits
     are counted along the path. Lineage is cut in the shared folder every few steps.
     """
-    now = runs.select("run", *params, F.lit(INIT).alias("site"), F.array().cast("array<string>").alias("path"), F.lit("open").alias("state"))
+    now = runs.select("run", *keys, *params, F.lit(INIT).alias("site"), F.array().cast("array<string>").alias("path"), F.lit("open").alias("state"))
+    done = None
     for step in range(limit):
         visit = F.when(F.col("site") == INIT, 1).otherwise(F.size(F.filter("path", lambda x: x == F.col("site"))))
-        now = now.withColumn("visit", visit)
-        hits = F.lit(None).cast("array<string>")
-        for s, g in guards.items():
-            hits = F.when(F.col("site") == s, F.array_distinct(F.filter(F.array(*(F.when(condition(p), F.lit(t)) for t, p in g)), lambda x: x.isNotNull()))).otherwise(hits)
-        nxt = F.when((F.col("state") == "open") & (F.size(hits) == 1), hits[0])
-        now = now.withColumn("_n", nxt)
-        done = F.when(F.col("state") != "open", F.col("state")).when(F.col("_n").isNull(), "stuck").when(F.col("_n") == END, "finished").otherwise("open")
-        now = now.withColumn("path", F.when(F.col("_n").isNotNull() & (F.col("_n") != END), F.array_append("path", F.col("_n"))).otherwise(F.col("path"))).withColumn("state", done).withColumn("site", F.coalesce("_n", "site")).drop("_n")
-        if step % cut == cut - 1:
+        now = guarded(now.withColumn("visit", visit), guards, params, keys)
+        now = now.withColumn("_n", F.when(F.size("hits") == 1, F.get("hits", F.lit(0))))
+        state = F.when(F.col("_n").isNull(), "stuck").when(F.col("_n") == END, "finished").otherwise("open")
+        now = now.withColumn("path", F.when(F.col("_n") != END, F.array_append("path", F.col("_n"))).otherwise(F.col("path"))).withColumn("state", state).withColumn("site", F.coalesce("_n", "site"))
+        now = now.select("run", *keys, *params, "site", "path", "state")
+        last = step == limit - 1
+        if last or step % cut == cut - 1:
             now = lineage.cut(now)
-            if now.where("state = 'open'").isEmpty():
-                break
-    return now.select("run", *params, "path", F.when(F.col("state") == "open", "unfinished").otherwise(F.col("state")).alias("state"))
+        over = now if last else now.where("state <> 'open'")
+        done = over if done is None else done.unionByName(over)
+        now = now.where("state = 'open'")
+        if last or step % cut == cut - 1 and now.isEmpty():
+            break
+    return done.select("run", *keys, *params, "path", F.when(F.col("state") == "open", "unfinished").otherwise(F.col("state")).alias("state"))
+
+
+def fold_edges(edges: DataFrame, folds: DataFrame, params, k: int, run: str = "run") -> DataFrame:
+    """159: the distinct edges that each fold's guards learn from, those of the runs of all other folds, with the fold.
+
+    Configurations are copied, not runs: one goes to a fold if any run outside of it has it.
+    """
+    held = edges.join(folds.select(run, "fold"), run).groupBy("source", "target", *params, "visit").agg(F.collect_set("fold").alias("_f"))
+    tests = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.exists("_f", lambda g: g != f))
+    return held.select("source", "target", *params, "visit", F.explode(tests).alias("fold"))
+
+
+def validated_accuracy(calls: DataFrame, params, k: int = 10, limit: int = 100, cut: int = 10, run: str = "run", order: str = "seq") -> DataFrame:
+    """159: runs and share of exact sequences, in training and over ``k`` folds of runs, the guards of all folds from one grove."""
+    edges = lineage.cut(learn_edges(calls, run=run, order=order))
+    runs = calls.select(run, *params).distinct()
+    folds = lineage.cut(assess.place_in_group(runs.withColumn("_all", F.lit(0)), ["_all"], run).select(run, (F.col("place") % k).cast("int").alias("fold")))
+    tested = predict_traces(runs.join(folds, run), learn_guards(fold_edges(edges, folds, params, k, run), params, ("fold",)), params, limit, cut, ("fold",))
+    trained = predict_traces(runs, learn_guards(edges, params), params, limit, cut)
+    both = [trace_accuracy(p, calls, run, order).select(F.lit(tag).alias("part"), "runs", "exact") for tag, p in (("training", trained), ("validation", tested))]
+    return both[0].unionByName(both[1])
+
+
+def argument_errors(calls: DataFrame, args, params, k: int = 10, site: str = "site", run: str = "run") -> DataFrame:
+    """159: smape of the arguments of each site, by medians of the run's configuration (else of the site), in training and over ``k`` folds of runs."""
+    folds = assess.place_in_group(calls.select(run).distinct().withColumn("_all", F.lit(0)), ["_all"], run).select(run, (F.col("place") % k).cast("int").alias("fold"))
+    long = calls.select(run, F.col(site).alias("name"), *params, *(F.col(a).cast("double").alias(a) for a in args)).unpivot([run, "name", *params], list(args), "attr", "value")
+    rows = lineage.cut(long.join(folds, run))
+    short = lambda m, tag: m.select("name", "attr", "count", F.col("smape").alias(tag))
+    keys = ["name", "attr"]
+    trained = assess.metrics(assess.predict_lut(rows, params), keys, wanted=("count", "smape"))
+    return short(trained, "training").join(short(assess.cross_validate_lut(rows, params, k), "validation").drop("count"), keys)
 
 
 def trace_accuracy(predicted: DataFrame, calls: DataFrame, run: str = "run", order: str = "seq") -> DataFrame:

@@ -245,18 +245,30 @@ def prune(grove: Grove) -> Grove:
     return Grove(cut(all_nodes), cut(out_edges), roots, grove.keys, grove.params, level, grove.terms)
 
 
-def rules(grove: Grove) -> DataFrame:
-    """108: keys, path (an array of param and values), value and n of every leaf."""
-    step = "array<struct<param:string,values:array<string>>>"
+def rules(grove: Grove, ordered: bool = False) -> DataFrame:
+    """108: keys, path (an array of param and values), value, n and squares of every leaf.
+
+    With ``ordered`` a step also has ``upto`` or ``above``, and no values, where a split has two children and a number parts
+    the values of one from those of the other: such a step holds for values that were never seen, too.
+    """
+    step = "array<struct<param:string,values:array<string>>>" if not ordered else "array<struct<param:string,values:array<string>,upto:double,above:double>>"
     now = grove.roots.withColumn("path", F.array().cast(step))
     found = []
     for level in range(grove.depth + 1):
-        arms = grove.edges.where(F.col("level") == level).groupBy("_node", "param", "child").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("values"))
+        arms = grove.edges.where(F.col("level") == level).groupBy("_node", "param", "child").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("values"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.bool_and(F.col("x").isNotNull()).alias("numbers"))
+        parts = ["param", "values"]
+        if ordered:
+            whole = Window.partitionBy("_node")
+            low, high = F.min("hi").over(whole), F.max("lo").over(whole)
+            cuts = (F.count("*").over(whole) == 2) & F.min("numbers").over(whole) & (low < high) & (F.when(F.col("lo") == high, F.col("hi") > low).otherwise(F.col("hi") == low))
+            arms = arms.withColumn("_cut", F.when(cuts, low)).withColumn("_cut", F.when(F.count("_cut").over(whole) == 2, F.col("_cut")))
+            arms = arms.withColumns({"upto": F.when(F.col("hi") <= F.col("_cut"), F.col("_cut")), "above": F.when(F.col("hi") > F.col("_cut"), F.col("_cut")), "values": F.when(F.col("_cut").isNull(), F.col("values"))})
+            parts += ["upto", "above"]
         met = now.join(arms, "_node", "left")
         found.append(met.where("child is null").select(*grove.keys, "_node", "path"))
-        now = cut(met.where("child is not null").select(*grove.keys, F.col("child").alias("_node"), F.concat("path", F.array(F.struct("param", "values"))).cast(step).alias("path")))
+        now = cut(met.where("child is not null").select(*grove.keys, F.col("child").alias("_node"), F.concat("path", F.array(F.struct(*parts))).cast(step).alias("path")))
     leaves = reduce(DataFrame.unionByName, found)
-    return leaves.join(grove.nodes.select("_node", "value", "n"), "_node").drop("_node")
+    return leaves.join(grove.nodes.select("_node", "value", "n", "squares"), "_node").drop("_node")
 
 
 def complexity(grove: Grove) -> DataFrame:

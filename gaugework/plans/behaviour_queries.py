@@ -42,10 +42,38 @@ def meta_observations(spark, sf_dir):
     return latency.select("run", "mode", r("latency"))
 
 
-@query("q156_guards")
+STEPS = """WITH c AS (SELECT conv_id AS run, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'ask' ELSE 'answer' END AS site, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations),
+v AS (SELECT *, row_number() OVER (PARTITION BY run, site ORDER BY seq) AS visit FROM c),
+e AS (SELECT run, turns, coalesce(lag(site) OVER w, '__init__') AS source, coalesce(lag(visit) OVER w, 1) AS visit, site AS target FROM v WINDOW w AS (PARTITION BY run ORDER BY seq)
+  UNION ALL SELECT run, any_value(turns), arg_max(site, seq), arg_max(visit, seq), '__end__' FROM v GROUP BY run)"""
+
+
+@query("q156_guards", f"""{STEPS} SELECT source, turns::INT AS turns, visit::INT AS visit, min(target) AS target FROM e GROUP BY ALL HAVING count(DISTINCT target) = 1""")
 def guards(spark, sf_dir):
-    g = behaviour.learn_guards(behaviour.learn_edges(chat_calls(spark, sf_dir)), ["turns"])
-    return spark.createDataFrame([(s, t, str(p)) for s, x in g.items() for t, p in x], "source string, target string, path string")
+    """What the guards of all sites say of every configuration that leaves its site by one edge only."""
+    edges_ = behaviour.learn_edges(chat_calls(spark, sf_dir))
+    conf = edges_.select(F.col("source").alias("site"), "turns", "visit").distinct()
+    told = behaviour.guarded(conf, behaviour.learn_guards(edges_, ["turns"]), ["turns"])
+    return told.where(F.size("hits") == 1).select(F.col("site").alias("source"), "turns", "visit", F.get("hits", F.lit(0)).alias("target"))
+
+
+@query("q159_validated_accuracy")
+def validated_accuracy(spark, sf_dir):
+    c = chat_calls(spark, sf_dir)
+    return behaviour.validated_accuracy(c, ["turns"], limit=_longest(c), cut=50)
+
+
+@query("q159_argument_errors", f"""WITH {CALLS}, f AS (SELECT run, ((row_number() OVER (ORDER BY run) - 1) % 10)::INT AS fold FROM (SELECT DISTINCT run FROM calls)),
+r AS (SELECT site AS name, mode, value, fold FROM calls JOIN f USING (run)),
+s AS (SELECT name, k AS fold, median(value) AS static FROM r, range(10) g(k) WHERE fold <> k GROUP BY name, k),
+l AS (SELECT name, mode, k AS fold, median(value) AS lut FROM r, range(10) g(k) WHERE fold <> k GROUP BY ALL),
+w AS (SELECT name, mode, median(value) AS p FROM r GROUP BY ALL),
+a AS (SELECT name, count(*) AS count, round(avg(abs(p - value) / ((abs(p) + abs(value)) / 2)) * 100, 5) AS training FROM r JOIN w USING (name, mode) GROUP BY name),
+b AS (SELECT name, round(avg(abs(coalesce(lut, static) - value) / ((abs(coalesce(lut, static)) + abs(value)) / 2)) * 100, 5) AS validation FROM r JOIN s USING (name, fold) LEFT JOIN l USING (name, mode, fold) GROUP BY name)
+SELECT name, 'value' AS attr, count, training, validation FROM a JOIN b USING (name)""")
+def argument_errors(spark, sf_dir):
+    found = behaviour.argument_errors(calls(spark, sf_dir), ["value"], ["mode"])
+    return found.select("name", "attr", "count", F.round("training", 5).alias("training"), F.round("validation", 5).alias("validation"))
 
 
 @query("q157_nondeterminism", """WITH c AS (SELECT conv_id AS run, turn AS seq, CASE WHEN turn % 2 = 0 THEN 'ask' ELSE 'answer' END AS site, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations),
