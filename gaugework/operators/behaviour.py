@@ -197,8 +197,9 @@ def price_traces(trace: DataFrame, power: DataFrame, energy: DataFrame, params,
 
 
 def overflow_bounds(power: DataFrame, bits: int) -> DataFrame:
-    """163: shortest and longest time until an energy counter overflows."""
-    return power.agg((F.lit(float(2**bits - 1)) / F.max("power")).alias("shortest"), (F.lit(float(2**bits - 1)) / F.min("power")).alias("longest"))
+    """163: shortest and longest time until an energy counter overflows; without power it never does."""
+    used, most = F.when(F.col("power") > 0, F.col("power")), F.lit(float(2**bits - 1))
+    return power.agg((most / F.max(used)).alias("shortest"), (most / F.min(used)).alias("longest"))
 
 
 def power_breakdown(df: DataFrame, loop: str = "loop", part: str = "component") -> DataFrame:

@@ -89,22 +89,59 @@ def roofline(long: DataFrame, keys=("name", "attr"), x: str = "x") -> DataFrame:
     return cand.groupBy(*keys).agg(F.min(F.struct("ssr", "b2", "b1", "b0")).alias("m")).select(*keys, "m.b0", "m.b1", "m.b2", "m.ssr")
 
 
-def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: float = 1.0, steps: int = 10, lower: float | None = None) -> DataFrame:
-    """86: soft-l1 line by reweighted sums in a fixed number of steps; a slope below ``lower`` is set to it."""
+#: 86: weights of a squared, scaled residual under each loss (the loss's derivative).
+LOSSES: dict[str, Callable[[Column], Column]] = {
+    "linear": lambda z: F.lit(1.0),
+    "soft_l1": lambda z: 1 / F.sqrt(1 + z),
+    "huber": lambda z: F.when(z <= 1, 1.0).otherwise(1 / F.sqrt(z)),
+    "cauchy": lambda z: 1 / (1 + z),
+    "arctan": lambda z: 1 / (1 + z * z),
+}
+NO_BOUNDS = ((None, None), (None, None))
+
+
+def _between(v: Column, bounds) -> Column:
+    v = v if bounds[0] is None else F.greatest(v, F.lit(float(bounds[0])))
+    return v if bounds[1] is None else F.least(v, F.lit(float(bounds[1])))
+
+
+def bounded_line(bounds=NO_BOUNDS) -> Column:
+    """86: (loss, b0, b1) of the line of least squares within ``bounds`` of both coefficients, from the sums s, sx, sy, sxx, sxy.
+
+    The loss is convex, so that the optimum is the free one or lies on a side of the box, where one coefficient is fixed and
+    the other's own optimum is held within its bounds: five candidates at most, all in columns.
+    """
+    n, sx, sy, sxx, sxy = (F.col(c) for c in ("s", "sx", "sy", "sxx", "sxy"))
+
+    def made(a, b):
+        return F.struct((n * a * a + 2 * sx * a * b + sxx * b * b - 2 * sy * a - 2 * sxy * b).alias("loss"), a.alias("b0"), b.alias("b1"))
+
+    slope = (sxy - sx * sy / n) / F.nullif(sxx - sx * sx / n, F.lit(0.0))
+    free = (sy - slope * sx) / n
+    inside = (_between(free, bounds[0]) == free) & (_between(slope, bounds[1]) == slope)
+    each = [F.when(inside, made(free, slope))]
+    each += [made(F.lit(float(v)), _between((sxy - v * sx) / F.nullif(sxx, F.lit(0.0)), bounds[1])) for v in bounds[0] if v is not None]
+    each += [made(_between((sy - v * sx) / n, bounds[0]), F.lit(float(v))) for v in bounds[1] if v is not None]
+    return F.array_min(F.filter(F.array(*each), lambda c: c["b0"].isNotNull() & c["b1"].isNotNull()))
+
+
+def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: float = 1.0, steps: int = 10, lower: float | None = None, loss: str = "soft_l1", bounds=None) -> DataFrame:
+    """86: a line by reweighted sums in a fixed number of steps, under one of ``LOSSES``.
+
+    ``bounds`` are (least, most) of b0 and of b1, None for none; ``lower`` is short for a least slope.
+    """
+    bounds = bounds or ((None, None), (lower, None))
     rows = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     model = None
-    for _ in range(steps):
+    for _ in range(1 if loss == "linear" else steps):
         if model is None:
             weighted = rows.withColumn("_w", F.lit(1.0))
         else:
             res = (F.col("_y") - F.col("b0") - F.col("b1") * F.col("_x")) / scale
-            weighted = rows.join(model, list(keys)).withColumn("_w", 1 / F.sqrt(1 + res * res))
+            weighted = rows.join(model, list(keys)).withColumn("_w", LOSSES[loss](res * res))
         w, a, b = F.col("_w"), F.col("_x"), F.col("_y")
         s = weighted.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"))
-        slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("s")) / (F.col("sxx") - F.col("sx") ** 2 / F.col("s"))
-        slope = F.greatest(slope, F.lit(lower)) if lower is not None else slope
-        model = s.select(*keys, slope.alias("b1"), "sx", "sy", "s").select(*keys, "b1", ((F.col("sy") - F.col("b1") * F.col("sx")) / F.col("s")).alias("b0"))
-        model = cut(model)  # one row a key; each step reads the last one's model and not what made it
+        model = cut(s.select(*keys, bounded_line(bounds).alias("_m")).select(*keys, "_m.b1", "_m.b0"))  # one row a key; each step reads the last one's model and not what made it
     return model
 
 

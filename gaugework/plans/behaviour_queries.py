@@ -144,9 +144,9 @@ def trace_pricing(spark, sf_dir):
     return behaviour.price_traces(t, power, energy, ["level"]).select("trace_id", r("energy"), r("duration"))
 
 
-@query("q163_overflow_bounds", "SELECT round(65535 / max(value), 8) AS shortest, round(65535 / min(value), 8) AS longest FROM events WHERE value > 1")
+@query("q163_overflow_bounds", "SELECT round(65535 / max(value), 8) AS shortest, round(65535 / min(value) FILTER (value > 0), 8) AS longest FROM events")
 def overflow_bounds(spark, sf_dir):
-    return behaviour.overflow_bounds(table(spark, sf_dir, "events").where("value > 1").select(F.col("value").alias("power")), 16).select(r("shortest"), r("longest"))
+    return behaviour.overflow_bounds(table(spark, sf_dir, "events").select(F.col("value").alias("power")), 16).select(r("shortest"), r("longest"))
 
 
 @query("q164_power_breakdown", """WITH p AS (SELECT user_id AS loop, event_type AS component, sum(value * (1 + event_id % 3)) AS e, sum(1 + event_id % 3) AS t FROM events GROUP BY ALL), m AS (SELECT loop, component, e / sum(t) OVER (PARTITION BY loop) AS power FROM p)

@@ -10,8 +10,8 @@ from gaugework.plans.registry import query, table
 
 VOLUME = """vol AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS obs_id, l_returnflag AS name, l_linestatus AS status, l_quantity AS quantity, p_size AS size, 'volume' AS attr, l_quantity * p_retailprice AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-TEMPLATES = ["linear", "logarithmic", "square", "inverse", "sqrt"]
-FX = "('linear', 0, quantity), ('logarithmic', 1, ln(quantity)), ('square', 4, quantity * quantity), ('inverse', 5, 1 / quantity), ('sqrt', 6, sqrt(quantity))"
+FX = """('linear', 0, quantity), ('logarithmic', 1, ln(quantity)), ('logarithmic1', 2, ln(1 + quantity)), ('exponential', 3, exp(quantity)), ('square', 4, quantity * quantity),
+  ('inverse', 5, 1 / quantity), ('sqrt', 6, sqrt(quantity))"""
 
 
 def volume(spark, sf_dir):
@@ -28,16 +28,16 @@ s AS (SELECT name, attr, status, rank, template, count(*) AS n, regr_slope(value
   regr_syy(value, f) - regr_sxy(value, f) ** 2 / regr_sxx(value, f) AS ssr, regr_syy(value, f) AS ssr_mean FROM e GROUP BY ALL)"""
 
 
-@query("q82_slice_fit", f"{SLICES} SELECT name, status, template, n, round(b0, 4) AS b0, round(b1, 4) AS b1, round(sqrt(ssr / n), 4) AS rms FROM s")
+@query("q82_slice_fit", f"{SLICES} SELECT name, status, template, n, round(b0, 4) AS b0, round(b1, 4) + 0.0 AS b1, round(sqrt(ssr / n), 4) AS rms FROM s")
 def slice_fit(spark, sf_dir):
-    s = fit.fit_slices(volume(spark, sf_dir), "quantity", ["status"], templates=TEMPLATES)
-    return s.select("name", "status", "template", "n", r("b0", 4), r("b1", 4), F.round(F.sqrt(F.col("ssr") / F.col("n")), 4).alias("rms"))
+    s = fit.fit_slices(volume(spark, sf_dir), "quantity", ["status"])
+    return s.select("name", "status", "template", "n", r("b0", 4), (F.round("b1", 4) + 0.0).alias("b1"), F.round(F.sqrt(F.col("ssr") / F.col("n")), 4).alias("rms"))
 
 
 @query("q83_template_selection", f"""{SLICES}, t AS (SELECT name, rank, template, sum(ssr) AS ssr, sum(ssr_mean) AS m FROM s GROUP BY ALL)
 SELECT name, arg_min(template, ssr) AS template, round(min(ssr) / arg_min(m, ssr), 6) AS share, min(ssr) < 0.8 * arg_min(m, ssr) AS useful FROM t GROUP BY name""")
 def template_selection(spark, sf_dir):
-    best = fit.select_template(fit.fit_slices(volume(spark, sf_dir), "quantity", ["status"], templates=TEMPLATES))
+    best = fit.select_template(fit.fit_slices(volume(spark, sf_dir), "quantity", ["status"]))
     return best.select("name", "template", F.round(F.col("ssr") / F.col("ssr_mean"), 6).alias("share"), "useful")
 
 
@@ -67,6 +67,39 @@ def robust_line(spark, sf_dir):
     return line.select("name", F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"))
 
 
+BOUNDS = ((500.0, 4000.0), (None, 1300.0))
+WEIGHTS = {"linear": "1.0", "soft_l1": "1 / sqrt(1 + z)", "huber": "CASE WHEN z <= 1 THEN 1.0 ELSE 1 / sqrt(z) END", "cauchy": "1 / (1 + z)", "arctan": "1 / (1 + z * z)"}
+
+
+def _faces(steps: int, scale: float) -> str:
+    """The reweighted sums of all losses, a step an aggregate; the best of the free line and of those on the sides of the box."""
+    (lo, hi), (_, most) = BOUNDS
+    weight = "CASE loss " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items()) + " END"
+    out = f"{VOLUME}, v AS (SELECT name, loss, quantity::DOUBLE AS x, value AS y FROM vol, (VALUES {', '.join(f'({k!r})' for k in WEIGHTS)}) l(loss)), m0 AS (SELECT name, loss, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM v GROUP BY ALL)"
+    for k in range(1, steps + 1):
+        w = weight if k > 1 else "1.0"
+        out += f""", s{k} AS (SELECT name, loss, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+  FROM (SELECT name, loss, x, y, {w} AS w FROM (SELECT *, power((y - b0 - b1 * x) / {scale}, 2) AS z FROM v JOIN m{k - 1} USING (name, loss))) GROUP BY ALL),
+f{k} AS (SELECT *, (sy - slope * sx) / s AS free FROM (SELECT *, (sxy - sx * sy / s) / (sxx - sx * sx / s) AS slope FROM s{k})),
+c{k} AS (SELECT name, loss, s, sx, sy, sxx, sxy, free AS b0, slope AS b1 FROM f{k} WHERE free BETWEEN {lo} AND {hi} AND slope <= {most}
+  UNION ALL SELECT name, loss, s, sx, sy, sxx, sxy, {lo}, least((sxy - {lo} * sx) / sxx, {most}) FROM f{k} UNION ALL SELECT name, loss, s, sx, sy, sxx, sxy, {hi}, least((sxy - {hi} * sx) / sxx, {most}) FROM f{k}
+  UNION ALL SELECT name, loss, s, sx, sy, sxx, sxy, least(greatest((sy - {most} * sx) / s, {lo}), {hi}), {most} FROM f{k}),
+m{k} AS (SELECT name, loss, arg_min(b0, q) AS b0, arg_min(b1, q) AS b1 FROM (SELECT *, s * b0 * b0 + 2 * sx * b0 * b1 + sxx * b1 * b1 - 2 * sy * b0 - 2 * sxy * b1 AS q FROM c{k}) GROUP BY ALL)"""
+    return f"WITH {out} SELECT name, loss, round(b0, 3) AS b0, round(b1, 4) AS b1 FROM m{steps} WHERE loss <> 'linear' UNION ALL SELECT name, loss, round(b0, 3), round(b1, 4) FROM m1 WHERE loss = 'linear'"
+
+
+@query("q86_bounded_losses", _faces(6, 5000.0))
+def bounded_losses(spark, sf_dir):
+    """Lines under all losses, with bounds on both coefficients."""
+    rows = volume(spark, sf_dir)
+    out = None
+    for loss in fit.LOSSES:
+        line = fit.robust_line(rows, ["name"], "quantity", scale=5000.0, steps=6, loss=loss, bounds=BOUNDS)
+        part = line.select("name", F.lit(loss).alias("loss"), F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("q87_joint_fit", f"""WITH {VOLUME}, m AS (SELECT name, regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a FROM vol GROUP BY name)
 SELECT name, count(*) AS count, round(avg(abs(value - a - b * quantity)), 4) AS mae FROM vol JOIN m USING (name) GROUP BY name""")
 def joint_fit(spark, sf_dir):
@@ -267,21 +300,21 @@ def decart_means(spark, sf_dir):
 @query("q102_linear_tree")
 def linear_tree(spark, sf_dir):
     rows = volume(spark, sf_dir)
-    tree = trees.linear_tree(rows, ["quantity", "size"], max_depth=2, bins=16)
+    tree = trees.linear_tree(rows, ["quantity", "size"])
     return assess.metrics(rows.withColumn("predicted", trees.compiled(tree)), ["name"])
 
 
 @query("q103_boosted")
 def boosted(spark, sf_dir):
     rows = trees.features(volume(spark, sf_dir), ["quantity", "size"])
-    model = trees.library_tree("boosted", rows, maxIter=5, maxDepth=3)
+    model = trees.library_tree("boosted", rows)
     return assess.metrics(model.transform(rows).withColumnRenamed("prediction", "predicted"), ["name"])
 
 
 @query("q104_forest")
 def forest(spark, sf_dir):
     rows = trees.features(volume(spark, sf_dir), ["quantity", "size"])
-    model = trees.library_tree("forest", rows, numTrees=5, maxDepth=5)
+    model = trees.library_tree("forest", rows)
     return assess.metrics(model.transform(rows).withColumnRenamed("prediction", "predicted"), ["name"])
 
 
