@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, fit, grove, stats, trees
+from gaugework.operators import assess, fit, grove, modelstore, stats, trees
 from gaugework.plans.lineitem import LONG, observations, r
-from gaugework.plans.registry import query, table
+from gaugework.plans.registry import query, scratch, table
 
 VOLUME = """vol AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey AS obs_id, l_returnflag AS name, l_linestatus AS status, l_quantity AS quantity, p_size AS size, 'volume' AS attr, l_quantity * p_retailprice AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -351,3 +351,21 @@ def tree_graph(spark, sf_dir):
     up = g.edges.select(F.col("child").alias("_node"), F.col("v").alias("above"))
     named = g.edges.join(g.nodes.select(*g.keys, "_node"), "_node").join(up, "_node", "left")
     return named.select("name", "attr", F.when(F.col("above").isNull(), F.col("param")).otherwise(F.concat("param", F.lit(" of "), "above")).alias("source"), F.col("v").alias("label"), "n")
+
+
+@query("q22_model_round_trip", f"""WITH {LONG}, s AS (SELECT name, attr, median(value) AS s FROM long GROUP BY ALL), u AS (SELECT name, attr, status, quantity, median(value) AS u FROM long GROUP BY ALL),
+t AS (SELECT name, attr, status, quantity, avg(value) AS t FROM long GROUP BY ALL),
+p AS (SELECT name, attr, value, s, u, t, (u + 3 * t) / 4 AS e FROM long JOIN s USING (name, attr) JOIN u USING (name, attr, status, quantity) JOIN t USING (name, attr, status, quantity)),
+x AS (SELECT name, attr, model, value, p FROM p, LATERAL (VALUES ('static', s), ('lut', u), ('tree', t), ('both', e)) l(model, p))
+SELECT name, attr, model, count(*) AS count, round(avg(abs(value - p)), 4) AS mae, round(sqrt(avg((value - p) ** 2)), 4) AS rmsd, true AS as_stored FROM x GROUP BY ALL""")
+def model_round_trip(spark, sf_dir):
+    """Models are learned, written to the shared folder and read back; errors of what was read, and whether they are those that were stored."""
+    obs = observations(spark, sf_dir)
+    folder = scratch(spark)
+    long = obs.long()
+    modelstore.save(modelstore.learn(long, obs.params, ensembles={"both": {"lut": 1.0, "tree": 3.0}}, relevant=False, threshold=0.0), folder)
+    back = modelstore.load(spark, folder)
+    now = modelstore.errors(back, long, ("count", "mae", "rmsd"))
+    stored = back.errors.select("name", "attr", "model", F.col("mae").alias("_mae"))
+    same = F.abs(F.col("mae") - F.col("_mae")) < 1e-9 * (1 + F.abs("mae"))
+    return now.join(stored, ["name", "attr", "model"]).select("name", "attr", "model", "count", r("mae", 4), r("rmsd", 4), same.alias("as_stored"))
