@@ -393,34 +393,6 @@ def drift_candidates(df: DataFrame, events: DataFrame, penalties, window: float,
     return votes.join(near.select(*k, "i", ts), [*k, "i"]).withColumn("drift", F.col(ts) - F.col("expected")).select(*k, "drift", "votes")
 
 
-def drift_min_path(candidates: list[list[float]], skip: float = 270e-6) -> list[float | None]:
-    """150: one drift (or none, at a cost) for each event so that the steps between drifts sum least."""
-    layers = [(0.0, 0.0, ())]
-    for cand in candidates:
-        new = [(c + skip, d, (*p, None)) for c, d, p in layers]
-        for x in cand:
-            c, _, p = min((c + abs(x - d), d, p) for c, d, p in layers)
-            new.append((c, x, (*p, x)))
-        # A state goes if another one reaches its drift at no higher cost.
-        layers = []
-        for c, d, p in sorted(new, key=lambda s: s[0]):
-            if all(c0 + abs(d0 - d) > c for c0, d0, _ in layers):
-                layers.append((c, d, p))
-    return list(min(layers, key=lambda s: s[0])[2])
-
-
-def compensate_drift(candidates: DataFrame, keys=KEYS, skip: float = 270e-6) -> DataFrame:
-    """150: the path of each run, in order of events."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = pdf.groupby("event", sort=True)["drift"].apply(lambda x: sorted(x.dropna()))
-        path = drift_min_path(list(by), skip)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "event": by.index, "drift": pd.Series(path, dtype=float).ffill().fillna(0.0).to_numpy()})
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema if f.name in keys)
-    return candidates.groupBy(*keys).applyInPandas(run, f"{shape}, event bigint, drift double")
-
-
 def greedy_drift(candidates: DataFrame, keys=KEYS, limit: float = 0.5e-3) -> DataFrame:
     """151: each event takes the candidate nearest to the running drift if within ``limit``; a fold over events, in the JVM."""
     per = candidates.groupBy(*keys, "event").agg(F.collect_list("drift").alias("c"))

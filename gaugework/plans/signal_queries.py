@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gaugework.operators import signals
+from gaugework.operators import drift, signals
 from gaugework.plans.lineitem import r8 as r
 from gaugework.plans.registry import micros, query, table
 
@@ -207,10 +207,26 @@ def drift_candidates(spark, sf_dir):
     return signals.drift_candidates(rows, _expected(rows), [1.0, 2.0, 5.0, 10.0, 15.0, 20.0], 400_000.0)
 
 
+def _drifts(spark, sf_dir):
+    return sig(spark, sf_dir).select("signal", F.floor(F.col("i") / 3).alias("event"), ((F.col("value") - 50) / 1e5).alias("drift"))
+
+
 @query("q150_drift_min_path")
 def drift_min_path(spark, sf_dir):
-    rows = sig(spark, sf_dir)
-    return signals.compensate_drift(rows.select("signal", F.floor(F.col("i") / 3).alias("event"), ((F.col("value") - 50) / 1e5).alias("drift")))
+    return drift.compensate(_drifts(spark, sf_dir))
+
+
+@query("q150_drift_cost", f"""WITH RECURSIVE {SIG}, x AS (SELECT signal, i // 3 AS event, list((value - 50) / 1e5) AS xs FROM sig GROUP BY ALL),
+g(signal, event, d, c) AS (SELECT DISTINCT signal, 0::BIGINT, [0.0::DOUBLE], [0.0::DOUBLE] FROM x UNION ALL
+  SELECT g.signal, g.event + 1, list_concat(g.d, x.xs), list_concat(list_transform(g.c, lambda a: a + 270e-6),
+    list_transform(x.xs, lambda y: list_min(list_transform(list_zip(g.d, g.c), lambda z: z[2] + abs(z[1] - y))))) FROM g JOIN x ON x.signal = g.signal AND x.event = g.event)
+SELECT signal, count(*) - 1 AS events, round(arg_max(list_min(c), event) * 1e3, 6) AS cost FROM g GROUP BY signal""")
+def drift_cost(spark, sf_dir):
+    """What each run's path costs, against the least cost over all paths."""
+    found = drift.compensate(_drifts(spark, sf_dir), block=48)
+    was = F.lag("drift", 1, 0.0).over(Window.partitionBy("signal").orderBy("event"))
+    step = F.when(F.col("taken"), F.abs(F.col("drift") - was)).otherwise(drift.SKIP)
+    return found.withColumn("step", step).groupBy("signal").agg(F.count("*").alias("events"), F.round(F.sum("step") * 1e3, 6).alias("cost"))
 
 
 @query("q151_greedy_drift", f"WITH RECURSIVE {SIG}, g(signal, event, d) AS (SELECT DISTINCT signal, -1::BIGINT, 0.0::DOUBLE FROM sig UNION ALL SELECT g.signal, s.i, CASE WHEN abs((s.value - 50) / 1e5 - g.d) < 0.0005 THEN (s.value - 50) / 1e5 ELSE g.d END FROM g JOIN sig s ON s.signal = g.signal AND s.i = g.event + 1) SELECT signal, event, round(d * 1e3, 6) AS drift FROM g WHERE event >= 0")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.observations import Observations, from_maps
-from gaugework.operators import assess, behaviour, fit, lookup, shape, signals, stats, trees
+from gaugework.operators import assess, behaviour, drift, fit, lookup, shape, signals, stats, trees
 from gaugework.sources import exports, logs
 from gaugework.sources import signals as files
 
@@ -156,8 +156,8 @@ def test_change_points_against_brute_force():
 
 
 def test_drift_path():
-    assert signals.drift_min_path([[0.001], [0.0011, 0.2], [], [0.0012]], skip=1e-3) == [0.001, 0.0011, None, 0.0012]
-    assert signals.drift_min_path([[1e-4, 5e-3], [1.1e-4], [9e-3], [1.2e-4]], skip=270e-6) == [1e-4, 1.1e-4, None, 1.2e-4]
+    assert drift.path([[0.001], [0.0011, 0.2], [], [0.0012]], skip=1e-3) == [0.001, 0.0011, None, 0.0012]
+    assert drift.path([[1e-4, 5e-3], [1.1e-4], [9e-3], [1.2e-4]], skip=270e-6) == [1e-4, 1.1e-4, None, 1.2e-4]
 
 
 def test_guards_predict_traces(spark):
