@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; in a local one only where that is unset and Spark runs in one process (tests)."""
+def _folder(df: DataFrame) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset and Spark runs in one process (tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    _folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Its size is that of its files, where a checkpoint keeps the estimate of the plan
+    that made it: in a loop that joins what it made before, such estimates square with every step."""
+    path = f"{_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

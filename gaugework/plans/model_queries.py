@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, fit, grove, modelstore, stats, trees
+from gaugework.operators import assess, boosting, fit, grove, modelstore, stats, trees
 from gaugework.plans.lineitem import LONG, observations, r
 from gaugework.plans.registry import query, scratch, table
 
@@ -311,6 +311,31 @@ def boosted(spark, sf_dir):
     return assess.metrics(model.transform(rows).withColumnRenamed("prediction", "predicted"), ["name"])
 
 
+@query("q103_regularised_first_split", f"""WITH {VOLUME}, b AS (SELECT name, avg(value) AS base FROM vol GROUP BY name),
+l AS (SELECT name, base, value - base AS d, unnest(['quantity', 'size']) AS param, unnest([quantity, size]::DOUBLE[]) AS x FROM vol JOIN b USING (name)),
+c AS (SELECT name, param, x, -sum(d) AS g, count(*) AS h FROM l GROUP BY ALL),
+s AS (SELECT *, sum(g) OVER w AS g1, sum(h) OVER w AS h1, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM c WINDOW w AS (PARTITION BY name, param ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY name, param)),
+k AS (SELECT *, greatest(abs(g1) - 50, 0) AS t1, greatest(abs(gt - g1) - 50, 0) AS t2, greatest(abs(gt) - 50, 0) AS t FROM s WHERE h1 >= 5 AND ht - h1 >= 5),
+n AS (SELECT *, t1 * t1 / (h1 + 2) + t2 * t2 / (ht - h1 + 2) - t * t / (ht + 2) AS gain FROM k)
+SELECT name, param, x AS threshold, round(-0.3 * sign(g1) * t1 / (h1 + 2), 6) AS left_weight, round(-0.3 * sign(gt - g1) * t2 / (ht - h1 + 2), 6) AS right_weight
+FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY gain DESC, param, x) = 1""")
+def regularised_first_split(spark, sf_dir):
+    """The first split of every name's trees: the threshold of most gain under L1, L2 and least weight of a child."""
+    rows, params = volume(spark, sf_dir), ["quantity", "size"]
+    model = boosting.boost(rows, params, ["name"], rounds=1, alpha=50.0, lam=2.0, min_child=5.0)
+    s = F.element_at("splits", F.lit(1))
+    param = F.get(F.array(*(F.lit(p) for p in params)), s["param"]).alias("param")
+    return model.trees.select("name", param, s["threshold"].alias("threshold"), F.round(s["left"], 6).alias("left_weight"), F.round(s["right"], 6).alias("right_weight"))
+
+
+@query("q103_regularised")
+def regularised(spark, sf_dir):
+    """Errors of regularised trees, one sum of them for every name."""
+    rows = volume(spark, sf_dir)
+    model = boosting.boost(rows, ["quantity", "size"], ["name"], rounds=10)
+    return assess.metrics(boosting.predict(rows, model), ["name"])
+
+
 @query("q104_forest")
 def forest(spark, sf_dir):
     rows = trees.features(volume(spark, sf_dir), ["quantity", "size"])
