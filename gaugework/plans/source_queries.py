@@ -53,8 +53,9 @@ def csv_source(spark, sf_dir):
 def json_source(spark, sf_dir):
     path = scratch(spark)
     obs = observations(spark, sf_dir)
-    parts = exports.json_rows(type(obs)(obs.df, obs.params, ("price",))).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(32)))
-    parts.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(32).write.text(path)
+    files = max(32, obs.df.count() // 100_000)
+    parts = exports.json_rows(type(obs)(obs.df, obs.params, ("price",))).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(files)))
+    parts.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(files).write.text(path)
     return _sums(from_maps(logs.json_observations(spark, path), ("quantity", "status"), ("price",)))
 
 

@@ -102,9 +102,11 @@ _JSON = "array<struct<name:string,param:map<string,string>,attribute:map<string,
 
 
 def json_observations(spark: SparkSession, path: str) -> DataFrame:
-    """5: a list of observations in each file."""
+    """5: lists of observations, one or several (each from a new line) in a file. A list ends at a bracket before a line that opens
+    one: within a list there is a comma between, and a text has no bare line ends."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.inline(F.from_json("value", _JSON))).withColumnRenamed("attribute", "attr")
+    lists = text.select(F.explode(F.split("value", r"(?<=\])\s*[\r\n]\s*(?=\[)")).alias("value"))
+    return lists.select(F.inline(F.from_json("value", _JSON))).withColumnRenamed("attribute", "attr")
 
 
 def json_aggregate(spark: SparkSession, path: str) -> DataFrame:
