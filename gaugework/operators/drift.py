@@ -76,7 +76,10 @@ def borders(blocks, skip: float = SKIP) -> list[float]:
 
 
 def path(candidates, skip: float = SKIP, start: float = 0.0, end: float | None = None) -> list[float | None]:
-    """The drift taken (or None) at each event, from ``start`` to ``end`` where that is given."""
+    """The drift taken (or None) at each event, from ``start`` to ``end`` where that is given.
+
+    Of paths that cost the same with the move to ``end``, one that ends there: what follows starts there and does not pay for the move.
+    """
     drift, cost, back = np.array([start]), np.zeros(1), []
     for xs in candidates:
         xs = np.asarray(xs, float)
@@ -89,7 +92,12 @@ def path(candidates, skip: float = SKIP, start: float = 0.0, end: float | None =
         keep = _least(all_drift, all_cost)
         drift, cost = all_drift[keep], all_cost[keep]
         back.append((came[keep], drift, taken[keep]))
-    at = int((cost if end is None else cost + np.abs(drift - end)).argmin())
+    if end is None:
+        at = int(cost.argmin())
+    elif (drift == end).any():
+        at = int(np.where(drift == end, cost, np.inf).argmin())
+    else:
+        at = int((cost + np.abs(drift - end)).argmin())
     out = []
     for came, d, taken in reversed(back):
         out.append(float(d[at]) if taken[at] else None)

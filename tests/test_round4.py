@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from gaugework.operators import drift
 from gaugework.sources import logs
 
 
@@ -13,3 +15,25 @@ def test_several_lists_in_a_file(spark, tmp_path):
     (tmp_path / "b.json").write_text("[" + one % 4 + "]")
     got = logs.json_observations(spark, str(tmp_path)).select("name", F.col("param")["p"], F.col("attr")["v"]).collect()
     assert sorted(map(tuple, got)) == [("a", "x]\n[", float(v)) for v in (1, 2, 3, 4)]
+
+
+def test_blocks_of_drift_meet_at_their_borders():
+    def cost(taken, was=0.0):
+        total = 0.0
+        for x in taken:
+            total += drift.SKIP if x is None else abs(x - was)
+            was = was if x is None else x
+        return total
+
+    for seed in (149, 169, 431, 645):
+        rng = np.random.default_rng(seed)
+        events = [sorted((rng.integers(0, 4000, 3) / 100 - 20) / 1e4) for _ in range(24)]
+        blocks = [events[i : i + 6] for i in range(0, 24, 6)]
+        at = drift.borders([(len(b), *drift.block_matrix(b)) for b in blocks])
+        found = []
+        for b, start, end in zip(blocks, at, at[1:], strict=False):
+            part = drift.path(b, start=start, end=end)
+            last = [x for x in part if x is not None]
+            assert (last[-1] if last else start) == end
+            found += part
+        assert abs(cost(found) - cost(drift.path(events))) < 1e-12
