@@ -20,7 +20,7 @@ from gaugework.observations import numeric
 from gaugework.operators import fit as ls
 from gaugework.operators import stats
 from gaugework.operators.lineage import cut
-from gaugework.operators.trees import _key, _node_deviation, _node_information, _NULL
+from gaugework.operators.trees import _key, _node_deviation, _node_information, _NULL, NOISE
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,12 @@ def complements(config: DataFrame, params, keys=("name", "attr"), fold: str = "f
     return out
 
 
-def grow(config: DataFrame, params, keys=("name", "attr"), max_depth: int = 12, threshold: float | None = None, max_std: dict[str, float] | None = None, attr: str = "attr", binary_only: bool = False, relevant: bool | str = True, ignore_scalar: bool = False, keep_scalar: bool = False, min_gain: float = 1e-9, least_information: float = 0.1) -> Grove:
+def grow(config: DataFrame, params, keys=("name", "attr"), max_depth: int = 12, threshold: float | None = None, max_std: dict[str, float] | None = None, attr: str = "attr", binary_only: bool = False, relevant: bool | str = True, ignore_scalar: bool = False, keep_scalar: bool = False, min_gain: float = 0.0, least_information: float = 0.1) -> Grove:
     """91-97: all trees of ``config`` (``moments`` by keys), under the rules of ``trees.grow``.
 
     A tree's threshold is the given one, else that of its ``attr`` in ``max_std``, else the mean deviation within its
-    configurations. ``keep_scalar`` leaves scalar parameters of three values or more to functions of the leaves. Keys are
+    configurations. A split gains if means of its groups differ by more than rounding does (``NOISE``), however little that is
+    of the node's squares; ``min_gain`` asks for a share of these. ``keep_scalar`` leaves scalar parameters of three values or more to functions of the leaves. Keys are
     not null; types of parameters are those within the first key.
     """
     keys, params = list(keys), sorted(params)
@@ -86,12 +87,15 @@ def grow(config: DataFrame, params, keys=("name", "attr"), max_depth: int = 12,
     while True:
         long = placed.select("_root", "_node", "_n", "_m2", "_d", F.explode(each).alias("e"))
         groups = cut(long.groupBy("_root", "_node", "e.i", "e.v").agg(n.alias("gn"), F.greatest(squares, F.lit(0.0)).alias("sq"), (s / n).alias("gd")))
-        per = groups.groupBy("_root", "_node", "i").agg(F.sum("gn").alias("n"), F.sum("sq").alias("loss"), F.count("*").alias("k"), F.bool_or(F.col("v") == _NULL).alias("unset"), F.first("gd").alias("gd"))
+        per = groups.groupBy("_root", "_node", "i").agg(F.sum("gn").alias("n"), F.sum("sq").alias("loss"), F.count("*").alias("k"), F.bool_or(F.col("v") == _NULL).alias("unset"), F.first("gd").alias("gd"), (F.max("gd") - F.min("gd")).alias("gap"))
         total = per.where("i = -1").select("_root", "_node", "n", F.col("loss").alias("whole"), "gd").join(heads, "_root")
         best = None
         if level < max_depth:
             may = per.where("i >= 0 and k >= 2 and not unset").drop("n", "gd").join(total, ["_root", "_node"])
-            may = may.where((F.sqrt(F.greatest("whole", F.lit(0.0)) / F.col("n")) > F.col("_stop")) & (F.col("loss") < F.col("whole") * (1 - min_gain)))
+            std = F.sqrt(F.greatest("whole", F.lit(0.0)) / F.col("n"))
+            may = may.where((std > F.col("_stop")) & (F.col("gap") > NOISE * (F.abs(F.col("_origin") + F.col("gd")) + std)))
+            if min_gain > 0:
+                may = may.where(F.col("loss") < F.col("whole") * (1 - min_gain))
             if keep_scalar:
                 may = may.withColumn("_first", F.col(keys[0])).join(kinds.where("scalar"), ["_first", "i"], "left_anti")
             if binary_only:

@@ -37,6 +37,8 @@ class Node:
 
 
 _NULL = "\x00null"
+#: Means that differ by less than this share of their size and deviation differ by rounding alone.
+NOISE = 1e-11
 
 
 def _key(p: str) -> Column:
@@ -58,7 +60,7 @@ def stop_at(explicit: float | None, attr: str | None, max_std: dict[str, float]
     return 0.0
 
 
-def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float | None = None, with_functions: bool = False, binary_only: bool = False, relevant: bool | str = True, ignore_scalar: bool = False, min_gain: float = 1e-9, attr: str | None = None, max_std: dict[str, float] | None = None, least_information: float = 0.1) -> Node:
+def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, threshold: float | None = None, with_functions: bool = False, binary_only: bool = False, relevant: bool | str = True, ignore_scalar: bool = False, min_gain: float = 0.0, attr: str | None = None, max_std: dict[str, float] | None = None, least_information: float = 0.1) -> Node:
     """91-97: split each node by the parameter whose groups leave the least sum of squares.
 
     A parameter is no candidate in a node if it is unset in a row, has one value there, is a
@@ -66,7 +68,8 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
     over two values where only binary splits are wanted, or (``relevant``) does not matter by
     its deviations, or with "information" has less than ``least_information`` nats on the means in
     the node. A node is a leaf at the deviation that ``stop_at`` gives, at ``max_depth``, without
-    candidates or without gain. With ``ignore_scalar`` a node is also a leaf if its groups equal
+    candidates or without gain: means of a split's groups must differ by more than rounding does (``NOISE``), and ``min_gain`` may
+    ask for a share of the node's squares. With ``ignore_scalar`` a node is also a leaf if its groups equal
     in all scalar parameters are within ``threshold``. Ties go to the first parameter.
     """
     params = sorted(params)
@@ -90,7 +93,7 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
             each = F.array(*(F.struct(F.lit(i).alias("i"), _key(p).alias("v")) for i, p in enumerate(params)))
             long = placed.select("_node", "_n", "_m2", "_d", F.explode(F.array_append(each, F.struct(F.lit(-1).alias("i"), F.lit("").alias("v")))).alias("e"))
             groups = long.groupBy("_node", "e.i", "e.v").agg(n.alias("gn"), F.greatest(squares, F.lit(0.0)).alias("sq"), (s / n).alias("gd"))
-            per = groups.groupBy("_node", "i").agg(F.sum("gn").alias("n"), F.sum("sq").alias("loss"), F.count("*").alias("k"), F.bool_or(F.col("v") == _NULL).alias("unset"), F.avg(F.sqrt(F.col("sq") / F.col("gn"))).alias("std"), F.first("gd").alias("gd"), F.collect_list("v").alias("values"))
+            per = groups.groupBy("_node", "i").agg(F.sum("gn").alias("n"), F.sum("sq").alias("loss"), F.count("*").alias("k"), F.bool_or(F.col("v") == _NULL).alias("unset"), F.avg(F.sqrt(F.col("sq") / F.col("gn"))).alias("std"), F.first("gd").alias("gd"), (F.max("gd") - F.min("gd")).alias("gap"), F.collect_list("v").alias("values"))
             found: dict[str, dict[int, dict]] = {}
             for r in per.collect():
                 found.setdefault(r["_node"], {})[r["i"]] = r.asDict()
@@ -112,11 +115,13 @@ def grow(rows: DataFrame, params, value: str = "value", max_depth: int = 12, thr
                 std = float(np.sqrt(max(total["loss"], 0.0) / total["n"]))
                 if std <= threshold or depth == max_depth or node in settled:
                     continue
-                best = (total["loss"] * (1 - min_gain), None)
+                best = (total["loss"] * (1 - min_gain) if min_gain > 0 else np.inf, None)
                 for i, p in enumerate(params):
                     c = mine.get(i)
                     if c is None or c["unset"] or c["k"] < 2 or (with_functions and p in scalar) or (binary_only and c["k"] > 2) or (relevant and not by.get((node, p), True)):
                         continue
+                    if c["gap"] <= NOISE * (abs(origin + total["gd"]) + std):
+                        continue
                     if c["loss"] < best[0]:
                         best = (c["loss"], i)
                 if best[1] is None:

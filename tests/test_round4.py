@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugework.operators import drift
+from gaugework.operators import drift, grove, trees
 from gaugework.sources import logs
 
 
@@ -37,3 +37,13 @@ def test_blocks_of_drift_meet_at_their_borders():
             assert (last[-1] if last else start) == end
             found += part
         assert abs(cost(found) - cost(drift.path(events))) < 1e-12
+
+
+def test_a_split_of_little_gain_is_made_and_one_of_rounding_is_not(spark):
+    rows = [("n", "a", v + 0.5 * (p == "x"), p, q) for p in "xy" for q, d in (("1", -1e5), ("2", 1e5)) for v in (d, d / 2)]
+    rows += [("m", "a", v, p, q) for p, vs in (("x", (0.1, 0.2, 0.3)), ("y", (0.3, 0.2, 0.1))) for v in vs for q in "12"]
+    long = spark.createDataFrame(rows, "name string, attr string, value double, p string, q string")
+    g = grove.complexity(grove.grow(grove.moments(long, ["p"]), ["p"], relevant=False, threshold=0.0))
+    assert {r["name"]: r["leaves"] for r in g.collect()} == {"n": 2, "m": 1}
+    assert len(trees.grow(long.where("name = 'n'"), ["p"], relevant=False, threshold=0.0).children) == 2
+    assert not trees.grow(long.where("name = 'm'"), ["p"], relevant=False, threshold=0.0).children
