@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import stats
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import broadcast_if_small, written
 from gaugework.operators.lookup import lut_lookup
 
 METRICS = ("count", "mae", "mape", "smape", "p50", "p90", "p95", "p99", "msd", "rmsd", "ssr", "rsq")
@@ -160,65 +160,109 @@ def split_hashes(count: int, seed: int = 0) -> list[tuple[int, int]]:
 
 
 def _members(ids, hashes) -> np.ndarray:
-    """Which rows train in which repetitions: two thirds of the hashes."""
-    a, b = (np.array(x, np.int64) for x in zip(*hashes, strict=True))
-    return 3 * ((ids.to_numpy().astype(np.int64)[:, None] % PRIME * a + b) % PRIME) < 2 * PRIME
+    """Which rows train in which repetitions: two thirds of the hashes. The prime is 2^31 - 1, so a remainder is the sum of two parts of the bits."""
+    a, b = (np.array(x, np.uint64) for x in zip(*hashes, strict=True))
+    prime, by = np.uint64(PRIME), np.uint64(31)
+    ids = np.asarray(ids).astype(np.uint64) % prime
+    out = np.empty((len(ids), len(a)), bool)
+    for i in range(0, len(ids), 512):
+        h = ids[i : i + 512, None] * a + b
+        for _ in range(2):
+            h = (h & prime) + (h >> by)
+        h -= prime * (h >= prime)
+        out[i : i + 512] = np.uint64(3) * h < np.uint64(2 * PRIME)
+    return out
 
 
-def monte_carlo_static(long: DataFrame, count: int = 200, keys=("name", "attr"), obs_id: str = "obs_id", seed: int = 0, parts: int | None = None) -> DataFrame:
+def monte_carlo_static(long: DataFrame, count: int = 200, keys=("name", "attr"), obs_id: str = "obs_id", seed: int = 0, parts: int | None = None, chunk: int = 200_000) -> DataFrame:
     """119: ``count`` random splits, two thirds training by a hash of the id: keys, rep, n (tested), mae, rmsd and smape of static medians.
 
     Rows are never copied: a task works out the repetitions of its rows as a matrix of bits. Values are dealt into ``parts``
-    ranges a key (of about 100,000 rows, if not given); sums of bits by range tell in which range a repetition's median
-    lies, and only ranges that hold one are looked at again, each by itself. The last pass is over the rows with their
-    key's medians. Ids are not negative.
+    ranges a key (of about 100,000 rows, if not given), a range's upper edge apart from what is below it; sums of bits by
+    range, one array a task, tell in which range a repetition's median lies. An edge is a value by itself; other ranges that
+    hold a median are looked at again, each by itself. The last pass is over ``chunk`` rows of a key at a time, with the
+    medians beside them and not in each row. Ids are not negative.
     """
     keys, hashes = list(keys), split_hashes(count, seed)
-    parts = parts or min(10_000, max(256, long.count() // 100_000))
-    rows = long.select(*keys, F.col(obs_id).cast("long").alias("_id"), F.col("value").cast("double").alias("_v")).where("_v is not null and _id is not null")
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10_000).alias("_e"))
-    placed = cut(rows.join(cuts, keys).select(*keys, "_id", "_v", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_p")))
+    rows = written(long.select(*keys, F.col(obs_id).cast("long").alias("_id"), F.col("value").cast("double").alias("_v")).where("_v is not null and _id is not null"))
+    parts = parts or min(10_000, max(256, rows.count() // 100_000))
+    cuts = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10_000))).alias("_e"), F.ceil(F.count("*") / chunk).alias("_k"))
+    # Edges lie in runs of about the root of their number: the last ones of runs tell the run, so that few are looked at for a row.
+    run = max(2, math.isqrt(parts))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_e") - 1) / run).cast("int")), lambda i: F.slice("_e", i * run + 1, run))
+    cuts = written(cuts.withColumn("_r", runs).select(*keys, "_k", "_r", F.transform("_r", lambda r: F.element_at(r, -1)).alias("_l")))
+    at = rows.join(broadcast_if_small(cuts, 10_000), keys).withColumn("_g", F.size(F.filter("_l", lambda e: e < F.col("_v"))))
+    at = at.withColumn("_h", F.get("_r", F.col("_g"))).withColumn("_j", F.when(F.col("_h").isNull(), 0).otherwise(F.size(F.filter("_h", lambda e: e < F.col("_v")))))
+    edge = F.coalesce(F.get("_h", F.col("_j")) == F.col("_v"), F.lit(False)).cast("int")
+    placed = written(at.select(*keys, "_id", "_v", (2 * (F.col("_g") * run + F.col("_j")) + edge).alias("_p"), F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int").alias("_c")))
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def sums(batches):
+        held, head = {}, None
         for pdf in batches:
-            bits = _members(pdf["_id"], hashes)
-            held = [(*(k if isinstance(k, tuple) else (k,)), bits[at].sum(0).tolist()) for k, at in pdf.groupby([*keys, "_p"], dropna=False).indices.items()]
-            yield pdf.head(0)[[*keys, "_p"]].assign(c=None) if not held else type(pdf)(held, columns=[*keys, "_p", "c"])
-
-    part = placed.mapInPandas(sums, f"{named}, _p int, c array<bigint>").select(*keys, "_p", F.posexplode("c").alias("rep", "c"))
+            if not len(pdf):
+                continue
+            head = pdf.head(0)
+            groups = pdf.groupby([*keys, "_p"], dropna=False, sort=False)
+            number = groups.ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            total = np.add.reduceat(_members(pdf["_id"].to_numpy()[order], hashes), starts, axis=0, dtype=np.int64)
+            for k, c in zip(pdf[[*keys, "_p"]].iloc[order[starts]].itertuples(index=False, name=None), total, strict=True):
+                if k in held:
+                    held[k] += c
+                else:
+                    held[k] = c
+            if len(held) > 20_000:
+                yield type(pdf)([(*k, c.tolist()) for k, c in held.items()], columns=[*keys, "_p", "c"])
+                held = {}
+        if held:
+            yield type(head)([(*k, c.tolist()) for k, c in held.items()], columns=[*keys, "_p", "c"])
+
+    part = placed.select(*keys, "_id", "_p").mapInPandas(sums, f"{named}, _p int, c array<bigint>").select(*keys, "_p", F.posexplode("c").alias("rep", "c"))
     part = part.groupBy(*keys, "rep", "_p").agg(F.sum("c").alias("c"))
     by = Window.partitionBy(*keys, "rep")
     part = part.withColumns({"to": F.sum("c").over(by.orderBy("_p")), "n": F.sum("c").over(by)})
     middle = F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))
     wanted = part.withColumn("place", F.explode(middle)).where((F.col("to") - F.col("c") <= F.col("place")) & (F.col("place") < F.col("to")))
-    asked = cut(wanted.groupBy(*keys, "_p").agg(F.collect_list(F.struct(F.col("rep").cast("int").alias("rep"), (F.col("place") - F.col("to") + F.col("c")).cast("long").alias("at"))).alias("asked")))
+    asked = written(wanted.select(*keys, "_p", F.col("rep").cast("int").alias("rep"), (F.col("place") - F.col("to") + F.col("c")).cast("long").alias("at")))
 
-    def find(pdf):
+    def find(pdf, wants):
+        if not len(pdf) or not len(wants):
+            return type(pdf)({**{k: pdf[k].head(0) for k in keys}, "rep": [], "v": []})
         pdf = pdf.sort_values("_v")
-        upto = np.cumsum(_members(pdf["_id"], hashes), axis=0)
-        found = [(*pdf[keys].iloc[0], r["rep"], float(pdf["_v"].iloc[int(np.searchsorted(upto[:, r["rep"]], r["at"] + 1))])) for r in pdf["asked"].iloc[0]]
-        return type(pdf)(found, columns=[*keys, "rep", "v"])
-
-    held = placed.join(asked, [*keys, "_p"]).groupBy(*keys, "_p").applyInPandas(find, f"{named}, rep int, v double")
-    medians = held.groupBy(*keys, "rep").agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rep", "m"))).alias("_m"))
-
-    def errors(batches):
-        for pdf in batches:
-            test, v, out = ~_members(pdf["_id"], hashes), pdf["_v"].to_numpy(), []
-            for k, at in pdf.groupby(keys, dropna=False).indices.items():
-                m = np.full(count, np.nan)
-                for r in pdf["_m"].iloc[at[0]]:
-                    m[r["rep"]] = r["m"]
-                t = test[at] & ~np.isnan(m)
-                e = np.where(t, np.abs(v[at][:, None] - m), 0.0)
-                size = (np.abs(v[at][:, None]) + np.abs(m)) / 2
-                rel = np.where(t & (size > 0), e / np.where(size > 0, size, 1.0), 0.0)
-                out += [(*(k if isinstance(k, tuple) else (k,)), i, int(c), float(a), float(q), float(s)) for i, (c, a, q, s) in enumerate(zip(t.sum(0), e.sum(0), (e * e).sum(0), rel.sum(0), strict=True))]
-            yield type(pdf)(out, columns=[*keys, "rep", "n", "a", "q", "s"])
-
-    scored = placed.join(medians, keys).mapInPandas(errors, f"{named}, rep int, n bigint, a double, q double, s double")
+        v, out = pdf["_v"].to_numpy(), []
+        for r, places in wants.groupby("rep")["at"]:
+            upto = np.cumsum(_members(pdf["_id"], [hashes[r]])[:, 0])
+            out += [(*pdf[keys].iloc[0], r, float(v[int(np.searchsorted(upto, p + 1))])) for p in places]
+        return type(pdf)(out, columns=[*keys, "rep", "v"])
+
+    by_part = [*keys, "_p"]
+    inner = asked.where("_p % 2 = 0")
+    open_rows = placed.where("_p % 2 = 0").join(inner.select(*by_part).distinct(), by_part, "left_semi").select(*by_part, "_id", "_v")
+    held = open_rows.groupBy(*by_part).cogroup(inner.groupBy(*by_part)).applyInPandas(find, f"{named}, rep int, v double")
+    edges = placed.where("_p % 2 = 1").groupBy(*by_part).agg(F.min("_v").alias("v"))
+    held = held.unionByName(asked.join(edges, by_part).select(*keys, "rep", "v"))
+    medians = held.groupBy(*keys, "rep").agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.collect_list("rep").alias("_reps"), F.collect_list("m").alias("_m"))
+    beside = medians.join(cuts.select(*keys, "_k"), keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_k").cast("int") - 1)).alias("_c"), "_reps", "_m")
+
+    def errors(pdf, known):
+        if not len(pdf) or not len(known):
+            return type(pdf)({**{k: pdf[k].head(0) for k in keys}, **{c: [] for c in ("rep", "n", "a", "q", "s")}})
+        m = np.full(count, np.nan)
+        m[np.asarray(known["_reps"].iloc[0], int)] = known["_m"].iloc[0]
+        values, test, total = pdf["_v"].to_numpy(), ~_members(pdf["_id"], hashes) & ~np.isnan(m), np.zeros((4, count))
+        m = np.nan_to_num(m)
+        for i in range(0, len(values), 512):
+            v, t = values[i : i + 512, None], test[i : i + 512]
+            e = np.abs(v - m) * t
+            size = (np.abs(v) + np.abs(m)) / 2
+            total += [t.sum(0), e.sum(0), (e * e).sum(0), (e / np.where(size > 0, size, 1.0)).sum(0)]
+        return type(pdf)({**{k: [pdf[k].iloc[0]] * count for k in keys}, "rep": range(count), "n": total[0].astype(np.int64), "a": total[1], "q": total[2], "s": total[3]})
+
+    by_chunk = [*keys, "_c"]
+    scored = placed.select(*by_chunk, "_id", "_v").groupBy(*by_chunk).cogroup(beside.groupBy(*by_chunk)).applyInPandas(errors, f"{named}, rep int, n bigint, a double, q double, s double")
     total = scored.groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in "naqs")).where("n > 0")
     return total.select(*keys, "rep", "n", (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("q") / F.col("n")).alias("rmsd"), (F.col("s") / F.col("n") * 100).alias("smape"))
 

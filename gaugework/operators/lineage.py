@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _folder(df: DataFrame) -> str:
@@ -31,3 +32,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, so that rows of few frequent keys do not meet in few tasks; else
+    its many keys spread a shuffle. Give a settled table: it is counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

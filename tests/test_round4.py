@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugework.operators import drift, grove, trees
+from gaugework.operators import assess, drift, grove, trees
 from gaugework.sources import logs
 
 
@@ -47,3 +47,16 @@ def test_a_split_of_little_gain_is_made_and_one_of_rounding_is_not(spark):
     assert {r["name"]: r["leaves"] for r in g.collect()} == {"n": 2, "m": 1}
     assert len(trees.grow(long.where("name = 'n'"), ["p"], relevant=False, threshold=0.0).children) == 2
     assert not trees.grow(long.where("name = 'm'"), ["p"], relevant=False, threshold=0.0).children
+
+
+def test_repeated_splits_with_many_equal_values(spark):
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random(3000) < 0.5, 7.0, rng.integers(0, 40, 3000) / 4)
+    rows = spark.createDataFrame([("n", "a", i, float(x)) for i, x in enumerate(v)] + [("m", "a", i, 1.0) for i in range(9)], "name string, attr string, obs_id long, value double")
+    got = {(r["name"], r["rep"]): r for r in assess.monte_carlo_static(rows, 20, parts=8, chunk=700).collect()}
+    for rep, (a, b) in enumerate(assess.split_hashes(20)):
+        train = np.array([3 * ((i * a + b) % assess.PRIME) < 2 * assess.PRIME for i in range(3000)])
+        e = np.abs(v[~train] - np.median(v[train]))
+        r = got["n", rep]
+        assert r["n"] == (~train).sum() and abs(r["mae"] - e.mean()) < 1e-9 and abs(r["rmsd"] - np.sqrt((e * e).mean())) < 1e-9
+        assert ("m", rep) not in got or got["m", rep]["mae"] == 0
