@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.observations import Observations, numeric
+from gaugework.operators.lineage import broadcast_if_small
 
 _COMPARE = {"<": operator.lt, "<=": operator.le, "≤": operator.le, "=": operator.eq, ">=": operator.ge, "≥": operator.ge, ">": operator.gt}
 
@@ -55,7 +56,7 @@ def filter_parameters(obs: Observations, text: str) -> Observations:
 
 def filter_observations(long: DataFrame, wanted: DataFrame) -> DataFrame:
     """28: the listed (name, attr) pairs of a long table."""
-    return long.join(wanted, ["name", "attr"], "left_semi")
+    return long.join(broadcast_if_small(wanted), ["name", "attr"], "left_semi")
 
 
 def ignore_parameters(obs: Observations, names: list[str]) -> Observations:
@@ -157,7 +158,7 @@ def param_from_string(text: Column, separator: str = " ") -> Column:
 
 def restrict_features(long_params: DataFrame, features: DataFrame) -> DataFrame:
     """38: rows of the parameters that a feature table names."""
-    return long_params.join(features, "param", "left_semi")
+    return long_params.join(broadcast_if_small(features), "param", "left_semi")
 
 
 def recode_by_dimension(df: DataFrame, dimension: DataFrame, keys: list[str], raw: list[str]) -> DataFrame:
