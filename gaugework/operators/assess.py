@@ -46,13 +46,13 @@ def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predict
 def predict_static(long: DataFrame, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
     """110: every row with its static value."""
     model = stats.static_model(long if train is None else train, keys)
-    return long.join(model.select(*keys, F.col("static").alias("predicted")), list(keys))
+    return long.join(broadcast_if_small(written(model.select(*keys, F.col("static").alias("predicted")))), list(keys))
 
 
 def predict_lut(long: DataFrame, params, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
     """110: every row with its configuration's value, or the static one."""
     train = long if train is None else train
-    return lut_lookup(long, stats.lut_model(train, params, keys), params, stats.static_model(train, keys), keys)
+    return lut_lookup(long, written(stats.lut_model(train, params, keys)), params, written(stats.static_model(train, keys)), keys)
 
 
 def quality_table(long: DataFrame, params, model: DataFrame | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def cross_validate_static(long_folds: DataFrame, k: int, keys=("name", "attr"))
     weights = _complements(k)
     found = stats.count_percentiles(stats.value_counts(long_folds, list(keys), weights=weights), keys, [0.5], list(weights))
     model = _by_fold(found, keys, k, "predicted")
-    return metrics(long_folds.join(model, [*keys, "fold"]), list(keys))
+    return metrics(long_folds.join(broadcast_if_small(written(model)), [*keys, "fold"]), list(keys))
 
 
 def cross_validate_lut(long_folds: DataFrame, params, k: int, keys=("name", "attr")) -> DataFrame:
@@ -143,7 +143,7 @@ def cross_validate_lut(long_folds: DataFrame, params, k: int, keys=("name", "att
     whole = counts.groupBy(*keys, "_v").agg(*(F.sum(w).alias(w) for w in weights))
     static = _by_fold(stats.count_percentiles(whole, keys, [0.5], list(weights)), keys, k, "static")
     lut = _by_fold(stats.count_percentiles(counts, [*keys, *params], [0.5], list(weights)), [*keys, *params], k, "lut")
-    return metrics(lut_lookup(long_folds, lut, params, static, (*keys, "fold")), keys)
+    return metrics(lut_lookup(long_folds, written(lut), params, written(static), (*keys, "fold")), keys)
 
 
 #: The prime that hashes of repetitions are taken by: (a x + b) modulo it.
@@ -303,7 +303,7 @@ def outlier_comparison(raw: DataFrame, clean: DataFrame) -> DataFrame:
     out = None
     for trained, train in (("raw", raw), ("clean", clean)):
         for tested, test in (("raw", raw), ("clean", clean)):
-            part = metrics(predict_static(test, train), ["name", "attr"]).select("name", "attr", F.lit(trained).alias("trained"), F.lit(tested).alias("tested"), "mae", "rmsd")
+            part = metrics(predict_static(test, train), ["name", "attr"], wanted=("mae", "rmsd")).select("name", "attr", F.lit(trained).alias("trained"), F.lit(tested).alias("tested"), "mae", "rmsd")
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.operators.lineage import broadcast_if_small
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -17,14 +19,14 @@ def lut_lookup(rows: DataFrame, lut: DataFrame, keys, fallback: DataFrame | None
     """44: ``rows`` with ``predicted``: the table's value, or the static one if a fallback is given.
 
     Unset parameters match unset ones. Without a fallback a missing configuration stays null;
-    ``missing_configs`` lists those.
+    ``missing_configs`` lists those. Small tables are broadcast; they are counted for it, so settled ones should be given.
     """
-    l, r = rows.alias("l"), lut.alias("r")
+    l, r = rows.alias("l"), broadcast_if_small(lut).alias("r")
     cond = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*on, *keys)])
     out = l.join(r, cond, "left").select("l.*", F.col("r.lut").alias("predicted"))
     if fallback is None:
         return out
-    return out.join(fallback.select(*on, "static"), list(on), "left").withColumn("predicted", F.coalesce("predicted", "static")).drop("static")
+    return out.join(broadcast_if_small(fallback.select(*on, "static")), list(on), "left").withColumn("predicted", F.coalesce("predicted", "static")).drop("static")
 
 
 def missing_configs(rows: DataFrame, lut: DataFrame, keys) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.observations import Observations, numeric
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import broadcast_if_small, cut, written
 
 #: A parameter matters if the deviation within configurations is below this share of that without it.
 RELEVANT = 0.5
@@ -39,7 +39,7 @@ def count_percentiles(counts: DataFrame, keys, shares, weights=("_c",), parts: i
     keys, weights = list(keys), list(weights)
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000).alias("_e"))
     part = F.size(F.filter("_e", lambda e: e < F.col("_v")))
-    placed = counts.alias("c").join(cuts.alias("e"), _same(keys, "c", "e") or F.lit(True)).select(*(f"c.{k}" for k in keys), "_v", *weights, part.alias("_p"))
+    placed = counts.alias("c").join(broadcast_if_small(written(cuts), 10_000).alias("e"), _same(keys, "c", "e") or F.lit(True)).select(*(f"c.{k}" for k in keys), "_v", *weights, part.alias("_p"))
     sums = placed.groupBy(*keys, "_p").agg(*(F.sum(w).alias(w) for w in weights))
     whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_p", *(F.coalesce(F.sum(w).over(upto), F.lit(0)).alias(f"_before_{w}") for w in weights), *(F.sum(w).over(whole).alias(f"n_{w}") for w in weights))
@@ -194,7 +194,7 @@ def _information(df: DataFrame, keys, of: str, bin_: str) -> DataFrame:
 def with_bins(df: DataFrame, attr: str, bins: int = 16, name: str = "name") -> DataFrame:
     """``df`` with ``_bin``: the number of the attribute's inner quantiles, of its name, that are below the value."""
     edges = percentiles(df, [name], attr, [i / bins for i in range(1, bins)]).select(name, F.col("q").alias("_edges"))
-    return df.join(edges, name).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(attr)))).drop("_edges")
+    return df.join(broadcast_if_small(written(edges)), name).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(attr)))).drop("_edges")
 
 
 def binned_information(df: DataFrame, param: str, attr: str, bins: int = 16, name: str = "name") -> DataFrame:
@@ -220,7 +220,7 @@ def remove_outliers(obs: Observations, limit: float = 10.0) -> Observations:
     """71: drop observations with an attribute over ``limit`` deviations from its name's mean."""
     moments = obs.df.groupBy(obs.name).agg(*(f(a).alias(f"{t}_{a}") for a in obs.attrs for t, f in (("_m", F.avg), ("_s", F.stddev_pop))))
     far = reduce(lambda x, y: x | y, [(F.col(f"_s_{a}") > 0) & (F.abs(F.col(a) - F.col(f"_m_{a}")) > limit * F.col(f"_s_{a}")) for a in obs.attrs])
-    return obs.with_df(obs.df.join(moments, obs.name).where(~far).select(obs.df.columns))
+    return obs.with_df(obs.df.join(broadcast_if_small(written(moments)), obs.name).where(~far).select(obs.df.columns))
 
 
 def box_statistics(long: DataFrame, keys=("name", "attr")) -> DataFrame:

@@ -135,7 +135,7 @@ def transition_energy(spark, sf_dir):
 @query("q115_state_mix", f"""{MODELS}, e AS (SELECT name, avg(abs(value - static)) AS mae FROM long JOIN s USING (name, attr) WHERE attr = 'unit_price' GROUP BY name)
 SELECT round(sqrt(sum((mae / (SELECT count(*) FROM e)) ** 2)), 5) AS error, 1.0::DOUBLE AS shares FROM e""")
 def state_mix(spark, sf_dir):
-    errors = assess.metrics(assess.predict_static(observations(spark, sf_dir).long()), KEYS).where("attr = 'unit_price'")
+    errors = assess.metrics(assess.predict_static(observations(spark, sf_dir).long()), KEYS, wanted=("mae",)).where("attr = 'unit_price'")
     return assess.state_mix_error(errors).select(r("error"), r("shares"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gaugework.operators import assess, drift, grove, trees
+from gaugework.operators import assess, drift, grove, shape, trees
 from gaugework.sources import logs
 
 
@@ -52,11 +52,21 @@ def test_a_split_of_little_gain_is_made_and_one_of_rounding_is_not(spark):
 def test_repeated_splits_with_many_equal_values(spark):
     rng = np.random.default_rng(3)
     v = np.where(rng.random(3000) < 0.5, 7.0, rng.integers(0, 40, 3000) / 4)
-    rows = spark.createDataFrame([("n", "a", i, float(x)) for i, x in enumerate(v)] + [("m", "a", i, 1.0) for i in range(9)], "name string, attr string, obs_id long, value double")
+    rows = spark.createDataFrame([("n", "a", i * 1_000_003, float(x)) for i, x in enumerate(v)] + [("m", "a", i, 1.0) for i in range(9)], "name string, attr string, obs_id long, value double")
     got = {(r["name"], r["rep"]): r for r in assess.monte_carlo_static(rows, 20, parts=8, chunk=700).collect()}
     for rep, (a, b) in enumerate(assess.split_hashes(20)):
-        train = np.array([3 * ((i * a + b) % assess.PRIME) < 2 * assess.PRIME for i in range(3000)])
+        train = np.array([3 * ((i * 1_000_003 * a + b) % assess.PRIME) < 2 * assess.PRIME for i in range(3000)])
         e = np.abs(v[~train] - np.median(v[train]))
         r = got["n", rep]
         assert r["n"] == (~train).sum() and abs(r["mae"] - e.mean()) < 1e-9 and abs(r["rmsd"] - np.sqrt((e * e).mean())) < 1e-9
         assert ("m", rep) not in got or got["m", rep]["mae"] == 0
+
+
+def test_rows_of_a_frequent_key_do_not_meet_in_one_task(spark):
+    names = F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("name")
+    long = spark.range(4000).select(names, F.lit("x").alias("attr"), (F.col("id") % 7).cast("string").alias("p"), F.col("id").cast("double").alias("value"))
+    wanted = spark.createDataFrame([("a", "x"), ("c", "x")], "name string, attr string")
+    for df in (shape.filter_observations(long, wanted), assess.predict_static(long), assess.predict_lut(long, ["p"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert df.where("name = 'a'").count() == 3600
