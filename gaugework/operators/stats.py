@@ -57,7 +57,8 @@ def count_percentiles(counts: DataFrame, keys, shares, weights=("_c",), parts: i
 
     def line(w, i, x):
         p = place(w, x)
-        return F.when(F.ceil(p) == F.floor(p), F.col(f"_{w}_{i}_0")).otherwise((F.ceil(p) - p) * F.col(f"_{w}_{i}_0") + (p - F.floor(p)) * F.col(f"_{w}_{i}_1"))
+        # Equal neighbours are their own line: its sum would differ from them by rounding.
+        return F.when((F.ceil(p) == F.floor(p)) | (F.col(f"_{w}_{i}_0") == F.col(f"_{w}_{i}_1")), F.col(f"_{w}_{i}_0")).otherwise((F.ceil(p) - p) * F.col(f"_{w}_{i}_0") + (p - F.floor(p)) * F.col(f"_{w}_{i}_1"))
 
     return got.select(*keys, *(f"n_{w}" for w in weights), *(F.array(*(line(w, i, x) for i, x in enumerate(shares))).alias(f"q_{w}") for w in weights))
 
