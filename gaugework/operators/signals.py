@@ -10,8 +10,10 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugework.operators.scan import Scan
 
@@ -316,18 +318,129 @@ def fixed_change_points(values: np.ndarray, count: int, min_distance: int = 5) -
     return list(rows[-1].get(n, (0, ()))[1])
 
 
-def detect_changes(df: DataFrame, penalties, keys=KEYS, order: str = "i", min_distance: int = 5, jump: int = 1) -> DataFrame:
-    """145: change points of every signal at every penalty: a row for each (signal, penalty). A signal goes to its worker once."""
-    penalties = [float(p) for p in penalties]
-    grid = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "value"))), lambda x: x["value"].cast("double")).alias("values"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema if f.name in keys)
+#: 145: signals of up to so many samples are solved together, as arrays; a chunk of them holds about ``CHUNK`` numbers.
+SHORT, CHUNK = 192, 400_000
+
+
+def _stretch_costs(values: np.ndarray, least: int, whole: set) -> np.ndarray:
+    """145: (signal, end, start): deviations from the median of all stretches of ``least`` samples or more, or of a ``whole`` signal's length, of signals of one width."""
+    many, n = values.shape
+    out = np.full((many, n + 1, n + 1), np.inf)
+    for size in range(1, n + 1):
+        if size >= least or size in whole:
+            x = np.sort(np.lib.stride_tricks.sliding_window_view(values, size, axis=1), axis=2)
+            half, at = size // 2, np.arange(n - size + 1)
+            out[:, at + size, at] = x[:, :, size - half :].sum(axis=2) - x[:, :, :half].sum(axis=2)
+    return out
+
+
+def changes_of_many(series: list[np.ndarray], penalties, min_distance: int = 5, jump: int = 1) -> list[list[tuple[list[int], int, int]]]:
+    """145: what ``changes_by_penalty`` finds for each of many signals, as runs: starts of new stretches, and the first and last
+    place of the neighbouring penalties that share them.
+
+    Short signals of like length share one dynamic programme over arrays; long ones are solved one by one.
+    """
+    pen, out = np.asarray(penalties, float), [[] for _ in series]
+    sizes = np.array([len(v) for v in series], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    short = order[sizes[order] <= SHORT]
+    begin = 0
+    while begin < len(short):
+        end = begin + 1
+        while end < len(short) and (end + 1 - begin) * int(sizes[short[end]]) * (int(sizes[short[end]]) + len(pen)) <= CHUNK:
+            end += 1
+        for i, runs in zip(short[begin:end], _together([np.asarray(series[i], float) for i in short[begin:end]], pen, min_distance, jump), strict=True):
+            out[i] = runs
+        begin = end
+    for i in order[sizes[order] > SHORT]:
+        found = changes_by_penalty(np.asarray(series[i], float), pen, min_distance, jump)
+        firsts = [j for j in range(len(pen)) if j == 0 or found[j] != found[j - 1]]
+        out[i] = [(found[a], a, b - 1) for a, b in zip(firsts, [*firsts[1:], len(pen)], strict=True)]
+    return out
+
+
+def _together(chunk: list[np.ndarray], pen: np.ndarray, min_distance: int, jump: int) -> list[list[tuple[list[int], int, int]]]:
+    """The programme of ``changes_by_penalty`` for a few short signals at once: what follows a signal's end is padding that no stretch of it holds."""
+    sizes = np.array([len(v) for v in chunk])
+    n, many = int(sizes.max(initial=0)), len(chunk)
+    values = np.zeros((many, n))
+    for i, v in enumerate(chunk):
+        values[i, : len(v)] = v
+    slack = np.array([1e-9 * (1.0 + float(np.abs(v - np.median(v)).max())) if len(v) else 0.0 for v in chunk])
+    costs = _stretch_costs(values, min_distance, set(sizes.tolist()))
+    starts = np.array([0, *range(max(1, -(-min_distance // jump)) * jump, n - min_distance + 1, jump)])
+    best = np.full((many, len(pen), len(starts)), np.inf)
+    best[:, :, 0] = -pen
+    came, last = np.zeros((many, n + 1, len(pen)), np.int64), set(sizes.tolist())
+    place = {int(s): i for i, s in enumerate(starts)}
+    for t in range(1, n + 1):
+        if t in place or t in last:
+            upto = max(1, int(np.searchsorted(starts, t - min_distance, side="right")))
+            total = best[:, :, :upto] + costs[:, t][:, starts[:upto]][:, None]
+            least = total.min(axis=2)
+            came[:, t] = starts[(total <= (least + slack[:, None])[:, :, None]).argmax(axis=2)]
+            if t in place:
+                best[:, :, place[t]] = least + pen
+    at, steps, row, column = np.repeat(sizes[:, None], len(pen), axis=1), [], np.arange(many)[:, None], np.arange(len(pen))[None, :]
+    while True:
+        at = came[row, at, column]
+        if not at.any():
+            break
+        steps.append(at)
+    path = np.stack(steps[::-1], axis=2) if steps else np.zeros((many, len(pen), 0), np.int64)
+    new = np.concatenate([np.ones((many, 1), bool), (path[:, 1:] != path[:, :-1]).any(axis=2)], axis=1)
+    out = []
+    for i in range(many):
+        firsts = np.flatnonzero(new[i]).tolist()
+        out.append([([c for c in path[i, a].tolist() if c], a, b - 1) for a, b in zip(firsts, [*firsts[1:], len(pen)], strict=True)])
+    return out
+
+
+def _with_runs(penalties, min_distance: int, jump: int):
+    """Batches with ``found`` for their ``samples``."""
+    pen = np.asarray(penalties, float)
 
     def run(batches):
-        for pdf in batches:
-            found = pdf[list(keys)].assign(penalty=[penalties] * len(pdf), changes=[changes_by_penalty(np.asarray(v, float), penalties, min_distance, jump) for v in pdf["values"]])
-            yield found.explode(["penalty", "changes"], ignore_index=True).astype({"penalty": float})
+        for batch in batches:
+            samples = batch.column("samples")
+            ends = np.cumsum(samples.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            values = samples.flatten().field("value").to_numpy(zero_copy_only=False)
+            runs = changes_of_many(np.split(values, ends[:-1]) if len(ends) else [], penalties, min_distance, jump)
+            flat = [r for one in runs for r in one]
+            changes = pa.ListArray.from_arrays(np.cumsum([0, *(len(r[0]) for r in flat)]).astype(np.int32), pa.array([c for r in flat for c in r[0]], pa.int64()))
+            pens = pa.ListArray.from_arrays(np.cumsum([0, *(r[2] - r[1] + 1 for r in flat)]).astype(np.int32), pa.array(np.concatenate([pen[:0], *(pen[r[1] : r[2] + 1] for r in flat)])))
+            found = pa.ListArray.from_arrays(np.cumsum([0, *map(len, runs)]).astype(np.int32), pa.StructArray.from_arrays([changes, pens], ["changes", "penalties"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "found"])
+
+    return run
+
+
+def detect_runs(df: DataFrame, penalties, keys=KEYS, order: str = "i", min_distance: int = 5, jump: int = 1) -> DataFrame:
+    """145: a row for each signal: keys, its ``samples`` in order, and ``found``: its change points, each with the penalties that
+    give them. What is worked out from both needs no further shuffle. A signal goes to its worker once."""
+    grid = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col("value").cast("double").alias("value")))).alias("samples"))
+    one = T.StructType([T.StructField("changes", T.ArrayType(T.LongType())), T.StructField("penalties", T.ArrayType(T.DoubleType()))])
+    shape = T.StructType([*grid.schema.fields, T.StructField("found", T.ArrayType(one))])
+    return grid.mapInArrow(_with_runs([float(p) for p in penalties], min_distance, jump), shape)
+
+
+def detect_changes(df: DataFrame, penalties, keys=KEYS, order: str = "i", min_distance: int = 5, jump: int = 1) -> DataFrame:
+    """145: change points of every signal at every penalty: a row for each (signal, penalty)."""
+    each = detect_runs(df, penalties, keys, order, min_distance, jump).select(*keys, F.explode("found").alias("f"))
+    return each.select(*keys, F.explode("f.penalties").alias("penalty"), F.col("f.changes").alias("changes"))
+
 
-    return grid.mapInPandas(run, f"{shape}, penalty double, changes array<bigint>")
+def change_totals(runs: DataFrame, keys=KEYS) -> DataFrame:
+    """145: what the stretches of each signal and penalty of ``detect_runs`` cost, worked out again from the samples: their
+    deviations, and the penalties of the changes. Rows of a signal stay where they are."""
+    each = runs.select(*keys, F.transform("samples", lambda x: x["value"]).alias("v"), F.explode("found").alias("f"))
+    each = each.withColumn("b", F.concat(F.array(F.lit(0).cast("long")), "f.changes", F.array(F.size("v").cast("long"))))
+    part = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda j: F.array_sort(F.slice("v", (F.get("b", j - 1) + 1).cast("int"), (F.get("b", j) - F.get("b", j - 1)).cast("int"))))
+    middle = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    both = F.transform(part, lambda x: F.named_struct(F.lit("x"), x, F.lit("m"), middle(x)))
+    cost = F.aggregate(both, F.lit(0.0), lambda a, p: a + F.aggregate(p["x"], F.lit(0.0), lambda c, y: c + F.abs(y - p["m"])))
+    each = each.select(*keys, cost.alias("cost"), F.size("f.changes").alias("k"), F.explode("f.penalties").alias("penalty"))
+    return each.select(*keys, "penalty", (F.col("cost") + F.col("k") * F.col("penalty")).alias("total"), (F.col("k") + 1).cast("long").alias("parts"))
 
 
 def plateau_penalty(found: DataFrame, keys=KEYS) -> DataFrame:
@@ -387,10 +500,12 @@ def drift_candidates(df: DataFrame, events: DataFrame, penalties, window: float,
     spans = events.select(*keys, "event", F.col(ts).alias("expected"), (F.col(ts) - window).alias("_lo"), (F.col(ts) + window).alias("_hi"))
     near = interval_join(df.select(*keys, ts, "value"), spans, keys, ts, "_lo", "_hi", 2 * window)
     k = [*keys, "event", "expected"]
-    near = near.withColumn("i", F.row_number().over(_w(k, ts)) - 1)
-    found = detect_changes(near, penalties, k).select(*k, F.explode("changes").alias("i"))
-    votes = found.groupBy(*k, "i").agg(F.count("*").alias("votes"))
-    return votes.join(near.select(*k, "i", ts), [*k, "i"]).withColumn("drift", F.col(ts) - F.col("expected")).select(*k, "drift", "votes")
+    runs = detect_runs(near, penalties, k, ts).select(*k, "samples", F.explode("found").alias("f"))
+    each = runs.select(*k, "samples", F.size("f.penalties").alias("n"), F.explode("f.changes").alias("i"))
+    at = F.get("samples", F.col("i").cast("int"))[ts].alias("at")
+    # A window's runs lie in one row, so that its votes are summed without a shuffle of its samples.
+    votes = each.select(*k, "i", at, "n").groupBy(*k, "i", "at").agg(F.sum("n").alias("votes"))
+    return votes.select(*k, (F.col("at") - F.col("expected")).alias("drift"), "votes")
 
 
 def greedy_drift(candidates: DataFrame, keys=KEYS, limit: float = 0.5e-3) -> DataFrame:

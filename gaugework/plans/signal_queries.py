@@ -156,20 +156,11 @@ f(signal, n, t, pen, best) AS (
 total AS (SELECT f.signal, pen::DOUBLE AS penalty, best[f.n + 1] AS total, c.c[1] AS whole FROM f JOIN c ON c.signal = f.signal AND c.t = f.n WHERE f.t = f.n)"""
 
 
-def _totals(spark, sf_dir, penalties):
-    """Deviations of the stretches that were found, and the penalties of the changes, worked out again from the samples."""
-    rows = sig(spark, sf_dir)
-    found = signals.detect_changes(rows, penalties, min_distance=3)
-    parts = rows.select("signal", "i", "value").join(found, "signal").withColumn("part", F.size(F.filter("changes", lambda c: c <= F.col("i"))))
-    part = parts.groupBy("signal", "penalty", "part").agg(F.median("value").alias("m"), F.collect_list("value").alias("v"))
-    cost = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("m")))
-    return part.groupBy("signal", "penalty").agg((F.sum(cost) + (F.count("*") - 1) * F.col("penalty")).alias("total"), F.count("*").alias("parts"))
-
-
 @query("q145_change_totals", f"{PROGRAMME} SELECT signal, penalty, round(total, 5) AS total FROM total")
 def change_totals(spark, sf_dir):
     """No other change points cost less: the totals are those of the whole programme."""
-    return _totals(spark, sf_dir, range(1, 89)).select("signal", "penalty", r("total", 5))
+    runs = signals.detect_runs(sig(spark, sf_dir), range(1, 89), min_distance=3)
+    return signals.change_totals(runs).select("signal", "penalty", r("total", 5))
 
 
 @query("q144_refinement_by_changes", f"{PROGRAMME} SELECT count(*) AS signals, round(avg((total < whole - 1e-7)::INT), 8) AS share FROM total WHERE penalty = 20")
