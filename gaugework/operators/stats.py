@@ -26,7 +26,7 @@ def _same(keys, a: str, b: str):
 def value_counts(df: DataFrame, keys, value: str = "value", weights: dict[str, Column] | None = None) -> DataFrame:
     """keys, _v and, for each of ``weights``, how many rows of that value it holds for (``_c``: all). Nulls do not count. Settled, as it is read several times."""
     named = {"_c": F.count("*")} if weights is None else {w: F.count_if(c) for w, c in weights.items()}
-    return cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(*(c.alias(w) for w, c in named.items())))
+    return written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(*(c.alias(w) for w, c in named.items())))
 
 
 def count_percentiles(counts: DataFrame, keys, shares, weights=("_c",), parts: int = 64) -> DataFrame:
@@ -226,11 +226,12 @@ def remove_outliers(obs: Observations, limit: float = 10.0) -> Observations:
 
 def box_statistics(long: DataFrame, keys=("name", "attr")) -> DataFrame:
     """72: quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
-    q = percentiles(long, keys, "value", [0.25, 0.5, 0.75])
+    counts = value_counts(long, list(keys))
+    q = broadcast_if_small(written(count_percentiles(counts, keys, [0.25, 0.5, 0.75]).select(*keys, F.col("n__c").alias("n"), F.col("q__c").alias("q"))))
     lo, hi = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
-    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("c"))
-    whiskers = counts.join(q, list(keys)).where((F.col("value") >= lo) & (F.col("value") <= hi)).groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return q.join(whiskers, list(keys)).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
+    # Whiskers come from the same counts, beside the quartiles: few keys are not sent to few tasks.
+    inner = counts.join(q, list(keys)).where((F.col("_v") >= lo) & (F.col("_v") <= hi))
+    return inner.groupBy(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def influence_series(long: DataFrame, param: str, others, grid: int = 500) -> tuple[DataFrame, DataFrame]:
