@@ -15,31 +15,40 @@ from gaugework.operators.lookup import lut_lookup
 METRICS = ("count", "mae", "mape", "smape", "p50", "p90", "p95", "p99", "msd", "rmsd", "ssr", "rsq")
 
 
-def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predicted", wanted=METRICS) -> DataFrame:
+def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predicted", wanted=METRICS, weight: str | None = None) -> DataFrame:
     """112: all error metrics of each group: one aggregation, and exact percentiles from counts if these are ``wanted``.
 
     mape is null unless every truth is other than 0; smape counts 0/0 as 0; rsq of a constant
-    truth is 1 if it is met and 0 otherwise. Rows without prediction do not count.
+    truth is 1 if it is met and 0 otherwise. Rows without prediction do not count. With ``weight``, a row stands for so many equal ones.
     """
     t, p = F.col("_t"), F.col("_p")
     err = F.abs(p - t)
-    rows = df.select(*keys, F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p")).where(t.isNotNull() & p.isNotNull())
-    spread = F.var_pop("_t") * F.count("*")
-    ssr = F.sum(err * err)
+    rows = df.select(*keys, F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p"), (F.lit(1) if weight is None else F.col(weight)).alias("_w")).where(t.isNotNull() & p.isNotNull())
+    if weight is None:
+        total, mean, count, spread = F.sum, F.avg, F.count("*"), F.var_pop("_t") * F.count("*")
+    else:
+        # Squares are taken about a value near the mean, so that nothing cancels; a constant truth has none at all.
+        origin = written(rows.groupBy(*keys).agg((F.sum(F.col("_w") * t) / F.sum("_w")).alias("_o")))
+        rows = rows.alias("r").join(broadcast_if_small(origin).alias("o"), stats._same(list(keys), "r", "o") or F.lit(True)).select("r.*", "_o")
+        w, d, count = F.col("_w"), t - F.col("_o"), F.sum("_w")
+        total, mean = (lambda c: F.sum(w * c)), (lambda c: F.sum(w * c) / F.sum(F.when(c.isNotNull(), w)))
+        spread = F.when(F.min(t) == F.max(t), 0.0).otherwise(F.sum(w * d * d) - F.sum(w * d) * F.sum(w * d) / count)
+    ssr = total(err * err)
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("count"),
-        F.avg(err).alias("mae"),
-        F.when(F.bool_and(t != 0), F.avg(F.when(t != 0, err / F.abs(t))) * 100).alias("mape"),
-        (F.avg(F.when((t == 0) & (p == 0), 0.0).otherwise(err / ((F.abs(t) + F.abs(p)) / 2))) * 100).alias("smape"),
-        F.avg(err * err).alias("msd"),
-        F.sqrt(F.avg(err * err)).alias("rmsd"),
+        count.alias("count"),
+        mean(err).alias("mae"),
+        F.when(F.bool_and(t != 0), mean(F.when(t != 0, err / F.abs(t))) * 100).alias("mape"),
+        (mean(F.when((t == 0) & (p == 0), 0.0).otherwise(err / ((F.abs(t) + F.abs(p)) / 2))) * 100).alias("smape"),
+        mean(err * err).alias("msd"),
+        F.sqrt(mean(err * err)).alias("rmsd"),
         ssr.alias("ssr"),
         F.when(spread > 0, 1 - ssr / F.when(spread > 0, spread)).when(ssr == 0, 1.0).otherwise(0.0).alias("rsq"),
     )
     if not set(METRICS[4:8]) & set(wanted):
         return out.select(*keys, *wanted)
-    q = stats.percentiles(rows.select(*keys, err.alias("_err")), keys, "_err", [0.5, 0.9, 0.95, 0.99]).select(*keys, F.col("q").alias("_q"))
-    out = out.alias("m").join(q.alias("e"), [F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]).select("m.*", "_q")
+    counts = written(rows.groupBy(*keys, err.alias("_v")).agg(F.sum("_w").alias("_c")))
+    q = stats.count_percentiles(counts, keys, [0.5, 0.9, 0.95, 0.99]).select(*keys, F.col("q__c").alias("_q"))
+    out = out.alias("m").join(broadcast_if_small(written(q)).alias("e"), [F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]).select("m.*", "_q")
     return out.withColumns({m: F.col("_q")[i] for i, m in enumerate(METRICS[4:8])}).select(*keys, *wanted)
 
 
@@ -58,8 +67,13 @@ def predict_lut(long: DataFrame, params, train: DataFrame | None = None, keys=("
 def quality_table(long: DataFrame, params, model: DataFrame | None = None) -> DataFrame:
     """120: errors of lookup table, model (if given, with ``predicted``) and static value, and which one to use."""
     keys = ["name", "attr"]
-    short = lambda df, tag: metrics(df, keys, wanted=("mae", "smape", "rsq")).withColumnsRenamed({m: f"{tag}_{m}" for m in ("mae", "smape", "rsq")})
-    out = short(predict_static(long), "static").join(short(predict_lut(long, params), "lut"), keys)
+    short = lambda df, tag, weight=None: metrics(df, keys, wanted=("mae", "smape", "rsq"), weight=weight).withColumnsRenamed({m: f"{tag}_{m}" for m in ("mae", "smape", "rsq")})
+    # Values are counted once; both models and their errors come from the counts, and no group of rows meets in one task.
+    counts = stats.value_counts(long, [*keys, *params])
+    middle = lambda c, by, name: written(stats.count_percentiles(c, by, [0.5]).select(*by, F.col("q__c")[0].alias(name)))
+    static = middle(counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c")), keys, "static")
+    rows = counts.withColumnRenamed("_v", "value")
+    out = short(rows.join(broadcast_if_small(static), keys).withColumnRenamed("static", "predicted"), "static", "_c").join(short(lut_lookup(rows, middle(counts, [*keys, *params], "lut"), params, static), "lut", "_c"), keys)
     model_mae = F.lit(None).cast("double")
     if model is not None:
         out = out.join(short(model, "model"), keys, "left")
@@ -92,12 +106,17 @@ def config_folds(df: DataFrame, params, k: int, obs_id: str = "obs_id", name: st
     keys = [name, *params]
     first = df.groupBy(*keys).agg(F.min(obs_id).alias("_first"))
     number = first.withColumn("_c", F.dense_rank().over(Window.partitionBy(name).orderBy("_first")) - 1)
-    number = number.withColumn("_all", F.max("_c").over(Window.partitionBy(name)) + 1)
+    number = written(number.withColumn("_all", F.max("_c").over(Window.partitionBy(name)) + 1))
     cond = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
-    byconf = df.alias("d").join(number.alias("f"), cond).select("d.*", "_c", "_all")
-    plain = place_in_group(df, [name], obs_id).select(obs_id, "place")
-    fold = F.when(F.col("_all") >= k, F.col("_c") % k).otherwise(F.col("place") % k)
-    return byconf.join(plain, obs_id).withColumn("fold", fold.cast("int")).drop("_c", "_all", "place")
+    byconf = df.alias("d").join(broadcast_if_small(number).alias("f"), cond).select("d.*", "_c", "_all")
+    fold = F.col("_c") % k
+    # Places are worked out for names of few configurations alone.
+    few = F.col("_all") < k
+    if not number.where(few).isEmpty():
+        plain = place_in_group(byconf.where(few), [name], obs_id).select(obs_id, "place")
+        byconf = byconf.join(plain, obs_id, "left")
+        fold = F.when(few, F.col("place") % k).otherwise(fold)
+    return byconf.withColumn("fold", fold.cast("int")).select(*df.columns, "fold")
 
 
 def monte_carlo(df: DataFrame, count: int, obs_id: str = "obs_id", name: str = "name", seed: int = 0) -> DataFrame:
@@ -139,11 +158,14 @@ def cross_validate_static(long_folds: DataFrame, k: int, keys=("name", "attr"))
 def cross_validate_lut(long_folds: DataFrame, params, k: int, keys=("name", "attr")) -> DataFrame:
     """118 with a lookup table that falls back to the static value; configurations and whole keys share one count of values."""
     keys, params, weights = list(keys), list(params), _complements(k)
-    counts = stats.value_counts(long_folds, [*keys, *params], weights=weights)
+    # Values are counted once, by fold; folds' complements, models and errors all come from these counts.
+    rows = stats.value_counts(long_folds, [*keys, *params, "fold"])
+    each = [F.sum(F.when(c, F.col("_c")).otherwise(0)).alias(w) for w, c in weights.items()]
+    counts = written(rows.groupBy(*keys, *params, "_v").agg(*each))
     whole = counts.groupBy(*keys, "_v").agg(*(F.sum(w).alias(w) for w in weights))
     static = _by_fold(stats.count_percentiles(whole, keys, [0.5], list(weights)), keys, k, "static")
     lut = _by_fold(stats.count_percentiles(counts, [*keys, *params], [0.5], list(weights)), [*keys, *params], k, "lut")
-    return metrics(lut_lookup(long_folds, written(lut), params, written(static), (*keys, "fold")), keys)
+    return metrics(lut_lookup(rows.withColumnRenamed("_v", "value"), written(lut), params, written(static), (*keys, "fold")), keys, weight="_c")
 
 
 #: The prime that hashes of repetitions are taken by: (a x + b) modulo it.
