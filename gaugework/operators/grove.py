@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gaugework.observations import numeric
 from gaugework.operators import fit as ls
 from gaugework.operators import stats
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import broadcast_if_small, cut, written
 from gaugework.operators.trees import _key, _node_deviation, _node_information, _NULL, NOISE
 
 
@@ -138,14 +138,16 @@ def _settled_by_enums(placed, kinds, heads, params, keys, n, squares) -> DataFra
 
 
 def _placed(rows: DataFrame, grove: Grove) -> DataFrame:
-    """``rows`` with the ``_node`` they end in, for rows that the trees were grown on."""
-    now = rows.join(grove.roots, list(grove.keys))
+    """``rows`` with the ``_node`` they end in, for rows that the trees were grown on. Configurations are placed; rows meet them
+    where they are, as few configurations would else send all rows to few tasks."""
+    k = [*grove.keys, *grove.params]
+    now = rows.select(*k).distinct().join(grove.roots, list(grove.keys))
     which = F.get(F.array(*(_key(p) for p in grove.params)), F.array_position(F.array(*(F.lit(p) for p in grove.params)), F.col("_p")).cast("int") - 1)
     for level in range(grove.depth):
         here = grove.edges.where(F.col("level") == level)
         now = now.join(here.select("_node", F.col("param").alias("_p")).distinct(), "_node", "left").withColumn("_v", which)
         now = now.join(here.select("_node", F.col("v").alias("_v"), F.col("child").alias("_to")), ["_node", "_v"], "left").withColumn("_node", F.coalesce("_to", "_node")).drop("_p", "_v", "_to")
-    return now
+    return rows.alias("r").join(broadcast_if_small(written(now)).alias("p"), stats._same(k, "r", "p")).select("r.*", "_node")
 
 
 def _solved(k: int):
@@ -215,7 +217,7 @@ def predict(rows: DataFrame, grove: Grove, weighted: bool = False, out: str = "p
         value = F.coalesce(reduce(lambda a, b: a + b, [F.get("beta", F.lit(i)) * ls.term(t) for i, t in enumerate(grove.terms)]), value)
     leaves = grove.nodes.where("param is null").select("_node", F.col("value"), "beta")
     found = now.join(leaves, "_node").groupBy(*keys, *used).agg(F.sum(F.col("_w") * value).alias(out))
-    return rows.alias("r").join(found.alias("p"), stats._same([*keys, *used], "r", "p")).select("r.*", out)
+    return rows.alias("r").join(broadcast_if_small(written(found)).alias("p"), stats._same([*keys, *used], "r", "p")).select("r.*", out)
 
 
 def prune(grove: Grove) -> Grove:
