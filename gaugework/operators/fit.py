@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.observations import numeric
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import broadcast_if_small, written
 
 #: A fit is of use if its error is below this share of that of mean and median.
 USEFUL = 0.8
@@ -125,26 +125,36 @@ def bounded_line(bounds=NO_BOUNDS) -> Column:
     return F.array_min(F.filter(F.array(*each), lambda c: c["b0"].isNotNull() & c["b1"].isNotNull()))
 
 
-def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: float = 1.0, steps: int = 10, lower: float | None = None, loss: str = "soft_l1", bounds=None) -> DataFrame:
-    """86: a line by reweighted sums in a fixed number of steps, under one of ``LOSSES``.
+def robust_lines(df: DataFrame, keys, losses, x: str = "x", y: str = "value", scale: float = 1.0, steps: int = 10, lower: float | None = None, bounds=None) -> DataFrame:
+    """86: a line for each key and each of ``losses`` (column ``loss``), by reweighted sums in a fixed number of steps.
 
-    ``bounds`` are (least, most) of b0 and of b1, None for none; ``lower`` is short for a least slope.
+    ``bounds`` are (least, most) of b0 and of b1, None for none; ``lower`` is short for a least slope. Equal points are counted
+    once; the steps of all losses share one chain of jobs over these counts, and rows stay where they are: a model has a row a
+    key and loss, and is broadcast.
     """
     bounds = bounds or ((None, None), (lower, None))
-    rows = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    keys, k = list(keys), [*keys, "loss"]
+    points = written(df.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_c")))
+    each = points.withColumn("loss", F.explode(F.array(*(F.lit(v) for v in losses))))
     model = None
-    for _ in range(1 if loss == "linear" else steps):
+    for _ in range(1 if set(losses) == {"linear"} else steps):
         if model is None:
-            weighted = rows.withColumn("_w", F.lit(1.0))
+            weighted = each.withColumn("_w", F.col("_c").cast("double"))
         else:
             res = (F.col("_y") - F.col("b0") - F.col("b1") * F.col("_x")) / scale
-            weighted = rows.join(model, list(keys)).withColumn("_w", LOSSES[loss](res * res))
+            weight = reduce(lambda out, v: F.when(F.col("loss") == v, LOSSES[v](res * res)).otherwise(out), losses, F.lit(None).cast("double"))
+            weighted = each.join(broadcast_if_small(model), k).withColumn("_w", F.col("_c") * weight)
         w, a, b = F.col("_w"), F.col("_x"), F.col("_y")
-        s = weighted.groupBy(*keys).agg(F.sum(w).alias("s"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"))
-        model = cut(s.select(*keys, bounded_line(bounds).alias("_m")).select(*keys, "_m.b1", "_m.b0"))  # one row a key; each step reads the last one's model and not what made it
+        s = weighted.groupBy(*k).agg(F.sum(w).alias("s"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"))
+        model = written(s.select(*k, bounded_line(bounds).alias("_m")).select(*k, "_m.b1", "_m.b0"))  # each step reads the last one's model and not what made it
     return model
 
 
+def robust_line(df: DataFrame, keys, x: str = "x", y: str = "value", scale: float = 1.0, steps: int = 10, lower: float | None = None, loss: str = "soft_l1", bounds=None) -> DataFrame:
+    """86: ``robust_lines`` under one of ``LOSSES``."""
+    return robust_lines(df, keys, [loss], x, y, scale, steps, lower, bounds).drop("loss")
+
+
 def powerset(functions: dict[str, str], independent: bool = False, intercept: bool = True, full_only: bool = False) -> list[tuple[tuple[str, str], ...]]:
     """87: the design terms: products over every subset of (param, template), in order of parameters."""
     pairs = sorted(functions.items())
@@ -197,7 +207,7 @@ def joint_fit(df: DataFrame, terms, value: str = "value", keys=("name", "attr"),
     used = sorted({p for t in terms for p, _ in t})
     rows = df.where(reduce(lambda a, b: a & b, [numeric(p).isNotNull() for p in used], F.lit(True)))
     enough = rows.groupBy(*keys).agg(F.count_distinct(*(F.col(p) for p in used)).alias("c")).where(F.col("c") >= min_configs) if used else rows.select(*keys).distinct()
-    rows = rows.join(enough.select(*keys), list(keys), "left_semi")
+    rows = rows.join(broadcast_if_small(written(enough.select(*keys))), list(keys), "left_semi")
     found = gram(rows, [term(t) for t in terms], F.col(value), keys)
     data = [(*(r[k] for k in keys), r["n"], solve(r, len(terms)).tolist()) for r in found]
     shape = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
@@ -207,7 +217,7 @@ def joint_fit(df: DataFrame, terms, value: str = "value", keys=("name", "attr"),
 def predict_joint(df: DataFrame, model: DataFrame, terms, keys=("name", "attr")) -> DataFrame:
     """Rows with ``predicted``, null where a parameter is no number."""
     total = reduce(lambda a, b: a + b, [F.col("beta")[i] * term(t) for i, t in enumerate(terms)])
-    return df.join(model.select(*keys, "beta"), list(keys)).withColumn("predicted", total).drop("beta")
+    return df.join(broadcast_if_small(model.select(*keys, "beta")), list(keys)).withColumn("predicted", total).drop("beta")
 
 
 _CALLS = {"sqrt": F.sqrt, "log": F.log, "log1p": F.log1p, "exp": F.exp, "abs": F.abs, "min": F.least, "max": F.greatest}

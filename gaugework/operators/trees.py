@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugework.observations import numeric
 from gaugework.operators import fit as ls
+from gaugework.operators.lineage import written
 from gaugework.operators import stats
 
 
@@ -453,6 +454,15 @@ def library_tree(kind: str, train: DataFrame, label: str = "value", **options):
     return made(labelCol=label, featuresCol="features", seed=1, **{**defaults, **options}).fit(train)
 
 
+def weighted(rows: DataFrame, params, label: str = "value") -> DataFrame:
+    """103: rows of ``features`` with equal ``params`` as one row of their mean label and ``weight``, the number of rows.
+
+    With squared loss the mean and the weight of equal rows are all that a tree's splits and leaves depend on, in every round.
+    """
+    groups = rows.where(F.col(label).isNotNull()).groupBy(*params).agg(F.first("features").alias("features"), F.avg(label).alias(label), F.count("*").cast("double").alias("weight"))
+    return written(groups)
+
+
 def linear_tree(rows: DataFrame, params, value: str = "value", max_depth: int = 5, bins: int = 120, min_rows: int = 6, min_share: float = 0.1) -> Node:
     """102: top-down linear model tree. One pass a level: sums of products for each (node, feature, quantile bin);
     running sums over bins give both sides of every candidate cut. A cut is kept if the sides' squares are below the node's."""

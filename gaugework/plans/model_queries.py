@@ -91,13 +91,8 @@ m{k} AS (SELECT name, loss, arg_min(b0, q) AS b0, arg_min(b1, q) AS b1 FROM (SEL
 @query("q86_bounded_losses", _faces(6, 5000.0))
 def bounded_losses(spark, sf_dir):
     """Lines under all losses, with bounds on both coefficients."""
-    rows = volume(spark, sf_dir)
-    out = None
-    for loss in fit.LOSSES:
-        line = fit.robust_line(rows, ["name"], "quantity", scale=5000.0, steps=6, loss=loss, bounds=BOUNDS)
-        part = line.select("name", F.lit(loss).alias("loss"), F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    lines = fit.robust_lines(volume(spark, sf_dir), ["name"], list(fit.LOSSES), "quantity", scale=5000.0, steps=6, bounds=BOUNDS)
+    return lines.select("name", "loss", F.round("b0", 3).alias("b0"), F.round("b1", 4).alias("b1"))
 
 
 @query("q87_joint_fit", f"""WITH {VOLUME}, m AS (SELECT name, regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a FROM vol GROUP BY name)
@@ -251,7 +246,7 @@ def linear_tree_unbiased(spark, sf_dir):
 @query("q103_boosted_unbiased", UNBIASED)
 def boosted_unbiased(spark, sf_dir):
     rows = trees.features(volume(spark, sf_dir), ["quantity", "size"])
-    return _unbiased(trees.library_tree("boosted", rows).transform(rows).withColumnRenamed("prediction", "predicted"))
+    return _unbiased(trees.library_tree("boosted", trees.weighted(rows, ["quantity", "size"]), weightCol="weight").transform(rows).withColumnRenamed("prediction", "predicted"))
 
 
 @query("q93_function_leaves", f"""WITH {VOLUME}, m AS (SELECT name, status, avg(value) AS p, regr_slope(value, quantity) AS b, regr_intercept(value, quantity) AS a,
