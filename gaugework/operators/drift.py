@@ -13,12 +13,12 @@ more than the price of a skip, and their number is bounded by the square of (ran
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators import stats
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import cut, written
 from gaugework.operators.scan import Scan
 
 #: Price of an event without a drift, in the unit of the drifts (s).
@@ -105,43 +105,76 @@ def path(candidates, skip: float = SKIP, start: float = 0.0, end: float | None =
     return out[::-1]
 
 
-def _by_event(pdf: pd.DataFrame) -> pd.Series:
-    return pdf.groupby("event", sort=True)["drift"].apply(lambda x: sorted(x.dropna()))
+def _runs(column: pa.Array):
+    """For each row of an array of (event, drift), in order: its events, and the drifts of each, without nulls."""
+    at, rows = column.offsets.to_numpy(), column.values
+    event, drift = rows.field("event").to_numpy(zero_copy_only=False), rows.field("drift").to_numpy(zero_copy_only=False)
+    for a, b in zip(at, at[1:], strict=False):
+        e, x = event[a:b], drift[a:b]
+        cuts = np.flatnonzero(e[1:] != e[:-1]) + 1
+        # Nulls lead and NaN ends an event, so that what is left is still sorted.
+        yield e[np.append(0, cuts)], [d[~np.isnan(d)] for d in np.split(x, cuts)]
+
+
+def _spread(batch: pa.RecordBatch, keys, sizes) -> list[pa.Array]:
+    """The keys of each row, as often as ``sizes`` says."""
+    at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+    return [batch.column(k).take(at) for k in keys]
 
 
 def compensate(candidates: DataFrame, keys=("signal",), skip: float = SKIP, block: int = BLOCK) -> DataFrame:
     """Keys, event, the drift in force at it, and whether it was taken there, of ``candidates`` (keys, event, drift).
 
     A null drift is no candidate; an event with nulls alone keeps the drift before it. Events and keys may repeat; runs of null
-    keys are runs. A run of more than ``block`` candidates is the work of many tasks.
+    keys are runs. A run of more than ``block`` candidates is the work of many tasks. A block is one row, and a task takes rows
+    in batches, as there may be many short ones.
     """
     keys = list(keys)
-    df = candidates.select(*keys, F.col("event").cast("bigint").alias("event"), F.col("drift").cast("double").alias("drift"))
+    df = candidates.select(*keys, F.col("event").cast("bigint").alias("event"), F.col("drift").cast("double").alias("drift")).where("event is not null")
     cut_up = Scan.of(df, keys, "event", block)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     head = kinds + ", " if kinds else ""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = _by_event(pdf)
-        start, end = (pdf["_start"].iloc[0], pdf["_end"].iloc[0]) if "_start" in pdf else (0.0, None)
-        found = pd.Series(path(list(by), skip, start, end), dtype=float)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "event": by.index, "drift": found.ffill().fillna(start).to_numpy(), "taken": found.notna().to_numpy()})
-
-    if not cut_up.blocked:
-        return df.groupBy(*keys).applyInPandas(walk, f"{head}event bigint, drift double, taken boolean")
-
-    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = _by_event(pdf)
-        enter, leave, cost = block_matrix(list(by), skip)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_b": [pdf["_b"].iloc[0]], "n": [len(by)], "enter": [enter.tolist()], "leave": [leave.tolist()], "cost": [cost.tolist()]})
-
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b")
-        at = borders([(n, np.asarray(e, float), np.asarray(o, float), np.asarray(c, float)) for n, e, o, c in zip(pdf["n"], pdf["enter"], pdf["leave"], pdf["cost"], strict=True)], skip)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "_b": pdf["_b"].to_numpy(), "_start": at[:-1], "_end": at[1:]})
-
-    rows = cut_up.df
-    pairs = rows.groupBy(*keys, "_b").applyInPandas(matrix, f"{head}_b int, n bigint, enter array<double>, leave array<double>, cost array<double>")
-    ends = cut(pairs.groupBy(*keys).applyInPandas(join_up, f"{head}_b int, _start double, _end double"))
-    placed = rows.alias("d").join(ends.alias("e"), stats._same([*keys, "_b"], "d", "e")).select("d.*", "_start", "_end")
-    return placed.groupBy(*keys, "_b").applyInPandas(walk, f"{head}event bigint, drift double, taken boolean")
+    blocked = cut_up.blocked
+    by = [*keys, "_b"] if blocked else keys
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut_up.df.repartition(parts, *by) if by else cut_up.df
+    blocks = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("event", "drift"))).alias("_c")).where(F.size("_c") > 0)
+
+    def walk(batches):
+        for batch in batches:
+            near = [batch.column(c).to_numpy() for c in ("_start", "_end")] if blocked else None
+            events, drifts, takens = [], [], []
+            for i, (e, c) in enumerate(_runs(batch.column("_c"))):
+                start, end = (near[0][i], near[1][i]) if near else (0.0, None)
+                found = np.array(path(c, skip, start, end), float)
+                taken = ~np.isnan(found)
+                last = np.maximum.accumulate(np.where(taken, np.arange(len(e)), -1))
+                events.append(e), drifts.append(np.where(last < 0, start, found[last])), takens.append(taken)
+            if events:
+                yield pa.RecordBatch.from_arrays([*_spread(batch, keys, [len(e) for e in events]), *(pa.array(np.concatenate(x)) for x in (events, drifts, takens))], names=[*keys, "event", "drift", "taken"])
+
+    out = f"{head}event bigint, drift double, taken boolean"
+    if not blocked:
+        return blocks.mapInArrow(walk, out)
+
+    def matrix(batches):
+        for batch in batches:
+            made = [(len(e), *block_matrix(c, skip)) for e, c in _runs(batch.column("_c"))]
+            n, *pairs = zip(*made, strict=True) if made else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in by), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.float64())) for x in pairs)], names=[*by, "n", "enter", "leave", "cost"])
+
+    def join_up(batches):
+        for batch in batches:
+            at, m = batch.column("_m").offsets.to_numpy(), batch.column("_m").values
+            number, n, pairs = m.field("_b").to_numpy(), m.field("n").to_numpy(), m.field("enter")
+            cuts, pairs = pairs.offsets.to_numpy(), [m.field(c).values.to_numpy() for c in ("enter", "leave", "cost")]
+            ends = [borders([(n[i], *(x[cuts[i] : cuts[i + 1]] for x in pairs)) for i in range(a, b)], skip) for a, b in zip(at, at[1:], strict=False)]
+            flat = lambda part: pa.array([x for e in ends for x in part(e)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*_spread(batch, keys, np.diff(at)), pa.array(number[at[0] : at[-1]]), flat(lambda e: e[:-1]), flat(lambda e: e[1:])], names=[*keys, "_b", "_start", "_end"])
+
+    blocks = cut(blocks)
+    each = blocks.mapInArrow(matrix, f"{head}_b int, n bigint, enter array<double>, leave array<double>, cost array<double>")
+    whole = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "n", "enter", "leave", "cost"))).alias("_m"))
+    ends = written(whole.mapInArrow(join_up, f"{head}_b int, _start double, _end double"))
+    placed = blocks.alias("d").join(ends.alias("e"), stats._same(by, "d", "e")).select(*(f"d.{k}" for k in keys), "_c", "_start", "_end")
+    return placed.mapInArrow(walk, out)

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.operators import stats
-from gaugework.operators.lineage import cut
+from gaugework.operators.lineage import broadcast_if_small, cut
 
 #: Rows of a key that one task works on, about; ranges that the sketch of a long key tells apart.
 BLOCK, RANGES = 1 << 20, 2048
+#: Keys and edges between blocks that are broadcast; more meet the rows by a shuffle.
+EDGES = 100_000
 
 
 def _column(c: str | Column) -> Column:
@@ -42,11 +44,17 @@ class Scan:
         if long.isEmpty():
             return cls(df, keys, order, False)
         # As many rows as there are long keys, at most one for every BLOCK rows of the table.
-        big = df.select(*keys, F.col(order).alias("_o")).alias("d").join(F.broadcast(long).alias("l"), stats._same(keys, "d", "l") or F.lit(True)).select(*(f"d.{k}" for k in keys), "_o", "_n")
-        cuts = big.groupBy(*keys).agg(F.percentile_approx("_o", [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("_e"), F.least(F.ceil(F.first("_n") / block), F.lit(RANGES)).cast("int").alias("_k"))
+        most = min(RANGES, long.agg(F.ceil(F.max("_n") / block)).first()[0])
+        ranges = min(RANGES, 32 * most)
+        big = df.select(*keys, F.col(order).alias("_o")).alias("d").join(broadcast_if_small(long).alias("l"), stats._same(keys, "d", "l") or F.lit(True)).select(*(f"d.{k}" for k in keys), "_o", "_n")
+        cuts = big.groupBy(*keys).agg(F.percentile_approx("_o", [i / ranges for i in range(1, ranges)], 20 * RANGES).alias("_e"), F.least(F.ceil(F.first("_n") / block), F.lit(RANGES)).cast("int").alias("_k"))
+        # Only the edges between blocks are kept: about a number for every ``block`` rows, however many the keys.
+        between = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.element_at("_e", F.ceil(i * ranges / F.col("_k")).cast("int")))
+        cuts = cut(cuts.select(*keys, F.when(F.col("_k") > 1, between).otherwise(F.array().cast(cuts.schema["_e"].dataType)).alias("_e")))
+        few = cuts.agg(F.sum(F.size("_e") + 1)).first()[0] <= EDGES
+        rows = df.alias("d").join((F.broadcast(cuts) if few else cuts).alias("e"), stats._same(keys, "d", "e") or F.lit(True), "left")
         place = F.size(F.filter("_e", lambda e: e < F.col(f"d.{order}")))
-        rows = df.alias("d").join(F.broadcast(cut(cuts)).alias("e"), stats._same(keys, "d", "e") or F.lit(True), "left")
-        return cls(cut(rows.select("d.*", F.coalesce(F.floor(place * F.col("_k") / RANGES), F.lit(0)).cast("int").alias("_b"))), keys, order, True)
+        return cls(cut(rows.select("d.*", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("int").alias("_b"))), keys, order, True)
 
     @property
     def _block(self) -> list[str]:
