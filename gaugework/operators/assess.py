@@ -15,6 +15,22 @@ from gaugework.operators.lookup import lut_lookup
 METRICS = ("count", "mae", "mape", "smape", "p50", "p90", "p95", "p99", "msd", "rmsd", "ssr", "rsq")
 
 
+def _errors(t: Column, p: Column, total, mean, count: Column, spread: Column) -> dict[str, Column]:
+    """The aggregates of truth and prediction that need no order."""
+    err = F.abs(p - t)
+    ssr = total(err * err)
+    return {
+        "count": count,
+        "mae": mean(err),
+        "mape": F.when(F.bool_and(t != 0), mean(F.when(t != 0, err / F.abs(t))) * 100),
+        "smape": mean(F.when((t == 0) & (p == 0), 0.0).otherwise(err / ((F.abs(t) + F.abs(p)) / 2))) * 100,
+        "msd": mean(err * err),
+        "rmsd": F.sqrt(mean(err * err)),
+        "ssr": ssr,
+        "rsq": F.when(spread > 0, 1 - ssr / F.when(spread > 0, spread)).when(ssr == 0, 1.0).otherwise(0.0),
+    }
+
+
 def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predicted", wanted=METRICS, weight: str | None = None) -> DataFrame:
     """112: all error metrics of each group: one aggregation, and exact percentiles from counts if these are ``wanted``.
 
@@ -33,17 +49,7 @@ def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predict
         w, d, count = F.col("_w"), t - F.col("_o"), F.sum("_w")
         total, mean = (lambda c: F.sum(w * c)), (lambda c: F.sum(w * c) / F.sum(F.when(c.isNotNull(), w)))
         spread = F.when(F.min(t) == F.max(t), 0.0).otherwise(F.sum(w * d * d) - F.sum(w * d) * F.sum(w * d) / count)
-    ssr = total(err * err)
-    out = rows.groupBy(*keys).agg(
-        count.alias("count"),
-        mean(err).alias("mae"),
-        F.when(F.bool_and(t != 0), mean(F.when(t != 0, err / F.abs(t))) * 100).alias("mape"),
-        (mean(F.when((t == 0) & (p == 0), 0.0).otherwise(err / ((F.abs(t) + F.abs(p)) / 2))) * 100).alias("smape"),
-        mean(err * err).alias("msd"),
-        F.sqrt(mean(err * err)).alias("rmsd"),
-        ssr.alias("ssr"),
-        F.when(spread > 0, 1 - ssr / F.when(spread > 0, spread)).when(ssr == 0, 1.0).otherwise(0.0).alias("rsq"),
-    )
+    out = rows.groupBy(*keys).agg(*(c.alias(m) for m, c in _errors(t, p, total, mean, count, spread).items()))
     if not set(METRICS[4:8]) & set(wanted):
         return out.select(*keys, *wanted)
     counts = written(rows.groupBy(*keys, err.alias("_v")).agg(F.sum("_w").alias("_c")))
@@ -52,6 +58,18 @@ def metrics(df: DataFrame, keys, truth: str = "value", predicted: str = "predict
     return out.withColumns({m: F.col("_q")[i] for i, m in enumerate(METRICS[4:8])}).select(*keys, *wanted)
 
 
+def wide_metrics(df: DataFrame, keys, predicted: dict[str, str], truth: str = "value", wanted=("count", "mae", "smape", "rmsd", "rsq")) -> DataFrame:
+    """112 for several predictions of a row at once: ``<tag>_<metric>`` for each tag and its column, in one pass, settled. A prediction that is null does not count. No percentiles."""
+    rows = df.select(*keys, F.col(truth).cast("double").alias("_t"), *(F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(predicted.values()))).where("_t is not null")
+    out = []
+    for i, tag in enumerate(predicted):
+        p = F.col(f"_p{i}")
+        t = F.when(p.isNotNull(), F.col("_t"))
+        made = _errors(t, p, F.sum, F.avg, F.count(t), F.var_pop(t) * F.count(t))
+        out += [made[m].alias(f"{tag}_{m}") for m in wanted]
+    return written(rows.groupBy(*keys).agg(*out))
+
+
 def predict_static(long: DataFrame, train: DataFrame | None = None, keys=("name", "attr")) -> DataFrame:
     """110: every row with its static value."""
     model = stats.static_model(long if train is None else train, keys)
@@ -64,19 +82,22 @@ def predict_lut(long: DataFrame, params, train: DataFrame | None = None, keys=("
     return lut_lookup(long, written(stats.lut_model(train, params, keys)), params, written(stats.static_model(train, keys)), keys)
 
 
-def quality_table(long: DataFrame, params, model: DataFrame | None = None) -> DataFrame:
-    """120: errors of lookup table, model (if given, with ``predicted``) and static value, and which one to use."""
+def quality_table(long: DataFrame, params, model: DataFrame | None = None, wanted=("mae", "smape", "rsq")) -> DataFrame:
+    """120: errors of lookup table, model (if given, with ``predicted``) and static value, and which one to use. Without metrics beside the mae, rows are read for the medians only."""
     keys = ["name", "attr"]
-    short = lambda df, tag, weight=None: metrics(df, keys, wanted=("mae", "smape", "rsq"), weight=weight).withColumnsRenamed({m: f"{tag}_{m}" for m in ("mae", "smape", "rsq")})
-    # Values are counted once; both models and their errors come from the counts, and no group of rows meets in one task.
-    counts = stats.value_counts(long, [*keys, *params])
-    middle = lambda c, by, name: written(stats.count_percentiles(c, by, [0.5]).select(*by, F.col("q__c")[0].alias(name)))
-    static = middle(counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c")), keys, "static")
-    rows = counts.withColumnRenamed("_v", "value")
-    out = short(rows.join(broadcast_if_small(static), keys).withColumnRenamed("static", "predicted"), "static", "_c").join(short(lut_lookup(rows, middle(counts, [*keys, *params], "lut"), params, static), "lut", "_c"), keys)
+    wanted = tuple(dict.fromkeys(("mae", *wanted)))
+    # Both models are a few medians; no group of rows meets in one task.
+    static, lut = stats.middles(long.where("value is not null"), keys, params)
+    if wanted == ("mae",):
+        mae = F.sum("dev") / F.sum("n")
+        out = static.groupBy(*keys).agg(mae.alias("static_mae")).join(lut.groupBy(*keys).agg(mae.alias("lut_mae")), keys)
+    else:
+        both = written(lut.drop("n", "dev").join(static.drop("n", "dev"), keys))
+        rows = long.select(*keys, *params, "value").alias("r").join(broadcast_if_small(both).alias("b"), stats._same([*keys, *params], "r", "b")).select(*(f"r.{k}" for k in keys), "value", "static", "lut")
+        out = wide_metrics(rows, keys, {"static": "static", "lut": "lut"}, wanted=wanted)
     model_mae = F.lit(None).cast("double")
     if model is not None:
-        out = out.join(short(model, "model"), keys, "left")
+        out = out.join(metrics(model, keys, wanted=wanted).withColumnsRenamed({m: f"model_{m}" for m in wanted}), keys, "left")
         model_mae = F.col("model_mae")
     verdict = F.when(F.coalesce(model_mae, F.col("static_mae")) <= F.least(F.col("static_mae"), 1.1 * F.col("lut_mae")), F.when(model_mae.isNull(), "static").otherwise("model")).when(F.col("lut_mae") < F.col("static_mae"), "lut").otherwise("static")
     return out.withColumn("use", verdict)

@@ -17,6 +17,10 @@ from gaugework.operators.lineage import broadcast_if_small, cut, written
 
 #: A parameter matters if the deviation within configurations is below this share of that without it.
 RELEVANT = 0.5
+#: Bins of values by unit of their logarithm.
+BINS = 128
+#: Bins that are listed in a plan at most.
+HELD = 1000
 
 
 def _same(keys, a: str, b: str):
@@ -69,6 +73,52 @@ def percentiles(df: DataFrame, keys, value: str, shares, parts: int = 64) -> Dat
     return found.select(*keys, F.col("n__c").alias("n"), F.col("q__c").alias("q"))
 
 
+def middles(long: DataFrame, keys, params) -> tuple[DataFrame, DataFrame]:
+    """55, 56 together: exact medians of each key (``static``) and of each configuration (``lut``), with n (all rows) and dev
+    (the sum of absolute deviations from the median), both settled.
+
+    Two passes over the rows. The first counts and sums them by bins of the logarithm, which tell the bins that hold a middle;
+    the second counts the values of these bins alone. All other rows are as many values below or above, so that few rows are
+    shuffled even if all values differ.
+    """
+    keys, by = list(keys), [*keys, *params]
+    v, least, most = F.col("_v"), F.lit(float("-inf")), F.lit(float("inf"))
+    # Bins keep the order of values; infinite ones and NaN share the outermost.
+    place = F.rint(F.log(F.abs(v)) * BINS) + 1000 * BINS
+    rows = long.select(*by, F.col("value").cast("double").alias("_v")).withColumn("_x", F.when(F.isnan(v), most).when(v > 0, place).when(v < 0, -place).when(v == 0, 0.0))
+    bins = written(rows.groupBy(*by, "_x").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s")))
+
+    def middle(of):
+        whole = Window.partitionBy(*of)
+        upto = whole.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        run = bins.where("_x is not null").groupBy(*of, "_x").agg(F.sum("_c").alias("_c")).select(*of, "_x", F.sum("_c").over(upto).alias("_to"), F.sum("_c").over(whole).alias("_n"))
+        return run.groupBy(*of).agg(F.min(F.when(F.col("_to") * 2 >= F.col("_n"), F.col("_x"))).alias("_lo"), F.min(F.when(F.col("_to") * 2 > F.col("_n"), F.col("_x"))).alias("_hi"))
+
+    one, all_ = middle(by), middle(keys)
+    cond = _same(keys, "l", "s") or F.lit(True)
+    marks = written(one.alias("l").join(all_.alias("s"), cond).select(*(f"l.{k}" for k in by), F.struct("l._lo", "l._hi").alias("_lut"), F.struct("s._lo", "s._hi").alias("_static")))
+    # Rows of bins that hold no middle at all go first: a list of numbers tells them for less than the join with their configuration does.
+    held = [r[0] for r in marks.select(F.explode(F.array("_lut._lo", "_lut._hi", "_static._lo", "_static._hi")).alias("_x")).distinct().limit(HELD + 1).collect()]
+    marks = broadcast_if_small(marks)
+    inside = lambda m: F.col("_x").between(F.col(f"{m}._lo"), F.col(f"{m}._hi"))
+    marked = lambda df: df.where("_x is not null").alias("r").join(marks.alias("m"), _same(by, "r", "m") or F.lit(True)).select("r.*", "_lut", "_static")
+    few = rows.where(F.col("_x").isin(held)) if len(held) <= HELD else rows
+    near = written(marked(few).where(inside("_lut") | inside("_static")).groupBy(*by, "_x", "_v", "_lut", "_static").agg(F.count("*").alias("_c")))
+
+    def solved(of, m, name):
+        side = F.when(F.col("_x") < F.col(f"{m}._lo"), least).otherwise(most)
+        far = marked(bins).where(~inside(m)).withColumn("_v", side).groupBy(*of, "_v").agg(F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
+        kept = near.where(inside(m)).groupBy(*of, "_v").agg(F.sum("_c").alias("_c"), F.lit(None).cast("double").alias("_s"))
+        counts = written(kept.unionByName(far))
+        found = written(count_percentiles(counts.groupBy(*of, "_v").agg(F.sum("_c").alias("_c")), of, [0.5]).select(*of, F.col("q__c")[0].alias(name)))
+        off = F.when(F.col("_s").isNull(), F.abs(v - F.col(name)) * F.col("_c")).when(v < F.col(name), F.col(name) * F.col("_c") - F.col("_s")).otherwise(F.col("_s") - F.col(name) * F.col("_c"))
+        dev = counts.alias("c").join(broadcast_if_small(found).alias("m"), _same(of, "c", "m") or F.lit(True)).groupBy(*(F.col(f"c.{k}").alias(k) for k in of)).agg(F.first(name).alias(name), F.sum(off).alias("dev"))
+        n = bins.groupBy(*of).agg(F.sum("_c").alias("n"))
+        return written(n.alias("c").join(dev.alias("m"), _same(of, "c", "m") or F.lit(True), "left").select(*(f"c.{k}" for k in of), name, "n", "dev"))
+
+    return solved(keys, "_static", "static"), solved(by, "_lut", "lut")
+
+
 def static_model(long: DataFrame, keys=("name", "attr"), how: str = "median") -> DataFrame:
     """55: median or mean for each (name, attr)."""
     if how == "median":
