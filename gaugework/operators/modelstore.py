@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.operators import assess, grove, stats
+from gaugework.operators.lineage import broadcast_if_small, written
 from gaugework.operators.lookup import lut_lookup
 
 FORMAT = 1
@@ -39,8 +41,8 @@ def learn(long: DataFrame, params, keys=("name", "attr"), ensembles=None, **opti
     """All models of each key, and the errors of every one of them on what it was learned from. ``options`` are those of ``grove.grow``."""
     keys, params = tuple(keys), tuple(sorted(params))
     trees = grove.grow(grove.moments(long, params, keys), params, keys, **options)
-    out = Models(keys, params, stats.static_model(long, keys), stats.lut_model(long, params, keys), trees, dict(ensembles or {}))
-    return replace(out, errors=errors(out, long))
+    out = Models(keys, params, *(m.drop("dev") for m in stats.middles(long, keys, params)), trees, dict(ensembles or {}))
+    return replace(out, errors=errors(out, long, configs=out.lut.select(*keys, *params)))
 
 
 def predict(rows: DataFrame, models: Models, name: str = "lut", out: str = "predicted") -> DataFrame:
@@ -60,13 +62,33 @@ def predict(rows: DataFrame, models: Models, name: str = "lut", out: str = "pred
     return rows.withColumn(out, mean).drop(*each.values())
 
 
-def errors(models: Models, long: DataFrame, wanted=("count", "mae", "smape", "rmsd", "rsq")) -> DataFrame:
-    """keys, model and its error metrics on ``long``."""
-    made = [assess.metrics(predict(long, models, n), models.keys, wanted=wanted).select(*models.keys, F.lit(n).alias("model"), *wanted) for n in models.names]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+def errors(models: Models, long: DataFrame, wanted=("count", "mae", "smape", "rmsd", "rsq"), configs: DataFrame | None = None) -> DataFrame:
+    """keys, model and its error metrics on ``long``, whose ``configs`` (keys and parameters) are found if not given.
+
+    Models predict each configuration once; rows meet these predictions, and all models' errors are one pass. Percentiles of
+    errors take the rows of each model.
+    """
+    if set(assess.METRICS[4:8]) & set(wanted):
+        made = [assess.metrics(predict(long, models, n), models.keys, wanted=wanted).select(*models.keys, F.lit(n).alias("model"), *wanted) for n in models.names]
+        return reduce(DataFrame.unionByName, made)
+    by, names = [*models.keys, *models.params], [n for n in models.names if n not in models.ensembles]
+    configs = written(long.select(*by).distinct()) if configs is None else configs
+    each = written(reduce(DataFrame.unionByName, [predict(configs, models, n, "_p").select(*by, F.lit(n).alias("_t"), "_p") for n in names]))
+    table = written(each.groupBy(*by).agg(*(F.max(F.when(F.col("_t") == n, F.col("_p"))).alias(f"_m{i}") for i, n in enumerate(names))))
+
+    def of(name: str) -> Column:
+        """As ``predict``: what lacks a member's prediction has none."""
+        if name in names:
+            return F.col(f"_m{names.index(name)}")
+        parts = models.ensembles[name]
+        return reduce(lambda a, b: a + b, [of(m) * (w / sum(parts.values())) for m, w in parts.items()], F.lit(0.0))
+
+    tags = {f"_m{i}": n for i, n in enumerate(models.names)}
+    table = table.select(*by, *(of(n).alias(t) for t, n in tags.items()))
+    rows = long.select(*by, "value").alias("r").join(broadcast_if_small(table).alias("p"), stats._same(by, "r", "p")).select(*(f"r.{k}" for k in models.keys), "value", *tags)
+    found = assess.wide_metrics(rows, models.keys, {t: t for t in tags}, wanted=tuple(dict.fromkeys(("count", *wanted))))
+    long_form = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), F.col(f"{t}_count").alias("_n"), *(F.col(f"{t}_{m}").alias(m) for m in wanted)) for t, n in tags.items())))
+    return found.select(*models.keys, long_form.alias("_e")).where("_e._n > 0").select(*models.keys, "_e.model", *(f"_e.{m}" for m in wanted))
 
 
 def save(models: Models, folder: str) -> None:
